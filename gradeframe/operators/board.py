@@ -117,7 +117,9 @@ def scores_json(board: DataFrame, reasons: DataFrame) -> DataFrame:
         ).alias("stop_reasons")
     )
     rows = board.join(counts, ["dataset", "model"], "left")
-    scores = F.to_json(F.struct(*metrics, "stop_reasons", "mcp_acc"))
+    scores = F.to_json(
+        F.struct(*metrics, "stop_reasons", "mcp_acc"), {"ignoreNullFields": "false"}
+    )
     entry = F.concat(json_string(F.col("model")), F.lit(":"), scores)
     ranked = F.struct((-F.col("overall")).alias("o"), F.col("model").alias("m"), entry.alias("e"))
     listed = rows.groupBy("dataset").agg(F.array_sort(F.collect_list(ranked)).alias("_e"))
