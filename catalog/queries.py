@@ -178,7 +178,7 @@ def augment_invariants(spark, sf):
     """Per original: copies, whether all permutations are bijections, whether one keeps the gold."""
     copies = expand.augmented_copies(fx.mc_problems(spark, sf), n=4, keeps=1, seed=2)
     kept = F.get("permutation", F.col("answer_idx")) == F.col("answer_idx")
-    full = F.array_sort("permutation") == F.sequence(F.lit(0), F.size("choices") - 1)
+    full = F.sort_array("permutation") == F.sequence(F.lit(0), F.size("choices") - 1)
     return copies.groupBy(F.col("parent_uuid").alias("uuid")).agg(
         F.count(F.lit(1)).alias("copies"),
         F.bool_and(full).alias("bijective"),

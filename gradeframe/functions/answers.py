@@ -26,7 +26,7 @@ def _known_keys(n: int, key_type: str) -> list[str]:
 
 def _key_array(n: Column, key_type: Column) -> Column:
     positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    longest_first = F.array_sort(
+    longest_first = F.sort_array(
         F.transform(positions, lambda i: F.struct((-F.length(i.cast("string"))).alias("l"), i.alias("i")))
     )
     numbers = F.transform(longest_first, lambda s: s["i"].cast("string"))

@@ -10,14 +10,6 @@ DECAY = 0.2
 SCORE_RANGE = (0.0, 5.0)
 MIN_K = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
-def numeric_text(c: Column) -> Column:
-    """The number a string spells, else null (plain cast would also take forms like 3d)."""
-    t = F.btrim(c)
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
-
 
 def valid_score(c: Column, lo: float = SCORE_RANGE[0], hi: float = SCORE_RANGE[1]) -> Column:
     """The score if it lies in [lo, hi], else null; NaN is out."""

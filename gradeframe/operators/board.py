@@ -113,7 +113,7 @@ def scores_json(board: DataFrame, reasons: DataFrame) -> DataFrame:
     metrics = [*ALL_METRICS, "conversation_completeness"]
     counts = reasons.groupBy("dataset", "model").agg(
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("stop_reason", "n")))
+            F.sort_array(F.collect_list(F.struct("stop_reason", "n")))
         ).alias("stop_reasons")
     )
     rows = board.join(counts, ["dataset", "model"], "left")
@@ -122,6 +122,6 @@ def scores_json(board: DataFrame, reasons: DataFrame) -> DataFrame:
     )
     entry = F.concat(json_string(F.col("model")), F.lit(":"), scores)
     ranked = F.struct((-F.col("overall")).alias("o"), F.col("model").alias("m"), entry.alias("e"))
-    listed = rows.groupBy("dataset").agg(F.array_sort(F.collect_list(ranked)).alias("_e"))
+    listed = rows.groupBy("dataset").agg(F.sort_array(F.collect_list(ranked)).alias("_e"))
     body = F.array_join(F.transform("_e", lambda x: x["e"]), ",")
     return listed.select("dataset", F.concat(F.lit("{"), body, F.lit("}")).alias("json"))

@@ -120,7 +120,8 @@ def turn_pairs(turns: DataFrame, tmpl: str = "default") -> DataFrame:
         candidate_content=F.col("_answer"),
     )
     rows = pairs.select("conv_id", "seq", prompt.alias("prompt"))
-    return positions(rows, ["conv_id"], ["seq"], int_block(F.col("seq")), "round")
+    block = int_block(F.col("seq"))
+    return positions(rows, ["conv_id"], ["seq"], block, "round", counted_on=turns)
 
 
 def unpaired_count(turns: DataFrame) -> DataFrame:
@@ -172,9 +173,7 @@ def filter_transcripts(
     judged = last.where(F.col("_l.party") == "evaluator").select(
         "conv_id", "last_seq", json_body(F.col("_l.content")).alias("_body")
     )
-    read = judged.select(
-        "conv_id", "last_seq", "_body", lenient_json(F.col("_body"), _VERDICT).alias("_v")
-    )
+    read = lenient_json(judged, "_body", _VERDICT, "_v")
     some = ~F.col("_body").rlike(r"^\{\s*\}$") & F.col("_v._bad").isNull()
     given = F.col("_v.stop_conversation")
     flag = F.when(given.isNull(), False).when(
@@ -253,7 +252,7 @@ def judge_requests(messages: DataFrame, key: str = "file") -> DataFrame:
         messages.where(F.col("seq").between(1, 4))
         .groupBy(key)
         .agg(
-            F.array_sort(F.collect_list(asked)).alias("_q"),
+            F.sort_array(F.collect_list(asked)).alias("_q"),
             F.max(F.when(F.col("seq") == 4, F.col("content"))).alias("_a"),
         )
         .where(F.col("_a").isNotNull())

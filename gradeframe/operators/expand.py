@@ -38,7 +38,7 @@ def permutation(key: Column, n: Column, seed: int | Column) -> Column:
         F.sequence(F.lit(0), n - 1),
         lambda j: F.struct(F.xxhash64(key, seed, j).alias("h"), j.alias("j")),
     )
-    return F.transform(F.array_sort(drawn), lambda s: s["j"].cast("int"))
+    return F.transform(F.sort_array(drawn), lambda s: s["j"].cast("int"))
 
 
 def keep_in_place(perm: Column, slot: Column) -> Column:

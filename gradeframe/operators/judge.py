@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeframe.functions.scores import numeric_text
 from gradeframe.schemas import METRICS
 
-_SCORE = "struct<comment:string,score:variant>"
-_JUDGE = (
-    "struct<"
-    + ",".join(f"{m}:{_SCORE}" for m in METRICS)
-    + ",comment:string,overall_comment:string,overall_score:variant"
-    + ",stop_conversation:variant,stop_reason:string,_bad:string>"
+_SCORED = {**{m: f"struct<comment:string,score:{{0}}>" for m in METRICS}, "overall_score": "{0}"}
+
+
+def _schema(score: str, others: str = "") -> str:
+    fields = [f"{name}:{kind.format(score)}" for name, kind in _SCORED.items()]
+    return f"struct<{','.join(fields)}{others},_bad:string>"
+
+
+_JUDGE = _schema(
+    "string", ",comment:string,overall_comment:string,stop_conversation:variant,stop_reason:string"
 )
+_TYPED = _schema("variant")
 # What JSON5 allows beyond JSON; trailing commas have no reader option.
 _LENIENT = {
     "mode": "PERMISSIVE",
@@ -25,44 +29,45 @@ _LENIENT = {
     "allowBackslashEscapingAnyCharacter": "true",
     "allowUnquotedControlChars": "true",
 }
-_FALSY_TEXT = ("false", "0", "0.0", "{}", "[]")
+_FALSY_JSON = ("false", "null", "0", "0.0", "-0.0", '""', "{}", "[]")
 
 
 def json_body(content: Column) -> Column:
     """From the first ``{`` to the last ``}``, null if there is no such span."""
-    first = F.instr(content, "{")
-    last = F.length(content) - F.instr(F.reverse(content), "}") + 1
-    some = (first > 0) & F.contains(content, F.lit("}")) & (last > first)
-    return F.when(some, F.substring(content, first, last - first + 1))
+    return F.nullif(F.regexp_extract(content, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def without_trailing_commas(body: Column) -> Column:
-    return F.regexp_replace(body, r",(\s*[}\]])", "$1")
+    """Commas before a closing bracket go; quoted strings are matched whole and stay."""
+    double, single = r'("(?:[^"\\]++|\\.)*+")', r"('(?:[^'\\]++|\\.)*+')"
+    return F.regexp_replace(body, double + "|" + single + r"|,(\s*[}\]])", "$1$2$3")
+
 
+def lenient_json(df: DataFrame, body: str, schema: str, name: str, bad: str = "_bad") -> DataFrame:
+    """Adds the parsed body. Only text that fails and has a trailing comma is cleaned and parsed
+    again; the first result is a column of its own, so that no row is parsed twice otherwise."""
+    once = df.withColumn("_once", F.from_json(F.col(body), schema, _LENIENT))
+    failed = F.col("_once")[bad].isNotNull() & F.col(body).rlike(r",\s*[}\]]")
+    retry = F.from_json(without_trailing_commas(F.col(body)), schema, _LENIENT)
+    return once.withColumn(name, F.when(failed, retry).otherwise(F.col("_once"))).drop("_once")
 
-def lenient_json(body: Column, schema: str, bad: str = "_bad") -> Column:
-    """Parse as it stands; only text that fails and has a trailing comma is cleaned and retried."""
-    plain = F.from_json(body, schema, _LENIENT)
-    retry = F.from_json(without_trailing_commas(body), schema, _LENIENT)
-    failed = plain[bad].isNotNull() & body.rlike(r",\s*[}\]]")
-    return F.when(failed, retry).otherwise(plain)
 
+def score_number(text: Column, typed: Column) -> Column:
+    """The number a score's text spells, else null; a JSON boolean counts as 0 or 1.
 
-def score_number(v: Column) -> Column:
-    """A JSON number, a boolean as 0/1, or the number a JSON string spells; else null."""
-    text = F.try_variant_get(v, "$", "string")
-    is_flag = text.isin("true", "false") & (F.schema_of_variant(v) == "BOOLEAN")
-    return F.when(is_flag, (text == "true").cast("double")).otherwise(numeric_text(text))
+    ``typed`` is the same score with its JSON type, looked at for the texts true and false only.
+    Casting also reads Java's suffixed spellings such as "3d", which are no numbers here.
+    """
+    flag = F.schema_of_variant(typed) == "BOOLEAN"
+    return (
+        F.when(text.isin("true", "false"), F.when(flag, (text == "true").cast("double")))
+        .when(~F.right(text, F.lit(1)).isin("d", "D", "f", "F"), text.try_cast("double"))
+    )
 
 
 def is_stop(v: Column) -> Column:
     """Whether a JSON value is truthy: any non-empty string (even "false") counts."""
-    text = F.try_variant_get(v, "$", "string")
-    return (
-        F.when(text.isNull() | (text == ""), False)
-        .when(text.isin(*_FALSY_TEXT), F.schema_of_variant(v) == "STRING")
-        .otherwise(True)
-    )
+    return F.coalesce(~F.to_json(v).isin(*_FALSY_JSON), F.lit(False))
 
 
 def parse_judge(df: DataFrame, col: str = "content") -> DataFrame:
@@ -74,12 +79,17 @@ def parse_judge(df: DataFrame, col: str = "content") -> DataFrame:
     """
     rest = [c for c in df.columns if c != col]
     body = df.select(*rest, json_body(F.col(col)).alias("_body"))
-    read = body.select(*rest, lenient_json(F.col("_body"), _JUDGE).alias("_j"))
-    j = F.col("_j")
+    read = lenient_json(body, "_body", _JUDGE, "_j")
+    j, typed = F.col("_j"), F.col("_typed")
+    texts = [*[j[m]["score"] for m in METRICS], j["overall_score"]]
+    # A second, typed parse; reached only by rows with a score that reads true or false.
+    flags = F.array_contains(F.array(*texts), "true") | F.array_contains(F.array(*texts), "false")
+    again = F.from_json(without_trailing_commas(F.col("_body")), _TYPED, _LENIENT)
+    read = read.withColumn("_typed", F.when(flags, again))
     metrics = [
         F.struct(
             F.coalesce(j[m]["comment"], F.lit("")).alias("comment"),
-            score_number(j[m]["score"]).alias("score"),
+            score_number(j[m]["score"], typed[m]["score"]).alias("score"),
         ).alias(m)
         for m in METRICS
     ]
@@ -91,8 +101,8 @@ def parse_judge(df: DataFrame, col: str = "content") -> DataFrame:
         *metrics,
         F.coalesce(j["comment"], F.lit("")).alias("comment"),
         j["overall_comment"].alias("overall_comment"),
-        score_number(j["overall_score"]).alias("overall_score"),
-        F.coalesce(is_stop(j["stop_conversation"]), F.lit(False)).alias("stop_conversation"),
+        score_number(j["overall_score"], typed["overall_score"]).alias("overall_score"),
+        is_stop(j["stop_conversation"]).alias("stop_conversation"),
         j["stop_reason"].alias("stop_reason"),
         some.alias("parsed"),
     )

@@ -65,7 +65,7 @@ def question_text(tmpl: str = "default") -> Column:
 def _shots(fewshot: DataFrame, tmpl: str) -> DataFrame:
     """The few-shot list (a handful of rows) in order, as one row of (question, answer) structs."""
     shot = F.struct("ord", question_text(tmpl).alias("q"), gold_text(tmpl).alias("a"))
-    return fewshot.agg(F.array_sort(F.collect_list(shot)).alias("shots"))
+    return fewshot.agg(F.sort_array(F.collect_list(shot)).alias("shots"))
 
 
 def fewshot_messages(fewshot: DataFrame, tmpl: str = "default") -> Column:

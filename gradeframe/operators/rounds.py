@@ -1,7 +1,7 @@
 """Scores over judged rounds: stop handling, per-round and per-conversation statistics.
 
-A conversation is cut into blocks of rounds (see ``plans.ordered``), so a conversation with a large
-share of all rounds is spread over tasks. The round-decayed sums combine exactly: a block's sums
+Conversations are cut into blocks of 4096 rounds (see ``plans.ordered``), so one with a large share
+of all rounds is spread over tasks. The round-decayed sums combine exactly: a block's sums
 are computed with local positions and scaled by the decay of the valid rounds before the block.
 """
 
@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.scores import is_mapped, points, valid_score, weight
-from gradeframe.plans.ordered import BLOCK, before, int_block, positions
+from gradeframe.plans.ordered import BLOCK, before, blocked, int_block, positions
 from gradeframe.schemas import METRICS
 
 ALL_METRICS = [*METRICS, "overall"]
@@ -35,17 +35,23 @@ def capped(rounds: DataFrame, max_rounds: int | None) -> DataFrame:
 def until_stop(
     rounds: DataFrame, max_rounds: int | None = None, keys: Sequence[str] = ("conv_id",)
 ) -> DataFrame:
-    """Rounds up to and including the first stop."""
+    """Rounds up to and including the first stop.
+
+    Stops in earlier blocks matter to hot conversations only; their first stops are at most as
+    many rows as there are hot keys.
+    """
     keys = list(keys)
-    tagged = capped(rounds, max_rounds).withColumn(BLOCK, int_block(F.col("round")))
-    stops = tagged.groupBy(*keys, BLOCK).agg(
-        F.min(F.when(F.col("stop_conversation"), F.col("round"))).alias("_stop")
+    tagged = blocked(capped(rounds, max_rounds), keys, int_block(F.col("round")))
+    stop, at = F.col("stop_conversation"), F.col("round")
+    firsts = (
+        tagged.where(F.col(BLOCK).isNotNull())
+        .groupBy(*keys)
+        .agg(F.min(F.when(stop, at)).alias("_first"))
     )
-    along = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0)
-    limits = stops.select(*keys, BLOCK, F.min("_stop").over(along).alias("_limit"))
-    open_ended = F.col("_limit").isNull()
-    joined = tagged.join(limits, [*keys, BLOCK])
-    return joined.where(open_ended | (F.col("round") <= F.col("_limit"))).select(*rounds.columns)
+    over = F.coalesce(F.max(stop).over(before([*keys, BLOCK], ["round"])), F.lit(False))
+    local = tagged.withColumn("_over", over).where(~F.col("_over"))
+    joined = local.join(F.broadcast(firsts), keys, "left")
+    return joined.where(F.col("_first").isNull() | (at <= F.col("_first"))).select(*rounds.columns)
 
 
 def last_round(rounds: DataFrame, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
@@ -76,7 +82,9 @@ def valid_positions(
     """Rows with a valid score of one metric and their position among these."""
     rows = rounds.select(*keys, "round", metric_value(metric).alias("value"))
     valid = F.col("value").isNotNull()
-    placed = positions(rows, list(keys), ["round"], int_block(F.col("round")), "position", valid)
+    placed = positions(
+        rows, list(keys), ["round"], int_block(F.col("round")), "position", valid, rounds
+    )
     return placed.where(valid)
 
 

@@ -1,8 +1,9 @@
 """Ordered computations that never put one key's rows into a single task.
 
-A window per key breaks once a key holds a large part of the table. Each key's ordered rows are
-cut into blocks by a monotone function of the order column; windows run per (key, block), and only
-one row per block is ordered along the whole key.
+A window per key breaks once a key holds a large part of the table. Such hot keys are found by a
+map-side count of the keys; their rows are cut into blocks by a monotone function of the order
+column, windows run per (key, block), and only one row per block is ordered along the whole key.
+All other keys are one block each, so ordinary data pays for the key count only.
 """
 
 from __future__ import annotations
@@ -32,6 +33,31 @@ def before(keys: Sequence[str], order: Sequence[str]) -> Window:
     )
 
 
+# A key is hot above HOT_ROWS rows; only the largest MOST_HOT ones are split. A key left out is
+# still computed right, and holds less than one part in MOST_HOT of the table.
+HOT_ROWS = 1_000_000
+MOST_HOT = 4096
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys with most rows, at most MOST_HOT of them: small enough to broadcast by count."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.where(F.col("_n") > HOT_ROWS).orderBy(F.col("_n").desc()).limit(MOST_HOT)
+    return top.select(*keys, F.lit(True).alias("_hot"))
+
+
+def blocked(
+    df: DataFrame, keys: Sequence[str], block: Column, counted_on: DataFrame | None = None
+) -> DataFrame:
+    """Adds the block of hot keys' rows, null for other rows.
+
+    ``counted_on`` is a cheaper table with at least as many rows per key, if there is one.
+    """
+    hot = hot_keys(df if counted_on is None else counted_on, keys)
+    joined = df.join(F.broadcast(hot), list(keys), "left")
+    return joined.select(*df.columns, F.when(F.col("_hot"), block).alias(BLOCK))
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,21 +65,26 @@ def positions(
     block: Column,
     name: str,
     counted: Column | None = None,
+    counted_on: DataFrame | None = None,
 ) -> DataFrame:
     """Zero-based position of each row within its keys along the order columns.
 
-    With ``counted`` only such rows count. ``block`` must not decrease along the order. The block
-    totals share the row table's partitioning, so the join back shuffles totals only.
+    With ``counted`` only such rows count. ``block`` must not decrease along the order. Totals are
+    taken of hot keys only; they share the rows' partitioning, so the join moves just the totals.
     """
-    tagged = df.withColumn(BLOCK, block)
+    tagged = blocked(df, keys, block, counted_on)
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    totals = tagged.groupBy(*keys, BLOCK).agg(F.sum(one).alias("_total"))
+    totals = (
+        tagged.where(F.col(BLOCK).isNotNull())
+        .groupBy(*keys, BLOCK)
+        .agg(F.sum(one).alias("_total"))
+    )
     offsets = totals.select(
         *keys, BLOCK, F.sum("_total").over(before(keys, [BLOCK])).alias("_offset")
     )
     within = before([*keys, BLOCK], order)
     local = tagged.withColumn(name, F.coalesce(F.sum(one).over(within), F.lit(0)))
-    joined = local.join(offsets, [*keys, BLOCK])
+    joined = local.join(offsets, [*keys, BLOCK], "left")
     return joined.select(
         *df.columns, (F.col(name) + F.coalesce("_offset", F.lit(0))).alias(name)
     )
@@ -65,12 +96,33 @@ def quantile_bounds(df: DataFrame, c: Column, blocks: int) -> Column:
     return F.percentile_approx(c, shares, 20 * blocks)
 
 
+_STRIDE = 16
+
+
 def bound_block(c: Column, bounds: Column) -> Column:
-    """Number of boundaries below a value; equal values always share a block."""
-    return F.size(F.filter(F.coalesce(bounds, F.array().cast("array<double>")), lambda b: b < c))
+    """Number of boundaries below a value; equal values always share a block.
+
+    Looks at every 16th boundary first, then at the 16 from the last one below.
+    """
+    some = F.coalesce(bounds, F.array().cast("array<double>"))
+    coarse = F.filter(some, lambda b, i: (i % _STRIDE == 0) & (b < c))
+    at = F.greatest(F.size(coarse) - 1, F.lit(0)) * _STRIDE
+    return at + F.size(F.filter(F.slice(some, at + 1, F.lit(_STRIDE)), lambda b: b < c))
+
+
+def literal_block(c: Column, bounds: Sequence[float]) -> Column:
+    """The same for known boundaries, as a balanced tree of comparisons in generated code."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c > bounds[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(bounds))
 
 
-def dense_order(df: DataFrame, order: str, name: str = "ord", blocks: int = 256) -> DataFrame:
+def dense_order(df: DataFrame, order: str, name: str = "ord", blocks: int = 128) -> DataFrame:
     """Zero-based rank by a unique numeric column over the whole table.
 
     The boundaries are fetched once (at most ``blocks`` numbers), so rows and block totals agree
@@ -78,8 +130,7 @@ def dense_order(df: DataFrame, order: str, name: str = "ord", blocks: int = 256)
     """
     value = F.col(order).cast("double")
     row = df.agg(quantile_bounds(df, value, blocks).alias("b")).first()
-    bounds = F.lit(sorted(set(row["b"] or []))).cast("array<double>")
-    tagged = df.withColumn(BLOCK, bound_block(value, bounds))
+    tagged = df.withColumn(BLOCK, literal_block(value, sorted(set(row["b"] or []))))
     totals = tagged.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_total"))
     offsets = totals.select(
         BLOCK,
