@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.schemas import METRICS
 
-_SCORED = {**{m: f"struct<comment:string,score:{{0}}>" for m in METRICS}, "overall_score": "{0}"}
+_SCORED = {**{m: "struct<comment:string,score:{}>" for m in METRICS}, "overall_score": "{}"}
 
 
 def _schema(score: str, others: str = "") -> str:
@@ -37,18 +37,22 @@ def json_body(content: Column) -> Column:
     return F.nullif(F.regexp_extract(content, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def without_trailing_commas(body: Column) -> Column:
-    """Commas before a closing bracket go; quoted strings are matched whole and stay."""
-    double, single = r'("(?:[^"\\]++|\\.)*+")', r"('(?:[^'\\]++|\\.)*+')"
-    return F.regexp_replace(body, double + "|" + single + r"|,(\s*[}\]])", "$1$2$3")
+_STRINGS = r"""("(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')"""
+
+
+def strict_commas(body: Column) -> Column:
+    """Without comments and without commas before a closing bracket; quoted strings are matched
+    whole and stay as they are."""
+    bare = F.regexp_replace(body, _STRINGS + r"|/\*[\s\S]*?\*/|//[^\n]*", "$1")
+    return F.regexp_replace(bare, _STRINGS + r"|,(\s*[}\]])", "$1$2")
 
 
 def lenient_json(df: DataFrame, body: str, schema: str, name: str, bad: str = "_bad") -> DataFrame:
-    """Adds the parsed body. Only text that fails and has a trailing comma is cleaned and parsed
-    again; the first result is a column of its own, so that no row is parsed twice otherwise."""
+    """Adds the parsed body. Only text that fails is cleaned and parsed again; the first result is
+    a column of its own, so that no other row is parsed twice."""
     once = df.withColumn("_once", F.from_json(F.col(body), schema, _LENIENT))
-    failed = F.col("_once")[bad].isNotNull() & F.col(body).rlike(r",\s*[}\]]")
-    retry = F.from_json(without_trailing_commas(F.col(body)), schema, _LENIENT)
+    retry = F.from_json(strict_commas(F.col(body)), schema, _LENIENT)
+    failed = F.col("_once")[bad].isNotNull()
     return once.withColumn(name, F.when(failed, retry).otherwise(F.col("_once"))).drop("_once")
 
 
@@ -84,7 +88,7 @@ def parse_judge(df: DataFrame, col: str = "content") -> DataFrame:
     texts = [*[j[m]["score"] for m in METRICS], j["overall_score"]]
     # A second, typed parse; reached only by rows with a score that reads true or false.
     flags = F.array_contains(F.array(*texts), "true") | F.array_contains(F.array(*texts), "false")
-    again = F.from_json(without_trailing_commas(F.col("_body")), _TYPED, _LENIENT)
+    again = F.from_json(strict_commas(F.col("_body")), _TYPED, _LENIENT)
     read = read.withColumn("_typed", F.when(flags, again))
     metrics = [
         F.struct(
