@@ -31,8 +31,8 @@ _RESPONSE = {
 }
 
 
-def _ddl(fields: dict[str, str]) -> str:
-    return ",".join(f"{name}:{kind}" for name, kind in fields.items())
+def _ddl(fields: dict[str, str], colon: str = ":") -> str:
+    return ",".join(f"{name}{colon}{kind}" for name, kind in fields.items())
 
 
 _LINE = f"request struct<{_ddl(_REQUEST)}>, response struct<{_ddl(_RESPONSE)}>"
@@ -40,7 +40,7 @@ _LINE = f"request struct<{_ddl(_REQUEST)}>, response struct<{_ddl(_RESPONSE)}>"
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of requests."""
-    return spark.read.schema(_ddl(_REQUEST)).option("multiLine", True).json(path)
+    return spark.read.schema(_ddl(_REQUEST, " ")).option("multiLine", True).json(path)
 
 
 def read_responses(spark: SparkSession, path: str, run_key: str | None = None) -> DataFrame:
