@@ -845,43 +845,42 @@ def transcripts_roundtrip(spark, sf):
 # --- inference -------------------------------------------------------------------------------
 
 
-def prompt_length(batches):
-    """A stand-in model: answers with the prompt's length."""
-    for pdf in batches:
-        yield pd.DataFrame(
-            {"uuid": pdf["uuid"], "generated_text": pdf["prompt"].map(lambda t: f"len {len(t)}")}
-        )
-
-
-def _chat(reply):
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame(
-                {"uuid": pdf["uuid"], "generated_text": pdf["messages"].map(lambda m: reply(list(m)))}
-            )
-
-    return run
+def _register_stand_ins() -> None:
+    """Stand-ins for models. Nested functions travel to the workers by value, so that executors
+    need not have this package."""
 
+    def by_prompt(reply):
+        def run(batches):
+            for pdf in batches:
+                yield pd.DataFrame(
+                    {"uuid": pdf["uuid"], "generated_text": pdf["prompt"].map(reply)}
+                )
 
-def _ask(messages) -> str:
-    return f"Q{len(messages)}"
+        return run
 
+    def by_messages(reply):
+        def run(batches):
+            for pdf in batches:
+                texts = pdf["messages"].map(lambda m: reply(list(m)))
+                yield pd.DataFrame({"uuid": pdf["uuid"], "generated_text": texts})
 
-def _answer(messages) -> str:
-    return f" {len(messages[1]['content'])} for {messages[-1]['content']} "
+        return run
 
+    def ask(messages):
+        return f"Q{len(messages)}"
 
-def _verdict(messages) -> str:
-    size = len(messages[1]["content"])
-    return "so " + json.dumps(
-        {"overall_score": size % 5, "stop_conversation": (size + len(messages)) % 7 == 0}
-    )
+    def answer(messages):
+        return f" {len(messages[1]['content'])} for {messages[-1]['content']} "
 
+    def verdict(messages):
+        size = len(messages[1]["content"])
+        stop = (size + len(messages)) % 7 == 0
+        return "so " + json.dumps({"overall_score": size % 5, "stop_conversation": stop})
 
-def _register_stand_ins() -> None:
-    register_responder("prompt_length", prompt_length)
-    for name, reply in (("ask", _ask), ("answer", _answer), ("verdict", _verdict)):
-        register_responder(name, _chat(reply))
+    register_responder("prompt_length", by_prompt(lambda text: f"len {len(text)}"))
+    register_responder("ask", by_messages(ask))
+    register_responder("answer", by_messages(answer))
+    register_responder("verdict", by_messages(verdict))
 
 
 @query("batch_inference")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.functions.scores import MIN_K, min_k_stat
-from gradeframe.plans.ordered import before, bound_block, quantile_bounds
+from gradeframe.plans.ordered import before, block_count, bound_block, quantile_bounds
 
 
 def mean_loss(responses: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def min_k(responses: DataFrame, ks: Sequence[float] = MIN_K) -> DataFrame:
 
 
 def roc_auc(
-    df: DataFrame, score: str, label: str, by: Sequence[str] = (), blocks: int = 128
+    df: DataFrame, score: str, label: str, by: Sequence[str] = (), blocks: int | None = None
 ) -> DataFrame:
     """Area under the ROC curve per group, ties counted half; null with a single class.
 
@@ -44,42 +44,44 @@ def roc_auc(
     quantiles; a block needs only its own rows (positives times negatives below, within the block)
     and is then one row, combined along the group's few blocks. Any cut gives the same result.
     """
-    by = list(by)
+    by, blocks = list(by), blocks or block_count(df)
     group = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(1))
     positive = F.col(label).cast("boolean")
     hist = base.groupBy(*group, F.col(score).cast("double").alias("_score")).agg(
         F.count_if(positive).alias("_pos"), F.count_if(~positive).alias("_neg")
     )
+    # The totals are taken here too: with all of its columns in use on both sides, the histogram
+    # is shuffled once and reused.
     cuts = hist.groupBy(*group).agg(
-        F.array_distinct(quantile_bounds(hist, F.col("_score"), blocks)).alias("_cuts")
+        F.array_distinct(quantile_bounds(F.col("_score"), blocks)).alias("_cuts"),
+        F.sum("_pos").alias("n_pos"),
+        F.sum("_neg").alias("n_neg"),
     )
     if by:
         cut = hist.join(cuts, by)
     else:
-        cut = hist.withColumn("_cuts", cuts.select("_cuts").scalar())
+        whole = cuts.select(F.struct("_cuts", "n_pos", "n_neg")).scalar()
+        cut = hist.withColumn("_c", whole).select(*hist.columns, "_c.*")
     cut = cut.withColumn("_block", bound_block(F.col("_score"), F.col("_cuts")))
-    cut = cut.select(*group, "_block", "_score", "_pos", "_neg")
+    totals = ["n_pos", "n_neg"]
+    cut = cut.select(*group, *totals, "_block", "_score", "_pos", "_neg")
     below = F.coalesce(F.sum("_neg").over(before([*group, "_block"], ["_score"])), F.lit(0))
     inner = cut.withColumn("_u", F.col("_pos") * (below + F.col("_neg") / 2))
-    parts = inner.groupBy(*group, "_block").agg(
+    parts = inner.groupBy(*group, *totals, "_block").agg(
         F.sum("_u").alias("_u"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")
     )
     lower = F.coalesce(F.sum("_neg").over(before(group, ["_block"])), F.lit(0))
     joined = parts.withColumn("_u", F.col("_u") + F.col("_pos") * lower)
-    out = joined.groupBy(*group).agg(
-        F.sum("_u").alias("_u"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg")
-    )
+    out = joined.groupBy(*group, *totals).agg(F.sum("_u").alias("_u"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
     return out.select(*by, F.try_divide(F.col("_u"), pairs).alias("auc"), "n_pos", "n_neg")
 
 
 def min_k_auc(responses: DataFrame, ks: Sequence[float] = MIN_K) -> DataFrame:
     """Contamination AUC per k. The statistic is negated: a lower loss means a member."""
-    stats = min_k(responses, ks).withColumn("score", -F.col("stat"))
-    return roc_auc(stats, "score", "group_label", ["k"]).select(
-        F.concat(F.lit("min_k_prob_"), F.col("k").cast("string")).alias("metric"),
-        "auc",
-        "n_pos",
-        "n_neg",
+    name = F.concat(F.lit("min_k_prob_"), F.col("k").cast("string"))
+    stats = min_k(responses, ks).select(
+        name.alias("metric"), (-F.col("stat")).alias("score"), "group_label"
     )
+    return roc_auc(stats, "score", "group_label", ["metric"])

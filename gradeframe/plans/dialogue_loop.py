@@ -39,6 +39,13 @@ def _replies(state: DataFrame, role: str, step: int, fn, out: str, partitions) -
     return last.select(F.col("uuid").alias("conv_id"), strip(F.col("text")).alias("_reply"))
 
 
+def _with_reply(state: DataFrame, replies: DataFrame, name: str) -> DataFrame:
+    """Every conversation with its reply; one without fails the job."""
+    note = F.concat(F.lit("no reply for conversation "), F.col("conv_id"))
+    reply = F.when(F.col("_reply").isNull(), F.raise_error(note)).otherwise(F.col("_reply"))
+    return state.join(replies, "conv_id", "left").withColumn(name, reply).drop("_reply")
+
+
 def run_dialogue(
     seeds: DataFrame,
     responders: dict[str, str | Responder],
@@ -62,7 +69,7 @@ def run_dialogue(
     state = seeds.select("conv_id", *ROLES).dropDuplicates(["conv_id"])
     for step in range(max_rounds):
         asked = _replies(state, "interactor", step, responders["interactor"], out, partitions)
-        state = state.join(asked.withColumnRenamed("_reply", "_ask"), "conv_id")
+        state = _with_reply(state, asked, "_ask")
         state = _appended(
             state,
             {
@@ -71,7 +78,7 @@ def run_dialogue(
             },
         )
         said = _replies(state, "candidate", step, responders["candidate"], out, partitions)
-        state = state.join(said.withColumnRenamed("_reply", "_answer"), "conv_id")
+        state = _with_reply(state, said, "_answer")
         pair = fill(
             p["evaluator_user_prompt"],
             interactor_content=F.col("_ask"),
@@ -86,7 +93,7 @@ def run_dialogue(
             },
         )
         judged = _replies(state, "evaluator", step, responders["evaluator"], out, partitions)
-        state = state.join(judged.withColumnRenamed("_reply", "_verdict"), "conv_id")
+        state = _with_reply(state, judged, "_verdict")
         state = _appended(state, {"evaluator": message("assistant", F.col("_verdict"))})
         path = f"{out}/state/round={step}"
         state.withColumn("round", F.lit(step)).write.mode("overwrite").parquet(path)

@@ -90,7 +90,14 @@ def positions(
     )
 
 
-def quantile_bounds(df: DataFrame, c: Column, blocks: int) -> Column:
+def block_count(df: DataFrame) -> int:
+    """Blocks to cut a whole table or group into: as many as there are shuffle partitions, within
+    limits that keep the list of boundaries small."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(partitions, 64), 2048)
+
+
+def quantile_bounds(c: Column, blocks: int) -> Column:
     """Aggregate expression: ascending inner boundaries that split c into about equal blocks."""
     shares = [i / blocks for i in range(1, blocks)]
     return F.percentile_approx(c, shares, 20 * blocks)
@@ -122,15 +129,22 @@ def literal_block(c: Column, bounds: Sequence[float]) -> Column:
     return search(0, len(bounds))
 
 
-def dense_order(df: DataFrame, order: str, name: str = "ord", blocks: int = 128) -> DataFrame:
+def dense_order(
+    df: DataFrame, order: str, name: str = "ord", blocks: int | None = None
+) -> DataFrame:
     """Zero-based rank by a unique numeric column over the whole table.
 
-    The boundaries are fetched once (at most ``blocks`` numbers), so rows and block totals agree
-    on them whatever gets recomputed; the joined totals have at most ``blocks`` rows.
+    The boundaries are fetched once (a number per block), so rows and block totals agree on them
+    whatever gets recomputed; the joined totals have at most a row per block.
     """
     value = F.col(order).cast("double")
-    row = df.agg(quantile_bounds(df, value, blocks).alias("b")).first()
-    tagged = df.withColumn(BLOCK, literal_block(value, sorted(set(row["b"] or []))))
+    row = df.agg(quantile_bounds(value, blocks or block_count(df)).alias("b")).first()
+    bounds = sorted(set(row["b"] or []))
+    if len(bounds) <= 128:
+        block = literal_block(value, bounds)
+    else:
+        block = bound_block(value, F.lit(bounds))
+    tagged = df.withColumn(BLOCK, block)
     totals = tagged.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_total"))
     offsets = totals.select(
         BLOCK,

@@ -64,6 +64,12 @@ def test_dialogue_rounds_and_stop(spark, tmp_path):
     assert {(t.conv_id, t.seq): (t["round"], t.party, t.content) for t in again.collect()} == said
 
 
+def test_a_missing_reply_fails(spark, tmp_path):
+    run_dialogue(seeds(spark, 2), RESPONDERS, max_rounds=1, out=str(tmp_path / "d"))
+    with pytest.raises(Exception, match="no reply for conversation c2"):
+        run_dialogue(seeds(spark, 3), RESPONDERS, max_rounds=1, out=str(tmp_path / "d"))
+
+
 def test_dialogue_ends_when_all_stop(spark, tmp_path):
     stop = {**RESPONDERS, "evaluator": chat(lambda u, m: '{"stop_conversation": true}')}
     turns, judged = run_dialogue(seeds(spark), stop, max_rounds=5, out=str(tmp_path / "d"))

@@ -91,8 +91,9 @@ def test_max_instances(spark):
 def test_dense_order(spark):
     keys = [7 * i - 50 for i in range(500)]
     df = spark.createDataFrame([(k,) for k in reversed(keys)], "k long").repartition(6)
-    got = {r.k: r.ord for r in dense_order(df, "k").collect()}
-    assert got == {k: i for i, k in enumerate(keys)}
+    for blocks in (None, 2, 300):
+        got = {r.k: r.ord for r in dense_order(df, "k", blocks=blocks).collect()}
+        assert got == {k: i for i, k in enumerate(keys)}
 
 
 def test_read_order_is_dense(spark):
