@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeframe.functions.messages import message
 from gradeframe.functions.text import fill
 from gradeframe.operators.choice import answered, originals
-from gradeframe.operators.judge import json_body, lenient_json, parse_judge
+from gradeframe.operators.judge import json_body, lenient_json, lenient_map, parse_judge
 from gradeframe.operators.render import choices_text, gold_text, prediction_text
 from gradeframe.plans.ordered import int_block, positions
-from gradeframe.schemas import ROLES
+from gradeframe.schemas import METRICS, ROLES
 from gradeframe.templates import (
     EVALUATOR_TURNS,
     SINGLE_JUDGE_SYSTEM,
@@ -196,22 +196,34 @@ def _shown(value: Column) -> Column:
     )
 
 
-def evaluation_text(content: Column) -> Column:
-    """A judge's JSON as one line per key, in the judge's order."""
-    body = json_body(content)
-    entries = F.map_entries(F.from_json(body, "map<string,string>"))
+_INNER = "struct<comment:string,score:string>"
+# Metrics whose objects are read in the one parse of the whole body; others get a parse of their own.
+_KNOWN = [*METRICS, "reasoning"]
+_KNOWN_SCHEMA = f"struct<{','.join(f'{m}:{_INNER}' for m in _KNOWN)},_bad:string>"
+
+
+def with_evaluation_text(df: DataFrame, content: str, name: str) -> DataFrame:
+    """Adds a judge's JSON as one line per key, in the judge's order."""
+    body = df.withColumn("_body", json_body(F.col(content)))
+    read = lenient_json(body, "_body", _KNOWN_SCHEMA, "_known")
+    read = read.withColumn("_entries", F.map_entries(lenient_map("_body")))
 
     def line(e: Column) -> Column:
-        name = F.concat(F.upper(F.substring(e["key"], 1, 1)), F.lower(F.substring(e["key"], 2, 1000)))
-        inner = F.from_json(e["value"], "struct<comment:string,score:string>")
+        title = F.concat(
+            F.upper(F.substring(e["key"], 1, 1)), F.lower(e["key"].substr(F.lit(2), F.length(e["key"])))
+        )
+        inner = F.from_json(e["value"], _INNER)
+        for m in _KNOWN:
+            inner = F.when(e["key"] == m, F.col("_known")[m]).otherwise(inner)
         scored = F.concat(
-            F.lit(" + "), name, F.lit("("), _shown(inner["score"]), F.lit("): "),
+            F.lit(" + "), title, F.lit("("), _shown(inner["score"]), F.lit("): "),
             F.coalesce(inner["comment"], F.lit("")), F.lit("\n"),
         )
-        flat = F.concat(F.lit(" + "), name, F.lit(": "), _shown(e["value"]), F.lit("\n"))
+        flat = F.concat(F.lit(" + "), title, F.lit(": "), _shown(e["value"]), F.lit("\n"))
         return F.when(F.startswith(e["value"], F.lit("{")), scored).otherwise(flat)
 
-    return F.coalesce(F.array_join(F.transform(entries, line), ""), F.lit(""))
+    text = F.coalesce(F.array_join(F.transform("_entries", line), ""), F.lit(""))
+    return read.withColumn(name, text).drop("_body", "_known", "_entries")
 
 
 def render_transcripts(turns: DataFrame) -> DataFrame:
@@ -228,10 +240,9 @@ def render_transcripts(turns: DataFrame) -> DataFrame:
         return F.when(source.isNotNull(), F.concat(head, source))
 
     report = F.concat(
-        F.lit("## Evaluation(Round "), F.col("round").cast("string"), F.lit(")\n"),
-        evaluation_text(F.col("_evaluator")),
+        F.lit("## Evaluation(Round "), F.col("round").cast("string"), F.lit(")\n"), F.col("_report")
     )
-    return wide.select(
+    return with_evaluation_text(wide, "_evaluator", "_report").select(
         "conv_id",
         "round",
         titled("Interactor").alias("interactor"),

@@ -56,6 +56,15 @@ def lenient_json(df: DataFrame, body: str, schema: str, name: str, bad: str = "_
     return once.withColumn(name, F.when(failed, retry).otherwise(F.col("_once"))).drop("_once")
 
 
+def lenient_map(body: str) -> Column:
+    """The parsed body as key to JSON text, in the order of the text; cleaned only if it fails."""
+    kind = "map<string,string>"
+    return F.coalesce(
+        F.from_json(F.col(body), kind, _LENIENT),
+        F.from_json(strict_commas(F.col(body)), kind, _LENIENT),
+    )
+
+
 def score_number(text: Column, typed: Column) -> Column:
     """The number a score's text spells, else null; a JSON boolean counts as 0 or 1.
 

@@ -148,6 +148,15 @@ def test_transcript_text(spark):
                             " + Stop_conversation: False\n + Note: None\n")
 
 
+def test_transcript_text_of_lenient_json(spark):
+    text = "{'reasoning': {'comment': 'ok, so,]', score: '4'}, other_key: {score: 1}, accuracy: 2,}"
+    df = spark.createDataFrame([("c", 2, 0, "evaluator", text), ("d", 2, 0, "evaluator", "none")], TURNS)
+    got = {r.conv_id: r.evaluation for r in dialogue.render_transcripts(df).collect()}
+    assert got["c"] == ("## Evaluation(Round 0)\n + Reasoning(4): ok, so,]\n + Other_key(1): \n"
+                        " + Accuracy: 2\n")
+    assert got["d"] == "## Evaluation(Round 0)\n"
+
+
 def test_message_edits(spark):
     rows = [([("system", "S "), ("user", "a"), ("assistant", "b")],), ([("user", "c")],), ([],)]
     df = spark.createDataFrame(rows, "m array<struct<role:string,content:string>>")
