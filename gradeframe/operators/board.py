@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.text import json_string
-from gradeframe.operators.rounds import ALL_METRICS, conversation_wide, last_round, until_stop
+from gradeframe.operators.rounds import (
+    ALL_METRICS,
+    conversation_scores,
+    conversation_wide,
+    last_round,
+    round_histogram,
+    round_stats,
+    run_scores,
+    until_stop,
+)
 
 
 def split_run_name(name: Column) -> tuple[Column, Column]:
@@ -125,3 +135,49 @@ def scores_json(board: DataFrame, reasons: DataFrame) -> DataFrame:
     listed = rows.groupBy("dataset").agg(F.sort_array(F.collect_list(ranked)).alias("_e"))
     body = F.array_join(F.transform("_e", lambda x: x["e"]), ",")
     return listed.select("dataset", F.concat(F.lit("{"), body, F.lit("}")).alias("json"))
+
+
+def _metric_objects(stats: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Per group one JSON object metric -> statistics; metrics without values are empty objects."""
+    entry = F.struct("metric", F.to_json(F.struct(*fields)).alias("json"))
+    held = stats.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    parts = [
+        F.concat(
+            F.lit(f'"{"overall_score" if m == "overall" else m}":'),
+            F.coalesce(F.try_element_at("_m", F.lit(m)), F.lit("{}")),
+        )
+        for m in ALL_METRICS
+    ]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return held.select(*by, body.alias("json"))
+
+
+def interactive_results(rounds: DataFrame, run_key: str, roles: dict[str, str]) -> DataFrame:
+    """The result object of one interactive run: statistics and score counts per round, overall
+    scores, the run's key and the roles' display names; one row (json).
+
+    What is put together here is one row per round and metric.
+    """
+    kept = until_stop(rounds)
+    pair = F.struct(F.col("score").cast("string"), "n")
+    counters = round_histogram(kept).groupBy("round", "metric").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("counter")
+    )
+    stats = round_stats(kept).join(counters, ["round", "metric"])
+    per_round = _metric_objects(
+        stats, ["round"], ["nonempty_values", "mean", "min", "max", "counter"]
+    )
+    line = F.struct(
+        "round", F.concat(F.lit('"'), F.col("round").cast("string"), F.lit('":'), "json").alias("t")
+    )
+    listed = per_round.agg(F.sort_array(F.collect_list(line)).alias("_l")).select(
+        F.array_join(F.transform("_l", lambda x: x["t"]), ",").alias("rounds")
+    )
+    scores = run_scores(conversation_scores(rounds)).where(F.col("nonempty_values") > 0)
+    overall = _metric_objects(scores, [], ["nonempty_values", "mean", "min", "max"])
+    tail = f',"hash":{json.dumps(run_key)},"roles":{json.dumps(roles)}}}'
+    return listed.select(
+        F.concat(
+            F.lit('{"rounds":{'), "rounds", F.lit('},"overall":'), overall.scalar(), F.lit(tail)
+        ).alias("json")
+    )

@@ -41,13 +41,9 @@ def until_stop(
     many rows as there are hot keys.
     """
     keys = list(keys)
-    tagged = blocked(capped(rounds, max_rounds), keys, int_block(F.col("round")))
+    tagged, hot = blocked(capped(rounds, max_rounds), keys, int_block(F.col("round")))
     stop, at = F.col("stop_conversation"), F.col("round")
-    firsts = (
-        tagged.where(F.col(BLOCK).isNotNull())
-        .groupBy(*keys)
-        .agg(F.min(F.when(stop, at)).alias("_first"))
-    )
+    firsts = hot.groupBy(*keys).agg(F.min(F.when(stop, at)).alias("_first"))
     over = F.coalesce(F.max(stop).over(before([*keys, BLOCK], ["round"])), F.lit(False))
     local = tagged.withColumn("_over", over).where(~F.col("_over"))
     joined = local.join(F.broadcast(firsts), keys, "left")

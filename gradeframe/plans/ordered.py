@@ -48,14 +48,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def blocked(
     df: DataFrame, keys: Sequence[str], block: Column, counted_on: DataFrame | None = None
-) -> DataFrame:
-    """Adds the block of hot keys' rows, null for other rows.
+) -> tuple[DataFrame, DataFrame]:
+    """All rows with the block of hot keys' rows (null for other rows), and the hot rows alone.
 
+    The hot rows come from an inner join: without hot keys, re-planning drops that branch unread.
     ``counted_on`` is a cheaper table with at least as many rows per key, if there is one.
     """
-    hot = hot_keys(df if counted_on is None else counted_on, keys)
-    joined = df.join(F.broadcast(hot), list(keys), "left")
-    return joined.select(*df.columns, F.when(F.col("_hot"), block).alias(BLOCK))
+    hot = F.broadcast(hot_keys(df if counted_on is None else counted_on, keys))
+    joined = df.join(hot, list(keys), "left")
+    tagged = joined.select(*df.columns, F.when(F.col("_hot"), block).alias(BLOCK))
+    return tagged, df.join(hot, list(keys)).select(*df.columns, block.alias(BLOCK))
 
 
 def positions(
@@ -72,13 +74,9 @@ def positions(
     With ``counted`` only such rows count. ``block`` must not decrease along the order. Totals are
     taken of hot keys only; they share the rows' partitioning, so the join moves just the totals.
     """
-    tagged = blocked(df, keys, block, counted_on)
+    tagged, hot = blocked(df, keys, block, counted_on)
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    totals = (
-        tagged.where(F.col(BLOCK).isNotNull())
-        .groupBy(*keys, BLOCK)
-        .agg(F.sum(one).alias("_total"))
-    )
+    totals = hot.groupBy(*keys, BLOCK).agg(F.sum(one).alias("_total"))
     offsets = totals.select(
         *keys, BLOCK, F.sum("_total").over(before(keys, [BLOCK])).alias("_offset")
     )

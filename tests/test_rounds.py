@@ -1,5 +1,6 @@
 """Round scores against plain Python over lists, with ordinary and with hot conversations."""
 
+import json
 import math
 import random
 
@@ -169,3 +170,20 @@ def test_board_leaves_out_what_has_no_score(spark):
     assert (r.accuracy, r.overall, r.mcp_acc) == (100.0, 65.0, -100.0)
     assert (r.conversations, r.unscored, r.conversation_completeness) == (2, 2, 1.0)
     assert [(x.stop_reason, x.n) for x in board.stop_reasons(frame).collect()] == [("off_topic", 1)]
+
+
+def test_interactive_results(spark, data):
+    text = board.interactive_results(frame(spark, data), "key", {"candidate": "openai: m"}).first().json
+    result = json.loads(text)
+    assert (result["hash"], result["roles"]) == ("key", {"candidate": "openai: m"})
+    kept = by_conversation(data)
+    first = [rows[0] for rows in kept.values()]
+    values = metric_values(first, "relevance")
+    got = result["rounds"]["0"]["relevance"]
+    assert (got["nonempty_values"], got["min"], got["max"]) == (len(values), min(values), max(values))
+    assert {float(k): n for k, n in got["counter"].items()} == {v: values.count(v) for v in values}
+    assert result["rounds"]["0"]["coherence"] == {} and result["overall"]["coherence"] == {}
+    scores = [decayed(v) for v in (metric_values(rows, "overall") for rows in kept.values()) if v]
+    assert result["overall"]["overall_score"]["nonempty_values"] == len(scores)
+    assert result["overall"]["overall_score"]["mean"] == pytest.approx(sum(scores) / len(scores))
+    assert len(result["rounds"]) == max(len(rows) for rows in kept.values())
