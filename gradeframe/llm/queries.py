@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.llm import decontaminate, exact_dedup
+from gradeframe.llm import decontaminate, exact_dedup, langid, licenses, quality
 from gradeframe.llm.rows import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,18 @@ def op1(read):
 @_query("op2_exact_dedup")
 def op2(read):
     return exact_dedup.digest(read("documents"))
+
+
+@_query("op5_licences")
+def op5(read):
+    return licenses.digest(read("documents"))
+
+
+@_query("op6_quality")
+def op6(read):
+    return quality.digest(read("documents"), read("labels"))
+
+
+@_query("op9_language")
+def op9(read):
+    return langid.digest(read("documents"))
