@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.llm import decontaminate, exact_dedup, langid, licenses, quality
+from gradeframe.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality
 from gradeframe.llm.rows import prepared
 
+#: The file of the public tokenizers that sequences are counted with.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -40,6 +50,16 @@ def op6(read):
     return quality.digest(read("documents"), read("labels"))
 
 
+@_query("op8_packing")
+def op8(read):
+    return packing.digest(read("documents"), tokenizer_path())
+
+
 @_query("op9_language")
 def op9(read):
     return langid.digest(read("documents"))
+
+
+@_query("op10_lm_score")
+def op10(read):
+    return lm.digest(read("documents"))
