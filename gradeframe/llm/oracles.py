@@ -32,3 +32,19 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+_BLANKS = "'[^\\x20\\x09-\\x0D]+'"
+
+ORACLES["op4_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_BLANKS}) AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+wins AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS win FROM places),
+later AS (
+  SELECT doc_id, i FROM wins
+  QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+lists AS (SELECT doc_id, list(p) AS p FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)
+"""
