@@ -13,6 +13,7 @@ taken in the order of doc_id and piece.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,38 +29,57 @@ CAPACITY, END = 4096, 1
 GROUP = 20_000
 LIGHT = 0.9
 #: Cached words of a Python worker.
-CACHE = 300_000
-#: Partner pieces of each length that a search step looks at are all lengths; this many rounds follow at most.
+CACHE = 800_000
+#: Rounds of the local search of a group.
 _SEARCHES = 200
 
 
+def _byte_letters() -> dict[int, int]:
+    """How byte-level tokenizers spell bytes: printable ones as themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class WordTokens:
-    """Token ids of whole texts, each distinct word (parted by ASCII blanks) encoded once while it is remembered.
+    """Token ids of whole texts, each distinct word encoded once while it is remembered.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are its words' ids in a row.
+    The tokenizer drops white space, never joins what it parts, and parts ASCII letters from ASCII signs (an apostrophe
+    aside, which may begin a contraction), so a text's ids are its units' ids in a row; case is folded first, as the
+    tokenizer does. Texts that may hold a special token are cut at blanks only and keep their case. Units of plain Latin
+    letters go straight to the tokenizer's model, all others through the whole tokenizer.
     """
 
+    _SLOTS = 1 << 21
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.kinds = np.zeros(256, np.uint8)
+        self.kinds[[b for b in range(33, 127) if b != 39 and not 48 <= b < 58]] = 2
+        self.kinds[[*range(65, 91), *range(97, 123)]] = 1
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        """Entries are numbered as they come; found by slot, or else by sorted hash."""
+        self.slot_hash = np.zeros(self._SLOTS, np.uint64)
+        self.slot_entry = np.zeros(self._SLOTS, np.int32)
+        self.hashes, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def encode(self, off: np.ndarray, data: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Row offsets and ids; each row ends with the end token."""
-        w = tx.words(off, data, tx.CASED_WORDS)
-        distinct, sample, each = np.unique(tx.hashes(w), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self._forget()
-        self._learn(w, distinct, sample)
-        at = np.searchsorted(self.known, distinct)
-        first, count = self.first[at][each], self.count[at][each]
+        if b"<|" in data.tobytes():
+            w = tx.words(off, data, tx.CASED_WORDS)
+        else:
+            w = tx.words(off, data, tx.LOWER_WORDS, self.kinds)
+        entry = self._entries(w, tx.hashes(w))
+        first, count = self.first[entry], self.count[entry]
         sums = np.concatenate([[0], np.cumsum(count)])
         rows = sums[w.first] + np.arange(len(w.first))
         ids = np.full(rows[-1], end, np.uint32)
@@ -68,23 +88,49 @@ class WordTokens:
         ids[place] = self.ids[tx.ragged(first, count)]
         return rows, ids
 
-    def _learn(self, w: tx.Words, distinct: np.ndarray, sample: np.ndarray) -> None:
-        new = ~np.isin(distinct, self.known, assume_unique=True)
-        if not new.any():
-            return
+    def _entries(self, w: tx.Words, h: np.ndarray) -> np.ndarray:
+        if len(self.first) > CACHE:
+            self._forget()
+        slot = (h & np.uint64(self._SLOTS - 1)).astype(np.int64)
+        entry = self.slot_entry[slot]
+        rest = np.flatnonzero(self.slot_hash[slot] != h)
+        if not len(rest) or not len(h):
+            return entry
+        distinct, sample, each = np.unique(h[rest], return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == distinct[inside]
+        found = np.empty(len(distinct), np.int32)
+        found[known] = self.entries[at[known]]
+        new = ~known
+        if new.any():
+            found[new] = self._learn(w, rest[sample[new]])
+            self.hashes = np.insert(self.hashes, at[new], distinct[new])
+            self.entries = np.insert(self.entries, at[new], found[new])
+        entry[rest] = found[each]
+        self.slot_hash[slot[rest]], self.slot_entry[slot[rest]] = h[rest], entry[rest]
+        return entry
+
+    def _learn(self, w: tx.Words, where: np.ndarray) -> np.ndarray:
         raw = w.folded.tobytes()
-        where = sample[new]
-        bodies = [raw[s:e].decode() for s, e in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)]
-        made = [x.ids for x in self.tokenizer.encode_batch(bodies, add_special_tokens=False)]
-        count = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.uint32, int(count.sum()))
-        first = len(self.ids) + np.cumsum(count) - count
-        known = np.concatenate([self.known, distinct[new]])
-        order = np.argsort(known)
-        self.known = known[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.count = np.concatenate([self.count, count])[order]
-        self.ids = np.concatenate([self.ids, flat])
+        counts, flat = [], []
+        for s, e in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True):
+            body = raw[s:e]
+            word = body.decode()
+            if word.isalpha() and max(word) < "\u0130":
+                spelled = word.lower().encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(spelled)]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            counts.append(len(ids))
+            flat += ids
+        count = np.array(counts, np.int64)
+        number = np.arange(len(self.first), len(self.first) + len(count), dtype=np.int32)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
+        return number
 
 
 _encoders: dict[str, WordTokens] = {}
@@ -94,7 +140,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = WordTokens(path)
-        for batch in tx.slices(batches, "text", 4 << 20):
+        for batch in tx.slices(batches, "text", 2 << 20):
             rows, ids = _encoders[path].encode(*tx.buffer(batch.column("text")), end)
             sizes = np.diff(rows)
             counts = -(-sizes // capacity)

@@ -18,21 +18,30 @@ from pyspark.sql import DataFrame, functions as F
 from gradeframe.llm import text as tx
 
 MOST_BITS = 1 << 28
+#: Sent so often, a key counts as hot.
+HOT = 64
 _FLUSH = 3_000_000
 
 
 @dataclass
 class Filter:
     bits: np.ndarray  # bytes, slice after slice
+    hot_bits: np.ndarray
     shift: int  # of a key, down to its bucket
     size: int  # bits of a slice
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
+        return self._look_up(keys, self.bits)
+
+    def hot(self, keys: np.ndarray) -> np.ndarray:
+        return self._look_up(keys, self.hot_bits)
+
+    def _look_up(self, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
         bucket = (keys >> np.uint64(self.shift)).astype(np.int64) * self.size
         out = np.ones(len(keys), bool)
         for place in _places(keys.astype(np.uint32), self.size):
             at = bucket + place
-            out &= self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+            out &= bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
         return out
 
 
@@ -74,12 +83,13 @@ def _dealt(keys: np.ndarray, shift: int) -> pa.RecordBatch:
 def _slice(size: int):
     def run(rows: pa.Table) -> pa.Table:
         low = np.sort(np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u4"))
-        low = low[1:][low[1:] == low[:-1]]
-        bits = np.zeros(size, bool)
-        for place in _places(low, size):
-            bits[place] = True
-        body = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "bits": pa.array([body], pa.binary())})
+        columns = {"bucket": rows.column("bucket").slice(0, 1)}
+        for name, times in (("bits", 2), ("hot", HOT)):
+            bits = np.zeros(size, bool)
+            for place in _places(low[times - 1 :][low[times - 1 :] == low[: len(low) - times + 1]], size):
+                bits[place] = True
+            columns[name] = pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())
+        return pa.table(columns)
 
     return run
 
@@ -95,8 +105,9 @@ def repeated(docs: DataFrame, keys_of: Callable, size: int, column: str = "text"
     bits = 1 << int(np.clip(np.ceil(np.log2(max(1, size / 8))), 20, np.log2(MOST_BITS)))
     per_slice = bits // buckets
     sent = docs.mapInArrow(_send(keys_of, column, shift), "bucket int, keys binary")
-    made = sent.groupBy("bucket").applyInArrow(_slice(per_slice), "bucket int, bits binary").toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    for bucket, body in zip(made.column("bucket").to_pylist(), made.column("bits").to_pylist(), strict=True):
-        out[bucket * per_slice // 8 : (bucket + 1) * per_slice // 8] = np.frombuffer(body, np.uint8)
-    return Filter(out, shift, per_slice)
+    made = sent.groupBy("bucket").applyInArrow(_slice(per_slice), "bucket int, bits binary, hot binary").toArrow()
+    out = {name: np.zeros(bits // 8, np.uint8) for name in ("bits", "hot")}
+    for name, to in out.items():
+        for bucket, body in zip(made.column("bucket").to_pylist(), made.column(name).to_pylist(), strict=True):
+            to[bucket * per_slice // 8 : (bucket + 1) * per_slice // 8] = np.frombuffer(body, np.uint8)
+    return Filter(out["bits"], out["hot"], shift, per_slice)

@@ -5,38 +5,50 @@ from __future__ import annotations
 import numpy as np
 
 
+_PACK = 6
+
+
 def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
     """The rank of each suffix; every 0 is a separator that differs from all others, in the order of place.
 
-    Prefix doubling over those suffixes only that still share their rank. The last symbol must be a separator, so
-    that no comparison passes the end.
+    Prefix doubling over those suffixes only that still share their rank; small symbols begin with several at once.
+    The last symbol must be a separator, so that no comparison passes the end.
     """
     n = len(symbols)
     gap = symbols == 0
-    if n:
-        assert gap[-1]
-    value = np.where(gap, np.cumsum(gap) - 1, symbols.astype(np.int64) + int(gap.sum()))
+    if not n:
+        return np.zeros(0, np.int64)
+    assert gap[-1]
+    largest = int(symbols.max())
+    step = _PACK if largest < 1 << 9 else 1
+    width = 9 if step > 1 else largest.bit_length()
+    value, ended = symbols.astype(np.int64), gap.copy()
+    for j in range(1, step):
+        value <<= width
+        value[:-j] |= np.where(ended[:-j], 0, symbols[j:])
+        ended[:-j] |= gap[j:]
+        ended[-j:] = True
     order = np.argsort(value, kind="stable")
     rank = np.empty(n, np.int64)
-    open_ = _refine(rank, order, value[order], np.zeros(n, np.int64))
-    step = 1
+    open_ = _refine(rank, order, value[order], np.zeros(n, np.int64), ended[order])
     while len(open_):
         old = rank[open_]
         key = old * (n + 1) + rank[open_ + step]
         by = np.argsort(key, kind="stable")
-        open_ = _refine(rank, open_[by], key[by], old[by])
+        open_ = _refine(rank, open_[by], key[by], old[by], np.zeros(len(by), bool))
         step *= 2
     return rank
 
 
-def _refine(rank: np.ndarray, at: np.ndarray, key: np.ndarray, old: np.ndarray) -> np.ndarray:
-    """New ranks of the suffixes `at`, sorted by (old rank, key); returns those that still share one."""
+def _refine(rank: np.ndarray, at: np.ndarray, key: np.ndarray, old: np.ndarray, ended: np.ndarray) -> np.ndarray:
+    """New ranks of the suffixes `at`, sorted by (old rank, key); returns those that still share one. `ended`: whose
+    compared part holds a separator, so that it is like no other."""
     if not len(at):
         return at
     place = np.arange(len(at))
     new = np.empty(len(at), bool)
     new[0] = True
-    new[1:] = key[1:] != key[:-1]
+    new[1:] = (key[1:] != key[:-1]) | ended[1:] | ended[:-1]
     older = np.empty(len(at), bool)
     older[0] = True
     older[1:] = old[1:] != old[:-1]

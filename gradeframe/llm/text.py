@@ -112,7 +112,8 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
 
 
-def words(off: np.ndarray, data: np.ndarray, table: np.ndarray) -> Words:
+def words(off: np.ndarray, data: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> Words:
+    """cuts: a kind for each byte; between two bytes of kinds above 0 that differ, a word ends and another begins."""
     folded = table[data]
     n = len(folded)
     if not n:
@@ -126,6 +127,11 @@ def words(off: np.ndarray, data: np.ndarray, table: np.ndarray) -> Words:
     after = edge[1:].copy()
     after[:-1] |= gap[1:]
     after[-1] = True
+    if cuts is not None:
+        kind = cuts[folded]
+        between = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        before[1:] |= between
+        after[:-1] |= between
     start = np.flatnonzero(before & ~gap)
     end = np.flatnonzero(after & ~gap) + 1
     return Words(start, end, np.searchsorted(start, off), folded)
