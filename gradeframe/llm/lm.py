@@ -33,7 +33,7 @@ DEPTH = 3
 DIVERGENCE = 10.0
 LEAST_SHARE = 1e-4
 OWN, CLASSES = 1000, 1024
-ENTRIES = 4_000_000
+ENTRIES = 600_000
 COMMON = 250_000
 _START, _END, _FIRST_CLASS = 0, 1, 2
 _FIRST_OWN = _FIRST_CLASS + CLASSES
@@ -83,7 +83,7 @@ class _Distinct:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = _Distinct(["h", "class", "n"])
-    for batch in tx.slices(batches, "text", 4 << 20):
+    for batch in tx.slices(batches, "text", 2 << 20):
         w = tx.words(*tx.buffer(batch.column("text")), tx.LOWER_WORDS)
         distinct, sample, n = np.unique(tx.hashes(w), return_index=True, return_counts=True)
         yield from seen.add(distinct, endings(w, sample), n)
@@ -161,7 +161,7 @@ def _count_contexts(shared, depth: int, candidates):
         tree: Tree = shared.value
         wanted = candidates.value
         seen = _Distinct(["context", "symbol", "n"])
-        for batch in tx.slices(batches, "text", 4 << 20):
+        for batch in tx.slices(batches, "text", 2 << 20):
             w = tx.words(*tx.buffer(batch.column("text")), tx.LOWER_WORDS)
             sym, place, _ = tree.symbols(w, tx.hashes(w))
             at, key = tree.context(sym, place, depth)
@@ -251,7 +251,7 @@ def grow(train: DataFrame, tree: Tree, total: int, depth: int = DEPTH, entries:
         tree.contexts.append(candidates[kept])
         tree.left.append(np.log10((kinds / np.maximum(1, sums + kinds))[kept]))
         tree.pairs.append(renumber[number[live]] * size + symbol[live])
-        tree.gains.append(n[live] / (sums + kinds)[number[live]])
+        tree.gains.append((n[live] / (sums + kinds)[number[live]]).astype(np.float32))
         more = live & (n >= share)
         candidates = np.sort(key[more] * size + symbol[more])
     return tree
@@ -261,7 +261,7 @@ def _sum(shared, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known, count, class_total = shared.value, *common.value
         part = np.log10(count + 0.1)
-        for batch in tx.slices(batches, "text", 4 << 20):
+        for batch in tx.slices(batches, "text", 2 << 20):
             w = tx.words(*tx.buffer(batch.column("text")), tx.LOWER_WORDS)
             h = tx.hashes(w)
             row, size = w.rows(), batch.num_rows
