@@ -48,3 +48,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_remov
   sha256(coalesce(array_to_string(list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)), ' '), '')) AS kept_sha256
 FROM d LEFT JOIN lists USING (doc_id)
 """
+
+ORACLES["op7_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d),
+wins AS (SELECT doc_id, i, sha256(substr(h, 2 * i + 1, 100)) AS win FROM starts),
+later AS (SELECT doc_id, i FROM wins QUALIFY doc_id > min(doc_id) OVER (PARTITION BY win)),
+reach AS (
+  SELECT doc_id, i, i + 50 AS e, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r
+  FROM later),
+runs AS (SELECT doc_id, i, e, sum((r IS NULL OR i > r)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM reach),
+spans AS (SELECT doc_id, g, min(i) AS a, max(e) AS b FROM runs GROUP BY 1, 2),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+    string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k
+  FROM gaps JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -212,7 +212,7 @@ def scores(net: Network | float, off: np.ndarray, data: np.ndarray) -> np.ndarra
 
 def _scored(net):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, "__text", 2 << 20):
+        for batch in tx.slices(batches, "__text"):
             score = pa.array(scores(net.value, *tx.buffer(batch.column("__text"))))
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, "__score"])

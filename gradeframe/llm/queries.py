@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality, substring_dedup
+from gradeframe.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality, substring_dedup, suffix_dedup
 from gradeframe.llm.rows import prepared
 
 #: The file of the public tokenizers that sequences are counted with.
@@ -55,6 +55,11 @@ def op6(read):
     return quality.digest(read("documents"), read("labels"))
 
 
+@_query("op7_suffix_dedup")
+def op7(read):
+    return suffix_dedup.digest(read("documents"))
+
+
 @_query("op8_packing")
 def op8(read):
     return packing.digest(read("documents"), tokenizer_path())

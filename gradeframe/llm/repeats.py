@@ -53,7 +53,7 @@ def _places(low: np.ndarray, size: int) -> Iterator[np.ndarray]:
 def _send(keys_of: Callable, column: str, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in tx.slices(batches, column, 4 << 20):
+        for batch in tx.slices(batches, column):
             keys = keys_of(batch)
             held.append(keys)
             n += len(keys)
@@ -86,7 +86,7 @@ def _slice(size: int):
         columns = {"bucket": rows.column("bucket").slice(0, 1)}
         for name, times in (("bits", 2), ("hot", HOT)):
             bits = np.zeros(size, bool)
-            for place in _places(low[times - 1 :][low[times - 1 :] == low[: len(low) - times + 1]], size):
+            for place in _places(low[times - 1 :][low[times - 1 :] == low[: max(0, len(low) - times + 1)]], size):
                 bits[place] = True
             columns[name] = pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())
         return pa.table(columns)

@@ -14,7 +14,8 @@ KEY = "__key"
 def prepared(spark: SparkSession) -> SparkSession:
     """Session settings that the operators count on: adaptive plans and Arrow batches of bounded size."""
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
