@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.llm import decontaminate, exact_dedup, langid, licenses, lm, packing, quality, substring_dedup, suffix_dedup
+from gradeframe.llm import decontaminate, exact_dedup, langid, licenses, lm, ngram_join, packing, quality, substring_dedup, suffix_dedup
 from gradeframe.llm.rows import prepared
 
 #: The file of the public tokenizers that sequences are counted with.
@@ -40,6 +40,11 @@ def op2(read):
     return exact_dedup.digest(read("documents"))
 
 
+@_query("op3_ngram_join")
+def op3(read):
+    return ngram_join.digest(read("documents"))
+
+
 @_query("op4_substring_dedup")
 def op4(read):
     return substring_dedup.digest(read("documents"))

@@ -1,9 +1,10 @@
-"""A filter for 64-bit keys that occur more than once in a corpus.
+"""How often 64-bit keys occur in a corpus, in coarse steps and bounded memory.
 
-Tasks send each distinct key once (twice if they saw it twice), cut to 32 bits and dealt into buckets by its leading
-bits; a bucket's task finds the repeated ones and sets their bits in its own slice of the filter. The driver puts the
-slices side by side: the filter's size has a fixed bound, whatever the corpus. It lets every repeated key pass and some
-others, the more the fuller it is; callers count on the first only, so that a full filter costs time and not results.
+Tasks send each distinct key once with its count (255 at most), cut to 32 bits and dealt into buckets by its leading
+bits; a bucket's task sums the counts and sets the bits of the keys that reach a threshold in its own slice of that
+threshold's filter. The driver puts the slices side by side: the filters' size has a fixed bound, whatever the corpus. A
+filter lets every key that reaches its threshold pass and some others, the more the fuller it is; callers count on the
+first only, or on the answer being the same everywhere, so that a full filter costs time and not results.
 """
 
 from __future__ import annotations
@@ -18,32 +19,34 @@ from pyspark.sql import DataFrame, functions as F
 from gradeframe.llm import text as tx
 
 MOST_BITS = 1 << 28
-#: Sent so often, a key counts as hot.
-HOT = 64
 _FLUSH = 3_000_000
 
 
 @dataclass
 class Filter:
-    bits: np.ndarray  # bytes, slice after slice
-    hot_bits: np.ndarray
     shift: int  # of a key, down to its bucket
-    size: int  # bits of a slice
+    bits: list[np.ndarray]  # for each threshold, bytes, slice after slice
+    sizes: list[int]  # bits of a slice
 
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        return self._look_up(keys, self.bits)
-
-    def hot(self, keys: np.ndarray) -> np.ndarray:
-        return self._look_up(keys, self.hot_bits)
-
-    def _look_up(self, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        bucket = (keys >> np.uint64(self.shift)).astype(np.int64) * self.size
+    def reaches(self, keys: np.ndarray, threshold: int = 0) -> np.ndarray:
+        """Whether each key may have reached the threshold of that number."""
+        bits, size = self.bits[threshold], self.sizes[threshold]
+        bucket = (keys >> np.uint64(self.shift)).astype(np.int64) * size
         out = np.ones(len(keys), bool)
-        for place in _places(keys.astype(np.uint32), self.size):
+        for place in _places(keys.astype(np.uint32), size):
             at = bucket + place
             out &= bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
         return out
 
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """How many thresholds each key has reached, one after the other."""
+        out = np.zeros(len(keys), np.int8)
+        live = np.arange(len(keys))
+        for i in range(len(self.bits)):
+            live = live[self.reaches(keys[live], i)]
+            out[live] = i + 1
+        return out
+
 
 def _places(low: np.ndarray, size: int) -> Iterator[np.ndarray]:
     yield (low & np.uint32(size - 1)).astype(np.int64)
@@ -68,27 +71,34 @@ def _send(keys_of: Callable, column: str, shift: int):
 
 def _dealt(keys: np.ndarray, shift: int) -> pa.RecordBatch:
     keys = np.sort(keys)
-    # of equal keys, two are enough
-    keep = np.ones(len(keys), bool)
-    keep[2:] = (keys[2:] != keys[1:-1]) | (keys[1:-1] != keys[:-2])
-    keys = keys[keep]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    times = np.minimum(255, np.diff(np.append(first, len(keys)))).astype(np.uint8)
+    keys = keys[first]
     bucket = (keys >> np.uint64(shift)).astype(np.int32)
-    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(keys))
+    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ranges = list(zip(heads.tolist(), np.append(heads[1:], len(keys)).tolist(), strict=True))
     low = keys.astype("<u4")
-    bodies = [low[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array(bodies, pa.binary())], names=["bucket", "keys"])
+    columns = [pa.array(bucket[heads])]
+    columns += [pa.array([x[a:b].tobytes() for a, b in ranges], pa.binary()) for x in (low, times)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "times"])
 
 
-def _slice(size: int):
+def _slice(thresholds: tuple[int, ...], sizes: list[int]):
     def run(rows: pa.Table) -> pa.Table:
-        low = np.sort(np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u4"))
-        columns = {"bucket": rows.column("bucket").slice(0, 1)}
-        for name, times in (("bits", 2), ("hot", HOT)):
+        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u4")
+        times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint8)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times = np.add.reduceat(times[order].astype(np.int64), first)
+        keys = keys[first]
+        bodies = []
+        for threshold, size in zip(thresholds, sizes, strict=True):
             bits = np.zeros(size, bool)
-            for place in _places(low[times - 1 :][low[times - 1 :] == low[: max(0, len(low) - times + 1)]], size):
+            for place in _places(keys[times >= threshold], size):
                 bits[place] = True
-            columns[name] = pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())
+            bodies.append(np.packbits(bits, bitorder="little").tobytes())
+        columns = {"bucket": rows.column("bucket").slice(0, 1), "bits": pa.array([bodies], pa.list_(pa.binary()))}
         return pa.table(columns)
 
     return run
@@ -98,16 +108,19 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
-def repeated(docs: DataFrame, keys_of: Callable, size: int, column: str = "text") -> Filter:
-    """keys_of: from a record batch to its keys; size: bytes of text in all, from which the parts are counted."""
+def repeated(
+    docs: DataFrame, keys_of: Callable, size: int, thresholds: tuple[int, ...] = (2,), column: str = "text"
+) -> Filter:
+    """keys_of: from a record batch to its keys; size: bytes of text in all, from which the parts are counted. Filters
+    of thresholds after the first have an eighth of its bits, as far fewer keys reach them."""
     buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, size / (4 << 20)))), 6, 12))
     shift = 64 - buckets.bit_length() + 1
     bits = 1 << int(np.clip(np.ceil(np.log2(max(1, size / 8))), 20, np.log2(MOST_BITS)))
-    per_slice = bits // buckets
-    sent = docs.mapInArrow(_send(keys_of, column, shift), "bucket int, keys binary")
-    made = sent.groupBy("bucket").applyInArrow(_slice(per_slice), "bucket int, bits binary, hot binary").toArrow()
-    out = {name: np.zeros(bits // 8, np.uint8) for name in ("bits", "hot")}
-    for name, to in out.items():
-        for bucket, body in zip(made.column("bucket").to_pylist(), made.column(name).to_pylist(), strict=True):
-            to[bucket * per_slice // 8 : (bucket + 1) * per_slice // 8] = np.frombuffer(body, np.uint8)
-    return Filter(out["bits"], out["hot"], shift, per_slice)
+    sizes = [bits // buckets // (8 if i else 1) for i in range(len(thresholds))]
+    sent = docs.mapInArrow(_send(keys_of, column, shift), "bucket int, keys binary, times binary")
+    made = sent.groupBy("bucket").applyInArrow(_slice(thresholds, sizes), "bucket int, bits array<binary>")
+    out = [np.zeros(s * buckets // 8, np.uint8) for s in sizes]
+    for row in made.toLocalIterator():
+        for to, body in zip(out, row.bits, strict=True):
+            to[row.bucket * len(body) : (row.bucket + 1) * len(body)] = np.frombuffer(body, np.uint8)
+    return Filter(shift, out, sizes)

@@ -168,7 +168,7 @@ def _windows(shared):
             w = tx.words(*tx.buffer(batch.column("text")), tx.CASED_WORDS)
             h = tx.hashes(w)
             at, name, _ = anchors(h, w)
-            at = at[known.passes(name)]
+            at = at[known.reaches(name)]
             if not len(at):
                 continue
             row = np.searchsorted(w.first, at, "right") - 1

@@ -33,6 +33,7 @@ from gradeframe.llm.rows import KEY, keyed
 from gradeframe.llm.suffixes import suffix_array
 
 SPAN, GRAM = 50, 24
+HOT = 2000
 #: Bytes of a text that are worked on at once, and of text in all for each shard.
 SEGMENT, SHARD = 2 << 20, 2 << 20
 _NO_BYTE, _MANY = 256, 257
@@ -213,11 +214,11 @@ def _pieces(shared, shards: int):
                 place, gram = anchors(part, sums, len(row))
                 heads, counts = _groups(place, row)
                 name = gram[place[heads]]
-                taken = known.passes(name)
+                taken = known.reaches(name)
                 heads, counts, name = heads[taken], counts[taken], name[taken]
                 if not len(heads):
                     continue
-                hot = known.hot(name)
+                hot = known.reaches(name, 1)
                 # pieces of hot anchors: each window on its own
                 single = tx.ragged(heads[hot], counts[hot])
                 low = np.concatenate([heads[~hot], single])
@@ -375,7 +376,7 @@ def _covered(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeats(rows: DataFrame) -> DataFrame:
     """(key, ranges): the covered byte ranges of each document, packed. rows: key, text."""
     size = total_bytes(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(repeated(rows, _names, size))
+    shared = rows.sparkSession.sparkContext.broadcast(repeated(rows, _names, size, (2, HOT)))
     shards = int(min(max(64, size // SHARD), 1 << 30))
     schema = "shard int, key long, starts array<long>, before int, body binary, settled array<long>"
     pieces = rows.mapInArrow(_pieces(shared, shards), schema)
