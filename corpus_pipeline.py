@@ -1,4 +1,8 @@
-"""A corpus pipeline: poor documents, copies, near copies and contaminated documents go, the rest is packed."""
+"""A corpus pipeline: poor documents, copies, near copies and contaminated documents go, the rest is packed.
+
+Each stage works on all rows of its predecessor. The first four return the columns of documents; the last returns the
+packed pieces.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +10,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.llm import decontaminate, exact_dedup
+from gradeframe.llm import decontaminate, exact_dedup, ngram_join, packing, quality
+from gradeframe.llm.queries import tokenizer_path
 from gradeframe.llm.rows import prepared, written
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep(docs, prepared(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """Of equal texts the one with the largest doc_id stays."""
     return exact_dedup.dedup(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest doc_id stays."""
+    return ngram_join.dedup(docs)
+
+
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of bounded length."""
+    return packing.digest(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good),
     ("exact_dedup", exact),
+    ("ngram_join", near),
     ("decontaminate", benchmark_free),
+    ("packing", packed),
 ]
 
-# word vectors, tokenizers and components of links have no SQL form
+# a trained network, tokenizers and bins have no SQL form
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,7 +45,7 @@ class DigestIndex:
 
     def ingest(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """Adds a batch. Returns (key, digest, keep_key, keep_id, group_size, known) for each of its rows, where known
-        says that an earlier batch has the text; the batch's rows must have `__key` (see rows.keyed)."""
+        says that an earlier batch has the text; the batch's rows must have `__row_key` (see rows.keyed)."""
         marked = docs.select(F.col(KEY), F.col(doc_id).alias("id"), digest_of(text).alias("digest"))
         groups = written(
             marked.groupBy("digest").agg(

@@ -48,9 +48,14 @@ class Filter:
         return out
 
 
+#: Bits that a key sets: a set's many keys must all be told apart from repeated ones.
+_SPREAD = [np.uint32(c) for c in (1, 2654435769, 2246822519, 3266489917)]
+
+
 def _places(low: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    yield (low & np.uint32(size - 1)).astype(np.int64)
-    yield ((low * np.uint32(2654435769) >> np.uint32(7)) & np.uint32(size - 1)).astype(np.int64)
+    for c in _SPREAD:
+        spread = low * c
+        yield ((spread ^ (spread >> np.uint32(15))) & np.uint32(size - 1)).astype(np.int64)
 
 
 def _send(keys_of: Callable, column: str, shift: int):
@@ -115,7 +120,7 @@ def repeated(
     of thresholds after the first have an eighth of its bits, as far fewer keys reach them."""
     buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, size / (4 << 20)))), 6, 12))
     shift = 64 - buckets.bit_length() + 1
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, size / 8))), 20, np.log2(MOST_BITS)))
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, size / 4))), 20, np.log2(MOST_BITS)))
     sizes = [bits // buckets // (8 if i else 1) for i in range(len(thresholds))]
     sent = docs.mapInArrow(_send(keys_of, column, shift), "bucket int, keys binary, times binary")
     made = sent.groupBy("bucket").applyInArrow(_slice(thresholds, sizes), "bucket int, bits array<binary>")

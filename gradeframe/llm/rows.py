@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeframe.session import fresh_dir, tune
 
-KEY = "__key"
+KEY = "__row_key"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -32,7 +32,7 @@ def fresh_name(name: str) -> str:
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with a unique long in `__key`, in the order of doc_id.
+    """The rows with a unique long in `__row_key`, in the order of doc_id.
 
     Where doc_id is unique and never null it is the key itself. Else the rows are sorted by doc_id (null first) and a
     hash of the text, numbered, and written, so that the numbers stay the same in every later read; rows that agree
