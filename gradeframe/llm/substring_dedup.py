@@ -4,7 +4,9 @@ Every document's word sequence is recompressed in rounds: maximal runs of one sy
 and a right symbol do, sides being given by a bit of the name. Names are hashes of what they stand for, so that all tasks
 name globally without talking to each other. Each symbol carries the range of words that its making depended on; equal
 substrings thus get the same symbols wherever such a range lies inside. A window's anchor is the symbol of the highest
-level whose range lies in it (of several, the one with the least name), a function of the window's words alone.
+level whose range lies in it (of several, the one with the least hash), a function of the window's words alone. An anchor
+is told from others by its level and the words of its range, so that a symbol of frequent words is no repeat as long as
+its surroundings are not; a window without any symbol but its words is its own anchor.
 
 Symbols that occur once cannot be in a repeat. A first pass over the corpus finds the repeated anchors (a filter of
 bounded size), a second takes the windows of repeated anchors, settles those that the same task saw earlier, and sends
@@ -114,16 +116,21 @@ def anchors(h: np.ndarray, w: tx.Words, window: int = WINDOW) -> tuple[np.ndarra
     at = np.flatnonzero(w.left() >= window)
     name, number = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
     todo = np.arange(len(at))
+    sums = tx.value_sums(h)
     for level, s in reversed(list(enumerate(recompress(h, w)))):
         if not len(todo):
             break
+        if not level:
+            name[todo], number[todo] = tx.range_hashes(sums, at[todo], at[todo] + window), at[todo] * (ROUNDS + 1)
+            break
         # ranges grow from left to right, so that the symbols inside a window are neighbours
         before = np.cumsum(np.bincount(s.low + 1, minlength=len(h) + 2))
         upto = np.cumsum(np.bincount(s.high, minlength=len(h) + 2))
         i = at[todo]
         a, b = before[i], upto[i + window]
         inside = b > a
-        value = tx.mix(s.name + np.uint64(level))
+        seen = tx.range_hashes(sums, np.clip(s.low, 0, len(h)), np.clip(s.high, 0, len(h)))
+        value = tx.mix(seen + s.name + np.uint64(level))
         symbol = _least(value, a[inside], b[inside])
         name[todo[inside]], number[todo[inside]] = value[symbol], symbol * (ROUNDS + 1) + level
         todo = todo[~inside]
@@ -173,7 +180,7 @@ def _windows(shared):
                 continue
             row = np.searchsorted(w.first, at, "right") - 1
             key = batch.column("key").to_numpy()[row]
-            held.append((tx.runs(h, WINDOW)[at], key, (at - w.first[row]).astype(np.int32)))
+            held.append((tx.range_hashes(tx.value_sums(h), at, at + WINDOW), key, (at - w.first[row]).astype(np.int32)))
             n += len(at)
             if n > _FLUSH:
                 yield from flush(held)

@@ -41,17 +41,6 @@ _FLUSH = 400_000
 _LENGTH_BITS = 24
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which hashes of byte ranges are taken."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(tx._BYTE_TERMS[data] * tx._power("up", len(data))[: len(data)], out=out[1:])
-    return out
-
-
-def _hash(sums: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return tx.mix((sums[high] - sums[low]) * tx._power("down", len(sums))[low] + (high - low).astype(np.uint64))
-
-
 def segments(off: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first byte, bytes, row of each window start or -1): together the segments have every window once."""
     for at in range(0, len(data), SEGMENT):
@@ -68,7 +57,7 @@ def segments(off: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, np.ndarra
 def anchors(part: np.ndarray, sums: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of the n windows of a segment: its anchor's place; and the grams' hashes."""
     low = np.arange(len(part) - GRAM + 1)
-    gram = _hash(sums, low, low + GRAM)
+    gram = tx.range_hashes(sums, low, low + GRAM)
     # the hash's leading bits, then the place: the least is the leftmost of the least
     least = (gram >> np.uint64(24) << np.uint64(24)) | low.astype(np.uint64)
     width = 1
@@ -94,7 +83,7 @@ def _groups(place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _names(batch: pa.RecordBatch) -> np.ndarray:
     out = []
     for _, part, row in segments(*tx.buffer(batch.column("text"))):
-        sums = _sums(part)
+        sums = tx.byte_sums(part)
         place, gram = anchors(part, sums, len(row))
         heads, _ = _groups(place, row)
         out.append(gram[place[heads]])
@@ -210,7 +199,7 @@ def _pieces(shared, shards: int):
             off, data = tx.buffer(batch.column("text"))
             keys = batch.column("key").to_numpy()
             for at, part, row in segments(off, data):
-                sums = _sums(part)
+                sums = tx.byte_sums(part)
                 place, gram = anchors(part, sums, len(row))
                 heads, counts = _groups(place, row)
                 name = gram[place[heads]]
@@ -223,7 +212,7 @@ def _pieces(shared, shards: int):
                 single = tx.ragged(heads[hot], counts[hot])
                 low = np.concatenate([heads[~hot], single])
                 high = np.concatenate([(heads + counts)[~hot] + SPAN - 1, single + SPAN])
-                value = _hash(sums, low, high)
+                value = tx.range_hashes(sums, low, high)
                 deal = np.concatenate([name[~hot], value[(~hot).sum() :]])
                 start = low + at - off[row[low]]
                 before = np.full(len(low), _NO_BYTE, np.int32)
@@ -268,14 +257,14 @@ def maximal_repeats(text: np.ndarray, before: np.ndarray, least: int = SPAN) ->
     _NO_BYTE or _MANY where it is not one symbol; a repeat counts if its places do not all follow the same symbol."""
     order = suffix_array(text)
     # suffixes that share `least` symbols with a neighbour; each run of them is one subtree
-    sums = _sums((text & 255).astype(np.uint8))
+    sums = tx.byte_sums((text & 255).astype(np.uint8))
     gap = np.concatenate([[0], np.cumsum(text == 0)])
     fits = np.zeros(len(text), bool)
     n = max(0, len(text) - least + 1)
     fits[:n] = gap[least:] == gap[:n]
     value = np.zeros(len(text), np.uint64)
     low = np.flatnonzero(fits)
-    value[low] = _hash(sums, low, low + least)
+    value[low] = tx.range_hashes(sums, low, low + least)
     joined = np.zeros(len(order) + 1, bool)
     joined[1:-1] = fits[order[1:]] & fits[order[:-1]] & (value[order[1:]] == value[order[:-1]])
     heads = np.flatnonzero(~joined[:-1] & joined[1:])
@@ -324,8 +313,8 @@ def _covered(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for at in range(0, len(key), 1 << 15):
         to = min(len(key), at + (1 << 15))
         base = off[at]
-        sums = _sums(data[base : off[to]])
-        value[at:to] = _hash(sums, off[at:to] - base, off[at + 1 : to + 1] - base)
+        sums = tx.byte_sums(data[base : off[to]])
+        value[at:to] = tx.range_hashes(sums, off[at:to] - base, off[at + 1 : to + 1] - base)
     order = np.lexsort((key, value))
     head = np.append(True, value[order][1:] != value[order][:-1])
     heads = np.flatnonzero(head)

@@ -157,6 +157,23 @@ def hashes(w: Words) -> np.ndarray:
     return mix(_sums(w.folded, w.start, w.end) + (w.end - w.start).astype(np.uint64) * _STEP)
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which range_hashes takes the hash of any range of bytes."""
+    return value_sums(_BYTE_TERMS[data])
+
+
+def value_sums(h: np.ndarray) -> np.ndarray:
+    """The same for 64-bit values."""
+    out = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power("up", len(h))[: len(h)], out=out[1:])
+    return out
+
+
+def range_hashes(sums: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of ranges: equal for equal contents, wherever they lie."""
+    return mix((sums[high] - sums[low]) * _power("down", len(sums))[low] + (high - low).astype(np.uint64))
+
+
 def runs(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k values that begin at each place; the last k - 1 places hold what is left and mean nothing."""
     out = h * _PLACES[0]
