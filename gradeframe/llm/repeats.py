@@ -5,6 +5,8 @@ bits; a bucket's task sums the counts and sets the bits of the keys that reach a
 threshold's filter. The driver puts the slices side by side: the filters' size has a fixed bound, whatever the corpus. A
 filter lets every key that reaches its threshold pass and some others, the more the fuller it is; callers count on the
 first only, or on the answer being the same everywhere, so that a full filter costs time and not results.
+
+Keys may come with a 64-bit value each; a filter then also tells the keys that came with several values.
 """
 
 from __future__ import annotations
@@ -62,45 +64,66 @@ def _send(keys_of: Callable, column: str, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in tx.slices(batches, column):
-            keys = keys_of(batch)
-            held.append(keys)
-            n += len(keys)
+            made = keys_of(batch)
+            held.append(made if isinstance(made, tuple) else (made, None))
+            n += len(held[-1][0])
             if n > _FLUSH:
-                yield _dealt(np.concatenate(held), shift)
+                yield _dealt(held, shift)
                 held, n = [], 0
         if n:
-            yield _dealt(np.concatenate(held), shift)
+            yield _dealt(held, shift)
 
     return run
 
 
-def _dealt(keys: np.ndarray, shift: int) -> pa.RecordBatch:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+def _dealt(held: list[tuple[np.ndarray, np.ndarray | None]], shift: int) -> pa.RecordBatch:
+    keys = np.concatenate([k for k, _ in held])
+    if held[0][1] is None:
+        keys, values = np.sort(keys), None
+        new = np.append(True, keys[1:] != keys[:-1])
+    else:
+        values = np.concatenate([v for _, v in held])
+        order = np.lexsort((values, keys))
+        keys, values = keys[order], values[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (values[1:] != values[:-1]))
+    first = np.flatnonzero(new)
     times = np.minimum(255, np.diff(np.append(first, len(keys)))).astype(np.uint8)
     keys = keys[first]
     bucket = (keys >> np.uint64(shift)).astype(np.int32)
     heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     ranges = list(zip(heads.tolist(), np.append(heads[1:], len(keys)).tolist(), strict=True))
-    low = keys.astype("<u4")
+    sent = [keys.astype("<u4"), times, values[first].astype("<u4") if values is not None else None]
     columns = [pa.array(bucket[heads])]
-    columns += [pa.array([x[a:b].tobytes() for a, b in ranges], pa.binary()) for x in (low, times)]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "times"])
+    for x in sent:
+        columns.append(pa.array([None if x is None else x[a:b].tobytes() for a, b in ranges], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "times", "values_"])
 
 
-def _slice(thresholds: tuple[int, ...], sizes: list[int]):
+def _slice(thresholds: tuple[int, ...], sizes: list[int], valued: int | None):
     def run(rows: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u4")
         times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint8)
-        order = np.argsort(keys, kind="stable")
+        if valued is None:
+            order = np.argsort(keys, kind="stable")
+        else:
+            values = np.frombuffer(b"".join(rows.column("values_").to_pylist()), "<u4")
+            order = np.argsort((keys.astype(np.uint64) << np.uint64(32)) | values, kind="stable")
+            values = values[order]
         keys = keys[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         times = np.add.reduceat(times[order].astype(np.int64), first)
+        several = np.ones(len(first), bool)
+        if valued is not None:
+            change = np.append(False, (values[1:] != values[:-1]) & (keys[1:] == keys[:-1]))
+            several = np.add.reduceat(change.astype(np.int64), first) > 0
         keys = keys[first]
         bodies = []
-        for threshold, size in zip(thresholds, sizes, strict=True):
+        for i, (threshold, size) in enumerate(zip(thresholds, sizes, strict=True)):
+            reached = times >= threshold
+            if valued is not None and i >= valued:
+                reached &= several
             bits = np.zeros(size, bool)
-            for place in _places(keys[times >= threshold], size):
+            for place in _places(keys[reached], size):
                 bits[place] = True
             bodies.append(np.packbits(bits, bitorder="little").tobytes())
         columns = {"bucket": rows.column("bucket").slice(0, 1), "bits": pa.array([bodies], pa.list_(pa.binary()))}
@@ -114,16 +137,22 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def repeated(
-    docs: DataFrame, keys_of: Callable, size: int, thresholds: tuple[int, ...] = (2,), column: str = "text"
+    docs: DataFrame,
+    keys_of: Callable,
+    size: int,
+    thresholds: tuple[int, ...] = (2,),
+    valued: int | None = None,
+    column: str = "text",
 ) -> Filter:
-    """keys_of: from a record batch to its keys; size: bytes of text in all, from which the parts are counted. Filters
-    of thresholds after the first have an eighth of its bits, as far fewer keys reach them."""
+    """keys_of: from a record batch to its keys, or keys and values; size: bytes of text in all, from which the parts are
+    counted. Filters from number `valued` on take only keys with several values. Filters of thresholds above 8 have an
+    eighth of the bits, as far fewer keys reach them."""
     buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, size / (4 << 20)))), 6, 12))
     shift = 64 - buckets.bit_length() + 1
     bits = 1 << int(np.clip(np.ceil(np.log2(max(1, size / 4))), 20, np.log2(MOST_BITS)))
-    sizes = [bits // buckets // (8 if i else 1) for i in range(len(thresholds))]
-    sent = docs.mapInArrow(_send(keys_of, column, shift), "bucket int, keys binary, times binary")
-    made = sent.groupBy("bucket").applyInArrow(_slice(thresholds, sizes), "bucket int, bits array<binary>")
+    sizes = [bits // buckets // (8 if t > 8 else 1) for t in thresholds]
+    sent = docs.mapInArrow(_send(keys_of, column, shift), "bucket int, keys binary, times binary, values_ binary")
+    made = sent.groupBy("bucket").applyInArrow(_slice(thresholds, sizes, valued), "bucket int, bits array<binary>")
     out = [np.zeros(s * buckets // 8, np.uint8) for s in sizes]
     for row in made.toLocalIterator():
         for to, body in zip(out, row.bits, strict=True):

@@ -1,10 +1,11 @@
 """Suffix-array dedup: maximal repeats from the common-prefix interval tree of enhanced suffix arrays.
 
 A byte string of at least `SPAN` bytes that occurs in several documents is found in the shard of its anchor: the least of
-the hashed `GRAM`-byte strings inside each window of SPAN bytes, a function of the window's bytes alone. A first pass
-finds the anchors that repeat (a filter of bounded size). A second cuts, around each occurrence of a repeated anchor, the
-piece of text that its windows cover, settles pieces that the same task saw in a smaller document, and deals the rest to
-shards by the anchor's name. Anchors that very many tasks hold are dealt window by window instead, by the window's own
+the hashed `GRAM`-byte strings inside each window of SPAN bytes, a function of the window's bytes alone. The windows of one
+anchor cover a piece of text. A first pass finds the anchors that repeat, and those that repeat with different pieces
+(filters of bounded size). A second settles pieces that the same task saw in a smaller document, and deals the rest to
+shards by the anchor's name: as a hash where all pieces of an anchor are equal, so that equality is all that matters,
+with their bytes where they differ. Anchors that very many tasks hold are dealt window by window instead, by the window's own
 bytes, so that a passage or line that a third of all documents share is spread out and each of its windows is a row per
 task.
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.llm import text as tx
@@ -80,14 +82,20 @@ def _groups(place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return heads, ends[np.searchsorted(ends, heads, "right")] - heads
 
 
-def _names(batch: pa.RecordBatch) -> np.ndarray:
-    out = []
+def _names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    names, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for _, part, row in segments(*tx.buffer(batch.column("text"))):
         sums = tx.byte_sums(part)
         place, gram = anchors(part, sums, len(row))
-        heads, _ = _groups(place, row)
-        out.append(gram[place[heads]])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        heads, counts = _groups(place, row)
+        names.append(gram[place[heads]])
+        values.append(_piece_hashes(sums, heads, heads + counts + SPAN - 1, place[heads]))
+    return np.concatenate(names), np.concatenate(values)
+
+
+def _piece_hashes(sums: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of the bytes and of the anchor's place in them."""
+    return tx.mix(tx.range_hashes(sums, low, high) + (place - low).astype(np.uint64))
 
 
 def merged(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,43 +135,56 @@ def _packed(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
 
 _PIECES = pa.schema(
     [
-        ("shard", pa.int32()),
+        ("value", pa.uint64()),  # of the piece
         ("key", pa.int64()),
         ("starts", pa.list_(pa.int64())),
+        ("size", pa.int32()),
         ("before", pa.int32()),
-        ("body", pa.binary()),
-        ("settled", pa.list_(pa.int64())),
+        ("body", pa.binary()),  # null where the piece's hash is all that matters
     ]
 )
+_SENT = "shard int, pieces binary, key long, settled array<long>"
+_CODEC = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=_CODEC) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 class _Held:
-    """Pieces of a task until they are sent: bytes are kept by reference into the segments' buffers."""
+    """Pieces of a task until they are sent, a row for each shard; of equal ones the smallest document's."""
 
     def __init__(self, shards: int):
         self.shards, self.parts, self.size = shards, [], 0
 
-    def add(self, part, value, deal, key, start, low, high, before) -> None:
+    def add(self, part, value, deal, key, start, low, high, before, whole) -> None:
+        """whole: whether the bytes go along."""
         sizes = high - low
-        body = part[tx.ragged(low, sizes)]
-        self.parts.append((value, deal, key, start, sizes, before, body))
+        body = part[tx.ragged(low[whole], sizes[whole])]
+        self.parts.append((value, deal, key, start, sizes, before, whole, body))
         self.size += len(value)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        value, deal, key, start, sizes, before = (np.concatenate(x) for x in list(zip(*self.parts, strict=True))[:6])
-        body = np.concatenate([p[6] for p in self.parts])
-        first = np.cumsum(sizes) - sizes
+        value, deal, key, start, sizes, before, whole = (
+            np.concatenate(x) for x in list(zip(*self.parts, strict=True))[:7]
+        )
+        body = np.concatenate([p[7] for p in self.parts])
         self.parts, self.size = [], 0
-        order = np.lexsort((start, key, value))
-        value, deal, key, start, sizes, before, first = (
-            x[order] for x in (value, deal, key, start, sizes, before, first)
+        held = np.where(whole, sizes, 0)
+        first = np.cumsum(held) - held
+        shard = (deal % np.uint64(self.shards)).astype(np.int32)
+        order = np.lexsort((start, key, value, shard))
+        value, shard, key, start, sizes, before, first, held, whole = (
+            x[order] for x in (value, shard, key, start, sizes, before, first, held, whole)
         )
-        head = np.append(True, value[1:] != value[:-1])
+        head = np.append(True, (value[1:] != value[:-1]) | (shard[1:] != shard[:-1]))
         heads = np.flatnonzero(head)
-        number = np.cumsum(head) - 1
-        least = key == key[heads][number]
+        least = key == key[heads][np.cumsum(head) - 1]
         # the byte before, if all occurrences agree on it
         low, high = np.minimum.reduceat(before, heads), np.maximum.reduceat(before, heads)
         agreed = np.where(low == high, low, _MANY).astype(np.int32)
@@ -171,24 +192,27 @@ class _Held:
         lists = pa.ListArray.from_arrays(
             np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(start[least].astype(np.int64))
         )
-        size = sizes[heads]
-        raw = body[tx.ragged(first[heads], size)]
-        bodies = pa.Array.from_buffers(
-            pa.binary(),
-            len(heads),
-            [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(raw)],
+        bytes_ = body[tx.ragged(first[heads], held[heads])]
+        ends = np.concatenate([[0], np.cumsum(held[heads])]).astype(np.int32)
+        bodies = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(bytes_)])
+        bodies = pc.if_else(pa.array(whole[heads]), bodies, pa.scalar(None, pa.binary()))
+        columns = [pa.array(value[heads]), pa.array(key[heads]), lists, pa.array(sizes[heads].astype(np.int32))]
+        rows = pa.RecordBatch.from_arrays([*columns, pa.array(agreed), bodies], schema=_PIECES)
+        own = shard[heads]
+        cuts = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)).tolist()
+        sent = [_stream(rows.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        n = len(sent)
+        names = ["shard", "pieces", "key", "settled"]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[cuts[:-1]]), pa.array(sent, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))],
+            names=names,
         )
-        shard = (deal[heads] % np.uint64(self.shards)).astype(np.int32)
-        n = len(heads)
-        columns = [pa.array(shard), pa.array(key[heads]), lists, pa.array(agreed), bodies, pa.nulls(n, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, schema=_PIECES)
         later = ~least
         keys, ranges = _packed(key[later], start[later], start[later] + sizes[later])
         if len(keys):
-            n = len(keys)
             shard = (tx.mix(keys.astype(np.uint64)) % np.uint64(self.shards)).astype(np.int32)
-            columns = [pa.array(shard), pa.array(keys), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()), ranges], schema=_PIECES)
+            columns = [pa.array(shard), pa.nulls(len(keys), pa.binary()), pa.array(keys), ranges]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _pieces(shared, shards: int):
@@ -207,18 +231,20 @@ def _pieces(shared, shards: int):
                 heads, counts, name = heads[taken], counts[taken], name[taken]
                 if not len(heads):
                     continue
-                hot = known.reaches(name, 1)
+                differ = known.reaches(name, 1)
+                hot = differ & known.reaches(name, 2)
                 # pieces of hot anchors: each window on its own
                 single = tx.ragged(heads[hot], counts[hot])
                 low = np.concatenate([heads[~hot], single])
                 high = np.concatenate([(heads + counts)[~hot] + SPAN - 1, single + SPAN])
-                value = tx.range_hashes(sums, low, high)
+                whole = np.concatenate([differ[~hot], np.zeros(len(single), bool)])
+                value = _piece_hashes(sums, low, high, np.concatenate([place[heads[~hot]], single]))
                 deal = np.concatenate([name[~hot], value[(~hot).sum() :]])
                 start = low + at - off[row[low]]
                 before = np.full(len(low), _NO_BYTE, np.int32)
                 inner = start > 0
                 before[inner] = data[low[inner] + at - 1]
-                held.add(part, value, deal, keys[row[low]], start, low, high, before)
+                held.add(part, value, deal, keys[row[low]], start, low, high, before, whole)
             if held.size > _FLUSH:
                 yield from held.flush()
         yield from held.flush()
@@ -285,63 +311,58 @@ def maximal_repeats(text: np.ndarray, before: np.ndarray, least: int = SPAN) ->
 
 def _shard(rows: pa.Table) -> pa.Table:
     """Covered byte ranges of the shard's documents."""
-    settled = rows.filter(rows.column("settled").is_valid()).combine_chunks()
     keys, lists = [], []
+    settled = rows.filter(rows.column("settled").is_valid())
     if len(settled):
-        keys.append(settled.column("key").combine_chunks())
-        lists.append(settled.column("settled").combine_chunks())
-    pieces = rows.filter(rows.column("body").is_valid()).combine_chunks()
-    if len(pieces):
-        key, low, high = _covered(pieces)
-        found, ranges = _packed(key, low, high)
+        keys += settled.column("key").chunks
+        lists += settled.column("settled").chunks
+    sent = [x for x in rows.column("pieces").to_pylist() if x is not None]
+    if sent:
+        pieces = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in sent).combine_chunks()
+        found, ranges = _packed(*_covered(pieces))
         keys.append(pa.array(found))
         lists.append(ranges)
-    if not keys:
-        return pa.table({"key": pa.array([], pa.int64()), "ranges": pa.array([], pa.list_(pa.int64()))})
     return pa.table({"key": pa.chunked_array(keys, pa.int64()), "ranges": pa.chunked_array(lists, pa.list_(pa.int64()))})
 
 
 def _covered(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    off, data = tx.buffer(pieces.column("body"))
     key, before = pieces.column("key").to_numpy(), pieces.column("before").to_numpy()
+    value, sizes = pieces.column("value").to_numpy(), pieces.column("size").to_numpy().astype(np.int64)
+    whole = pieces.column("body").is_valid().to_numpy()
+    off, data = tx.buffer(pieces.column("body"))
     starts = pieces.column("starts").combine_chunks()
     n_starts, start = starts.value_lengths().to_numpy(), starts.flatten().to_numpy()
     start_first = np.cumsum(n_starts) - n_starts
-    sizes = np.diff(off)
     # equal pieces are one class; its rows in larger documents than the smallest are covered whole
-    value = np.empty(len(key), np.uint64)
-    for at in range(0, len(key), 1 << 15):
-        to = min(len(key), at + (1 << 15))
-        base = off[at]
-        sums = tx.byte_sums(data[base : off[to]])
-        value[at:to] = tx.range_hashes(sums, off[at:to] - base, off[at + 1 : to + 1] - base)
     order = np.lexsort((key, value))
     head = np.append(True, value[order][1:] != value[order][:-1])
     heads = np.flatnonzero(head)
     owner = np.empty(len(key), np.int64)
     owner[order] = np.cumsum(head) - 1
     least = key[order][heads]
-    low_before = np.minimum.reduceat(before[order], heads)
-    high_before = np.maximum.reduceat(before[order], heads)
-    agreed = np.where(low_before == high_before, low_before, _MANY)
-    whole = np.flatnonzero(key > least[owner])
-    at = tx.ragged(start_first[whole], n_starts[whole])
-    out = [(np.repeat(key[whole], n_starts[whole]), start[at], start[at] + np.repeat(sizes[whole], n_starts[whole]))]
-    # one text of the classes' bytes
+    covered = np.flatnonzero(key > least[owner])
+    at = tx.ragged(start_first[covered], n_starts[covered])
+    where = start[at]
+    out = [(np.repeat(key[covered], n_starts[covered]), where, where + np.repeat(sizes[covered], n_starts[covered]))]
+    # one text of the bytes of the classes that have some
     sample = order[heads]
-    size = sizes[sample]
+    class_of = np.flatnonzero(whole[sample])
+    if not len(class_of):
+        return out[0]
+    size = sizes[sample[class_of]]
     first = np.cumsum(size + 1) - size - 1
     text = np.zeros(int((size + 1).sum()), np.int64)
-    place = tx.ragged(first, size)
-    text[place] = data[tx.ragged(off[:-1][sample], size)].astype(np.int64) + 1
+    text[tx.ragged(first, size)] = data[tx.ragged(off[:-1][sample[class_of]], size)].astype(np.int64) + 1
     left = np.full(len(text), _NO_BYTE)
     left[1:] = text[:-1] - 1
-    left[first] = _MANY  # a repeat may go on in the piece before
-    piece_of = np.repeat(np.arange(len(size)), size + 1)
+    # a repeat may go on in the piece before
+    left[first] = _MANY
+    piece_of = np.repeat(class_of, size + 1)
+    begin = np.repeat(first, size + 1)
     # rows of each class in its smallest document
     own = np.flatnonzero(key == least[owner])
     own = own[np.argsort(owner[own], kind="stable")]
-    own_count = np.bincount(owner[own], minlength=len(size))
+    own_count = np.bincount(owner[own], minlength=len(heads))
     own_first = np.cumsum(own_count) - own_count
     spots, lengths = [], []
     for length, places in maximal_repeats(text, left):
@@ -353,8 +374,8 @@ def _covered(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if spots:
         spot, length = np.concatenate(spots), np.concatenate(lengths)
         c = piece_of[spot]
-        at = tx.ragged(own_first[c], own_count[c])
-        row, shift = own[at], np.repeat(spot - first[c], own_count[c])
+        row = own[tx.ragged(own_first[c], own_count[c])]
+        shift = np.repeat(spot - begin[spot], own_count[c])
         length = np.repeat(length, own_count[c])
         n = n_starts[row]
         where = start[tx.ragged(start_first[row], n)] + np.repeat(shift, n)
@@ -365,10 +386,9 @@ def _covered(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeats(rows: DataFrame) -> DataFrame:
     """(key, ranges): the covered byte ranges of each document, packed. rows: key, text."""
     size = total_bytes(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(repeated(rows, _names, size, (2, HOT)))
+    shared = rows.sparkSession.sparkContext.broadcast(repeated(rows, _names, size, (2, 2, HOT), valued=1))
     shards = int(min(max(64, size // SHARD), 1 << 30))
-    schema = "shard int, key long, starts array<long>, before int, body binary, settled array<long>"
-    pieces = rows.mapInArrow(_pieces(shared, shards), schema)
+    pieces = rows.mapInArrow(_pieces(shared, shards), _SENT)
     found = pieces.groupBy("shard").applyInArrow(lambda t: _shard(t), "key long, ranges array<long>")
     return found.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
