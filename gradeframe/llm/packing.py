@@ -30,8 +30,8 @@ GROUP = 20_000
 LIGHT = 0.9
 #: Cached words of a Python worker.
 CACHE = 800_000
-#: Rounds of the local search of a group.
-_SEARCHES = 200
+#: Pairs of bins that the local search of a group looks at.
+SEARCH = 20_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -206,22 +206,24 @@ class Search:
         self.room = [capacity - sum(lengths[i] for i in b) for b in bins]
 
     def run(self) -> list[list[int]]:
-        least = -(-sum(self.lengths) // self.capacity)
-        for _ in range(_SEARCHES):
-            live = [b for b in range(len(self.bins)) if self.bins[b]]
-            if len(live) <= least:
-                break
-            # the lightest bin gives; those with room take
-            source = max(live, key=lambda b: (self.room[b], -b))
-            takers = sorted((b for b in live if b != source and self.room[b]), key=lambda b: (self.room[b], b))
-            if not sum(self.improve(source, b) for b in takers):
-                break
+        """Bins after the search: lighter bins give, fuller ones take; ends when nothing helps or SEARCH pairs of bins
+        have been looked at."""
+        least, looked, changed = -(-sum(self.lengths) // self.capacity), 0, True
+        while changed and looked < SEARCH and sum(map(bool, self.bins)) > least:
+            changed = False
+            live = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.room[b]), key=lambda b: (-self.room[b], b))
+            for a in live:
+                for b in reversed(live):
+                    if a == b or self.room[b] > self.room[a] or not self.bins[a]:
+                        continue
+                    looked += 1
+                    changed |= self.improve(a, b)
+                if looked >= SEARCH:
+                    break
         return [b for b in self.bins if b]
 
     def improve(self, a: int, b: int) -> bool:
         """The step between a and the fuller b that raises the squared fills most: what b gains is as large as can be."""
-        if not self.bins[a] or self.room[b] >= self.capacity - self.room[a] + self.room[b] and not self.bins[b]:
-            return False
         size, best, step = self.lengths, 0, None
         room = self.room[b]
         give = sorted(self.bins[a], key=lambda i: (-size[i], i))
