@@ -252,17 +252,14 @@ def _pieces(shared, shards: int):
     return run
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of each suffix in order and the one before, up to `most`; ends at zeros."""
-    out = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    a, b = order[:-1], order[1:]
-    for depth in range(most):
-        if not len(live):
-            break
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and b, `least` being known; ends at zeros."""
+    out = np.full(len(a), least, np.int64)
+    live, a, b = np.arange(len(a)), a + least, b + least
+    while len(live):
         same = (text[a] == text[b]) & (text[a] != 0)
         live, a, b = live[same], a[same] + 1, b[same] + 1
-        out[live] = depth + 1
+        out[live] += 1
     return out
 
 
@@ -278,35 +275,47 @@ def intervals(prefix: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((length, first))
 
 
-def maximal_repeats(text: np.ndarray, before: np.ndarray, least: int = SPAN) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, places) of the repeats in a text of parts that end with 0. `before`: the symbol left of each place,
-    _NO_BYTE or _MANY where it is not one symbol; a repeat counts if its places do not all follow the same symbol."""
+def maximal_repeats(text: np.ndarray, before: np.ndarray, least: int = SPAN) -> tuple[np.ndarray, ...]:
+    """(lengths, counts, places): the repeats in a text of parts that end with 0, the places of all one after the other.
+
+    `before`: the symbol left of each place, _NO_BYTE or _MANY where it is not one symbol; a repeat counts if its places
+    do not all follow the same symbol."""
     order = suffix_array(text)
     # suffixes that share `least` symbols with a neighbour; each run of them is one subtree
     sums = tx.byte_sums((text & 255).astype(np.uint8))
     gap = np.concatenate([[0], np.cumsum(text == 0)])
-    fits = np.zeros(len(text), bool)
     n = max(0, len(text) - least + 1)
+    fits = np.zeros(len(text), bool)
     fits[:n] = gap[least:] == gap[:n]
     value = np.zeros(len(text), np.uint64)
     low = np.flatnonzero(fits)
     value[low] = tx.range_hashes(sums, low, low + least)
+    del sums, gap
     joined = np.zeros(len(order) + 1, bool)
     joined[1:-1] = fits[order[1:]] & fits[order[:-1]] & (value[order[1:]] == value[order[:-1]])
     heads = np.flatnonzero(~joined[:-1] & joined[1:])
     tails = np.flatnonzero(joined[:-1] & ~joined[1:])
-    if not len(heads):
-        return
     # left-extension: a run whose suffixes all follow one symbol is part of a repeat further left
     left = before[order]
     differs = np.concatenate([[0], np.cumsum(np.append(False, left[1:] != left[:-1]) | (left >= _NO_BYTE))])
     diverse = (differs[tails + 1] - differs[heads + 1] > 0) | (left[heads] >= _NO_BYTE)
-    for head, tail in zip(heads[diverse].tolist(), tails[diverse].tolist(), strict=True):
-        places = order[head : tail + 1]
-        prefix = common_prefixes(text, places, len(text)).tolist() if len(places) > 1 else [0]
-        for length, first, last in intervals(prefix, least):
-            if differs[head + last + 1] - differs[head + first + 1] > 0 or left[head + first] >= _NO_BYTE:
-                yield length, places[first : last + 1]
+    heads, sizes = heads[diverse], (tails - heads + 1)[diverse]
+    second = tx.ragged(heads + 1, sizes - 1)
+    prefix = np.zeros(len(order), np.int64)
+    prefix[second] = common_prefixes(text, order[second - 1], order[second], least)
+    # a run of two is one interval; the tree of a larger one comes from the scan
+    two = heads[sizes == 2]
+    lengths, counts, places = [prefix[two + 1]], [np.full(len(two), 2)], [order[tx.ragged(two, np.full(len(two), 2))]]
+    for head, size in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        found = [
+            (length, first, last)
+            for length, first, last in intervals([0, *prefix[head + 1 : head + size].tolist()], least)
+            if differs[head + last + 1] - differs[head + first + 1] > 0 or left[head + first] >= _NO_BYTE
+        ]
+        lengths.append([length for length, _, _ in found])
+        counts.append([last - first + 1 for _, first, last in found])
+        places += [order[head + first : head + last + 1] for _, first, last in found]
+    return tuple(np.concatenate([np.asarray(x, np.int64) for x in each]) for each in (lengths, counts, places))
 
 
 def _shard(rows: pa.Table) -> pa.Table:
@@ -351,28 +360,26 @@ def _covered(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return out[0]
     size = sizes[sample[class_of]]
     first = np.cumsum(size + 1) - size - 1
-    text = np.zeros(int((size + 1).sum()), np.int64)
-    text[tx.ragged(first, size)] = data[tx.ragged(off[:-1][sample[class_of]], size)].astype(np.int64) + 1
-    left = np.full(len(text), _NO_BYTE)
+    text = np.zeros(int((size + 1).sum()), np.int16)
+    text[tx.ragged(first, size)] = data[tx.ragged(off[:-1][sample[class_of]], size)].astype(np.int16) + 1
+    left = np.full(len(text), _NO_BYTE, np.int16)
     left[1:] = text[:-1] - 1
     # a repeat may go on in the piece before
     left[first] = _MANY
-    piece_of = np.repeat(class_of, size + 1)
-    begin = np.repeat(first, size + 1)
+    piece_of = np.repeat(class_of.astype(np.int32), size + 1)
+    begin = np.repeat(first.astype(np.int32), size + 1)
     # rows of each class in its smallest document
     own = np.flatnonzero(key == least[owner])
     own = own[np.argsort(owner[own], kind="stable")]
     own_count = np.bincount(owner[own], minlength=len(heads))
     own_first = np.cumsum(own_count) - own_count
-    spots, lengths = [], []
-    for length, places in maximal_repeats(text, left):
+    lengths, counts, places = maximal_repeats(text, left)
+    if len(lengths):
+        # of each group, the places in documents larger than its smallest
         group = least[piece_of[places]]
-        later = places[group > group.min()]
-        if len(later):
-            spots.append(later)
-            lengths.append(np.full(len(later), length))
-    if spots:
-        spot, length = np.concatenate(spots), np.concatenate(lengths)
+        smallest = np.minimum.reduceat(group, np.cumsum(counts) - counts)
+        later = np.flatnonzero(group > np.repeat(smallest, counts))
+        spot, length = places[later], np.repeat(lengths, counts)[later]
         c = piece_of[spot]
         row = own[tx.ragged(own_first[c], own_count[c])]
         shift = np.repeat(spot - begin[spot], own_count[c])

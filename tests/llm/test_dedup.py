@@ -171,7 +171,9 @@ def test_maximal_repeats():
         text = np.concatenate([np.append(p, 0) for p in parts])
         before = np.append(suffix_dedup._NO_BYTE, text[:-1] - 1)
         before[before < 0] = suffix_dedup._NO_BYTE
-        got = {(n, tuple(sorted(p.tolist()))) for n, p in suffix_dedup.maximal_repeats(text, before, 3)}
+        lengths, counts, places = suffix_dedup.maximal_repeats(text, before, 3)
+        parts = np.split(places, np.cumsum(counts)[:-1]) if len(counts) else []
+        got = {(n, tuple(sorted(p.tolist()))) for n, p in zip(lengths.tolist(), parts, strict=True)}
         raw = "".join(chr(97 + x) if x else chr(1000 + i) for i, x in enumerate(text))
         want = set()
         for n in range(3, 30):
