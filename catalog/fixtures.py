@@ -183,16 +183,16 @@ def cloze_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_logprobs(spark: SparkSession, sf: str, members: bool | None = None) -> DataFrame:
-    """Token log-probabilities; the group of members only, of non-members only, or both."""
+    """Token log-probabilities: whole embeddings, lengthened by some of their values again; the group
+    of members only, of non-members only, or both."""
     rows = table(spark, sf, "embeddings")
     member = F.col("label") < 5
     if members is not None:
         rows = rows.where(member if members else ~member)
-    length = (F.col("vec_id") % 62 + 3).cast("int")
+    again = F.slice("embedding", F.lit(1), (F.col("vec_id") % 62 + 1).cast("int"))
+    values = F.concat("embedding", again)
     return rows.select(
         _text("vec_id").alias("uuid"),
         member.cast("int").alias("group_label"),
-        F.transform(
-            F.slice("embedding", F.lit(1), length), lambda x: -F.abs(x.cast("double"))
-        ).alias("token_logprobs"),
+        F.transform(values, lambda x: -F.abs(x.cast("double"))).alias("token_logprobs"),
     )

@@ -90,6 +90,14 @@ rot AS (SELECT *, list_transform(perm, lambda i: choices[i + 1]) AS shown,
     CASE WHEN turned THEN '[' || array_to_string(list_transform(perm, lambda i: CAST(i AS VARCHAR)), ', ') || ']'
       ELSE 'None' END AS perm_text FROM rp)"""
 
+METRICS = ["accuracy", "logic", "relevance", "coherence", "conciseness", "overall"]
+
+# whether a score was given as text
+TEXTS = ", ".join(
+    f"coalesce(json_type(j, '$.{'overall_score' if m == 'overall' else m + '.score'}') = 'VARCHAR', false) AS {m}_text"
+    for m in METRICS
+)
+
 JUDGE = """
 s AS (SELECT events.*, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq
       FROM events),
@@ -114,15 +122,14 @@ judged AS (SELECT conv_id, round, model, dataset, content,
     TRY_CAST(json_extract_string(j, '$.coherence.score') AS DOUBLE) AS coherence,
     TRY_CAST(json_extract_string(j, '$.conciseness.score') AS DOUBLE) AS conciseness,
     TRY_CAST(json_extract_string(j, '$.overall_score') AS DOUBLE) AS overall,
+    {TEXTS},
     coalesce(json_extract_string(j, '$.accuracy.comment'), '') AS accuracy_comment,
     coalesce(json_extract_string(j, '$.logic.comment'), '') AS logic_comment,
     json_extract_string(j, '$.stop_conversation') = 'true' AS stop,
     json_extract_string(j, '$.stop_reason') AS stop_reason FROM body),
 stopping AS (SELECT *, min(CASE WHEN stop THEN round END) OVER (PARTITION BY conv_id) AS first_stop
     FROM judged),
-kept AS (SELECT * FROM stopping WHERE first_stop IS NULL OR round <= first_stop)"""
-
-METRICS = ["accuracy", "logic", "relevance", "coherence", "conciseness", "overall"]
+kept AS (SELECT * FROM stopping WHERE first_stop IS NULL OR round <= first_stop)""".replace("{TEXTS}", TEXTS)
 
 
 def long_scores(source: str, strict: bool) -> str:
@@ -131,19 +138,19 @@ def long_scores(source: str, strict: bool) -> str:
     for m in METRICS:
         value = m if strict or m == "overall" else f"CASE WHEN {m} BETWEEN 0 AND 5 THEN {m} END"
         parts.append(
-            f"SELECT conv_id, round, model, dataset, '{m}' AS metric, {value} AS v FROM {source}"
+            f"SELECT conv_id, round, model, dataset, '{m}' AS metric, {value} AS v, {m}_text AS txt FROM {source}"
         )
     return " UNION ALL ".join(parts)
 
 
 def conversations(strict: bool) -> str:
     """Per conversation and metric statistics and the decayed score."""
-    odd = "CASE WHEN bool_or(v NOT IN (0, 1, 2, 3, 4)) THEN NULL ELSE " if strict else "("
+    odd = "CASE WHEN bool_or(txt OR v NOT IN (0, 1, 2, 3, 4)) THEN NULL ELSE " if strict else "("
     close = " END" if strict else ")"
     return JUDGE + f""",
 long AS ({long_scores('kept', strict)}),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, metric ORDER BY round) - 1 AS i
-    FROM long WHERE v IS NOT NULL),
+    FROM long WHERE v IS NOT NULL{" OR txt" if strict else ""}),
 decayed AS (SELECT conv_id, metric, min(v) AS min, max(v) AS max, avg(v) AS mean,
     {odd} sum((CASE v WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 3.0 WHEN 3 THEN 7.0
         WHEN 4 THEN 10.0 ELSE v / 4.0 * 10 END) * exp(CAST(-0.2 AS DOUBLE) * i))
@@ -174,7 +181,7 @@ FROM k)"""
 
 TOKENS = """
 tok AS (SELECT CAST(vec_id AS VARCHAR) AS uuid, CAST(label < 5 AS INT) AS group_label,
-  list_transform(embedding[1 : 3 + vec_id % 62], lambda x: -abs(CAST(x AS DOUBLE)))
+  list_transform(list_concat(embedding, embedding[1 : 1 + vec_id % 62]), lambda x: -abs(CAST(x AS DOUBLE)))
     AS token_logprobs FROM embeddings)"""
 
 TRANSCRIPT = JUDGE + """,
@@ -217,6 +224,7 @@ SELECT generated_text, prediction_index, CAST(sum(hit) AS BIGINT) AS hits, count
 FROM scored GROUP BY generated_text, prediction_index""")
 oracle("responses_attached", f"""WITH {SCORED}
 SELECT uuid, parent_uuid, generated_text, prediction_index, hit FROM scored""")
+oracle("responses_from_files", f"WITH {MC} SELECT uuid, parent_uuid, generated_text FROM mc")
 oracle("empty_responses", f"""WITH {SCORED}
 SELECT count(*) FILTER (prediction_index IS NULL) AS empty, count(*) AS originals
 FROM scored WHERE parent_uuid IS NULL""")
@@ -276,6 +284,14 @@ SELECT ord, choices[answer_idx + 1] AS answer_text,
 oracle("augment_invariants", f"""WITH {PROBLEMS}
 SELECT {uuid_of()} AS uuid, CAST(4 AS BIGINT) AS copies, true AS bijective, true AS keeps_gold
 FROM p0""")
+_DRAWN = "list_sort(list_transform([0, 1, 2, 3, 4], lambda j: md5(uuid || '$' || c || '$2$' || j) || j))"
+_PLACED = "list_transform(p, lambda x, i: CASE WHEN i - 1 = answer_idx THEN answer_idx WHEN x = answer_idx THEN p[answer_idx + 1] ELSE x END)"
+oracle("augment_permutations", f"""WITH {PROBLEMS},
+u AS (SELECT ord, answer_idx, {uuid_of()} AS uuid, unnest(range(4)) AS c FROM p0),
+d AS (SELECT *, list_transform({_DRAWN}, lambda s: CAST(s[33:] AS INT)) AS p FROM u)
+SELECT ord, array_to_string(CASE WHEN c < 1 THEN {_PLACED} ELSE p END, ',') AS permutation FROM d""")
+oracle("fewshot_sample", f"""WITH {PROBLEMS}, u AS (SELECT ord, {uuid_of()} AS uuid FROM p0)
+SELECT ord, uuid FROM u ORDER BY md5(uuid || '$2'), uuid LIMIT 5""")
 oracle("augment_dataset", f"""WITH {PROBLEMS}
 SELECT true AS original, count(*) AS n, count(*) AS problems,
   CAST(sum(answer_idx) AS BIGINT) AS answers FROM p0
@@ -301,6 +317,11 @@ oracle("first_n", f"WITH {PROBLEMS} SELECT ord, {uuid_of()} AS uuid FROM p0 ORDE
 oracle("max_instances", f"""WITH {SCORED}
 SELECT ord, uuid, prediction_index FROM scored
 WHERE parent_uuid IS NULL AND prediction_index IS NOT NULL ORDER BY ord LIMIT 200""")
+oracle("max_instances_grouped", f"""WITH {ROTATED},
+g AS (SELECT 0 AS a, 0 AS b, 'few' AS dataset, ord, {uuid_of()} AS uuid FROM p0 WHERE ord % 50 = 3
+  UNION ALL SELECT 0, 1, 'rotated', ord, {uuid_of(perm='perm_text')} FROM rot
+  UNION ALL SELECT 1, 0, 'plain', ord, {uuid_of()} FROM p0)
+SELECT dataset, ord, uuid FROM g ORDER BY a, b, ord LIMIT 200""")
 oracle("group_union", f"""WITH {PROBLEMS}
 SELECT d.dataset, answer_idx, count(*) AS n, max(ord) AS last_ord
 FROM p0, (SELECT unnest(['plain', 'rotated']) AS dataset) d GROUP BY d.dataset, answer_idx""")
@@ -334,10 +355,16 @@ _ROW = "'{\"id\": ' || CAST(ord AS VARCHAR) || '}'"
 _NONE = "CAST(NULL AS VARCHAR)"
 
 
+FOUR = MC + """,
+p0 AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, ord AS key, 'Pick for ' || uuid AS problem,
+  ['alpha', 'beta', 'gamma', 'delta'] AS choices, answer_idx,
+  '{"id": "' || CAST(ord AS VARCHAR) || '"}' AS extra_json FROM mc)"""
+
+
 def benchmark(name, problem="problem", choices="choices", answer="answer_idx",
-              extra="extra_json", stops=_FIVE) -> None:
+              extra="extra_json", stops=_FIVE, source=PROBLEMS) -> None:
     extra_text = "'null'" if extra == _NONE else extra
-    oracle(f"benchmark_{name}", f"""WITH {PROBLEMS}
+    oracle(f"benchmark_{name}", f"""WITH {source}
 SELECT ord, {uuid_of(problem, choices, answer, extra=extra_text)} AS uuid, {problem} AS problem,
   array_to_string({choices}, ';') AS choices, CAST({answer} AS INT) AS answer_idx,
   {extra} AS extra_json, {stops} AS stops FROM p0""")
@@ -347,14 +374,13 @@ benchmark("arc")
 benchmark("mmlu", extra=_NONE, stops=_NONE)
 benchmark("truthful_qa", extra=_ROW)
 benchmark("hellaswag", extra=_ROW)
-benchmark("ceval", choices="choices[1:4]", answer="answer_idx % 4", extra=_ROW, stops=_FOUR)
-benchmark("medmcqa", choices="choices[1:4]", answer="answer_idx % 4", stops=_FOUR)
+benchmark("ceval", extra=_ROW, stops=_FOUR, source=FOUR)
+benchmark("medmcqa", stops=_FOUR, source=FOUR)
 benchmark(
     "reclor",
-    problem="('Context: No ' || CAST(ord AS VARCHAR) || " + q("\n Question: ") + " || problem)",
-    choices="choices[1:4]",
-    answer="answer_idx % 4",
+    problem="('Context: No ' || CAST(key AS VARCHAR) || " + q("\n Question: ") + " || problem)",
     stops=_FOUR,
+    source=FOUR,
 )
 benchmark("hotpot_qa", choices="[choices[answer_idx + 1]]", answer="0", stops=q('["\\n\\n"]'))
 benchmark("gsm8k", choices="[choices[answer_idx + 1]]", answer="0", extra="'{}'", stops=q('["A"]'))
@@ -382,8 +408,10 @@ for _name, _ln, _un in (("", False, False), ("_ln", True, False), ("_un", False,
                         ("_ln_un", True, True)):
     oracle(f"cloze_accuracy{_name}", f"""WITH {cloze(_ln, _un)}
 SELECT round(sum(hit) / count(*), 9) AS accuracy, CAST(sum(hit) AS BIGINT) AS num_hits,
-  count(*) AS num_groups, {str(_ln).lower()} AS apply_ln, {str(_un).lower()} AS apply_un
+  count(*) AS num_groups, (SELECT count(*) * {2 if _un else 1} FROM cz)::BIGINT AS num_instances,
+  {str(_ln).lower()} AS apply_ln, {str(_un).lower()} AS apply_un
 FROM pred""")
+oracle("cloze_from_responses", ORACLES["cloze_accuracy_ln_un"])
 oracle("cloze_predictions", f"WITH {cloze(True, False)} SELECT * FROM pred")
 oracle("cloze_unconditional_join", f"""WITH {CLOZE},
 best AS (SELECT *, row_number() OVER (PARTITION BY parent_uuid
@@ -435,6 +463,11 @@ SELECT conv_id, round, accuracy AS accuracy_score, logic AS logic_score,
   relevance AS relevance_score, coherence AS coherence_score, conciseness AS conciseness_score,
   accuracy_comment, logic_comment, '' AS comment, overall AS overall_score,
   stop AS stop_conversation, stop_reason FROM judged""")
+oracle("judge_parse_lenient", """WITH e AS (
+  SELECT event_id, CAST(event_id % 4 AS DOUBLE) AS n, CAST(floor(event_id / 4) AS BIGINT) % 10 AS k FROM events)
+SELECT event_id, CASE WHEN k = 9 THEN '+' || CAST(event_id % 4 AS VARCHAR) || ' .5 0x1' ELSE '' END AS comment,
+  CASE k WHEN 1 THEN n / 10 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE n END AS overall_score,
+  CASE k WHEN 8 THEN 'overall' ELSE '' END AS texts, k NOT IN (4, 5) AS parsed FROM e""")
 oracle("judge_invalid_scores", f"""WITH {JUDGE}, g AS ({long_scores('judged', True)}),
 v AS ({long_scores('judged', False)}),
 a AS (SELECT metric, count(v) AS given FROM g GROUP BY metric),

@@ -17,7 +17,7 @@ from gradeframe.operators import render, rounds
 from gradeframe.operators.inference import infer, pending, register_responder
 from gradeframe.plans.dialogue_loop import run_dialogue
 from gradeframe.plans.ordered import dense_order
-from gradeframe.schemas import METRICS, RESPONSES, conform
+from gradeframe.schemas import METRICS, RESPONSES, arrival, conform
 from gradeframe.session import fresh_dir, tune
 from gradeframe.sources import files
 from gradeframe.sources.benchmarks import normalize
@@ -108,6 +108,22 @@ def responses_attached(spark, sf):
     return joined.select("uuid", "parent_uuid", "generated_text", "prediction_index", "hit")
 
 
+@query("responses_from_files")
+def responses_from_files(spark, sf):
+    """A response log in several files: the same keys stand in two of them, and the later file counts."""
+    rows = fx.mc_instances(spark, sf)
+    path = fresh_dir(spark, "response-lines")
+    early = rows.withColumn("generated_text", F.lit("???")).orderBy(F.desc("ord"))
+    files.write_response_lines(early.select("uuid", "parent_uuid", "generated_text"), f"{path}/run=1")
+    late = rows.select("uuid", "parent_uuid", "generated_text", (F.col("ord") + 1).alias("arrival"))
+    marked = late.withColumn("arrival", F.concat(F.lit("q"), arrival(F.col("arrival"))))
+    files.write_response_lines(marked, f"{path}/run=2")
+    log = files.read_responses(spark, f"{path}/run=*")
+    return choice.attach_responses(rows.drop("generated_text"), log).select(
+        "uuid", "parent_uuid", "generated_text"
+    )
+
+
 @query("empty_responses")
 def empty_responses(spark, sf):
     return choice.empty_count(scored(spark, sf))
@@ -186,6 +202,13 @@ def augment_invariants(spark, sf):
     )
 
 
+@query("augment_permutations")
+def augment_permutations(spark, sf):
+    """The permutations themselves, as text."""
+    copies = expand.augmented_copies(fx.mc_problems(spark, sf), n=4, keeps=1, seed=2)
+    return copies.select("ord", F.array_join("permutation", ",").alias("permutation"))
+
+
 @query("augment_dataset")
 def augment_dataset(spark, sf):
     """Originals and copies together."""
@@ -240,6 +263,16 @@ def max_instances(spark, sf):
     return expand.max_instances(rows, 200).select("ord", "uuid", "prediction_index")
 
 
+@query("max_instances_grouped")
+def max_instances_grouped(spark, sf):
+    """The first rows of nested groups: whole parts before others, and places in a part."""
+    plain = fx.mc_problems(spark, sf).withColumn("dataset", F.lit("plain"))
+    turned = fx.rotated_problems(spark, sf).withColumn("dataset", F.lit("rotated"))
+    few = plain.where(F.col("ord") % 50 == 3).withColumn("dataset", F.lit("few"))
+    rows = expand.group_union(expand.group_union(few, turned), plain)
+    return expand.max_instances(rows, 200).select("dataset", "ord", "uuid")
+
+
 @query("group_union")
 def group_union(spark, sf):
     """Problems and rotated problems, one after another."""
@@ -312,9 +345,13 @@ def _letters(n: int = 5) -> Column:
     return F.array(*[F.lit(chr(65 + i)) for i in range(n)])
 
 
-def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Problems numbered densely, as a benchmark loader would see them."""
-    rows = fx.mc_problems(spark, sf).drop("uuid")
+def _raw(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Problems numbered densely, as a benchmark loader would see them; four-choice ones for benchmarks
+    that have no more."""
+    if kind in ("ceval", "medmcqa", "reclor"):
+        rows = fx.predicted_problems(spark, sf).select("ord", "problem", "choices", "answer_idx")
+    else:
+        rows = fx.mc_problems(spark, sf).drop("uuid")
     return dense_order(rows.withColumn("key", F.col("ord")), "key", "ord")
 
 
@@ -325,7 +362,6 @@ def _shape(kind: str, raw: DataFrame) -> DataFrame:
     gold = F.get("choices", F.col("answer_idx"))
     number = F.array(*[F.lit(str(i)) for i in range(1, 6)])
     labels = F.when(F.col("ord") % 2 == 0, _letters()).otherwise(number)
-    four = (F.col("answer_idx") % 4).alias("four")
     options = [F.get("choices", F.lit(i)) for i in range(4)]
     shapes = {
         "arc_challenge": [
@@ -352,20 +388,20 @@ def _shape(kind: str, raw: DataFrame) -> DataFrame:
         "ceval": [
             question,
             *[o.alias(k) for o, k in zip(options, "ABCD")],
-            F.get(_letters(4), four).alias("answer"),
+            F.get(_letters(4), F.col("answer_idx")).alias("answer"),
         ],
         "medmcqa": [
             ident,
             question,
             *[o.alias(k) for o, k in zip(options, ("opa", "opb", "opc", "opd"))],
-            four.alias("cop"),
+            F.col("answer_idx").alias("cop"),
         ],
         "reclor": [
             ident.alias("id_string"),
             F.concat(F.lit("No "), F.col("key").cast("string")).alias("context"),
             question,
-            F.slice("choices", 1, 4).alias("answers"),
-            four.alias("label"),
+            F.col("choices").alias("answers"),
+            F.col("answer_idx").alias("label"),
         ],
         "hotpot_qa": [ident, question, gold.alias("answer")],
         "gsm8k": [question, gold.alias("answer")],
@@ -402,7 +438,7 @@ BENCHMARK_KINDS = [
 def _add_benchmark(kind: str) -> None:
     @query(f"benchmark_{kind.removesuffix('_challenge')}")
     def run(spark, sf):
-        rows = normalize(_shape(kind, _raw(spark, sf)), kind)
+        rows = normalize(_shape(kind, _raw(spark, sf, kind)), kind)
         return rows.select(
             "ord",
             "uuid",
@@ -448,7 +484,7 @@ def cloze_accuracy_ln_un(spark, sf):
 
 @query("cloze_predictions")
 def cloze_predictions(spark, sf):
-    return cloze.cloze_predict(fx.cloze_scores(spark, sf), True, False)
+    return cloze.cloze_predict(fx.cloze_scores(spark, sf), True, False).drop("n_choices")
 
 
 @query("cloze_unconditional_join")
@@ -457,7 +493,47 @@ def cloze_unconditional_join(spark, sf):
     rows = fx.cloze_scores(spark, sf)
     bare = rows.withColumn("loglikelihood", F.col("uncond_loglikelihood"))
     joined = cloze.attach_unconditional(rows, bare, length_norm=True)
-    return cloze.best_choice(joined)
+    return cloze.best_choice(joined).drop("n_choices")
+
+
+def _choice_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Unrolled choices, and a log of their responses in which all but the last are wrong."""
+    rows = fx.cloze_scores(spark, sf)
+    problems = rows.select(
+        F.concat("parent_uuid", F.lit("/"), "choice").alias("uuid"), "parent_uuid", "pos",
+        F.array("choice").alias("choices"), "answer_text",
+    )
+    tries = F.array(
+        *[
+            F.struct(
+                F.lit(f"{mark}").alias("arrival"),
+                F.when(F.lit(asked), F.concat(F.lit("Q "), "parent_uuid")).alias("problem"),
+                value.cast("double").alias("loglikelihood"),
+            )
+            for mark, asked, value in (
+                (1, True, F.lit(0.0)),
+                (2, True, F.col("loglikelihood")),
+                (1, False, F.lit(0.0)),
+                (2, False, F.col("uncond_loglikelihood")),
+            )
+        ]
+    )
+    log = rows.select(
+        "parent_uuid", F.array("choice").alias("choices"), "target_length", F.explode(tries).alias("t")
+    )
+    return problems, log.select("parent_uuid", "choices", "target_length", "t.*")
+
+
+@query("cloze_from_responses")
+def cloze_from_responses(spark, sf):
+    """Accuracy from response lines written to and read from files."""
+    problems, log = _choice_rows(spark, sf)
+    path = fresh_dir(spark, "cloze-lines")
+    lines = log.withColumn("uuid", F.concat("parent_uuid", F.lit("/"), F.get("choices", F.lit(0))))
+    files.write_response_lines(lines, path)
+    scores = cloze.scores_from_responses(problems, files.read_responses(spark, path))
+    best = cloze.cloze_predict(scores, True, True)
+    return _accuracy(cloze.cloze_accuracy(best, True, True))
 
 
 @query("lm_loss_mean")
@@ -545,6 +621,31 @@ def judge_parse(spark, sf):
     )
 
 
+@query("judge_parse_lenient")
+def judge_parse_lenient(spark, sf):
+    """Judge texts in ten spellings: what JSON5 allows is read, what follows an object spoils it."""
+    n = (F.col("event_id") % 4).cast("string")
+    spellings = [
+        F.concat(F.lit('{"overall_score": +'), n, F.lit("}")),
+        F.concat(F.lit('{"overall_score": .'), n, F.lit("}")),
+        F.concat(F.lit('{"overall_score": '), n, F.lit(".}")),
+        F.concat(F.lit('{"overall_score": 0x'), n, F.lit("}")),
+        F.concat(F.lit('{"overall_score": '), n, F.lit("} text {x}")),
+        F.concat(F.lit('{"overall_score": '), n, F.lit('} and {"overall_score": 1}')),
+        F.concat(F.lit('{/* c */ "overall_score": '), n, F.lit(", // d\n}")),
+        F.concat(F.lit("so {'overall_score': "), n, F.lit(",} end")),
+        F.concat(F.lit('{overall_score: "'), n, F.lit('"}')),
+        F.concat(F.lit('{"comment": "+'), n, F.lit(' .5 0x1", "overall_score": '), n, F.lit(".,}")),
+    ]
+    at = (F.floor(F.col("event_id") / 4) % 10 + 1).cast("int")
+    events = fx.table(spark, sf, "events").select(
+        "event_id", F.element_at(F.array(*spellings), at).alias("content")
+    )
+    return judge.parse_judge(events).select(
+        "event_id", "comment", "overall_score", F.array_join("texts", ",").alias("texts"), "parsed"
+    )
+
+
 @query("judge_invalid_scores")
 def judge_invalid_scores(spark, sf):
     """Per metric how many scores were given and how many count."""
@@ -732,7 +833,7 @@ def role_views(spark, sf):
         dialogue.role_view(turns, r).withColumn("party", F.lit(r))
         for r in ("interactor", "candidate", "evaluator")
     ]
-    return expand.group_union(*views)
+    return expand.group_union(*views).drop(expand.PART)
 
 
 def _messages_digest(df: DataFrame) -> DataFrame:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from gradeframe.functions.text import strip
 
-_CASE_LIMIT = 40
-
 
 def choice_key(i: Column, key_type: Column | str = "letters") -> Column:
     """Letter or one-based number of a zero-based choice position."""
@@ -19,11 +15,6 @@ def choice_key(i: Column, key_type: Column | str = "letters") -> Column:
     return F.when(key_type == "numbers", number).otherwise(letter)
 
 
-def _known_keys(n: int, key_type: str) -> list[str]:
-    keys = [chr(65 + i) if key_type == "letters" else str(i + 1) for i in range(n)]
-    return sorted(keys, key=len, reverse=True)
-
-
 def _key_array(n: Column, key_type: Column) -> Column:
     positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     longest_first = F.sort_array(
@@ -39,16 +30,9 @@ def parse_answer(
 ) -> Column:
     """Position of the chosen key in the key list (longest keys first), null if none is found.
 
-    The stripped text equal to a key wins; otherwise the first key the text contains. With a known
-    number of choices this is one CASE expression inside generated code.
+    The stripped text equal to a key wins; otherwise the first key the text contains.
     """
     t = strip(text)
-    if isinstance(n_choices, int) and isinstance(key_type, str) and n_choices <= _CASE_LIMIT:
-        keys = _known_keys(n_choices, key_type)
-        tests = [(t == k, i) for i, k in enumerate(keys)]
-        tests += [(F.contains(t, F.lit(k)), i) for i, k in enumerate(keys)]
-        first, *rest = tests
-        return reduce(lambda acc, it: acc.when(it[0], it[1]), rest, F.when(*first)).cast("int")
     n = F.lit(n_choices) if isinstance(n_choices, int) else n_choices
     kind = F.lit(key_type) if isinstance(key_type, str) else key_type
     keys = _key_array(n, kind)
@@ -60,6 +44,7 @@ def parse_answer(
 
 
 def is_hit(pred: Column, permutation: Column, answer: Column, failed: int = 0) -> Column:
-    """1 if the shown position maps to the answer, 0 if not, ``failed`` without a prediction."""
+    """1 if the shown position maps to the answer, 0 if not (a missing answer is met by none),
+    ``failed`` without a prediction."""
     shown = F.coalesce(F.get(permutation, pred), pred)
-    return F.coalesce((shown == answer).cast("int"), F.lit(failed))
+    return F.when(pred.isNull(), F.lit(failed)).otherwise(F.coalesce((shown == answer).cast("int"), F.lit(0)))

@@ -34,6 +34,11 @@ def latest(responses: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
     ).select(*keys, *[F.col("_r")[v].alias(v) for v in values])
 
 
+def _spelled(parent: Column) -> Column:
+    """A parent that is never null, so that it can be joined by plain equality."""
+    return F.coalesce(F.concat(F.lit("="), parent), F.lit(""))
+
+
 def attach_responses(
     problems: DataFrame,
     responses: DataFrame,
@@ -43,18 +48,19 @@ def attach_responses(
     """Problems with the last response of their (uuid, parent_uuid); every problem row stays.
 
     Copies of a problem may share a uuid, so only responses are made unique. A problem without a
-    response fails the job, or with ``on_missing='null'`` gets nulls and ``missing``.
+    response fails the job, or with ``on_missing='null'`` gets nulls and ``missing``. Responses are
+    shuffled once: grouping and join ask for the same partitioning.
     """
-    keys = ["uuid", "parent_uuid"]
-    last = latest(responses, keys, list(values)).select(
-        *[F.col(k).alias(f"_{k}") for k in keys], *values, F.lit(True).alias("_found")
+    named = responses.withColumn("_uuid", F.col("uuid")).withColumn("_parent", _spelled(F.col("parent_uuid")))
+    last = latest(named, ["_uuid", "_parent"], list(values)).withColumn("_found", F.lit(True))
+    asked = problems.withColumn("_asked", _spelled(F.col("parent_uuid")))
+    joined = asked.join(
+        last, (F.col("uuid") == F.col("_uuid")) & (F.col("_asked") == F.col("_parent")), "left"
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    joined = problems.join(last, same, "left")
     missing = F.col("_found").isNull()
     if on_missing == "null":
-        return joined.withColumn("missing", missing).drop("_uuid", "_parent_uuid", "_found")
-    note = F.concat(F.lit("no response for problem "), F.col("uuid"))
+        return joined.withColumn("missing", missing).drop("_uuid", "_parent", "_asked", "_found")
+    note = F.concat(F.lit("no response for problem "), F.coalesce("uuid", F.lit("without a uuid")))
     checked = [F.when(missing, F.raise_error(note)).otherwise(F.col(v)).alias(v) for v in values]
     return joined.select(*problems.columns, *checked)
 

@@ -120,8 +120,7 @@ def turn_pairs(turns: DataFrame, tmpl: str = "default") -> DataFrame:
         candidate_content=F.col("_answer"),
     )
     rows = pairs.select("conv_id", "seq", prompt.alias("prompt"))
-    block = int_block(F.col("seq"))
-    return positions(rows, ["conv_id"], ["seq"], block, "round", counted_on=turns)
+    return positions(rows, ["conv_id"], ["seq"], int_block(F.col("seq")), "round")
 
 
 def unpaired_count(turns: DataFrame) -> DataFrame:
@@ -158,7 +157,7 @@ def role_view(turns: DataFrame, role: str, tmpl: str = "default") -> DataFrame:
     return pairs.unionByName(own.where(party == "evaluator").drop("party"))
 
 
-_VERDICT = "struct<overall_score:variant,stop_conversation:variant,_bad:string>"
+_VERDICT = "struct<overall_score:variant,stop_conversation:variant>"
 
 
 def filter_transcripts(
@@ -174,7 +173,7 @@ def filter_transcripts(
         "conv_id", "last_seq", json_body(F.col("_l.content")).alias("_body")
     )
     read = lenient_json(judged, "_body", _VERDICT, "_v")
-    some = ~F.col("_body").rlike(r"^\{\s*\}$") & F.col("_v._bad").isNull()
+    some = ~F.col("_body").rlike(r"^\{\s*\}$") & F.col("_v").isNotNull()
     given = F.col("_v.stop_conversation")
     flag = F.when(given.isNull(), False).when(
         F.schema_of_variant(given) != "STRING", F.try_variant_get(given, "$", "boolean")
@@ -199,7 +198,7 @@ def _shown(value: Column) -> Column:
 _INNER = "struct<comment:string,score:string>"
 # Metrics whose objects are read in the one parse of the whole body; others get a parse of their own.
 _KNOWN = [*METRICS, "reasoning"]
-_KNOWN_SCHEMA = f"struct<{','.join(f'{m}:{_INNER}' for m in _KNOWN)},_bad:string>"
+_KNOWN_SCHEMA = f"struct<{','.join(f'{m}:{_INNER}' for m in _KNOWN)}>"
 
 
 def with_evaluation_text(df: DataFrame, content: str, name: str) -> DataFrame:

@@ -10,9 +10,18 @@ from gradeframe.functions.identity import with_uuid
 from gradeframe.templates import UNCONDITIONAL_PROMPT
 
 
+#: Where a row of a grouped dataset stands: the number of its part, and inside nested groups theirs.
+PART = "part"
+
+
+def in_order(df: DataFrame, order: str = "ord") -> list[Column]:
+    """The columns that rows stand in order by: part, place in it, and the uuid for equal places."""
+    return [F.col(c) for c in (PART, order, "uuid") if c in df.columns]
+
+
 def first_n(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
     """The first n rows in order."""
-    return df.orderBy(order).limit(n)
+    return df.orderBy(*in_order(df, order)).limit(n)
 
 
 def max_instances(df: DataFrame, n: int = -1, order: str = "ord") -> DataFrame:
@@ -22,21 +31,27 @@ def max_instances(df: DataFrame, n: int = -1, order: str = "ord") -> DataFrame:
 
 def fewshot_sample(df: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """k example rows picked by a seeded hash, the same under any partitioning."""
-    rank = F.xxhash64("uuid", F.lit(seed))
-    return df.orderBy(rank, "uuid").limit(k)
+    return df.orderBy(F.md5(F.concat_ws("$", "uuid", F.lit(str(seed)))), "uuid").limit(k)
 
 
 def group_union(*parts: DataFrame) -> DataFrame:
-    """Datasets one after another, copies kept."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """Datasets one after another, copies kept. ``part`` numbers them, and a part that is a group
+    itself keeps its own numbers after its number, so that order runs through nested groups."""
+
+    def numbered(i: int, df: DataFrame) -> DataFrame:
+        inner = F.col(PART) if PART in df.columns else F.array().cast("array<int>")
+        return df.withColumn(PART, F.concat(F.array(F.lit(i)), inner))
+
+    rows = [numbered(i, df) for i, df in enumerate(parts)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
 
 
 def permutation(key: Column, n: Column, seed: int | Column) -> Column:
-    """A permutation of 0..n-1 drawn by hashing (key, seed, position)."""
+    """A permutation of 0..n-1 in the order of the digests of key$seed$position."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
     drawn = F.transform(
         F.sequence(F.lit(0), n - 1),
-        lambda j: F.struct(F.xxhash64(key, seed, j).alias("h"), j.alias("j")),
+        lambda j: F.struct(F.md5(F.concat_ws("$", key, seed.cast("string"), j.cast("string"))).alias("h"), j.alias("j")),
     )
     return F.transform(F.sort_array(drawn), lambda s: s["j"].cast("int"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gradeframe.schemas import RESPONSES, conform
+from gradeframe.schemas import RESPONSES, arrival, conform
 
 Responder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -65,13 +65,13 @@ def infer(
     schema = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in RESPONSES if f.name in _FIELDS)
     fresh = conform(
         todo.mapInPandas(_adapt(responder(fn)), schema)
-        .withColumn("arrival", F.monotonically_increasing_id())
+        .withColumn("arrival", arrival(F.monotonically_increasing_id()))
         .withColumn("run_key", F.lit(run_key)),
         RESPONSES,
     )
     if not reuse:
         return fresh
     kept = stored.where(F.col("run_key") == run_key).join(
-        requests.select("uuid").distinct(), "uuid", "left_semi"
+        requests.select("uuid"), "uuid", "left_semi"
     )
     return conform(kept, RESPONSES).unionByName(fresh)

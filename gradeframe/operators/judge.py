@@ -6,22 +6,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.schemas import METRICS
 
-_SCORED = {**{m: "struct<comment:string,score:{}>" for m in METRICS}, "overall_score": "{}"}
-
-
-def _schema(score: str, others: str = "") -> str:
-    fields = [f"{name}:{kind.format(score)}" for name, kind in _SCORED.items()]
-    return f"struct<{','.join(fields)}{others},_bad:string>"
-
-
-_JUDGE = _schema(
-    "string", ",comment:string,overall_comment:string,stop_conversation:variant,stop_reason:string"
-)
-_TYPED = _schema("variant")
-# What JSON5 allows beyond JSON; trailing commas have no reader option.
+_FIELDS = {
+    **{m: "struct<comment:string,score:variant>" for m in METRICS},
+    "overall_score": "variant",
+    "comment": "string",
+    "overall_comment": "string",
+    "stop_conversation": "variant",
+    "stop_reason": "string",
+}
+_JUDGE = f"struct<{','.join(f'{name}:{kind}' for name, kind in _FIELDS.items())}>"
+# What JSON5 allows beyond JSON and a reader option covers; the rest is rewritten, see plain_json.
 _LENIENT = {
     "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": "_bad",
     "allowComments": "true",
     "allowSingleQuotes": "true",
     "allowUnquotedFieldNames": "true",
@@ -40,44 +36,78 @@ def json_body(content: Column) -> Column:
 _STRINGS = r"""("(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')"""
 
 
-def strict_commas(body: Column) -> Column:
-    """Without comments and without commas before a closing bracket; quoted strings are matched
-    whole and stay as they are."""
-    bare = F.regexp_replace(body, _STRINGS + r"|/\*[\s\S]*?\*/|//[^\n]*", "$1")
-    return F.regexp_replace(bare, _STRINGS + r"|,(\s*[}\]])", "$1$2")
+def _outside_strings(text: Column, rest: str, change) -> Column:
+    """The text with ``change`` applied to what lies between quoted strings, cut by ``rest``."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s){_STRINGS}|{rest}"), F.lit(0))
+    quoted = lambda p: p.startswith('"') | p.startswith("'")
+    return F.array_join(F.transform(parts, lambda p: F.when(quoted(p), p).otherwise(change(p))), "")
+
+
+def _decimal(part: Column) -> Column:
+    """A hexadecimal number as a decimal one, anything else as it is."""
+    digits = F.regexp_extract(part, "^-?0[xX]([0-9a-fA-F]{1,15})$", 1)
+    sign = F.when(part.startswith("-"), "-").otherwise("")
+    return F.when(digits != "", F.concat(sign, F.conv(digits, 16, 10))).otherwise(part)
+
 
+def _spelled(part: Column) -> Column:
+    """Numbers without a plus sign and with digits on both sides of the point."""
+    before = r"(?<=[:,\[\s])"
+    part = F.regexp_replace(part, before + r"\+(?=[\d.I])", "")
+    part = F.regexp_replace(part, before + r"(-?)\.(?=\d)", "$10.")
+    return F.regexp_replace(part, before + r"(-?\d+)\.(?=[,\]}\seE]|$)", "$1.0")
 
-def lenient_json(df: DataFrame, body: str, schema: str, name: str, bad: str = "_bad") -> DataFrame:
-    """Adds the parsed body. Only text that fails is cleaned and parsed again; the first result is
+
+def plain_json(body: Column) -> Column:
+    """JSON5 text without comments, without commas before a closing bracket, and with numbers spelled
+    as JSON does (hexadecimal ones of up to 15 digits). Quoted strings stay as they are."""
+    text = F.regexp_replace(body, _STRINGS + r"|/\*[\s\S]*?\*/|//[^\n]*", "$1")
+    text = F.regexp_replace(text, _STRINGS + r"|,(\s*[}\]])", "$1$2")
+    text = _outside_strings(text, r"-?0[xX][0-9a-fA-F]+|.", _decimal)
+    return _outside_strings(text, r"""[^"']+|.""", _spelled)
+
+
+def _one(body: Column, schema: str) -> Column:
+    """The object that the whole text is, null if there is none or something else follows it."""
+    read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{schema}>", _LENIENT)
+    return F.when(F.size(read) == 1, F.get(read, F.lit(0)))
+
+
+def lenient_json(df: DataFrame, body: str, schema: str, name: str) -> DataFrame:
+    """Adds the parsed body. Only text that fails is rewritten and parsed again; the first result is
     a column of its own, so that no other row is parsed twice."""
-    once = df.withColumn("_once", F.from_json(F.col(body), schema, _LENIENT))
-    retry = F.from_json(strict_commas(F.col(body)), schema, _LENIENT)
-    failed = F.col("_once")[bad].isNotNull()
-    return once.withColumn(name, F.when(failed, retry).otherwise(F.col("_once"))).drop("_once")
+    once = df.withColumn("_once", _one(F.col(body), schema))
+    retry = _one(plain_json(F.col(body)), schema)
+    return once.withColumn(name, F.coalesce("_once", retry)).drop("_once")
 
 
 def lenient_map(body: str) -> Column:
-    """The parsed body as key to JSON text, in the order of the text; cleaned only if it fails."""
+    """The parsed body as key to JSON text, in the order of the text; rewritten only if it fails."""
     kind = "map<string,string>"
-    return F.coalesce(
-        F.from_json(F.col(body), kind, _LENIENT),
-        F.from_json(strict_commas(F.col(body)), kind, _LENIENT),
-    )
+    return F.coalesce(_one(F.col(body), kind), _one(plain_json(F.col(body)), kind))
 
 
-def score_number(text: Column, typed: Column) -> Column:
-    """The number a score's text spells, else null; a JSON boolean counts as 0 or 1.
+def score_number(score: Column) -> Column:
+    """The number that a score is or spells, else null; a JSON boolean counts as 0 or 1.
 
-    ``typed`` is the same score with its JSON type, looked at for the texts true and false only.
     Casting also reads Java's suffixed spellings such as "3d", which are no numbers here.
     """
-    flag = F.schema_of_variant(typed) == "BOOLEAN"
+    kind = F.schema_of_variant(score)
+    text = F.try_variant_get(score, "$", "string")
     return (
-        F.when(text.isin("true", "false"), F.when(flag, (text == "true").cast("double")))
+        F.when(kind == "BOOLEAN", (text == "true").cast("double"))
+        .when(kind != "STRING", F.try_variant_get(score, "$", "double"))
         .when(~F.right(text, F.lit(1)).isin("d", "D", "f", "F"), text.try_cast("double"))
     )
 
 
+def is_number(score: Column) -> Column:
+    """Whether a given score is a JSON number or boolean; null if none is given."""
+    kind = F.schema_of_variant(score)
+    number = (kind == "BOOLEAN") | (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
+    return F.when(kind != "VOID", number)
+
+
 def is_stop(v: Column) -> Column:
     """Whether a JSON value is truthy: any non-empty string (even "false") counts."""
     return F.coalesce(~F.to_json(v).isin(*_FALSY_JSON), F.lit(False))
@@ -87,35 +117,31 @@ def parse_judge(df: DataFrame, col: str = "content") -> DataFrame:
     """Replace the judge's text by typed columns, absent ones filled with defaults.
 
     Adds per metric struct<comment, score>, comment, overall_comment, overall_score,
-    stop_conversation, stop_reason (null if the key is absent), and ``parsed``: false if no JSON
-    object with any known key came out.
+    stop_conversation, stop_reason (null if the key is absent), ``texts``: the names of scores that are
+    given and are no JSON numbers, and ``parsed``: false if no JSON object with any known key came out.
     """
     rest = [c for c in df.columns if c != col]
     body = df.select(*rest, json_body(F.col(col)).alias("_body"))
     read = lenient_json(body, "_body", _JUDGE, "_j")
-    j, typed = F.col("_j"), F.col("_typed")
-    texts = [*[j[m]["score"] for m in METRICS], j["overall_score"]]
-    # A second, typed parse; reached only by rows with a score that reads true or false.
-    flags = F.array_contains(F.array(*texts), "true") | F.array_contains(F.array(*texts), "false")
-    again = F.from_json(strict_commas(F.col("_body")), _TYPED, _LENIENT)
-    read = read.withColumn("_typed", F.when(flags, again))
+    j = F.col("_j")
+    given = {**{m: j[m]["score"] for m in METRICS}, "overall": j["overall_score"]}
+    texts = F.array_compact(F.array(*[F.when(~is_number(v), F.lit(m)) for m, v in given.items()]))
     metrics = [
         F.struct(
             F.coalesce(j[m]["comment"], F.lit("")).alias("comment"),
-            score_number(j[m]["score"], typed[m]["score"]).alias("score"),
+            score_number(given[m]).alias("score"),
         ).alias(m)
         for m in METRICS
     ]
-    keys = [*METRICS, "comment", "overall_comment", "overall_score", "stop_conversation",
-            "stop_reason"]
-    some = F.coalesce(*[F.when(j[k].isNotNull(), True) for k in keys], F.lit(False))
+    some = F.coalesce(*[F.when(j[k].isNotNull(), True) for k in _FIELDS], F.lit(False))
     return read.select(
         *rest,
         *metrics,
         F.coalesce(j["comment"], F.lit("")).alias("comment"),
         j["overall_comment"].alias("overall_comment"),
-        score_number(j["overall_score"], typed["overall_score"]).alias("overall_score"),
+        score_number(given["overall"]).alias("overall_score"),
         is_stop(j["stop_conversation"]).alias("stop_conversation"),
         j["stop_reason"].alias("stop_reason"),
+        texts.alias("texts"),
         some.alias("parsed"),
     )

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.scores import is_mapped, points, valid_score, weight
-from gradeframe.plans.ordered import BLOCK, before, blocked, int_block, positions
+from gradeframe.plans.ordered import BLOCK, before, int_block, positions
 from gradeframe.schemas import METRICS
 
 ALL_METRICS = [*METRICS, "overall"]
@@ -35,19 +35,12 @@ def capped(rounds: DataFrame, max_rounds: int | None) -> DataFrame:
 def until_stop(
     rounds: DataFrame, max_rounds: int | None = None, keys: Sequence[str] = ("conv_id",)
 ) -> DataFrame:
-    """Rounds up to and including the first stop.
-
-    Stops in earlier blocks matter to hot conversations only; their first stops are at most as
-    many rows as there are hot keys.
-    """
-    keys = list(keys)
-    tagged, hot = blocked(capped(rounds, max_rounds), keys, int_block(F.col("round")))
-    stop, at = F.col("stop_conversation"), F.col("round")
-    firsts = hot.groupBy(*keys).agg(F.min(F.when(stop, at)).alias("_first"))
-    over = F.coalesce(F.max(stop).over(before([*keys, BLOCK], ["round"])), F.lit(False))
-    local = tagged.withColumn("_over", over).where(~F.col("_over"))
-    joined = local.join(F.broadcast(firsts), keys, "left")
-    return joined.where(F.col("_first").isNull() | (at <= F.col("_first"))).select(*rounds.columns)
+    """Rounds up to and including the first stop: the least stop round of each conversation, taken
+    before anything is shuffled, is joined back."""
+    rows, keys = capped(rounds, max_rounds), list(keys)
+    stops = rows.where("stop_conversation").groupBy(*keys).agg(F.min("round").alias("_first"))
+    joined = rows.join(stops, keys, "left")
+    return joined.where("_first IS NULL OR round <= _first").select(*rounds.columns)
 
 
 def last_round(rounds: DataFrame, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
@@ -78,9 +71,7 @@ def valid_positions(
     """Rows with a valid score of one metric and their position among these."""
     rows = rounds.select(*keys, "round", metric_value(metric).alias("value"))
     valid = F.col("value").isNotNull()
-    placed = positions(
-        rows, list(keys), ["round"], int_block(F.col("round")), "position", valid, rounds
-    )
+    placed = positions(rows, list(keys), ["round"], int_block(F.col("round")), "position", valid)
     return placed.where(valid)
 
 
@@ -128,10 +119,18 @@ def round_histogram(rounds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _score_columns(strict: bool) -> list[Column]:
-    """The score of each metric that enters the decay; strict mode takes any number."""
-    pick = metric_score if strict else metric_value
-    return [pick(m).alias(m) for m in ALL_METRICS]
+def _score_columns(strict: bool, rounds: DataFrame) -> list[Column]:
+    """The score of each metric that enters the decay. Strict mode takes any score; one that was given
+    as text is not a number there, whatever it spells, and counts as an unmapped one."""
+    if not strict:
+        return [metric_value(m).alias(m) for m in ALL_METRICS]
+    if "texts" not in rounds.columns:
+        return [metric_score(m).alias(m) for m in ALL_METRICS]
+    unmapped = F.lit(float("nan"))
+    return [
+        F.when(F.array_contains("texts", m), unmapped).otherwise(metric_score(m)).alias(m)
+        for m in ALL_METRICS
+    ]
 
 
 def block_sums(
@@ -147,7 +146,7 @@ def block_sums(
         int_block(F.col("round")).alias(BLOCK),
         "round",
         F.col("stop_conversation").alias("_stop"),
-        *_score_columns(strict),
+        *_score_columns(strict, rounds),
     )
     earlier = before([*keys, BLOCK], ["round"])
     rows = rows.select(
@@ -158,12 +157,13 @@ def block_sums(
     aggs = [F.count(F.lit(1)).alias("rounds"), F.bool_or("_stop").alias("stopped")]
     for m in ALL_METRICS:
         value, at = F.col(m), F.col(f"{m}_at")
+        number = F.when(~F.isnan(value), value)
         decay = F.when(value.isNotNull(), weight(at))
         aggs += [
             F.count(value).alias(f"{m}_n"),
-            F.min(value).alias(f"{m}_min"),
-            F.max(value).alias(f"{m}_max"),
-            F.sum(value).alias(f"{m}_sum"),
+            F.min(number).alias(f"{m}_min"),
+            F.max(number).alias(f"{m}_max"),
+            F.sum(number).alias(f"{m}_sum"),
             F.sum(decay).alias(f"{m}_w"),
             F.sum(points(value) * decay).alias(f"{m}_s"),
             F.count_if(value.isNotNull() & ~is_mapped(value)).alias(f"{m}_odd"),

@@ -1,13 +1,13 @@
 """Ordered computations that never put one key's rows into a single task.
 
-A window per key breaks once a key holds a large part of the table. Such hot keys are found by a
-map-side count of the keys; their rows are cut into blocks by a monotone function of the order
-column, windows run per (key, block), and only one row per block is ordered along the whole key.
-All other keys are one block each, so ordinary data pays for the key count only.
+A window per key breaks once a key holds a large part of the table. Rows of a key are therefore cut into blocks by a
+monotone function of the order column, windows run per (key, block), and only one row per block is ordered along the
+whole key. There is one kind of plan for keys of any size.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -33,33 +33,6 @@ def before(keys: Sequence[str], order: Sequence[str]) -> Window:
     )
 
 
-# A key is hot above HOT_ROWS rows; only the largest MOST_HOT ones are split. A key left out is
-# still computed right, and holds less than one part in MOST_HOT of the table.
-HOT_ROWS = 1_000_000
-MOST_HOT = 4096
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys with most rows, at most MOST_HOT of them: small enough to broadcast by count."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.where(F.col("_n") > HOT_ROWS).orderBy(F.col("_n").desc()).limit(MOST_HOT)
-    return top.select(*keys, F.lit(True).alias("_hot"))
-
-
-def blocked(
-    df: DataFrame, keys: Sequence[str], block: Column, counted_on: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """All rows with the block of hot keys' rows (null for other rows), and the hot rows alone.
-
-    The hot rows come from an inner join: without hot keys, re-planning drops that branch unread.
-    ``counted_on`` is a cheaper table with at least as many rows per key, if there is one.
-    """
-    hot = F.broadcast(hot_keys(df if counted_on is None else counted_on, keys))
-    joined = df.join(hot, list(keys), "left")
-    tagged = joined.select(*df.columns, F.when(F.col("_hot"), block).alias(BLOCK))
-    return tagged, df.join(hot, list(keys)).select(*df.columns, block.alias(BLOCK))
-
-
 def positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,16 +40,15 @@ def positions(
     block: Column,
     name: str,
     counted: Column | None = None,
-    counted_on: DataFrame | None = None,
 ) -> DataFrame:
     """Zero-based position of each row within its keys along the order columns.
 
-    With ``counted`` only such rows count. ``block`` must not decrease along the order. Totals are
-    taken of hot keys only; they share the rows' partitioning, so the join moves just the totals.
+    With ``counted`` only such rows count. ``block`` must not decrease along the order. Rows are shuffled once by
+    (key, block); block totals are summed before they move, and only they are ordered along the whole key.
     """
-    tagged, hot = blocked(df, keys, block, counted_on)
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    totals = hot.groupBy(*keys, BLOCK).agg(F.sum(one).alias("_total"))
+    tagged = df.withColumn(BLOCK, block)
+    totals = tagged.groupBy(*keys, BLOCK).agg(F.sum(one).alias("_total"))
     offsets = totals.select(
         *keys, BLOCK, F.sum("_total").over(before(keys, [BLOCK])).alias("_offset")
     )
@@ -89,10 +61,9 @@ def positions(
 
 
 def block_count(df: DataFrame) -> int:
-    """Blocks to cut a whole table or group into: as many as there are shuffle partitions, within
-    limits that keep the list of boundaries small."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(partitions, 64), 2048)
+    """Blocks to cut a whole table or group into: as many as the session has shuffle partitions, which
+    is where a table's size is stated, and 64 at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64)
 
 
 def quantile_bounds(c: Column, blocks: int) -> Column:
@@ -115,34 +86,18 @@ def bound_block(c: Column, bounds: Column) -> Column:
     return at + F.size(F.filter(F.slice(some, at + 1, F.lit(_STRIDE)), lambda b: b < c))
 
 
-def literal_block(c: Column, bounds: Sequence[float]) -> Column:
-    """The same for known boundaries, as a balanced tree of comparisons in generated code."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c > bounds[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return search(0, len(bounds))
-
-
 def dense_order(
     df: DataFrame, order: str, name: str = "ord", blocks: int | None = None
 ) -> DataFrame:
     """Zero-based rank by a unique numeric column over the whole table.
 
-    The boundaries are fetched once (a number per block), so rows and block totals agree on them
-    whatever gets recomputed; the joined totals have at most a row per block.
+    The boundaries are one scalar subquery that rows and block totals share; the joined totals have
+    at most a row per block. No job runs while the plan is built.
     """
     value = F.col(order).cast("double")
-    row = df.agg(quantile_bounds(value, blocks or block_count(df)).alias("b")).first()
-    bounds = sorted(set(row["b"] or []))
-    if len(bounds) <= 128:
-        block = literal_block(value, bounds)
-    else:
-        block = bound_block(value, F.lit(bounds))
-    tagged = df.withColumn(BLOCK, block)
+    cuts = df.agg(F.array_distinct(quantile_bounds(value, blocks or block_count(df)))).scalar()
+    tagged = df.withColumn("_cuts", cuts).withColumn(BLOCK, bound_block(value, F.col("_cuts")))
+    tagged = tagged.drop("_cuts")
     totals = tagged.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_total"))
     offsets = totals.select(
         BLOCK,
@@ -150,13 +105,20 @@ def dense_order(
     )
     within = Window.partitionBy(BLOCK).orderBy(order)
     local = tagged.withColumn(name, F.row_number().over(within))
-    joined = local.join(F.broadcast(offsets), BLOCK)
+    joined = local.join(offsets, BLOCK)
     out = [c for c in df.columns if c != name]
     return joined.select(*out, (F.col(name) - 1 + F.col("_offset")).cast("long").alias(name))
 
 
 def read_order(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Dense row numbers in the order a scan yields its rows (one offset per input split)."""
+    """Dense row numbers in the order a scan yields its rows (one offset per input split).
+
+    Numbers of splits must mean the same in both readings of the input, which a scan guarantees and
+    a shuffled input does not: anything but a scan with projections and filters is refused.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"^[\s+:-]*(Aggregate|Join|Window|Sort|Repartition|Generate|Distinct|Union|.*Limit)", plan, re.M):
+        raise ValueError("read_order numbers the rows of a scan only; write the rows first")
     tagged = df.withColumn("_id", F.monotonically_increasing_id())
     split = F.shiftright("_id", 33)
     totals = tagged.groupBy(split.alias("_split")).agg(F.count(F.lit(1)).alias("_total"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 METRICS = ["accuracy", "logic", "relevance", "coherence", "conciseness"]
@@ -40,7 +40,7 @@ RESPONSES = T.StructType(
         T.StructField("target_length", T.IntegerType()),
         T.StructField("lm_loss", T.DoubleType()),
         T.StructField("token_logprobs", T.ArrayType(T.DoubleType())),
-        T.StructField("arrival", T.LongType()),
+        T.StructField("arrival", T.StringType()),
         T.StructField("run_key", T.StringType()),
     ]
 )
@@ -72,15 +72,23 @@ ROUNDS = T.StructType(
 )
 
 
+def arrival(number: Column) -> Column:
+    """A number as an arrival mark: marks are compared as text."""
+    return F.lpad(number.cast("string"), 20, "0")
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast to a schema by column name; absent columns become typed nulls."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    have = dict(df.dtypes)
+
+    def column(f: T.StructField) -> Column:
+        if f.name not in have:
+            return F.lit(None)
+        if f.name == "arrival" and have[f.name] in ("int", "bigint"):
+            return arrival(F.col(f.name))
+        return F.col(f.name)
+
+    return df.select(*[column(f).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def as_problems(df: DataFrame) -> DataFrame:

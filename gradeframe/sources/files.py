@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from gradeframe.functions.text import json_string
 from gradeframe.operators.judge import parse_judge
-from gradeframe.schemas import MESSAGES, RESPONSES, conform
+from gradeframe.schemas import MESSAGES, RESPONSES, arrival, conform
 
 _MESSAGE_LIST = "array<struct<role:string,content:string>>"
 _REQUEST = {
@@ -35,7 +35,7 @@ def _ddl(fields: dict[str, str], colon: str = ":") -> str:
     return ",".join(f"{name}{colon}{kind}" for name, kind in fields.items())
 
 
-_LINE = f"request struct<{_ddl(_REQUEST)}>, response struct<{_ddl(_RESPONSE)}>"
+_LINE = f"request struct<{_ddl(_REQUEST)}>, response struct<{_ddl(_RESPONSE)}>, arrival string"
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -46,14 +46,16 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 def read_responses(spark: SparkSession, path: str, run_key: str | None = None) -> DataFrame:
     """JSON lines {request, response}, in whichever response mode.
 
-    ``arrival`` orders the lines of a file: a split's byte offset plus the row's index in its
-    task. A split has fewer lines than bytes, so later splits stay above earlier ones.
+    ``arrival`` is the mark a line brings along, or else its place: the file's name, then a split's
+    byte offset plus the row's index in its task. A split has fewer lines than bytes, so later splits
+    stay above earlier ones.
     """
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    place = arrival(F.col("_metadata.file_block_start") + index)
     lines = spark.read.schema(_LINE).json(path).select(
         "request",
         "response",
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_index"),
+        F.coalesce("arrival", F.concat_ws("/", "_metadata.file_name", place)).alias("arrival"),
     )
     r = F.col("response")
     rows = lines.select(
@@ -68,7 +70,7 @@ def read_responses(spark: SparkSession, path: str, run_key: str | None = None) -
         r["target_length"].alias("target_length"),
         r["lm_loss"].alias("lm_loss"),
         F.from_json(r["loglikelihood"], "array<double>").alias("token_logprobs"),
-        (F.col("_start") + F.col("_index")).alias("arrival"),
+        "arrival",
         F.lit(run_key).cast("string").alias("run_key"),
     )
     return rows
@@ -87,12 +89,16 @@ def write_responses(df: DataFrame, path: str, run_key: str) -> None:
 
 
 def write_response_lines(df: DataFrame, path: str) -> None:
-    """Responses as JSON lines {request, response}."""
+    """Responses as JSON lines {request, response}, with the arrival mark of rows that have one, as
+    the order over several files would be lost otherwise."""
     fields = ["generated_text", "loglikelihood", "target_length", "lm_loss", "token_logprobs"]
     kept = [c for c in df.columns if c not in (*fields, "arrival", "run_key")]
+    kind = dict(df.dtypes).get("arrival")
+    mark = F.col("arrival") if kind == "string" else arrival(F.col("arrival")) if kind else None
     df.select(
         F.struct(*kept).alias("request"),
         F.struct(*[c for c in fields if c in df.columns]).alias("response"),
+        *([mark.alias("arrival")] if mark is not None else []),
     ).write.mode("overwrite").json(path)
 
 

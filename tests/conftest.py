@@ -29,6 +29,5 @@ def spark():
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    """Every key with more than three rows is hot, and a block has four order values."""
-    monkeypatch.setattr(ordered, "HOT_ROWS", 3)
+    """A block has four order values."""
     monkeypatch.setattr(ordered, "BLOCK_BITS", 2)

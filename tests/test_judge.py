@@ -56,7 +56,19 @@ def test_nothing_to_parse(spark, text):
         ('{"overall_score": 3, /* c */ // d\n}', 3.0),
         ("{'overall_score': 2}", 2.0),
         ("{overall_score: 2}", 2.0),
-        ('x {"overall_score": 1} y {"overall_score": 2} z', 1.0),
+        ('x {"overall_score": 1} y {"overall_score": 2} z', None),
+        ('{"overall_score": 1} text {x}', None),
+        ('{"overall_score": 1}, {"overall_score": 1}', None),
+        ('{"overall_score": +3}', 3.0),
+        ('{"comment": "+3 .5 0x3, 3.", "overall_score": .5}', 0.5),
+        ('{"overall_score":-.5}', -0.5),
+        ('{"overall_score": 3.}', 3.0),
+        ('{"overall_score": 3.,}', 3.0),
+        ('{"overall_score": 0x3}', 3.0),
+        ('{"comment": \'it is 0x3\', "overall_score":-0X1f}', -31.0),
+        ('{"overall_score": Infinity}', float("inf")),
+        ('{"overall_score": +Infinity}', float("inf")),
+        ('{"overall_score": 5e-1}', 0.5),
         ('{"comment": "a\nb", "overall_score": 2}', 2.0),
     ],
 )
@@ -72,3 +84,14 @@ def test_commas_inside_strings_stay(spark):
 def test_non_object_metric_is_null_and_the_rest_stays(spark):
     row = judged(spark, '{"accuracy": 3, "logic": {"score": 2}, "overall_score": 1}')
     assert (row.accuracy.score, row.logic.score, row.overall_score) == (None, 2.0, 1.0)
+
+
+def test_strings_keep_their_numbers(spark):
+    row = judged(spark, '{"comment": "+3 .5 0x3, 3.", "overall_score": 0x2,}')
+    assert (row.comment, row.overall_score) == ("+3 .5 0x3, 3.", 2.0)
+
+
+def test_names_of_text_scores(spark):
+    row = judged(spark, '{"accuracy": {"score": "3"}, "logic": {"score": 3}, "coherence": {"score": null}, "overall_score": "N/A"}')
+    assert row.texts == ["accuracy", "overall"] and (row.accuracy.score, row.overall_score) == (3.0, None)
+    assert judged(spark, "none").texts == []

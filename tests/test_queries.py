@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_point
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +21,9 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_oracles_name_queries():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"fewshot_sample"}
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_fewshot_sample_does_not_depend_on_partitioning(spark):

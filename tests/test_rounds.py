@@ -187,3 +187,18 @@ def test_interactive_results(spark, data):
     assert result["overall"]["overall_score"]["nonempty_values"] == len(scores)
     assert result["overall"]["overall_score"]["mean"] == pytest.approx(sum(scores) / len(scores))
     assert len(result["rounds"]) == max(len(rows) for rows in kept.values())
+
+
+def test_strict_scores_know_no_text(spark):
+    from gradeframe.operators.judge import parse_judge
+
+    texts = ['{"accuracy": {"score": 4}, "logic": {"score": 3}, "overall_score": 2}',
+             '{"accuracy": {"score": "N/A"}, "logic": {"score": "3"}, "overall_score": true}',
+             '{"accuracy": {"score": 1}, "logic": {"score": 1}, "overall_score": 1}']
+    raw = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "conv_id string, round int, content string")
+    wide = rounds.conversation_wide(parse_judge(raw), strict=True).first()
+    assert (wide.accuracy_score, wide.logic_score) == (None, None) and (wide.accuracy_min, wide.accuracy_max) == (1.0, 4.0)
+    assert wide.overall_score == pytest.approx(decayed([2.0, 1.0, 1.0]))
+    loose = rounds.conversation_wide(parse_judge(raw)).first()
+    assert loose.logic_score == pytest.approx(decayed([3.0, 3.0, 1.0]))
+    assert loose.accuracy_score == pytest.approx(decayed([4.0, 1.0]))
