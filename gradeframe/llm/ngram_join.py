@@ -73,7 +73,7 @@ def _ordered(value: np.ndarray, first: np.ndarray, known: Filter) -> tuple[np.nd
     """For each row's shingles from rare to frequent: the order, levels in it, and position in the row."""
     level = known.level(value)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((value, np.maximum(level, 1), row))
+    order = np.lexsort((value, level, row))
     return order, level[order], np.arange(len(value)) - first[:-1][row]
 
 
