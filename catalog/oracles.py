@@ -698,20 +698,31 @@ oracle("batch_inference", f"""WITH {DIALOGUE}
 SELECT conv_id || '-' || CAST(seq AS VARCHAR) AS uuid, CASE WHEN seq % 2 = 0 THEN 'stored'
   ELSE 'len ' || CAST(length(content) AS VARCHAR) END AS generated_text, 'run' AS run_key
 FROM turns""")
-oracle("multi_round", f"""WITH {DIALOGUE}, f AS (SELECT conv_id, CAST(length(content) AS INT) AS size
-    FROM turns WHERE seq = 0),
+MULTI = DIALOGUE + """, f AS (SELECT conv_id || '/' || CAST(seq AS VARCHAR) AS conv_id,
+    CAST(length(content) AS INT) AS size FROM turns),
 rounds AS (SELECT *, unnest([0, 1, 2]) AS round FROM f),
 stops AS (SELECT *, (size + 4 + 2 * round) % 7 = 0 AS stop FROM rounds),
 alive AS (SELECT *, coalesce(bool_or(stop) OVER (PARTITION BY conv_id ORDER BY round
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM stops),
-x AS (SELECT *, 'Q' || CAST(2 + 2 * round AS VARCHAR) AS ask FROM alive WHERE NOT over)
-SELECT conv_id, CAST(round * 3 AS INT) AS seq, CAST(round AS INT) AS round,
-  'interactor' AS party, ask AS content FROM x
+x AS (SELECT *, 'Q' || CAST(2 + 2 * round AS VARCHAR) AS ask FROM alive WHERE NOT over)"""
+
+
+def said(ask: str, where: str = "true") -> str:
+    return f"""SELECT conv_id, CAST(round * 3 AS INT) AS seq, CAST(round AS INT) AS round,
+  'interactor' AS party, {ask} AS content FROM x WHERE {where}
 UNION ALL SELECT conv_id, round * 3 + 1, round, 'candidate',
-  CAST(size AS VARCHAR) || ' for ' || ask FROM x
+  CAST(size AS VARCHAR) || ' for ' || {ask} FROM x WHERE {where}
 UNION ALL SELECT conv_id, round * 3 + 2, round, 'evaluator', 'so {{"overall_score": '
   || CAST(size % 5 AS VARCHAR) || ', "stop_conversation": '
-  || CASE WHEN stop THEN 'true' ELSE 'false' END || '}}' FROM x""")
+  || CASE WHEN stop THEN 'true' ELSE 'false' END || '}}' FROM x WHERE {where}"""
+
+
+oracle("multi_round", f"WITH {MULTI} {said('ask')}")
+oracle("multi_round_resumed", f"""WITH {MULTI}
+{said("CASE WHEN size % 2 = 0 THEN 'stored' ELSE ask END", "round = 0")}""")
+oracle("multi_round_duplicates", f"""WITH {MULTI}
+SELECT conv_id, CAST(count(*) * 6 AS BIGINT) AS turns, CAST(2 AS BIGINT) AS dialogues FROM x
+WHERE round < 2 GROUP BY conv_id""")
 oracle("live_accuracy", f"""WITH {SCORED}
 SELECT concat('run', CAST(answer_idx AS VARCHAR)) AS run_key, CAST(sum(hit) AS BIGINT) AS num_hits,
   count(*) AS num_groups, round(avg(hit), 9) AS accuracy, round(avg(ord % 100 / 10.0), 6) AS avg_loss
@@ -721,3 +732,36 @@ SELECT conv_id, any_value(convs.rounds) AS rounds, any_value(convs.stopped) AS s
   round(max(score) FILTER (metric = 'accuracy'), 6) AS accuracy_score,
   round(max(score) FILTER (metric = 'overall'), 6) AS overall_score
 FROM scores JOIN convs USING (conv_id) GROUP BY conv_id""")
+
+# --- files ------------------------------------------------------------------------------------
+
+oracle("benchmark_split", f"""WITH {PROBLEMS}, n AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS i FROM p0)
+SELECT i AS ord, {uuid_of(extra="'null'")} AS uuid, problem, answer_idx FROM n
+WHERE i % 3 = 0 AND i % 2 = 1""")
+oracle("responses_roundtrip", f"""WITH {MC}
+SELECT uuid, parent_uuid, generated_text, lpad(CAST(ord AS VARCHAR), 20, '0') AS arrival, 'run' AS run_key FROM mc""")
+oracle("response_store", f"WITH {MC} SELECT uuid, parent_uuid, generated_text, 'a' AS run_key FROM mc")
+oracle("request_list", f"""WITH {PROBLEMS}
+SELECT {uuid_of()} AS uuid, problem, array_to_string(choices, ';') AS choices, CAST(ord AS VARCHAR) AS answer FROM p0""")
+oracle("predictions_sink", f"WITH {SCORED} SELECT uuid, prediction_index, hit FROM scored")
+oracle("choice_predictions_sink", f"WITH {SCORED} SELECT uuid, hits, n FROM grouped")
+oracle("interactive_results", f"""WITH {JUDGE}, l AS ({long_scores('kept', False)})
+SELECT 'key' AS hash, CAST(round AS VARCHAR) AS round,
+  CASE metric WHEN 'overall' THEN 'overall_score' ELSE metric END AS metric,
+  count(v) AS nonempty_values, round(avg(v), 9) AS mean, min(v) AS min, max(v) AS max
+FROM l WHERE v IS NOT NULL GROUP BY round, metric""")
+oracle("validated_ids", f"""WITH {MC}, o AS (SELECT uuid, CAST(floor(ord / 10) AS BIGINT) % 3 AS part FROM mc
+  WHERE parent_uuid IS NULL)
+SELECT uuid, CASE part WHEN 0 THEN 'kept' ELSE 'missing' END AS kind FROM o WHERE part <> 1""")
+oracle("results_scan", f"""WITH {SCORED}, a AS (SELECT concat('m', CAST(answer_idx AS VARCHAR)) AS model,
+    concat('d', CAST(CAST(floor(ord / 10) AS BIGINT) % 3 AS VARCHAR)) AS dataset,
+    round(sum(hit) / count(*), 9) AS accuracy FROM scored GROUP BY 1, 2)
+SELECT CAST(0 AS INT) AS pos, 'simple_multiple_choice:a' AS key, accuracy, CAST(NULL AS VARCHAR) AS hash FROM a
+UNION ALL SELECT 1, 'interactive_evaluation_step:b', NULL, model || '-' || dataset FROM a""")
+oracle("samples_scan", f"""WITH {DIALOGUE}
+SELECT party AS role, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM turns GROUP BY party""")
+_CONTEXT = ORACLES["dataset_fingerprint"]
+_RUN = "'$type: openai$openai_model: ' || model || '$generation_config: {{}}$context_hash: ' || fingerprint"
+oracle("run_keys", f"""WITH {MC}, m AS (SELECT concat('m', CAST(answer_idx AS VARCHAR)) AS model, count(*) AS n FROM mc
+  GROUP BY 1), f AS ({_CONTEXT})
+SELECT model, m.n, {digest(_RUN.format())} AS run_key FROM m, f""")

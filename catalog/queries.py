@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog import fixtures as fx
 from gradeframe.functions import messages as msg
-from gradeframe.functions.identity import fingerprint, role_label
+from gradeframe.functions.identity import fingerprint, role_label, run_key
 from gradeframe.functions.scores import sequence_loss, target_loglik
 from gradeframe.operators import board, choice, cloze, contamination, dialogue, expand, judge
 from gradeframe.operators import render, rounds
@@ -20,7 +20,7 @@ from gradeframe.plans.ordered import dense_order
 from gradeframe.schemas import METRICS, RESPONSES, arrival, conform
 from gradeframe.session import fresh_dir, tune
 from gradeframe.sources import files
-from gradeframe.sources.benchmarks import normalize
+from gradeframe.sources.benchmarks import normalize, read_benchmark
 from gradeframe.streaming import live
 from gradeframe.templates import CHOICE_TEMPLATES, prompter
 
@@ -950,14 +950,10 @@ def _register_stand_ins() -> None:
     """Stand-ins for models. Nested functions travel to the workers by value, so that executors
     need not have this package."""
 
-    def by_prompt(reply):
-        def run(batches):
-            for pdf in batches:
-                yield pd.DataFrame(
-                    {"uuid": pdf["uuid"], "generated_text": pdf["prompt"].map(reply)}
-                )
-
-        return run
+    def prompt_length(batches):
+        for pdf in batches:
+            text = "len " + pdf["prompt"].str.len().astype(str)
+            yield pd.DataFrame({"uuid": pdf["uuid"], "generated_text": text})
 
     def by_messages(reply):
         def run(batches):
@@ -978,7 +974,7 @@ def _register_stand_ins() -> None:
         stop = (size + len(messages)) % 7 == 0
         return "so " + json.dumps({"overall_score": size % 5, "stop_conversation": stop})
 
-    register_responder("prompt_length", by_prompt(lambda text: f"len {len(text)}"))
+    register_responder("prompt_length", prompt_length)
     register_responder("ask", by_messages(ask))
     register_responder("answer", by_messages(answer))
     register_responder("verdict", by_messages(verdict))
@@ -1001,14 +997,12 @@ def batch_inference(spark, sf):
     return out.select("uuid", "generated_text", "run_key")
 
 
-@query("multi_round")
-def multi_round(spark, sf):
-    """Three-party dialogues seeded with the first turn of every conversation."""
-    _register_stand_ins()
-    first = fx.dialogue_turns(spark, sf).where(F.col("seq") == 0)
+def _seeds(spark, sf) -> DataFrame:
+    """A seed for every turn of every conversation."""
+    turns = fx.dialogue_turns(spark, sf)
     text = F.col("content")
-    seeds = first.select(
-        "conv_id",
+    return turns.select(
+        F.concat("conv_id", F.lit("/"), F.col("seq").cast("string")).alias("conv_id"),
         F.array(msg.message("system", F.lit("ask")), msg.message("user", text)).alias("interactor"),
         F.array(
             msg.message("system", F.lit("answer")),
@@ -1021,9 +1015,183 @@ def multi_round(spark, sf):
             msg.message("assistant", F.lit("{}")),
         ).alias("evaluator"),
     )
-    names = {"interactor": "ask", "candidate": "answer", "evaluator": "verdict"}
-    turns, _ = run_dialogue(seeds, names, max_rounds=3)
-    return turns
+
+
+_PARTIES = {"interactor": "ask", "candidate": "answer", "evaluator": "verdict"}
+
+
+@query("multi_round")
+def multi_round(spark, sf):
+    """Three-party dialogues, one seeded with each turn of every conversation."""
+    _register_stand_ins()
+    turns, _ = run_dialogue(_seeds(spark, sf), _PARTIES, max_rounds=3)
+    return turns.drop("row")
+
+
+@query("multi_round_duplicates")
+def multi_round_duplicates(spark, sf):
+    """Seeds that share a conversation's id are dialogues of their own."""
+    _register_stand_ins()
+    seeds = _seeds(spark, sf)
+    turns, _ = run_dialogue(seeds.unionByName(seeds), _PARTIES, max_rounds=2)
+    return turns.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.countDistinct("row").alias("dialogues")
+    )
+
+
+@query("multi_round_resumed")
+def multi_round_resumed(spark, sf):
+    """Half of the first round's questions are stored beforehand: these are not asked again."""
+    _register_stand_ins()
+    seeds, out = _seeds(spark, sf), fresh_dir(spark, "resumed")
+    even = F.length(F.get("interactor", F.lit(1))["content"]) % 2 == 0
+    stored = seeds.where(even).select(
+        F.col("conv_id").alias("uuid"), F.lit("stored").alias("generated_text"), F.lit("interactor-0").alias("run_key")
+    )
+    conform(stored, RESPONSES).write.partitionBy("run_key").parquet(f"{out}/responses")
+    turns, _ = run_dialogue(seeds, _PARTIES, max_rounds=1, out=out)
+    return turns.drop("row")
+
+
+# --- files -----------------------------------------------------------------------------------
+
+
+@query("benchmark_split")
+def benchmark_split(spark, sf):
+    """A split and configuration of a stored benchmark."""
+    part = F.col("ord") % 3
+    rows = _shape("mmlu", _raw(spark, sf, "mmlu")).withColumn("split", F.when(part == 0, "test").otherwise("train"))
+    rows = rows.withColumn("config", F.concat(F.lit("c"), (F.col("ord") % 2).cast("string")))
+    path = fresh_dir(spark, "benchmark")
+    rows.write.partitionBy("config", "split").parquet(path)
+    return read_benchmark(spark, path, "mmlu", split="test", config="c1").select("ord", "uuid", "problem", "answer_idx")
+
+
+@query("responses_roundtrip")
+def responses_roundtrip(spark, sf):
+    """Responses written as lines and read again."""
+    path = fresh_dir(spark, "lines")
+    rows = fx.mc_instances(spark, sf).select("uuid", "parent_uuid", "generated_text", F.col("ord").alias("arrival"))
+    files.write_response_lines(rows, path)
+    return files.read_responses(spark, path, "run").select("uuid", "parent_uuid", "generated_text", "arrival", "run_key")
+
+
+@query("response_store")
+def response_store(spark, sf):
+    """Two runs in a store, one of them written twice; one run is read."""
+    path = fresh_dir(spark, "store")
+    rows = fx.mc_instances(spark, sf).select("uuid", "parent_uuid", "generated_text", "ord")
+    for key, text in (("a", F.lit("old")), ("b", F.lit("other")), ("a", F.col("generated_text"))):
+        files.write_responses(rows.withColumn("generated_text", text), path, key)
+    return files.stored_responses(spark, path, "a").select("uuid", "parent_uuid", "generated_text", "run_key")
+
+
+@query("request_list")
+def request_list(spark, sf):
+    """Requests read from JSON arrays."""
+    rows = fx.mc_problems(spark, sf).select("uuid", "problem", "choices", F.col("ord").cast("string").alias("answer"))
+    path = fresh_dir(spark, "requests")
+    arrays = rows.groupBy(F.pmod(F.xxhash64("uuid"), F.lit(64)).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct("uuid", "problem", "choices", "answer"))).alias("value")
+    )
+    arrays.write.partitionBy("part").text(path)
+    return files.read_requests(spark, f"{path}/part=*").select("uuid", "problem", F.array_join("choices", ";").alias("choices"), "answer")
+
+
+@query("predictions_sink")
+def predictions_sink(spark, sf):
+    """Predictions of two steps written beside each other, one read."""
+    path = fresh_dir(spark, "predictions")
+    rows = scored(spark, sf).select("uuid", "prediction_index", "hit")
+    files.write_predictions(rows.where("hit = 1"), path, "hits")
+    files.write_predictions(rows, path, "all")
+    return spark.read.parquet(path).where("step_name = 'all'").select("uuid", "prediction_index", "hit")
+
+
+@query("choice_predictions_sink")
+def choice_predictions_sink(spark, sf):
+    path = fresh_dir(spark, "choice-predictions")
+    files.write_choice_predictions(choice.mc_predictions(scored(spark, sf), "mean"), path)
+    back = spark.read.schema("uuid string, result array<long>").json(path)
+    return back.select("uuid", F.get("result", F.lit(0)).alias("hits"), F.get("result", F.lit(1)).alias("n"))
+
+
+@query("interactive_results")
+def interactive_results(spark, sf):
+    """The result object of all judged rounds, taken apart again."""
+    out = board.interactive_results(judged(spark, sf), "key", {"candidate": "m"})
+    stats = "struct<nonempty_values:long,mean:double,min:double,max:double>"
+    shape = f"struct<rounds:map<string,map<string,{stats}>>,overall:map<string,{stats}>,hash:string>"
+    j = F.from_json("json", shape).alias("j")
+    rounds_ = out.select(j).select("j.hash", F.explode("j.rounds").alias("round", "m"))
+    rows = rounds_.select("hash", "round", F.explode("m").alias("metric", "s"))
+    return rows.where("s.nonempty_values > 0").select(
+        "hash", "round", "metric", "s.nonempty_values", _r("s.mean").alias("mean"), "s.min", "s.max"
+    )
+
+
+@query("validated_ids")
+def validated_ids(spark, sf):
+    """Lists of valid and invalid ids read from JSON objects and applied."""
+    rows = choice.originals(fx.mc_instances(spark, sf))
+    part = F.floor(F.col("ord") / 10) % 3
+    lists = rows.groupBy(F.pmod(F.xxhash64("uuid"), F.lit(16)).alias("file")).agg(
+        F.collect_list(F.when(part == 0, F.col("uuid"))).alias("valid_uuids"),
+        F.collect_list(F.when(part == 1, F.col("uuid"))).alias("invalid_uuids"),
+    )
+    path = fresh_dir(spark, "validated")
+    lists.write.partitionBy("file").json(path)
+    listed = files.read_validated(spark, f"{path}/file=*")
+    kept, missing = dialogue.apply_validated(rows, listed)
+    return kept.select("uuid", F.lit("kept").alias("kind")).unionByName(
+        missing.select("uuid", F.lit("missing").alias("kind"))
+    )
+
+
+@query("results_scan")
+def results_scan(spark, sf):
+    """Result files of all runs, scanned and indexed."""
+    rows = choice.score_answers(fx.mc_runs(fx.mc_instances(spark, sf)), 4)
+    acc = choice.mc_accuracy(rows, "mean", by=["model", "dataset"])
+    path = fresh_dir(spark, "results")
+    one = F.to_json(F.struct(F.round("accuracy", 9).alias("accuracy")))
+    text = F.concat(
+        F.lit('{"simple_multiple_choice:a":'), one,
+        F.lit(',"interactive_evaluation_step:b":{"hash":"'), "model", F.lit("-"), "dataset", F.lit('"}}'),
+    )
+    acc.select("model", "dataset", text.alias("value")).write.partitionBy("model", "dataset").text(path)
+    scanned = files.scan_results(spark, f"{path}/model=*/dataset=*", pattern="part-*")
+    return scanned.select("pos", "key", "accuracy", "hash")
+
+
+@query("samples_scan")
+def samples_scan(spark, sf):
+    """Candidate messages of sample files, the dialogues of a part in each."""
+    turns = fx.dialogue_turns(spark, sf)
+    said = F.struct("conv_id", "seq", F.col("party").alias("role"), F.col("content").alias("content"))
+    listed = turns.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(32)).alias("part")).agg(
+        F.sort_array(F.collect_list(said)).alias("m")
+    )
+    messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    roles = F.struct(F.struct(messages.alias("candidate")).alias("role_messages"))
+    path = fresh_dir(spark, "samples")
+    listed.select("part", F.struct(roles.alias("model_details")).alias("data")).write.partitionBy("part").json(path)
+    return files.scan_samples(spark, f"{path}/part=*").groupBy("role").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("content").cast("long")).alias("chars")
+    )
+
+
+@query("run_keys")
+def run_keys(spark, sf):
+    """Keys of the runs that the responses come from, with the dataset's fingerprint as context."""
+    context = fingerprint(fx.mc_problems(spark, sf), system_prompt="Be brief.").first()["fingerprint"]
+    models = fx.mc_runs(fx.mc_instances(spark, sf)).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    named = F.col("model")
+    key = F.lit(None).cast("string")
+    for m in ("m0", "m1", "m2", "m3"):
+        config = {"type": "openai", "inference_kwargs": {"openai_model": m}}
+        key = F.when(named == m, run_key(config, context)).otherwise(key)
+    return models.select("model", "n", key.alias("run_key"))
 
 
 # --- streaming -------------------------------------------------------------------------------

@@ -2,48 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
 
-from gradeframe.functions.messages import message
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from gradeframe.functions.messages import drop_system, join_text, message, merge_config
 from gradeframe.functions.text import fill, strip
-from gradeframe.operators.inference import Responder, infer
+from gradeframe.operators.inference import Responder, infer, pending
 from gradeframe.operators.judge import parse_judge
-from gradeframe.schemas import RESPONSES, ROLES, TURNS, conform
+from gradeframe.schemas import RESPONSES, ROLES, TURNS
 from gradeframe.session import fresh_dir
 from gradeframe.templates import prompter
 
-
-def _appended(state: DataFrame, additions: dict[str, Column]) -> DataFrame:
-    for role, msg in additions.items():
-        state = state.withColumn(role, F.concat(role, F.array(msg)))
-    return state
-
-
-def _stored(spark, path: str) -> DataFrame | None:
-    """The table at a path, if a job completed it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(hadoop) else None
-
-
-def _replies(state: DataFrame, role: str, step: int, fn, out: str, partitions) -> DataFrame:
-    """One role's replies of a round, written once: later stages and reruns read the table."""
-    spark = state.sparkSession
-    path = f"{out}/responses/role={role}/round={step}"
-    if _stored(spark, path) is None:
-        requests = state.select(F.col("conv_id").alias("uuid"), F.col(role).alias("messages"))
-        replies = infer(requests, fn, f"{role}-{step}", partitions=partitions)
-        replies.write.mode("overwrite").parquet(path)
-    replies = spark.read.schema(RESPONSES).parquet(path)
-    last = replies.groupBy("uuid").agg(F.max_by("generated_text", "arrival").alias("text"))
-    return last.select(F.col("uuid").alias("conv_id"), strip(F.col("text")).alias("_reply"))
+_SAID = ["ask", "answer", "verdict"]
+
+
+def _named_rows(seeds: DataFrame) -> DataFrame:
+    """Seeds with a name of their own: the conversation's id, and a number for later copies of it."""
+    same = Window.partitionBy("conv_id").orderBy(F.md5(F.to_json(F.struct(*ROLES))))
+    copy = F.row_number().over(same)
+    name = F.when(copy == 1, F.col("conv_id")).otherwise(F.concat("conv_id", F.lit("#"), copy.cast("string")))
+    return seeds.select("conv_id", *ROLES, name.alias("row"))
+
+
+def _store(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(RESPONSES).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _view(role: str, evaluator_prompt: str) -> Column:
+    """What a role has seen and said after its seed, from the lists of what all have said."""
+    pairs = F.arrays_zip("asks", "answers", "verdicts")
+    texts = {"ask": lambda t: t["asks"], "answer": lambda t: t["answers"], "verdict": lambda t: t["verdicts"]}
+    if role == "interactor":
+        order = [("assistant", texts["ask"]), ("user", texts["answer"])]
+    elif role == "candidate":
+        order = [("user", texts["ask"]), ("assistant", texts["answer"])]
+    else:
+
+        def pair(t):
+            text = fill(evaluator_prompt, interactor_content=t["asks"], candidate_content=t["answers"])
+            return F.when(t["answers"].isNotNull(), text)
+
+        order = [("user", pair), ("assistant", texts["verdict"])]
+    listed = F.transform(pairs, lambda t: F.array(*[message(r, text(t)) for r, text in order]))
+    # what has not been said yet is null at the end of the lists
+    return F.filter(F.flatten(listed), lambda m: m["content"].isNotNull())
+
+
+def _requests(state: DataFrame, seeds: DataFrame, role: str, prompt: str, post: dict, config: dict) -> DataFrame:
+    """One request per live conversation: messages, their rendered prompt and the generation settings.
+
+    The seed's constant messages are added here and nowhere kept with the state."""
+    joined = state.join(seeds.select("row", F.col(role).alias("_seed")), "row")
+    messages = F.concat("_seed", _view(role, prompt))
+    shown = drop_system(messages) if post.get("remove_system") else messages
+    settings = [F.lit(x) for pair in config.items() for x in pair]
+    given = F.create_map(*settings) if settings else F.lit(None).cast("map<string,string>")
+    return joined.select(
+        F.col("row").alias("uuid"),
+        messages.alias("messages"),
+        join_text(shown, keep_last=False).alias("prompt"),
+        merge_config(given, F.lit(None).cast("map<string,string>")).alias("generation_config"),
+    )
 
 
-def _with_reply(state: DataFrame, replies: DataFrame, name: str) -> DataFrame:
-    """Every conversation with its reply; one without fails the job."""
-    note = F.concat(F.lit("no reply for conversation "), F.col("conv_id"))
+def _replies(
+    requests: DataFrame, key: str, fn: str | Responder, path: str, partitions: int | None, commits: int
+) -> DataFrame:
+    """(row, reply) of one role and round. Only requests without a stored reply are asked; replies are
+    stored in ``commits`` parts, so that a lost job costs one part of the calls at most."""
+    spark = requests.sparkSession
+    stored = _store(spark, path)
+    todo = requests if stored is None else pending(requests.withColumn("run_key", F.lit(key)), stored, key)
+    for part in range(commits):
+        mine = F.pmod(F.xxhash64("uuid"), F.lit(commits)) == part
+        asked = infer(todo.where(mine) if commits > 1 else todo, fn, key, partitions=partitions)
+        asked.write.mode("append").partitionBy("run_key").parquet(path)
+    replies = spark.read.schema(RESPONSES).parquet(path).where(F.col("run_key") == key)
+    return replies.select(F.col("uuid").alias("row"), strip(F.col("generated_text")).alias("_reply"))
+
+
+def _said(state: DataFrame, replies: DataFrame, name: str) -> DataFrame:
+    """Every conversation with its reply at the end of a list; one without a reply fails the job."""
+    note = F.concat(F.lit("no reply for conversation "), F.col("row"))
     reply = F.when(F.col("_reply").isNull(), F.raise_error(note)).otherwise(F.col("_reply"))
-    return state.join(replies, "conv_id", "left").withColumn(name, reply).drop("_reply")
+    joined = state.join(replies, "row", "left")
+    return joined.withColumn(name, F.concat(name, F.array(reply))).drop("_reply")
 
 
 def run_dialogue(
@@ -53,59 +103,55 @@ def run_dialogue(
     out: str | None = None,
     prompts: dict | None = None,
     partitions: int | None = None,
+    post: dict[str, dict] | None = None,
+    generation: dict[str, dict[str, str]] | None = None,
+    commits: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Run the dialogues of ``seeds`` (conv_id and a message array per role).
 
-    Returns (turns, rounds). A conversation is one row whose message arrays grow by a message per
-    reply, so nothing is collected per conversation. Replies, turns and the state of each round
-    are tables below ``out``; they cut the lineage, survive lost executors, and let a rerun with
-    the same ``out`` continue without calling the models again.
+    Returns (turns, rounds), both with ``row``: every seed is a dialogue of its own, also where several
+    have one conv_id. ``post`` ({role: {"remove_system": True}}) shapes a role's rendered prompt,
+    ``generation`` gives its settings; requests carry uuid, messages, prompt and generation_config.
+
+    The state is what has been said: no prompt is stored with it. Replies are one table below ``out``
+    that later runs with the same ``out`` reuse request by request; rounds are written below ``out``, too,
+    which cuts the lineage and survives lost executors.
     """
     if set(responders) != set(ROLES):
         raise ValueError(f"responders must be given for {ROLES}")
     spark = seeds.sparkSession
     out = out or fresh_dir(spark, "dialogue")
-    p = prompts or prompter()
-    state = seeds.select("conv_id", *ROLES).dropDuplicates(["conv_id"])
+    run = f"{out}/runs/{uuid.uuid4().hex}"
+    p, post, generation = prompts or prompter(), post or {}, generation or {}
+    _named_rows(seeds).write.parquet(f"{run}/seeds")
+    rows = spark.read.parquet(f"{run}/seeds")
+    empty = F.array().cast("array<string>")
+    state = rows.select("conv_id", "row", *[empty.alias(c) for c in ("asks", "answers", "verdicts")])
     for step in range(max_rounds):
-        asked = _replies(state, "interactor", step, responders["interactor"], out, partitions)
-        state = _with_reply(state, asked, "_ask")
-        state = _appended(
-            state,
-            {
-                "interactor": message("assistant", F.col("_ask")),
-                "candidate": message("user", F.col("_ask")),
-            },
-        )
-        said = _replies(state, "candidate", step, responders["candidate"], out, partitions)
-        state = _with_reply(state, said, "_answer")
-        pair = fill(
-            p["evaluator_user_prompt"],
-            interactor_content=F.col("_ask"),
-            candidate_content=F.col("_answer"),
-        )
-        state = _appended(
-            state,
-            {
-                "candidate": message("assistant", F.col("_answer")),
-                "interactor": message("user", F.col("_answer")),
-                "evaluator": message("user", pair),
-            },
-        )
-        judged = _replies(state, "evaluator", step, responders["evaluator"], out, partitions)
-        state = _with_reply(state, judged, "_verdict")
-        state = _appended(state, {"evaluator": message("assistant", F.col("_verdict"))})
-        path = f"{out}/state/round={step}"
-        state.withColumn("round", F.lit(step)).write.mode("overwrite").parquet(path)
-        done = parse_judge(spark.read.parquet(path).withColumn("content", F.col("_verdict")))
-        state = done.where(~F.col("stop_conversation")).select("conv_id", *ROLES)
+        for role, name in zip(ROLES, ("asks", "answers", "verdicts")):
+            requests = _requests(
+                state, rows, role, p["evaluator_user_prompt"], post.get(role, {}), generation.get(role, {})
+            )
+            replies = _replies(
+                requests, f"{role}-{step}", responders[role], f"{out}/responses", partitions, commits
+            )
+            state = _said(state, replies, name)
+        path = f"{run}/rounds/round={step}"
+        state.write.parquet(path)
+        state = spark.read.parquet(path)
+        last = state.withColumn("content", F.element_at("verdicts", -1))
+        judged = parse_judge(last.select("conv_id", "row", "asks", "answers", "verdicts", "content"))
+        state = judged.where(~F.col("stop_conversation")).select("conv_id", "row", "asks", "answers", "verdicts")
         if step + 1 == max_rounds or state.isEmpty():
             break
-    steps = spark.read.parquet(*[f"{out}/state/round={s}" for s in range(step + 1)])
-    return _turns(steps), _rounds(steps)
+    steps = spark.read.parquet(*[f"{run}/rounds/round={s}" for s in range(step + 1)])
+    # each round's folder holds what its conversations have said so far; the last entries are the round's
+    said = [F.element_at(c, -1).alias(n) for c, n in zip(("asks", "answers", "verdicts"), _SAID)]
+    number = (F.size("asks") - 1).alias("round")
+    return _turns(steps.select("conv_id", "row", number, *said))
 
 
-def _turns(steps: DataFrame) -> DataFrame:
+def _turns(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = F.array(
         *[
             F.struct(
@@ -113,12 +159,10 @@ def _turns(steps: DataFrame) -> DataFrame:
                 F.lit(role).alias("party"),
                 F.col(c).alias("content"),
             )
-            for i, (role, c) in enumerate(zip(ROLES, ("_ask", "_answer", "_verdict")))
+            for i, (role, c) in enumerate(zip(ROLES, _SAID))
         ]
     )
-    rows = steps.select("conv_id", "round", F.explode(said).alias("t"))
-    return conform(rows.select("conv_id", "t.seq", "round", "t.party", "t.content"), TURNS)
-
-
-def _rounds(steps: DataFrame) -> DataFrame:
-    return parse_judge(steps.select("conv_id", "round", F.col("_verdict").alias("content")))
+    rows = steps.select("conv_id", "row", "round", F.explode(said).alias("t"))
+    turns = rows.select("conv_id", "t.seq", "round", "t.party", "t.content", "row")
+    typed = turns.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TURNS.fields], "row")
+    return typed, parse_judge(steps.select("conv_id", "row", "round", F.col("verdict").alias("content")))

@@ -201,9 +201,9 @@ def read_validated(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_results(spark: SparkSession, path: str) -> DataFrame:
+def scan_results(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Every step of every result file: (file, pos, key, accuracy, hash)."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
     steps = F.map_entries(
         F.from_json("value", "map<string,struct<accuracy:double,hash:string>>")
     )
