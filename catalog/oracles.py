@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gradeframe import templates as t
-from gradeframe.functions.scores import MIN_K
+from catalog import texts as t
+from catalog.texts import MIN_K
 
 ORACLES: dict[str, str] = {}
 
@@ -618,8 +618,7 @@ texts AS (SELECT *, {filled(t.SEED_QUESTION_TEMPLATES["default"], problem="probl
             choice_text="choices[prediction_index + 1]")} AS pred FROM named)"""
 
 
-def openings(config: dict | None = None) -> list[tuple[str, int, str, str]]:
-    p = t.prompter(config)
+def openings(p: dict[str, str]) -> list[tuple[str, int, str, str]]:
     judge_system = p["evaluator_system_prompt"] + p["evaluator_system_prompt_json_example"]
     return [
         ("interactor", 0, "system", q(p["interactor_system_prompt"])),
@@ -638,21 +637,12 @@ def openings(config: dict | None = None) -> list[tuple[str, int, str, str]]:
 
 oracle("opening_messages", f"""WITH {SEEDS}, m AS ({" UNION ALL ".join(
     f"SELECT uuid AS conv_id, '{party}' AS party, CAST({seq} AS INT) AS seq, '{role}' AS role, "
-    f"{content} AS content FROM texts" for party, seq, role, content in openings())})
+    f"{content} AS content FROM texts" for party, seq, role, content in openings(t.PROMPTER))})
 SELECT conv_id, party, seq, role, CAST(length(content) AS INT) AS n_chars,
   md5(content) AS content_md5 FROM m""")
-_CLEAR = {
-    "evaluator": {
-        "system_prompt": "clear",
-        "user_prompt": "add_detailed_criteria",
-        "init_user_prompt": "add_detailed_criteria",
-        "fewshot_prompt": "clear",
-        "system_prompt_json_example": "clear",
-    }
-}
 oracle("seed_conversations", f"""WITH {SEEDS}
 SELECT uuid AS conv_id, 'remote_hf: m' AS candidate_name,
-  md5({" || ".join(f"{c} || {SEP}" for party, _, _, c in openings(_CLEAR)
+  md5({" || ".join(f"{c} || {SEP}" for party, _, _, c in openings(t.CLEAR_PROMPTER)
                    if party == "evaluator")}) AS evaluator_md5,
   pred AS prediction FROM texts WHERE parent_uuid IS NULL""")
 oracle("validated_filter", f"""WITH {MC}
