@@ -23,20 +23,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: The temporary folders of local sessions that set none, by application.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: the cluster's checkpoint folder.
 
-    Only a local master, where driver and executors are one machine, may fall back to a fresh
-    temporary folder.
+    Only a local master, where driver and executors are one machine, may leave it unset; a temporary
+    folder then stands in for it, and the session's settings stay as they are.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        path = tempfile.mkdtemp(prefix="gradeframe-")
-        spark.sparkContext.setCheckpointDir(path)
+        path = _local.get(context.applicationId) or tempfile.mkdtemp(prefix="gradeframe-")
+        _local[context.applicationId] = path
     return path.rstrip("/")
 
 

@@ -1,11 +1,15 @@
 """Live scoreboards: response and judge files scored as they arrive.
 
-Each micro-batch writes the groups it changed below ``sink/batch_id=N``; a repeated batch replaces
-its own folder, so results are exactly-once. Readers take the newest row per group.
+Each micro-batch writes the groups it changed below ``sink/batches/batch_id=N``; a repeated batch replaces
+its own folder, so results are exactly-once. Every ``COMPACT`` batches the newest rows of all groups are
+written as a snapshot below ``sink/snapshots``. Readers take the newest snapshot and the batches after it,
+and of these the newest row per group. State is kept in RocksDB, on the executors' disks and in the
+checkpoint, not on their heaps.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +25,21 @@ RESPONSE_LINE = (
 ROUND_LINE = "conv_id string, round int, content string"
 
 
-def _start(changed: DataFrame, write, checkpoint: str) -> StreamingQuery:
+COMPACT = 16
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _start(changed: DataFrame, sink: str, keys: list[str], checkpoint: str, shape=None) -> StreamingQuery:
+    """Writes what each batch changed, as ``shape`` makes it of the batch."""
+    changed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = shape(batch) if shape else batch
+        rows.write.mode("overwrite").parquet(f"{sink}/batches/batch_id={batch_id}")
+        if batch_id % COMPACT == COMPACT - 1:
+            newest = _newest(batch.sparkSession, sink, keys, batch_id)
+            newest.write.mode("overwrite").parquet(f"{sink}/snapshots/upto={batch_id}")
+
     return (
         changed.writeStream.outputMode("update")
         .foreachBatch(write)
@@ -31,8 +49,24 @@ def _start(changed: DataFrame, write, checkpoint: str) -> StreamingQuery:
     )
 
 
-def _newest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
-    rows = spark.read.parquet(sink)
+def _newest(spark: SparkSession, sink: str, keys: list[str], upto: int | None = None) -> DataFrame:
+    """The newest row per group; with ``upto`` as of that batch."""
+    rows = spark.read.parquet(f"{sink}/batches")
+    if upto is not None:
+        rows = rows.where(F.col("batch_id") <= upto)
+    try:
+        snapshots = spark.read.parquet(f"{sink}/snapshots")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        snapshots = None
+    if snapshots is not None:
+        if upto is not None:  # a repeated batch makes its own snapshot anew
+            snapshots = snapshots.where(F.col("upto") < upto)
+        last = snapshots.agg(F.max("upto")).first()[0]
+        if last is not None:
+            kept = snapshots.where(F.col("upto") == last).withColumnRenamed("upto", "batch_id")
+            rows = rows.where(F.col("batch_id") > last).unionByName(kept)
     values = [c for c in rows.columns if c not in (*keys, "batch_id")]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_r"))
     return last.select(*keys, "_r.*")
@@ -65,11 +99,7 @@ def live_accuracy(
         F.count(F.lit(1)).alias("num_groups"),
         F.avg("lm_loss").alias("avg_loss"),
     )
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
-    return _start(running, write, checkpoint)
+    return _start(running, sink, ["run_key"], checkpoint)
 
 
 def read_accuracy(spark: SparkSession, sink: str) -> DataFrame:
@@ -95,7 +125,7 @@ def live_rounds(
         F.collect_list(entry).alias("entries")
     )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def sums(batch: DataFrame) -> DataFrame:
         rows = batch.select("conv_id", F.explode("entries").alias("e")).select("conv_id", "e.*")
         shaped = rows.select(
             "conv_id",
@@ -104,9 +134,9 @@ def live_rounds(
             *[F.struct(F.col(m).alias("score")).alias(m) for m in METRICS],
             F.col("overall").alias("overall_score"),
         )
-        block_sums(shaped).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        return block_sums(shaped)
 
-    return _start(lists, write, checkpoint)
+    return _start(lists, sink, ["conv_id", BLOCK], checkpoint, sums)
 
 
 def read_rounds(spark: SparkSession, sink: str) -> DataFrame:

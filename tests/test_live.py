@@ -59,3 +59,19 @@ def test_rounds_in_any_order_equal_the_batch(spark, tmp_path, small_blocks):
         assert (g.rounds, g.stopped, g.accuracy_n) == (w.rounds, w.stopped, w.accuracy_n)
         assert g.accuracy_score == pytest.approx(w.accuracy_score)
         assert g.overall_score == pytest.approx(w.overall_score)
+
+
+def test_snapshots_stand_in_for_old_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 2)
+    problems = spark.createDataFrame(
+        [(f"p{i}", None, None, 0) for i in range(5)],
+        "uuid string, parent_uuid string, permutation array<int>, answer_idx int")
+    src, sink, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    for i in range(5):
+        put(src, f"{i}.json", [{"run_key": f"r{i % 2}", "uuid": f"p{i}", "generated_text": "A", "lm_loss": 1.0}])
+        live.live_accuracy(spark, str(src), problems, sink, state, 2).awaitTermination()
+    assert (tmp_path / "out" / "snapshots" / "upto=3").exists()
+    for old in (0, 1, 2, 3):  # no longer read
+        (tmp_path / "out" / "batches" / f"batch_id={old}").rename(tmp_path / f"gone-{old}")
+    got = {r.run_key: r.num_groups for r in live.read_accuracy(spark, sink).collect()}
+    assert got == {"r0": 3, "r1": 2}
