@@ -82,3 +82,49 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b F
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) m ON m.a = d.doc_id
 """
+
+# The sentences and rules are fixed values, stated here once more as SQL.
+_IDENTIFIER = """CASE s
+  WHEN 'released under the mit license' THEN 'mit-notice' WHEN 'licensed under the mit license' THEN 'mit-notice'
+  WHEN 'this project is licensed under the mit license' THEN 'mit-notice'
+  WHEN 'permission is hereby granted free of charge to any person obtaining a copy' THEN 'mit-grant'
+  WHEN 'the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software' THEN 'mit-keep-notice'
+  WHEN 'the software is provided as is without warranty of any kind' THEN 'as-is'
+  WHEN 'licensed under the apache license version 2 0' THEN 'apache-2-notice'
+  WHEN 'you may not use this file except in compliance with the license' THEN 'apache-compliance'
+  WHEN 'you may obtain a copy of the license at' THEN 'apache-copy'
+  WHEN 'redistribution and use in source and binary forms with or without modification are permitted' THEN 'bsd-grant'
+  WHEN 'redistributions of source code must retain the above copyright notice' THEN 'bsd-source'
+  WHEN 'redistributions in binary form must reproduce the above copyright notice' THEN 'bsd-binary'
+  WHEN 'this work is licensed under the gnu general public license version 3' THEN 'gpl-3-notice'
+  WHEN 'licensed under the gnu general public license version 3' THEN 'gpl-3-notice'
+  WHEN 'this program is free software' THEN 'gpl-free'
+  WHEN 'you can redistribute it and or modify it under the terms of the gnu general public license' THEN 'gpl-terms'
+  WHEN 'licensed under cc by 4 0' THEN 'cc-by-4-notice' WHEN 'licensed under cc by sa 4 0' THEN 'cc-by-sa-4-notice'
+  WHEN 'licensed under cc by nc 4 0' THEN 'cc-by-nc-4-notice' WHEN 'all rights reserved' THEN 'reserved' END"""
+_NAMED = """[
+  CASE WHEN contains(l, '|mit-notice|') OR contains(l, '|mit-grant|mit-keep-notice|as-is|') THEN 'MIT' END,
+  CASE WHEN contains(l, '|apache-2-notice|') OR contains(l, '|apache-compliance|apache-copy|') THEN 'Apache-2.0' END,
+  CASE WHEN contains(l, '|bsd-grant|bsd-source|bsd-binary|') THEN 'BSD' END,
+  CASE WHEN contains(l, '|gpl-3-notice|') THEN 'GPL-3.0' END,
+  CASE WHEN contains(l, '|gpl-free|gpl-terms|') THEN 'GPL' END,
+  CASE WHEN contains(l, '|cc-by-4-notice|') THEN 'CC-BY-4.0' END,
+  CASE WHEN contains(l, '|cc-by-sa-4-notice|') THEN 'CC-BY-SA-4.0' END,
+  CASE WHEN contains(l, '|cc-by-nc-4-notice|') THEN 'CC-BY-NC-4.0' END,
+  CASE WHEN contains(l, '|reserved|') THEN 'Proprietary' END]"""
+
+ORACLES["op5_licences"] = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(list_transform(
+      string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)),
+      lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS sentences FROM documents),
+i AS (SELECT *, list_filter(list_transform(sentences, lambda s: {_IDENTIFIER}), lambda x: x IS NOT NULL) AS ids FROM d),
+n AS (SELECT *, '|' || array_to_string(ids, '|') || '|' AS l FROM i),
+f AS (SELECT *, list_filter({_NAMED}, lambda x: x IS NOT NULL) AS names FROM n)
+SELECT doc_id, len(sentences)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+  array_to_string(names, ',') AS licences,
+  CASE WHEN list_has_any(names, ['CC-BY-NC-4.0', 'Proprietary']) THEN 'restricted'
+    WHEN list_has_any(names, ['GPL-3.0', 'GPL', 'CC-BY-SA-4.0']) THEN 'copyleft'
+    WHEN len(names) > 0 THEN 'permissive' ELSE 'none' END AS kind
+FROM f
+"""
