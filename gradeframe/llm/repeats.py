@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradeframe.llm import text as tx
 
 MOST_BITS = 1 << 28
-_FLUSH = 3_000_000
+_FLUSH = 1_200_000
 
 
 @dataclass

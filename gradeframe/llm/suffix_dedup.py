@@ -34,10 +34,10 @@ from gradeframe.llm.repeats import Filter, repeated, total_bytes
 from gradeframe.llm.rows import KEY, keyed
 from gradeframe.llm.suffixes import suffix_array
 
-SPAN, GRAM = 50, 24
+SPAN, GRAM = 50, 20
 HOT = 2000
 #: Bytes of a text that are worked on at once, and of text in all for each shard.
-SEGMENT, SHARD = 2 << 20, 2 << 20
+SEGMENT, SHARD = 1 << 20, 2 << 20
 _NO_BYTE, _MANY = 256, 257
 _FLUSH = 400_000
 _LENGTH_BITS = 24
