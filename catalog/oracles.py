@@ -755,3 +755,14 @@ _RUN = "'$type: openai$openai_model: ' || model || '$generation_config: {{}}$con
 oracle("run_keys", f"""WITH {MC}, m AS (SELECT concat('m', CAST(answer_idx AS VARCHAR)) AS model, count(*) AS n FROM mc
   GROUP BY 1), f AS ({_CONTEXT})
 SELECT model, m.n, {digest(_RUN.format())} AS run_key FROM m, f""")
+_NUMBERED = PROBLEMS + f""",
+n AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, problem, choices, answer_idx,
+    {uuid_of(extra="'null'")} AS uuid FROM p0)"""
+_BRIEF = q("Brief." + chr(10) * 2)
+oracle("benchmark_group", f"""WITH {_NUMBERED},
+i AS (SELECT '0.0' AS part, ord, {question('reasoning', 'choices')} || {SEP} AS prompt FROM n WHERE ord % 2 = 1
+  UNION ALL SELECT '0.1', ord, {_BRIEF} || {question('default', 'choices')} || {SEP} FROM n WHERE ord % 2 = 0),
+shots AS (SELECT string_agg({question('default', 'choices')} || {SEP} || {_PLAIN_GOLD} || {SEP}, '' ORDER BY ord) AS text
+  FROM (SELECT * FROM n WHERE ord % 2 = 1 ORDER BY md5(uuid || '$3'), uuid LIMIT 2))
+SELECT * FROM (SELECT * FROM i ORDER BY part, ord LIMIT 1000)
+UNION ALL SELECT '1', ord, (SELECT text FROM shots) || {question('default', 'choices')} || {SEP} FROM n WHERE ord % 2 = 0""")

@@ -20,7 +20,7 @@ from gradeframe.plans.ordered import dense_order
 from gradeframe.schemas import METRICS, RESPONSES, arrival, conform
 from gradeframe.session import fresh_dir, tune
 from gradeframe.sources import files
-from gradeframe.sources.benchmarks import normalize, read_benchmark
+from gradeframe.sources.benchmarks import normalize, read_benchmark, read_group
 from gradeframe.streaming import live
 from gradeframe.templates import CHOICE_TEMPLATES, prompter
 
@@ -1067,6 +1067,19 @@ def benchmark_split(spark, sf):
     return read_benchmark(spark, path, "mmlu", split="test", config="c1").select("ord", "uuid", "problem", "answer_idx")
 
 
+@query("benchmark_group")
+def benchmark_group(spark, sf):
+    """A group in a group: its first rows, each part with its own prompt, before the rest."""
+    path = fresh_dir(spark, "group")
+    rows = _shape("mmlu", _raw(spark, sf, "mmlu"))
+    rows.withColumn("split", F.when(F.col("ord") % 2 == 0, "a").otherwise("b")).write.partitionBy("split").parquet(path)
+    part = {"path": path, "kind": "mmlu"}
+    inner = [{**part, "split": "b", "prompt": {"tmpl": "reasoning"}}, {**part, "split": "a", "prompt": {"system": "Brief."}}]
+    few = {**part, "split": "a", "fewshot": {"k": 2, "split": "b", "seed": 3}}
+    rows = read_group(spark, [{"group": inner, "first": 1000}, few])
+    return rows.select(F.array_join(F.transform("part", lambda x: x.cast("string")), ".").alias("part"), "ord", "prompt")
+
+
 @query("responses_roundtrip")
 def responses_roundtrip(spark, sf):
     """Responses written as lines and read again."""

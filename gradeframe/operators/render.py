@@ -62,10 +62,17 @@ def question_text(tmpl: str = "default") -> Column:
     )
 
 
+#: More examples than this are no few-shot list, and fail the job.
+MOST_SHOTS = 1000
+
+
 def _shots(fewshot: DataFrame, tmpl: str) -> DataFrame:
     """The few-shot list (a handful of rows) in order, as one row of (question, answer) structs."""
     shot = F.struct("ord", question_text(tmpl).alias("q"), gold_text(tmpl).alias("a"))
-    return fewshot.agg(F.sort_array(F.collect_list(shot)).alias("shots"))
+    listed = F.sort_array(F.collect_list(shot))
+    note = F.raise_error(F.lit(f"more than {MOST_SHOTS} few-shot examples"))
+    rows = fewshot.limit(MOST_SHOTS + 1).agg(listed.alias("shots"))
+    return rows.select(F.when(F.size("shots") > MOST_SHOTS, note).otherwise(F.col("shots")).alias("shots"))
 
 
 def fewshot_messages(fewshot: DataFrame, tmpl: str = "default") -> Column:

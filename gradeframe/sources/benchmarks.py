@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeframe.functions.identity import with_uuid
 from gradeframe.functions.text import id_json
-from gradeframe.operators.expand import first_n, group_union
+from gradeframe.operators.expand import fewshot_sample, first_n, group_union
+from gradeframe.operators.render import render_prompt
 from gradeframe.plans.ordered import read_order
 from gradeframe.schemas import as_problems
 
@@ -56,9 +57,29 @@ def read_benchmark(
     return normalize(raw, kind, first)
 
 
-def read_group(spark: SparkSession, parts: list[dict]) -> DataFrame:
-    """Several benchmarks one after another."""
-    return group_union(*[read_benchmark(spark, **part) for part in parts])
+def read_group(spark: SparkSession, parts: list[dict], first: int | None = None) -> DataFrame:
+    """Several benchmarks one after another; ``first`` rows of them all.
+
+    A part is the arguments of ``read_benchmark``, and may have ``prompt`` (arguments of
+    ``render_prompt``) and ``fewshot`` ({"k", "split", "seed"}: examples from the same benchmark) of its
+    own; or it is a group itself: {"group": parts, "first": n}.
+    """
+    rows = group_union(*[_read_part(spark, dict(part)) for part in parts])
+    return rows if first is None else first_n(rows, first)
+
+
+def _read_part(spark: SparkSession, part: dict) -> DataFrame:
+    if "group" in part:
+        return read_group(spark, part["group"], part.get("first"))
+    prompt, shots = part.pop("prompt", None), part.pop("fewshot", None)
+    rows = read_benchmark(spark, **part)
+    if prompt is None and shots is None:
+        return rows
+    examples = None
+    if shots:
+        pool = {**part, "split": shots.get("split", part.get("split")), "first": None}
+        examples = fewshot_sample(read_benchmark(spark, **pool), shots["k"], shots.get("seed", 1))
+    return render_prompt(rows, fewshot=examples, **(prompt or {}))
 
 
 def _index(items: Column, value: Column) -> Column:

@@ -38,9 +38,9 @@ def _ddl(fields: dict[str, str], colon: str = ":") -> str:
 _LINE = f"request struct<{_ddl(_REQUEST)}>, response struct<{_ddl(_RESPONSE)}>, arrival string"
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of requests."""
-    return spark.read.schema(_ddl(_REQUEST, " ")).option("multiLine", True).json(path)
+def read_requests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of requests (a file is one task), or one request per line (a file may be many)."""
+    return spark.read.schema(_ddl(_REQUEST, " ")).option("multiLine", not lines).json(path)
 
 
 def read_responses(spark: SparkSession, path: str, run_key: str | None = None) -> DataFrame:
@@ -114,11 +114,17 @@ def results_json(df: DataFrame, step_type: str, step_name: str) -> DataFrame:
     return df.select(key.alias("key"), F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+#: A result file holds a step's or dataset's result per entry; more than this fails the job.
+MOST_ENTRIES = 10_000
+
+
 def _object(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, JSON) rows as one JSON object; for the handful of rows a result file has."""
     entry = F.concat(json_string(F.col(key)), F.lit(": "), F.col(value))
-    parts = F.array_sort(F.collect_list(entry))
-    return rows.agg(F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}")).alias("value"))
+    listed = rows.limit(MOST_ENTRIES + 1).agg(F.array_sort(F.collect_list(entry)).alias("parts"))
+    note = F.raise_error(F.lit(f"more than {MOST_ENTRIES} entries for one result file"))
+    text = F.concat(F.lit("{"), F.array_join("parts", ", "), F.lit("}"))
+    return listed.select(F.when(F.size("parts") > MOST_ENTRIES, note.cast("string")).otherwise(text).alias("value"))
 
 
 def write_results(rows: DataFrame, path: str) -> None:
