@@ -131,7 +131,7 @@ def judge_rounds_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transcript_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Judge texts with the question and answer before each; round 4 has not been judged yet."""
+    """Judge texts with the question and answer before each."""
     raw = judge_rounds_raw(spark, sf)
     at = F.concat(F.col("round").cast("string"), F.lit(" of "), F.col("conv_id"))
     said = F.array(
@@ -140,8 +140,7 @@ def transcript_turns(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("evaluator").alias("party"), F.col("content")),
     )
     rows = raw.select("conv_id", "round", F.posexplode(said).alias("i", "t"))
-    judged = (F.col("t.party") != "evaluator") | (F.col("round") < 4)
-    return rows.where(judged).select(
+    return rows.select(
         "conv_id",
         (F.col("round") * 3 + F.col("i")).alias("seq"),
         "round",

@@ -189,7 +189,7 @@ said AS (SELECT conv_id, round * 3 AS seq, round, 'interactor' AS party,
     concat('Why ', CAST(round AS VARCHAR), ' of ', conv_id) AS content FROM raw
   UNION ALL SELECT conv_id, round * 3 + 1, round, 'candidate',
     concat('As ', CAST(round AS VARCHAR), ' of ', conv_id) FROM raw
-  UNION ALL SELECT conv_id, round * 3 + 2, round, 'evaluator', content FROM raw WHERE round < 4)"""
+  UNION ALL SELECT conv_id, round * 3 + 2, round, 'evaluator', content FROM raw)"""
 
 
 def oracle(name: str, sql: str) -> None:
@@ -660,7 +660,7 @@ oracle("transcript_render", f"""WITH {JUDGE}, x AS (SELECT *, CAST(round AS VARC
 SELECT conv_id, round, '## Interactor(Round ' || r || {q(")" + chr(10))} || 'Why ' || r || ' of ' || conv_id
     AS interactor,
   '## Candidate(Round ' || r || {q(")" + chr(10))} || 'As ' || r || ' of ' || conv_id AS candidate,
-  CASE WHEN round < 4 THEN '## Evaluation(Round ' || r || {q(")" + chr(10))}
+  '## Evaluation(Round ' || r || {q(")" + chr(10))}
     || ' + Accuracy(' || json_extract_string(j, '$.accuracy.score') || {q("): c" + chr(10))}
     || ' + Logic(' || json_extract_string(j, '$.logic.score') || {q("): " + chr(10))}
     || ' + Relevance(' || json_extract_string(j, '$.relevance.score') || {q("): " + chr(10))}
@@ -668,7 +668,7 @@ SELECT conv_id, round, '## Interactor(Round ' || r || {q(")" + chr(10))} || 'Why
     || ' + Overall_score: ' || json_extract_string(j, '$.overall_score') || {q(chr(10))}
     || ' + Stop_conversation: ' || CASE json_extract_string(j, '$.stop_conversation')
          WHEN 'true' THEN 'True' ELSE 'False' END || {q(chr(10))}
-    || ' + Stop_reason: ' || json_extract_string(j, '$.stop_reason') || {q(chr(10))} END AS evaluation
+    || ' + Stop_reason: ' || json_extract_string(j, '$.stop_reason') || {q(chr(10))} AS evaluation
 FROM x""")
 _JUDGE_PROMPT = filled(t.SINGLE_JUDGE_TEMPLATE, question="question", answer="answer")
 oracle("judge_requests", f"""WITH {DIALOGUE}, x AS (SELECT conv_id AS file,
@@ -679,7 +679,7 @@ SELECT file, 2 AS n, 'user' AS role, {_JUDGE_PROMPT} AS content FROM x WHERE ans
 oracle("transcripts_roundtrip", f"""WITH {TRANSCRIPT},
 a AS (SELECT conv_id, count(*) AS turns FROM said GROUP BY conv_id),
 b AS (SELECT conv_id, count(*) AS judged, sum(overall) AS overall_sum FROM judged
-  WHERE round < 4 GROUP BY conv_id)
+  GROUP BY conv_id)
 SELECT a.conv_id, turns, judged, overall_sum FROM a LEFT JOIN b ON a.conv_id = b.conv_id""")
 
 # --- inference and streaming ------------------------------------------------------------------
