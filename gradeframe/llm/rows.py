@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,9 +14,28 @@ from gradeframe.session import fresh_dir, tune
 KEY = "__row_key"
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Sends the package's modules to the executors, once an application: their Python need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="modules-")) / f"{fresh_name(package.name)}.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for module in sorted(package.rglob("*.py")):
+            file.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Session settings that the operators count on: adaptive plans and Arrow batches of bounded size."""
+    """Session settings that the operators count on: adaptive plans and Arrow batches of bounded size; and the package's
+    modules on the executors."""
     tune(spark)
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
