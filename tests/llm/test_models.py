@@ -177,6 +177,38 @@ def test_scores_of_odd_tables(frame, odd_rows):
     assert all(x.train_tokens == 0 and x.n_known == 0 and np.isfinite(x.score) for x in rows)
 
 
+def test_contexts_at_any_share_and_of_rare_words(frame):
+    r = random.Random(11)
+    # all words end alike, so that none has a class of its own; 1,500 are more frequent than the pair below
+    texts = [" ".join(f"w{r.randrange(1500)}ab" for _ in range(300)) for _ in range(300)]
+    rare = [(i, "rareab nextab lastab") for i in range(1000, 1040)]
+    rows = lm.digest(frame([*enumerate(texts), *rare])).collect()
+    held = [x for x in rows if x.held_out and x.doc_id >= 1000]
+    # three words and the end, each near certain after the one before
+    assert held and all(x.score > x.base_score + 9 for x in held)
+
+
+def test_states_in_parts_are_those_in_memory(frame, monkeypatch):
+    import pyarrow as pa
+
+    from gradeframe.llm import text as tx
+
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["a", "b", "cc", "dd", "e"]) for _ in range(60)).replace("a b", "a b e") for _ in range(90)]
+    rows = {x.doc_id: x for x in lm.digest(frame(texts, parts=5)).collect()}
+    train = [t for i, t in enumerate(texts) if crc(i) % 10]
+    w = tx.words(*tx.buffer(pa.array(train)), tx.LOWER_WORDS)
+    h, n = np.unique(tx.hashes(w), return_counts=True)
+    root = np.concatenate([[0.0], [len(train) + 0.1], np.full(lm.CLASSES, 0.1), n + 0.1])
+    root[0] = 1e-9
+    tree = lm.grow(frame(train).select("text"), lm.Tree(h, np.log10(root / root.sum())), int(n.sum()) + len(train))
+    assert all(len(c) for c in tree.contexts[:2])
+    for i, t in enumerate(texts):
+        w = tx.words(*tx.buffer(pa.array([t])), tx.LOWER_WORDS)
+        sym = np.concatenate([[0], np.searchsorted(h, tx.hashes(w)) + 2 + lm.CLASSES, [1]])
+        assert abs(tree.log10(sym, np.arange(len(sym))).sum() - rows[i].score) < 1e-5
+
+
 def test_tokens_are_the_tokenizers():
     import pyarrow as pa
     from tokenizers import Tokenizer
