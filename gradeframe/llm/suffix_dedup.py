@@ -44,16 +44,24 @@ _LENGTH_BITS = 24
 
 
 def segments(off: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first byte, bytes, row of each window start or -1): together the segments have every window once."""
-    for at in range(0, len(data), SEGMENT):
-        part = data[at : at + SEGMENT + SPAN - 1]
-        n = max(0, min(SEGMENT, len(data) - at) if len(part) >= SPAN else 0)
-        n = min(n, len(part) - SPAN + 1)
-        if n <= 0:
-            continue
-        start = np.arange(at, at + n)
-        row = np.searchsorted(off, start, "right") - 1
-        yield at, part, np.where(start + SPAN <= off[row + 1], row, -1)
+    """(first byte, bytes, row of each window start or -1): together the segments have every window once.
+
+    A text is cut at its own multiples of SEGMENT only, whatever texts lie before it, so that its pieces are the same in
+    every pass."""
+    first, rows = 0, len(off) - 1
+    while first < rows:
+        # texts that fit a segment together, or one text
+        to = min(rows, max(first + 1, int(np.searchsorted(off, off[first] + SEGMENT, "right")) - 1))
+        end = int(off[to])
+        for at in range(int(off[first]), end, SEGMENT):
+            part = data[at : min(at + SEGMENT + SPAN - 1, end)]
+            n = len(part) - SPAN + 1
+            if n <= 0:
+                continue
+            start = np.arange(at, at + n)
+            row = np.searchsorted(off, start, "right") - 1
+            yield at, part, np.where(start + SPAN <= off[row + 1], row, -1)
+        first = to
 
 
 def anchors(part: np.ndarray, sums: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

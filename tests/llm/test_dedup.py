@@ -155,6 +155,25 @@ def test_suffix_dedup_of_odd_rows(frame, odd_rows):
     assert sorted(long, key=str) == [(1, size), (1, size), (2, size), (None, 0)]
 
 
+def test_long_texts_are_cut_alike_in_both_passes(frame):
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = lambda n: "".join(r.choices(letters, k=n))
+    span, cut = suffix_dedup.SPAN, suffix_dedup.SEGMENT
+    while True:  # a line whose first windows have an anchor of their own, which the byte before the line does not have
+        line, before = made(60), made(90)
+        part = np.frombuffer((before + line + before).encode(), np.uint8)
+        place, _ = suffix_dedup.anchors(part, tx.byte_sums(part), len(part) - span + 1)
+        count = int((place[90 : 90 + 11] == place[90]).sum())
+        if place[89] != place[90] and 4 <= count < 11:
+            break
+    long = made(cut - 90 - count // 2) + before + line + made(200_000)
+    assert line in long and long.index(line) < cut < long.index(line) + count
+    rows = [(1, line), (2, made(600_000)), (3, long)]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.digest(frame(rows, parts=1)).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (60, 1)}
+
+
 def test_segments_hold_every_window_once(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
     off = np.array([0, 10, 10, 170, 219, 300])
