@@ -3,8 +3,9 @@
 Documents are turned into tokens and cut into pieces in their own rows; from there on only piece lengths move. Pieces
 are dealt into groups of bounded size by a hash, each group is packed in one task: best-fit decreasing first, then a
 local search that exchanges one piece for one, two for one, or moves pieces between underfull bins, taking only steps
-that increase the sum of squared fills, until a bin is empty, the bound of the total length is met, or no step helps.
-Bins that stay light are taken apart and their pieces dealt anew, all groups' together, in rounds with ever fewer groups.
+that increase the sum of squared fills, until the bound of the total length is met or no step helps. Bins that stay light
+are taken apart and their pieces dealt anew, all groups' together, in rounds with ever fewer groups; a piece alone in its
+bin that no other remaining piece fits is done.
 
 Null and empty texts are one piece with the end token alone. Repeated rows are packed each. Pieces of equal length are
 taken in the order of doc_id and piece.
@@ -30,8 +31,6 @@ GROUP = 20_000
 LIGHT = 0.9
 #: Cached words of a Python worker.
 CACHE = 800_000
-#: Pairs of bins that the local search of a group looks at.
-SEARCH = 20_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -203,49 +202,63 @@ class Search:
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
         self.lengths, self.capacity = lengths, capacity
         self.bins = bins
-        self.room = [capacity - sum(lengths[i] for i in b) for b in bins]
+        self.room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int64)
 
     def run(self) -> list[list[int]]:
-        """Bins after the search: lighter bins give, fuller ones take; ends when nothing helps or SEARCH pairs of bins
-        have been looked at."""
-        least, looked, changed = -(-sum(self.lengths) // self.capacity), 0, True
-        while changed and looked < SEARCH and sum(map(bool, self.bins)) > least:
+        """Bins after the search: lighter bins give, fuller ones take; ends when no step helps, or at the least number."""
+        least, left, changed = -(-sum(self.lengths) // self.capacity), sum(map(bool, self.bins)), True
+        while changed and left > least:
             changed = False
             live = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.room[b]), key=lambda b: (-self.room[b], b))
+            # what may come back from a taker: one of its pieces, or nothing
+            self.back = [i for b in live for i in self.bins[b]] + [-1] * len(live)
+            self.size = np.array([self.lengths[i] if i >= 0 else 0 for i in self.back], np.int64)
+            self.of = np.array([b for b in live for _ in self.bins[b]] + live, np.int64)
+            self.entry = {i: n for n, i in enumerate(self.back) if i >= 0}
             for a in live:
-                for b in reversed(live):
-                    if a == b or self.room[b] > self.room[a] or not self.bins[a]:
-                        continue
-                    looked += 1
-                    changed |= self.improve(a, b)
-                if looked >= SEARCH:
+                while self.bins[a] and self.improve(a):
+                    changed = True
+                left -= not self.bins[a]
+                if left <= least:
                     break
         return [b for b in self.bins if b]
 
-    def improve(self, a: int, b: int) -> bool:
-        """The step between a and the fuller b that raises the squared fills most: what b gains is as large as can be."""
-        size, best, step = self.lengths, 0, None
-        room = self.room[b]
-        give = sorted(self.bins[a], key=lambda i: (-size[i], i))
-        back = sorted(self.bins[b], key=lambda i: (size[i], i))
-        sizes = [size[j] for j in back]
-        sums = [(size[i], (i,)) for i in give]
-        sums += [(size[i] + size[j], (i, j)) for n, i in enumerate(give[:32]) for j in give[n + 1 : 32]]
-        for total, given in sums:
-            if best < total <= room:  # a move
-                best, step = total, (given, ())
-            at = bisect.bisect_left(sizes, total - room)  # the smallest that must come back
-            if at < len(back) and best < total - sizes[at] <= room:
-                best, step = total - sizes[at], (given, (back[at],))
-        # squared fills rise only if b was fuller than a, or becomes fuller by more than a was
-        fill_a, fill_b = self.capacity - self.room[a], self.capacity - room
-        if step is None or (fill_a - best) ** 2 + (fill_b + best) ** 2 <= fill_a**2 + fill_b**2:
+    def improve(self, a: int) -> bool:
+        """The step from a to a fuller bin that raises the squared fills most. Any that makes the taker fuller does."""
+        own: dict[int, list[int]] = {}
+        for i in self.bins[a]:
+            own.setdefault(self.lengths[i], []).append(i)
+        sizes = np.array(sorted(own), np.int64)
+        twice = sizes[[len(own[x]) > 1 for x in sizes.tolist()]]
+        m, n = np.triu_indices(len(sizes), 1)
+        totals = np.concatenate([sizes, sizes[m] + sizes[n], 2 * twice])
+        # the largest total up to each number
+        upto = np.zeros(self.capacity + 1, np.int64)
+        totals = totals[totals <= self.capacity]
+        upto[totals] = totals
+        upto = np.maximum.accumulate(upto)
+        room = self.room[self.of]
+        more = upto[self.size + room] - self.size
+        gain = np.where((more > 0) & (room <= self.room[a]) & (self.of != a), more * (self.room[a] - room + more), 0)
+        at = int(gain.argmax())
+        if gain[at] <= 0:
             return False
-        given, taken = step
-        self.bins[a] = [i for i in self.bins[a] if i not in given] + list(taken)
-        self.bins[b] = [j for j in self.bins[b] if j not in taken] + list(given)
-        self.room[a] += best
-        self.room[b] -= best
+        b, total, taken = int(self.of[at]), int(upto[self.size[at] + room[at]]), self.back[at]
+        given = own[total][:1] if total in own else None
+        for x in own if given is None else ():
+            y = total - x
+            if y in own and (x != y or len(own[x]) > 1):
+                given = own[x][:2] if x == y else [own[x][0], own[y][0]]
+                break
+        back = [taken] if taken >= 0 else []
+        self.bins[a] = [i for i in self.bins[a] if i not in given] + back
+        self.bins[b] = [i for i in self.bins[b] if i not in back] + given
+        for i in given:
+            self.of[self.entry[i]] = b
+        for i in back:
+            self.of[self.entry[i]] = a
+        self.room[a] += more[at]
+        self.room[b] -= more[at]
         return True
 
 
@@ -263,14 +276,16 @@ def _pack_group(capacity: int, round_: int):
         lengths = rows.column("length").to_pylist()
         bins = pack(lengths, capacity)
         number, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        light = np.zeros(len(rows), bool)
+        light, alone = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
         for b, members in enumerate(bins):
             ends = np.cumsum([lengths[i] for i in members])
             number[members] = b
             offset[members] = np.concatenate([[0], ends[:-1]])
             light[members] = ends[-1] < LIGHT * capacity
+            alone[members] = len(members) == 1
         group = rows.column("group")[0].as_py()
-        for name, values in (("sequence_id", (round_ << 56) + (group << 24) + number), ("offset", offset), ("light", light)):
+        ids = (round_ << 56) + (group << 24) + number
+        for name, values in (("sequence_id", ids), ("offset", offset), ("light", light), ("alone", alone)):
             rows = rows.append_column(name, pa.array(values))
         return rows
 
@@ -285,11 +300,14 @@ def place(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         n = rows.count()
         groups = max(1, -(-n // group))
         dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_)), groups))
-        schema = dealt.selectExpr("*", "0L AS sequence_id", "0L AS offset", "false AS light").schema
+        schema = dealt.selectExpr("*", "0L AS sequence_id", "0L AS offset", "false AS light", "false AS alone").schema
         packed = dealt.groupBy("group").applyInArrow(_pack_group(capacity, round_), schema)
         if groups > 1:
             packed = written(packed, "packed")
-            full, rows = packed.filter("NOT light"), packed.filter("light").select(*rows.columns)
+            # a piece alone stays so if not even the shortest of the rest fits
+            least = packed.filter("light").agg(F.min("length")).first()[0] or 0
+            open_ = F.col("light") & ~(F.col("alone") & (F.col("length") + least > capacity))
+            full, rows = packed.filter(~open_), packed.filter(open_).select(*rows.columns)
         else:
             full = packed
         done = full.select(*names) if done is None else done.unionByName(full.select(*names))
