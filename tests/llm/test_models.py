@@ -319,3 +319,86 @@ def test_licences(frame):
     assert [rows[i].kind for i in range(8)] == ["permissive", "restricted", "permissive", *["none"] * 4, "restricted"]
     assert [rows[i].n_sentences for i in (4, 5, 6, 7)] == [1, 0, 0, 1000]
     assert licenses.digest(frame([])).collect() == []
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+def test_licence_texts_in_full(frame):
+    texts = [MIT, BSD, APACHE, GPL3, GPL2]
+    # a paragraph on one line each
+    texts += ["\n\n".join(" ".join(p.split()) for p in t.replace("\n#\n", "\n\n").replace("# ", "").split("\n\n")) for t in texts]
+    texts += ["This file is licensed under the MIT License.", "All rights\nreserved"]
+    texts += ["no end of the line\nAll rights reserved\nLicensed under CC BY 4.0"]
+    rows = {x.doc_id: x for x in licenses.digest(frame(texts)).collect()}
+    assert [rows[i].licences for i in range(10)] == ["MIT", "BSD", "Apache-2.0", "GPL-3.0", "GPL"] * 2
+    assert [rows[i].sentence_ids for i in (0, 1, 2)] == [
+        "mit-grant,mit-keep-notice,as-is",
+        "bsd-grant,bsd-source,bsd-binary",
+        "apache-2-notice,apache-compliance,apache-copy",
+    ]
+    assert [rows[i].licences for i in range(10, 13)] == ["MIT", "Proprietary", "CC-BY-4.0,Proprietary"]
+
+
+def test_known_sentences_have_a_sign():
+    import re
+
+    assert all(re.search(licenses._SIGNS, s) for s in licenses.SENTENCES)
