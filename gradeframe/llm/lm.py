@@ -169,7 +169,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     """(h, class, n, number): the distinct training words by hash, with class, count and a number of their own."""
     made = rows.filter(F.col("depth") == _HASHES).mapInArrow(_count_words, "h long, class long, n long")
     made = made.groupBy("h", "class").agg(F.sum("n").alias("n"))
-    return written(made.withColumn("number", F.monotonically_increasing_id()), "lm_words")
+    return _written(made.withColumn("number", F.monotonically_increasing_id()), "lm_words")
 
 
 @dataclass
@@ -235,7 +235,7 @@ def _words(made: DataFrame, vocab: DataFrame | None, shared) -> list[DataFrame]:
         rare = hashes.mapInArrow(_unknown(shared), "part long, h long").join(vocab.select("h", "n", "number"), "h")
         asked = hashes.unionByName(rare.groupBy("part").applyInArrow(lambda t: _rare(t), _ROWS))
     told = asked.groupBy("part").applyInArrow(_told(shared, OWN, _FIRST_OWN + COMMON), _ROWS)
-    return [made.filter(F.col("depth") == _TEXT), written(told, "lm_told")]
+    return [made.filter(F.col("depth") == _TEXT), _written(told, "lm_told")]
 
 
 def _name(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -392,6 +392,17 @@ def _settle(depth: int, least: int, divergence: float, states: bool):
     return run
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written, with the shuffles behind it removed at once."""
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean)
+    conf.set(clean, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(clean, before)
+
+
 def _together(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -405,10 +416,7 @@ def _asks(tables: list[DataFrame], shared, buckets: int, depth: int) -> DataFram
 
 def _settled(asks: DataFrame, depth: int, states: bool = False) -> DataFrame:
     answers = asks.groupBy("bucket").applyInArrow(_settle(depth, LEAST, DIVERGENCE, states), _ROWS)
-    out = written(answers, f"lm_states_{depth}")
-    # lets go of the shuffles behind it
-    asks.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return _written(answers, f"lm_states_{depth}")
 
 
 @dataclass
