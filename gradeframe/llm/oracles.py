@@ -128,3 +128,62 @@ SELECT doc_id, len(sentences)::BIGINT AS n_sentences, array_to_string(ids, ',')
     WHEN len(names) > 0 THEN 'permissive' ELSE 'none' END AS kind
 FROM f
 """
+
+# CRC-32 of the decimal doc_id, bit by bit; a tree level per step of the recursion.
+_ID = "doc_id::VARCHAR"
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({_ID}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda x, c: list_reduce(list_prepend(xor(x, c), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)),
+  4294967295)"""
+
+
+def _part(value: str) -> str:
+    return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+
+def _row(text: str) -> str:
+    return "sha256(" + " || ".join(_part(v) for v in (_ID, "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """(tree, pos, level, total, d, l, r): nodes of all levels, with the texts left and right of each in its run."""
+    return f"""{name} AS (
+  SELECT tree, pos, 0 AS level, count(*) OVER (PARTITION BY tree) AS total, d FROM {leaves}
+  UNION ALL
+  SELECT tree, pos // 8, level + 1, any_value(total), sha256(string_agg(d, '' ORDER BY pos)) FROM {name}
+  WHERE pow(8, level) < total GROUP BY tree, pos // 8, level),
+{name}_sides AS (
+  SELECT *, coalesce(string_agg(d, '' ORDER BY pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(d, '' ORDER BY pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name} WHERE pow(8, level) < total WINDOW w AS (PARTITION BY tree, level, pos // 8 ORDER BY pos))"""
+
+
+ORACLES["op13_merkle"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree, {_row('text')} AS d,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_row("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS pos FROM hashed),
+{_tree("nodes", "leaves")},
+subroots AS (
+  SELECT '' AS tree, tree AS lang, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, d
+  FROM (SELECT tree, d FROM nodes QUALIFY level = max(level) OVER (PARTITION BY tree))),
+{_tree("tops", "subroots")},
+root AS (SELECT d FROM tops ORDER BY level DESC LIMIT 1),
+sides AS (
+  SELECT leaves.tree, leaves.pos, s.level, s.l, s.r FROM leaves JOIN nodes_sides s
+    ON s.tree = leaves.tree AND s.pos = leaves.pos // pow(8, s.level)::BIGINT
+  UNION ALL
+  SELECT leaves.tree, leaves.pos, 100 + t.level, t.l, t.r FROM leaves JOIN subroots ON subroots.lang = leaves.tree
+    JOIN tops_sides t ON t.pos = subroots.pos // pow(8, t.level)::BIGINT),
+ways AS (SELECT tree, pos, list({{'l': l, 'r': r}} ORDER BY level) AS way FROM sides GROUP BY 1, 2),
+told AS (
+  SELECT doc_id, leaves.d AS leaf, subroots.d AS subroot, root.d AS root, coalesce(way, []) AS way,
+    coalesce(other, leaves.d) AS from_
+  FROM leaves JOIN subroots ON subroots.lang = leaves.tree CROSS JOIN root LEFT JOIN ways ON ways.tree = leaves.tree AND ways.pos = leaves.pos),
+done AS (
+  SELECT *, list_reduce(list_prepend({{'l': from_, 'r': ''}}, way),
+    lambda x, s: {{'l': sha256(s.l || x.l || s.r), 'r': ''}}).l AS folded_root FROM told)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s.l || s.r), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM done
+"""

@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.llm import decontaminate, exact_dedup, langid, licenses, lm, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from gradeframe.llm import (
+    buckets,
+    decontaminate,
+    exact_dedup,
+    langid,
+    licenses,
+    lm,
+    merkle,
+    ngram_join,
+    packing,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+)
 from gradeframe.llm.rows import prepared
 
 #: The file of the public tokenizers that sequences are counted with.
 TOKENIZER = "word_bpe_49k.json"
+#: Byte-level pieces, and pieces with byte fallback.
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +93,13 @@ def op9(read):
 @_query("op10_lm_score")
 def op10(read):
     return lm.digest(read("documents"))
+
+
+@_query("op12_power_packing")
+def op12(read):
+    return buckets.digest(read("documents"), tokenizer_path(BYTE_TOKENIZER))
+
+
+@_query("op13_merkle")
+def op13(read):
+    return merkle.digest(read("documents"))

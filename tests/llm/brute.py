@@ -99,3 +99,45 @@ def base_scores(docs, trained):
         k: (len(t), sum(counts[x] > 0 for x in t), n, sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t))
         for k, t in tokens.items()
     }
+
+
+def merkle(rows):
+    """(doc_id, source, lang, n_chars, text) rows -> per row (doc_id, leaf, subroot, root, proof, folded, verified), sorted."""
+    import zlib
+
+    def h(parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(values):
+        return h("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+
+    def tree(nodes):
+        """The root, and for each node the (left, right) lists of its own and its ancestors' siblings."""
+        ways, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for way, i in zip(ways, at, strict=True):
+                way.append((nodes[i // 8 * 8 : i], nodes[i + 1 : i // 8 * 8 + 8]))
+            nodes, at = [h(nodes[i : i + 8]) for i in range(0, len(nodes), 8)], [i // 8 for i in at]
+        return nodes[0], ways
+
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append((row, leaf(row)))
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for members in groups.values():
+        members.sort(key=lambda m: (m[0][0] is not None, m[0][0] or 0, m[1]))
+    trees = {lang: tree([d for _, d in groups[lang]]) for lang in langs}
+    root, tops = tree([trees[lang][0] for lang in langs]) if langs else (None, [])
+    out = []
+    for lang, top in zip(langs, tops, strict=True):
+        for (row, digest), way in zip(groups[lang], trees[lang][1], strict=True):
+            way = way + top
+            now = digest
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0:
+                text = row[4] if row[4] is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in row[4])
+                now = leaf((*row[:4], text))
+            for left, right in way:
+                now = h([*left, now, *right])
+            proof = h(d for left, right in way for d in left + right)
+            out.append((row[0], digest, trees[lang][0], root, proof, now, now == root))
+    return sorted(out, key=repr)
