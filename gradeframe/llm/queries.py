@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeframe.llm import (
+    alignment,
     buckets,
     decontaminate,
     exact_dedup,
@@ -95,6 +96,11 @@ def op10(read):
     return lm.digest(read("documents"))
 
 
+@_query("op11_alignment")
+def op11(read):
+    return alignment.digest(read("documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+
+
 @_query("op12_power_packing")
 def op12(read):
     return buckets.digest(read("documents"), tokenizer_path(BYTE_TOKENIZER))
