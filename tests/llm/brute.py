@@ -141,3 +141,58 @@ def merkle(rows):
             proof = h(d for left, right in way for d in left + right)
             out.append((row[0], digest, trees[lang][0], root, proof, now, now == root))
     return sorted(out, key=repr)
+
+
+def alignment(texts, path_a, path_b):
+    """Per text (n_a, n_b, n_groups, n_links, n_best, count_sum, groups)."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_model = Tokenizer.from_file(path_a)
+    a_model.encode_special_tokens = True
+    b_model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in printable}
+    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+
+    def a_bytes(i):
+        piece = a_model.id_to_token(i)
+        return bytes(letters[c] for c in piece)
+
+    def b_bytes(i):
+        piece = b_model.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b_model.is_byte(i) else piece.replace("▁", " ").encode()
+
+    made = []
+    for text in texts:
+        groups = []
+        if text:
+            a, b = a_model.encode(" " + text, add_special_tokens=False).ids, b_model.encode(text)
+            in_a, in_b = list(map(a_bytes, a)), list(map(b_bytes, b))
+            if b"".join(in_a) == b"".join(in_b) == (" " + text).encode():
+                groups, left, right, i, j = [], [], [], 0, 0
+                at_a = at_b = 0
+                while i < len(a) or j < len(b):
+                    if at_a <= at_b:
+                        left.append(a[i])
+                        at_a, i = at_a + len(in_a[i]), i + 1
+                    else:
+                        right.append(b[j])
+                        at_b, j = at_b + len(in_b[j]), j + 1
+                    if at_a == at_b:
+                        groups.append((left, right))
+                        left, right = [], []
+        made.append(groups)
+    links = [Counter((x, y) for left, right in groups for x in left for y in right) for groups in made]
+    held = Counter(pair for of in links for pair in of)
+    top = defaultdict(int)
+    for (x, _), n in held.items():
+        top[x] = max(top[x], n)
+    out = []
+    for groups, of in zip(made, links, strict=True):
+        spelled = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        best = sum(n for pair, n in of.items() if held[pair] == top[pair[0]])
+        total = sum(n * held[pair] for pair, n in of.items())
+        sizes = [sum(len(g[k]) for g in groups) for k in (0, 1)]
+        out.append((*sizes, len(groups), sum(of.values()), best, total, spelled))
+    return out
