@@ -225,6 +225,7 @@ FROM scored GROUP BY generated_text, prediction_index""")
 oracle("responses_attached", f"""WITH {SCORED}
 SELECT uuid, parent_uuid, generated_text, prediction_index, hit FROM scored""")
 oracle("responses_from_files", f"WITH {MC} SELECT uuid, parent_uuid, generated_text FROM mc")
+oracle("responses_rerun", f"WITH {MC} SELECT uuid, parent_uuid, generated_text FROM mc")
 oracle("empty_responses", f"""WITH {SCORED}
 SELECT count(*) FILTER (prediction_index IS NULL) AS empty, count(*) AS originals
 FROM scored WHERE parent_uuid IS NULL""")

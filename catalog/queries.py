@@ -115,15 +115,29 @@ def responses_from_files(spark, sf):
     path = fresh_dir(spark, "response-lines")
     early = rows.withColumn("generated_text", F.lit("???")).orderBy(F.desc("ord"))
     files.write_response_lines(early.select("uuid", "parent_uuid", "generated_text"), f"{path}/run=1")
-    late = rows.select("uuid", "parent_uuid", "generated_text", (F.col("ord") + 1).alias("arrival"))
-    marked = late.withColumn("arrival", F.concat(F.lit("q"), arrival(F.col("arrival"))))
-    files.write_response_lines(marked, f"{path}/run=2")
+    late = rows.select("uuid", "parent_uuid", "generated_text", F.col("ord").alias("arrival"))
+    files.write_response_lines(late, f"{path}/run=2")
     log = files.read_responses(spark, f"{path}/run=*")
     return choice.attach_responses(rows.drop("generated_text"), log).select(
         "uuid", "parent_uuid", "generated_text"
     )
 
 
+@query("responses_rerun")
+def responses_rerun(spark, sf):
+    """Two runs of lines that bring no mark and no time along, in several files each: the later run counts, though its
+    folder's name comes first."""
+    rows = fx.mc_instances(spark, sf)
+    path = fresh_dir(spark, "reruns")
+    for run, text in (("b", F.lit("???")), ("a", F.col("generated_text"))):
+        lines = rows.repartition(4).select(
+            F.struct("uuid", "parent_uuid").alias("request"), F.struct(text.alias("generated_text")).alias("response")
+        )
+        lines.write.json(f"{path}/run={run}")
+    log = files.read_responses(spark, f"{path}/run=*")
+    return choice.attach_responses(rows.drop("generated_text"), log).select("uuid", "parent_uuid", "generated_text")
+
+
 @query("empty_responses")
 def empty_responses(spark, sf):
     return choice.empty_count(scored(spark, sf))
@@ -1086,7 +1100,9 @@ def responses_roundtrip(spark, sf):
     path = fresh_dir(spark, "lines")
     rows = fx.mc_instances(spark, sf).select("uuid", "parent_uuid", "generated_text", F.col("ord").alias("arrival"))
     files.write_response_lines(rows, path)
-    return files.read_responses(spark, path, "run").select("uuid", "parent_uuid", "generated_text", "arrival", "run_key")
+    return files.read_responses(spark, path, "run").select(
+        "uuid", "parent_uuid", "generated_text", F.col("mark").alias("arrival"), "run_key"
+    )
 
 
 @query("response_store")

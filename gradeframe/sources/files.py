@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -35,7 +36,7 @@ def _ddl(fields: dict[str, str], colon: str = ":") -> str:
     return ",".join(f"{name}{colon}{kind}" for name, kind in fields.items())
 
 
-_LINE = f"request struct<{_ddl(_REQUEST)}>, response struct<{_ddl(_RESPONSE)}>, arrival string"
+_LINE = f"request struct<{_ddl(_REQUEST)}>, response struct<{_ddl(_RESPONSE)}>, arrival string, written long"
 
 
 def read_requests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -46,16 +47,17 @@ def read_requests(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 def read_responses(spark: SparkSession, path: str, run_key: str | None = None) -> DataFrame:
     """JSON lines {request, response}, in whichever response mode.
 
-    ``arrival`` is the mark a line brings along, or else its place: the file's name, then a split's
-    byte offset plus the row's index in its task. A split has fewer lines than bytes, so later splits
-    stay above earlier ones.
+    ``arrival`` orders lines over any number of files and runs, marked or not: by the time of writing (which
+    ``write_response_lines`` puts into its lines; else the file's modification time), then by the mark a line brings
+    along, the file's full path, and the place in it. A place is a split's byte offset plus the row's index in its task:
+    a split has fewer lines than bytes, so later splits stay above earlier ones. ``mark`` is the mark alone.
     """
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     place = arrival(F.col("_metadata.file_block_start") + index)
+    written = F.coalesce("written", F.unix_micros("_metadata.file_modification_time"))
+    order = F.concat_ws("/", arrival(written), F.coalesce("arrival", F.lit("")), "_metadata.file_path", place)
     lines = spark.read.schema(_LINE).json(path).select(
-        "request",
-        "response",
-        F.coalesce("arrival", F.concat_ws("/", "_metadata.file_name", place)).alias("arrival"),
+        "request", "response", order.alias("arrival"), F.col("arrival").alias("mark")
     )
     r = F.col("response")
     rows = lines.select(
@@ -72,6 +74,7 @@ def read_responses(spark: SparkSession, path: str, run_key: str | None = None) -
         F.from_json(r["loglikelihood"], "array<double>").alias("token_logprobs"),
         "arrival",
         F.lit(run_key).cast("string").alias("run_key"),
+        "mark",
     )
     return rows
 
@@ -89,16 +92,17 @@ def write_responses(df: DataFrame, path: str, run_key: str) -> None:
 
 
 def write_response_lines(df: DataFrame, path: str) -> None:
-    """Responses as JSON lines {request, response}, with the arrival mark of rows that have one, as
-    the order over several files would be lost otherwise."""
+    """Responses as JSON lines {request, response}, with the time of writing, the same in all lines, and the arrival
+    mark of rows that have one, as the order over several files would be lost otherwise."""
     fields = ["generated_text", "loglikelihood", "target_length", "lm_loss", "token_logprobs"]
-    kept = [c for c in df.columns if c not in (*fields, "arrival", "run_key")]
+    kept = [c for c in df.columns if c not in (*fields, "arrival", "mark", "run_key")]
     kind = dict(df.dtypes).get("arrival")
     mark = F.col("arrival") if kind == "string" else arrival(F.col("arrival")) if kind else None
     df.select(
         F.struct(*kept).alias("request"),
         F.struct(*[c for c in fields if c in df.columns]).alias("response"),
         *([mark.alias("arrival")] if mark is not None else []),
+        F.lit(time.time_ns() // 1000).alias("written"),
     ).write.mode("overwrite").json(path)
 
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gradeframe.operators import board, dialogue
+from gradeframe.operators import board, choice, dialogue
 from gradeframe.operators.judge import parse_judge
 from gradeframe.schemas import RESPONSES, conform
 from gradeframe.sources import benchmarks, files
@@ -74,6 +74,36 @@ def test_response_lines_round_trip(spark, tmp_path):
     assert files.read_responses(spark, str(tmp_path / "out")).first().generated_text == "t"
 
 
+def test_the_later_run_counts_whatever_its_files_are_called(spark, tmp_path):
+    """Twenty runs of the same keys, in several files each, with marks and without, by the library and by others."""
+    keys = spark.createDataFrame([(f"u{i}", None) for i in range(6)], "uuid string, parent_uuid string")
+    problems = keys.repartition(1)
+    for run in range(20):
+        folder = str(tmp_path / "log" / f"run-{(run * 7) % 20:02d}")
+        rows = keys.withColumn("generated_text", F.lit(f"text {run}")).repartition(3)
+        if run % 3 == 0:
+            mark = F.lit(100 - run).cast("long")  # later runs have lower marks
+            files.write_response_lines(rows.withColumn("arrival", mark), folder)
+        elif run % 3 == 1:
+            files.write_response_lines(rows, folder)
+        else:
+            rows.select(F.struct("uuid").alias("request"), F.struct("generated_text").alias("response")).write.json(folder)
+        log = files.read_responses(spark, str(tmp_path / "log" / "*"))
+        told = choice.attach_responses(problems, log).select("generated_text").distinct().collect()
+        assert [r.generated_text for r in told] == [f"text {run}"]
+
+
+def test_marks_order_the_lines_of_one_run(spark, tmp_path):
+    rows = spark.createDataFrame([("a", f"t{i}", i) for i in range(40)], "uuid string, generated_text string, arrival long")
+    files.write_response_lines(rows.repartition(7), str(tmp_path / "run"))
+    log = files.read_responses(spark, str(tmp_path / "run"))
+    assert choice.latest(log, ["uuid"], ["generated_text"]).first().generated_text == "t39"
+    files.write_response_lines(log.repartition(5), str(tmp_path / "copy"))  # what was read keeps its order
+    copy = files.read_responses(spark, str(tmp_path / "copy"))
+    assert choice.latest(copy, ["uuid"], ["generated_text"]).first().generated_text == "t39"
+    assert sorted(r.mark for r in log.collect())[0] == "0" * 20
+
+
 def test_request_list(spark, tmp_path):
     dump(tmp_path / "r.json", [{"uuid": "a", "prompt": "p"}, {"uuid": "b", "messages": [{"role": "user", "content": "m"}]}])
     rows = files.read_requests(spark, str(tmp_path / "r.json")).orderBy("uuid").collect()
