@@ -714,6 +714,12 @@ oracle("multi_round_resumed", f"""WITH {MULTI}
 oracle("multi_round_duplicates", f"""WITH {MULTI}
 SELECT conv_id, CAST(count(*) * 6 AS BIGINT) AS turns, CAST(2 AS BIGINT) AS dialogues FROM x
 WHERE round < 2 GROUP BY conv_id""")
+oracle("multi_round_reused", f"""WITH {MULTI}
+SELECT run, asked_by, (SELECT count(*) FROM f) AS questions
+FROM (VALUES ('first', 'first'), ('again', 'first'), ('model', 'model'), ('settings', 'settings'), ('seeds', 'seeds')) t(run, asked_by)""")
+oracle("response_store_unfinished", f"""WITH {MC}
+SELECT 'kept' AS run_key, uuid, parent_uuid, generated_text FROM mc
+UNION ALL SELECT 'repeated', uuid, parent_uuid, generated_text FROM mc WHERE ord < 100""")
 oracle("live_accuracy", f"""WITH {SCORED}
 SELECT concat('run', CAST(answer_idx AS VARCHAR)) AS run_key, CAST(sum(hit) AS BIGINT) AS num_hits,
   count(*) AS num_groups, round(avg(hit), 9) AS accuracy, round(avg(ord % 100 / 10.0), 6) AS avg_loss

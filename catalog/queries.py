@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog import fixtures as fx
@@ -15,11 +16,13 @@ from gradeframe.functions.scores import sequence_loss, target_loglik
 from gradeframe.operators import board, choice, cloze, contamination, dialogue, expand, judge
 from gradeframe.operators import render, rounds
 from gradeframe.operators.inference import infer, pending, register_responder
-from gradeframe.plans.dialogue_loop import run_dialogue
+from gradeframe.operators.replies import add_replies, request_key
+from gradeframe.plans.dialogue_loop import opening_requests, run_dialogue
 from gradeframe.plans.ordered import dense_order
 from gradeframe.schemas import METRICS, RESPONSES, arrival, conform
 from gradeframe.session import fresh_dir, tune
 from gradeframe.sources import files
+from gradeframe.sources.commits import Commits
 from gradeframe.sources.benchmarks import normalize, read_benchmark, read_group
 from gradeframe.streaming import live
 from gradeframe.templates import CHOICE_TEMPLATES, prompter
@@ -994,6 +997,16 @@ def _register_stand_ins() -> None:
     register_responder("verdict", by_messages(verdict))
 
 
+def signed(name: str):
+    """A model that says by which run it was asked."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"uuid": pdf["uuid"], "generated_text": name})
+
+    return run
+
+
 @query("batch_inference")
 def batch_inference(spark, sf):
     """Every dialogue turn as a request; even turns are already in the store."""
@@ -1059,14 +1072,35 @@ def multi_round_resumed(spark, sf):
     _register_stand_ins()
     seeds, out = _seeds(spark, sf), fresh_dir(spark, "resumed")
     even = F.length(F.get("interactor", F.lit(1))["content"]) % 2 == 0
-    stored = seeds.where(even).select(
-        F.col("conv_id").alias("uuid"), F.lit("stored").alias("generated_text"), F.lit("interactor-0").alias("run_key")
-    )
-    conform(stored, RESPONSES).write.partitionBy("run_key").parquet(f"{out}/responses")
-    turns, _ = run_dialogue(seeds, _PARTIES, max_rounds=1, out=out)
+    asked = opening_requests(seeds.where(even), "interactor")
+    known = asked.select(request_key("asker").alias("key"), F.lit("stored").alias("generated_text"))
+    add_replies(Commits(spark, f"{out}/replies"), known, "interactor-0")
+    turns, _ = run_dialogue(seeds, _PARTIES, max_rounds=1, out=out, run_keys={"interactor": "asker"})
     return turns.drop("row")
 
 
+@query("multi_round_reused")
+def multi_round_reused(spark, sf):
+    """Five runs under one folder, by the replies of which they make use: the same again, another model, other
+    settings, other seeds. A run's first questions are counted by the run that asked them."""
+    _register_stand_ins()
+    seeds, out = _seeds(spark, sf), fresh_dir(spark, "reused")
+    longer = F.array_append("interactor", msg.message("user", F.lit("more")))
+    runs = [
+        ("first", seeds, "one", "0"), ("again", seeds, "one", "0"), ("model", seeds, "two", "0"),
+        ("settings", seeds, "one", "1"), ("seeds", seeds.withColumn("interactor", longer), "one", "0"),
+    ]
+    rows = None
+    for name, given, model, heat in runs:
+        parties = {**_PARTIES, "interactor": signed(name)}
+        turns, _ = run_dialogue(
+            given, parties, max_rounds=1, out=out, run_keys={"interactor": model}, generation={"interactor": {"heat": heat}}
+        )
+        told = turns.where("seq = 0").select(F.lit(name).alias("run"), F.col("content").alias("asked_by"))
+        rows = told if rows is None else rows.unionByName(told)
+    return rows.groupBy("run", "asked_by").agg(F.count(F.lit(1)).alias("questions"))
+
+
 # --- files -----------------------------------------------------------------------------------
 
 
@@ -1115,6 +1149,22 @@ def response_store(spark, sf):
     return files.stored_responses(spark, path, "a").select("uuid", "parent_uuid", "generated_text", "run_key")
 
 
+@query("response_store_unfinished")
+def response_store_unfinished(spark, sf):
+    """A run in the store, a later write of it that fails after some of its files, and one that is repeated."""
+    path = fresh_dir(spark, "unfinished")
+    rows = fx.mc_instances(spark, sf).select("uuid", "parent_uuid", "generated_text", "ord")
+    files.write_responses(rows, path, "kept")
+    broken = F.when(F.pmod(F.xxhash64("uuid"), F.lit(500)) == 7, F.raise_error(F.lit("lost"))).otherwise(F.lit("half written"))
+    try:
+        files.write_responses(rows.withColumn("generated_text", broken.cast("string")), path, "kept")
+    except SparkRuntimeException:
+        pass
+    for _ in range(2):
+        files.write_responses(rows.where("ord < 100"), path, "repeated")
+    return files.stored_responses(spark, path).select("run_key", "uuid", "parent_uuid", "generated_text")
+
+
 @query("request_list")
 def request_list(spark, sf):
     """Requests read from JSON arrays."""
@@ -1134,7 +1184,7 @@ def predictions_sink(spark, sf):
     rows = scored(spark, sf).select("uuid", "prediction_index", "hit")
     files.write_predictions(rows.where("hit = 1"), path, "hits")
     files.write_predictions(rows, path, "all")
-    return spark.read.parquet(path).where("step_name = 'all'").select("uuid", "prediction_index", "hit")
+    return files.read_predictions(spark, path, "all").select("uuid", "prediction_index", "hit")
 
 
 @query("choice_predictions_sink")

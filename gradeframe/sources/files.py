@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from gradeframe.functions.text import json_string
 from gradeframe.operators.judge import parse_judge
 from gradeframe.schemas import MESSAGES, RESPONSES, arrival, conform
+from gradeframe.sources.commits import Commits
 
 _MESSAGE_LIST = "array<struct<role:string,content:string>>"
 _REQUEST = {
@@ -80,15 +81,9 @@ def read_responses(spark: SparkSession, path: str, run_key: str | None = None) -
 
 
 def write_responses(df: DataFrame, path: str, run_key: str) -> None:
-    """Replace a run's responses in a Parquet store partitioned by run."""
-    (
-        conform(df, RESPONSES)
-        .withColumn("run_key", F.lit(run_key))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_key")
-        .parquet(path)
-    )
+    """Replace a run's responses in a store of committed writes. Readers have the old run until all is written."""
+    rows = conform(df, RESPONSES).withColumn("run_key", F.lit(run_key))
+    Commits(df.sparkSession, path).write(rows, run_key, replace=True, partition_by=["run_key"])
 
 
 def write_response_lines(df: DataFrame, path: str) -> None:
@@ -107,8 +102,8 @@ def write_response_lines(df: DataFrame, path: str) -> None:
 
 
 def stored_responses(spark: SparkSession, path: str, run_key: str | None = None) -> DataFrame:
-    """Stored responses; a run key prunes to its partition."""
-    store = spark.read.schema(RESPONSES).parquet(path)
+    """Stored responses of all runs or of one, whose files alone are read."""
+    store = Commits(spark, path).read(RESPONSES, run_key)
     return store if run_key is None else store.where(F.col("run_key") == run_key)
 
 
@@ -142,14 +137,13 @@ def write_scores(scores: DataFrame, path: str) -> None:
 
 
 def write_predictions(df: DataFrame, path: str, step_name: str) -> None:
-    """A step's predictions, one partition per step."""
-    (
-        df.withColumn("step_name", F.lit(step_name))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("step_name")
-        .parquet(path)
-    )
+    """Replace a step's predictions in a store of committed writes."""
+    rows = df.withColumn("step_name", F.lit(step_name))
+    Commits(df.sparkSession, path).write(rows, step_name, replace=True)
+
+
+def read_predictions(spark: SparkSession, path: str, step_name: str) -> DataFrame:
+    return Commits(spark, path).read(name=step_name)
 
 
 def write_choice_predictions(predictions: DataFrame, path: str) -> None:
@@ -160,12 +154,15 @@ def write_choice_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def write_transcripts(turns: DataFrame, rounds: DataFrame, path: str) -> None:
-    turns.write.mode("overwrite").parquet(f"{path}/turns")
-    rounds.write.mode("overwrite").parquet(f"{path}/rounds")
+    """Replace the turns and rounds in a store of committed writes, rounds first, as they are read by their turns."""
+    store = Commits(turns.sparkSession, path)
+    store.write(rounds, "rounds", replace=True)
+    store.write(turns, "turns", replace=True)
 
 
 def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/turns"), spark.read.parquet(f"{path}/rounds")
+    store = Commits(spark, path)
+    return store.read(name="turns"), store.read(name="rounds")
 
 
 _TRANSCRIPT = T.StructType(

@@ -45,8 +45,12 @@ RESPONDERS = {
 }
 
 
+#: The roles' run keys, whatever function stands in for them.
+KEYS = {role: f"model of the {role}" for role in RESPONDERS}
+
+
 def test_dialogue_rounds_and_stop(spark, tmp_path):
-    turns, judged = run_dialogue(seeds(spark), RESPONDERS, max_rounds=2, out=str(tmp_path / "d"))
+    turns, judged = run_dialogue(seeds(spark), RESPONDERS, max_rounds=2, out=str(tmp_path / "d"), run_keys=KEYS)
     said = {(t.conv_id, t.seq): (t["round"], t.party, t.content) for t in turns.collect()}
     assert said["c0", 0] == (0, "interactor", "ask 2")
     assert said["c0", 1] == (0, "candidate", "say ask 2")
@@ -54,10 +58,55 @@ def test_dialogue_rounds_and_stop(spark, tmp_path):
     assert {c for c, s in said if s >= 3} == {"c0", "c2"}
     assert sorted((r.conv_id, r["round"]) for r in judged.collect()) == [
         ("c0", 0), ("c0", 1), ("c1", 0), ("c2", 0), ("c2", 1)]
-    again, _ = run_dialogue(seeds(spark), dict.fromkeys(RESPONDERS, never), 2, str(tmp_path / "d"))
+    again, _ = run_dialogue(seeds(spark), dict.fromkeys(RESPONDERS, never), 2, str(tmp_path / "d"), run_keys=KEYS)
     assert {(t.conv_id, t.seq): (t["round"], t.party, t.content) for t in again.collect()} == said
 
 
+def test_other_models_settings_and_seeds_are_asked_anew(spark, tmp_path):
+    out, given = str(tmp_path / "d"), seeds(spark, 1)
+
+    def first_question(name, rows=given, **kwargs):
+        parties = {**RESPONDERS, "interactor": chat(lambda u, m: name)}
+        turns, _ = run_dialogue(rows, parties, max_rounds=1, out=out, **kwargs)
+        return turns.where("seq = 0").first().content
+
+    assert first_question("one") == "one"
+    assert first_question("two") == "two"  # another function without a key of its own is another model
+    keyed = {"run_keys": {"interactor": "k"}}
+    assert first_question("three", **keyed) == "three" == first_question("four", **keyed)
+    assert first_question("five", run_keys={"interactor": "l"}) == "five"
+    heat = {"generation": {"interactor": {"heat": "1"}}}
+    assert first_question("six", **keyed, **heat) == "six" == first_question("seven", **keyed, **heat)
+    other = given.withColumn("interactor", F.array_append("interactor", F.struct(F.lit("user").alias("role"), F.lit("more").alias("content"))))
+    assert first_question("eight", other, **keyed) == "eight"
+
+
+def test_what_was_said_is_not_moved_again(spark, tmp_path, monkeypatch):
+    """Requests are put together without an exchange, and a round's files are as large as those of the one before."""
+    from gradeframe.plans import dialogue_loop
+
+    plans, real = [], dialogue_loop._requests
+
+    def watched(*args):
+        made = real(*args)
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(dialogue_loop, "_requests", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        long = chat(lambda u, m: f"{len(m):04d}" + u * 2000)
+        parties = {"interactor": long, "candidate": long, "evaluator": chat(lambda u, m: '{"overall_score": 1}')}
+        turns, judged = run_dialogue(seeds(spark, 8), parties, max_rounds=5, out=str(tmp_path / "d"), partitions=3)
+        assert turns.count() == 8 * 15 and judged.count() == 8 * 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 15 and not any("Exchange" in p for p in plans)
+    files = sorted((tmp_path / "d" / "runs").glob("*/said/*.parquet"), key=lambda f: f.stat().st_mtime)
+    assert sum(f.stat().st_size for f in files[-9:]) < 1.3 * sum(f.stat().st_size for f in files[-45:]) / 5
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("gradeframe_")]
+
+
 def test_a_missing_reply_fails(spark, tmp_path):
     def silent(batches):
         for pdf in batches:
@@ -76,8 +125,8 @@ def test_only_new_requests_are_asked(spark, tmp_path):
             yield pd.DataFrame({"uuid": pdf["uuid"], "generated_text": '{"overall_score": 1}'})
 
     out = str(tmp_path / "d")
-    first, _ = run_dialogue(seeds(spark, 2), RESPONDERS, max_rounds=1, out=out, commits=3)
-    again, judged = run_dialogue(seeds(spark, 3), dict.fromkeys(RESPONDERS, first_two_fail), max_rounds=1, out=out)
+    first, _ = run_dialogue(seeds(spark, 2), RESPONDERS, max_rounds=1, out=out, commits=3, run_keys=KEYS)
+    again, judged = run_dialogue(seeds(spark, 3), dict.fromkeys(RESPONDERS, first_two_fail), max_rounds=1, out=out, run_keys=KEYS)
     kept = {tuple(t) for t in again.where("conv_id != 'c2'").collect()}
     assert kept == {tuple(t) for t in first.collect()} and judged.count() == 3
 
