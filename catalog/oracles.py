@@ -730,6 +730,8 @@ SELECT conv_id, any_value(convs.rounds) AS rounds, any_value(convs.stopped) AS s
   round(max(score) FILTER (metric = 'overall'), 6) AS overall_score
 FROM scores JOIN convs USING (conv_id) GROUP BY conv_id""")
 
+ORACLES["live_accuracy_late"], ORACLES["live_rounds_gaps"] = ORACLES["live_accuracy"], ORACLES["live_rounds"]
+
 # --- files ------------------------------------------------------------------------------------
 
 oracle("benchmark_split", f"""WITH {PROBLEMS}, n AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS i FROM p0)

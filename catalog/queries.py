@@ -1276,35 +1276,49 @@ def run_keys(spark, sf):
 # --- streaming -------------------------------------------------------------------------------
 
 
-@query("live_accuracy")
-def live_accuracy(spark, sf):
-    """Response lines arrive as files; the running accuracy after the last one."""
-    rows = fx.mc_instances(spark, sf)
-    base = fresh_dir(spark, "live-accuracy")
-    rows.select(
+def _response_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.concat(F.lit("run"), F.col("answer_idx").cast("string")).alias("run_key"),
         "uuid",
         "parent_uuid",
         "generated_text",
         (F.col("ord") % 100 / 10.0).alias("lm_loss"),
-    ).write.json(f"{base}/in")
+    )
+
+
+def _live_accuracy(spark, rows: DataFrame, batches: list[DataFrame]) -> DataFrame:
+    base = fresh_dir(spark, "live-accuracy")
     problems = rows.select("uuid", "parent_uuid", "permutation", "answer_idx")
-    live.live_accuracy(
-        spark, f"{base}/in", problems, f"{base}/out", f"{base}/state", 4
-    ).awaitTermination()
-    done = live.read_accuracy(spark, f"{base}/out")
-    return done.select(
+    for lines in batches:
+        lines.write.mode("append").json(f"{base}/in")
+        live.live_accuracy(spark, f"{base}/in", problems, f"{base}/out", f"{base}/state", 4).awaitTermination()
+    return live.read_accuracy(spark, f"{base}/out").select(
         "run_key", "num_hits", "num_groups", _r("accuracy").alias("accuracy"),
         _r("avg_loss", 6).alias("avg_loss"),
     )
 
 
-@query("live_rounds")
-def live_rounds(spark, sf):
-    """Judge lines arrive as files; conversation scores after the last one."""
+@query("live_accuracy")
+def live_accuracy(spark, sf):
+    """Response lines arrive as files; the running accuracy after the last one."""
+    rows = fx.mc_instances(spark, sf)
+    return _live_accuracy(spark, rows, [_response_lines(rows)])
+
+
+@query("live_accuracy_late")
+def live_accuracy_late(spark, sf):
+    """Every problem is answered, then answered again, then old answers come once more: the last written count."""
+    rows = fx.mc_instances(spark, sf)
+    lines = _response_lines(rows)
+    wrong = lines.withColumn("generated_text", F.lit("???")).withColumn("lm_loss", F.lit(99.0))
+    return _live_accuracy(spark, rows, [wrong, lines, wrong.withColumn("written", F.lit(1).cast("long"))])
+
+
+def _live_rounds(spark, batches: list[DataFrame]) -> DataFrame:
     base = fresh_dir(spark, "live-rounds")
-    fx.judge_rounds_raw(spark, sf).select("conv_id", "round", "content").write.json(f"{base}/in")
-    live.live_rounds(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    for lines in batches:
+        lines.select("conv_id", "round", "content").write.mode("append").json(f"{base}/in")
+        live.live_rounds(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     wide = live.read_rounds(spark, f"{base}/out")
     return wide.select(
         "conv_id",
@@ -1313,3 +1327,18 @@ def live_rounds(spark, sf):
         _r("accuracy_score", 6).alias("accuracy_score"),
         _r("overall_score", 6).alias("overall_score"),
     )
+
+
+@query("live_rounds")
+def live_rounds(spark, sf):
+    """Judge lines arrive as files; conversation scores after the last one."""
+    return _live_rounds(spark, [fx.judge_rounds_raw(spark, sf)])
+
+
+@query("live_rounds_gaps")
+def live_rounds_gaps(spark, sf):
+    """Every third round comes first, then the rest with other verdicts on the rounds that have been judged."""
+    rows = fx.judge_rounds_raw(spark, sf)
+    third = F.col("round") % 3 == 0
+    again = F.when(third, F.lit('{"overall_score": 0, "stop_conversation": true}')).otherwise(F.col("content"))
+    return _live_rounds(spark, [rows.where(third), rows.withColumn("content", again)])

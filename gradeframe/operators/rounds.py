@@ -171,11 +171,8 @@ def block_sums(
     return rows.groupBy(*keys, BLOCK).agg(*aggs)
 
 
-def combine_blocks(
-    blocks: DataFrame, keys: Sequence[str] = ("conv_id",), strict: bool = False
-) -> DataFrame:
-    """Block sums to one row per conversation: rounds, stopped and per metric n, min, max, mean,
-    score (null without a valid value; in strict mode also with an unmapped score)."""
+def merge_blocks(blocks: DataFrame, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
+    """Block sums of consecutive blocks to the sums of all of them, in the same columns."""
     keys = list(keys)
     earlier = before(keys, [BLOCK])
     rows = blocks.select(
@@ -196,7 +193,16 @@ def combine_blocks(
             F.sum(F.col(f"{m}_s") * shift).alias(f"{m}_s"),
             F.sum(f"{m}_odd").alias(f"{m}_odd"),
         ]
-    wide = rows.groupBy(*keys).agg(*aggs)
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def combine_blocks(
+    blocks: DataFrame, keys: Sequence[str] = ("conv_id",), strict: bool = False
+) -> DataFrame:
+    """Block sums to one row per conversation: rounds, stopped and per metric n, min, max, mean,
+    score (null without a valid value; in strict mode also with an unmapped score)."""
+    keys = list(keys)
+    wide = merge_blocks(blocks, keys)
     out = [F.col("rounds"), F.col("stopped")]
     for m in ALL_METRICS:
         score = F.try_divide(F.col(f"{m}_s"), F.col(f"{m}_w")) * 10.0

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-_RECORD = "name string, part string, folder string, at long, id string, replaces boolean, columns string"
+_RECORD = "name string, part string, folder string, at long, id string, replaces boolean, columns string, buckets int"
 
 
 @dataclass(frozen=True)
@@ -29,13 +30,26 @@ class Commits:
     path: str
 
     def write(
-        self, df: DataFrame, name: str, part: str = "", replace: bool = False, partition_by: Sequence[str] = ()
+        self,
+        df: DataFrame,
+        name: str,
+        part: str = "",
+        replace: bool = False,
+        partition_by: Sequence[str] = (),
+        buckets: int = 0,
+        key: str | None = None,
     ) -> None:
-        """Write the rows as a part of the table; with ``replace`` they are all that the table has."""
+        """Write the rows as a part of the table; with ``replace`` they are all that the table has. With ``buckets`` the
+        part is bucketed by ``key``, for ``bucketed``."""
         folder = f"data/_of={uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
-        columns = df.schema.toDDL()
-        record = (name, part, folder, time.time_ns(), uuid.uuid4().hex, replace, columns)
+        if buckets:
+            table = f"gradeframe_{uuid.uuid4().hex}"
+            writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+            writer.option("path", f"{self.path}/{folder}").saveAsTable(table)
+            self.spark.sql(f"DROP TABLE {table}")
+        else:
+            df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
+        record = (name, part, folder, time.time_ns(), uuid.uuid4().hex, replace, df.schema.toDDL(), buckets)
         rows = self.spark.createDataFrame([record], _RECORD).coalesce(1)
         rows.write.parquet(f"{self.path}/commits/{record[3]:020d}-{record[4]}")
 
@@ -57,10 +71,12 @@ class Commits:
             counted[row["name"], row["part"]] = row.asDict()
         return list(counted.values())
 
-    def read(self, schema: str | T.StructType | None = None, name: str | None = None) -> DataFrame:
+    def read(
+        self, schema: str | T.StructType | None = None, name: str | None = None, parts: Callable[[str], bool] | None = None
+    ) -> DataFrame:
         """The rows of a table, or of all, as of now; none if nothing has been committed. Without a schema it is the one
-        that the newest write had."""
-        records = self.records(name)
+        that the newest write had. ``parts`` tells which of them to read."""
+        records = [r for r in self.records(name) if parts is None or parts(r["part"])]
         if schema is None:
             if not records:
                 raise LookupError(f"nothing has been committed to {name or 'any table'} below {self.path}")
@@ -70,3 +86,21 @@ class Commits:
         wanted = self.spark.createDataFrame([], schema).columns
         reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/data")
         return reader.parquet(*[f"{self.path}/{r['folder']}" for r in records]).select(*wanted)
+
+    @contextmanager
+    def bucketed(self, name: str, part: str, key: str) -> Iterator[DataFrame | None]:
+        """A part that was written in buckets, known to the catalog as such meanwhile: it joins and groups by its key
+        without moving. None if the part is not there."""
+        found = [r for r in self.records(name) if r["part"] == part and r["buckets"]]
+        if not found:
+            yield None
+            return
+        table, r = f"gradeframe_{uuid.uuid4().hex}", found[0]
+        self.spark.sql(
+            f"CREATE TABLE {table} ({r['columns']}) USING parquet "
+            f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {r['buckets']} BUCKETS LOCATION '{self.path}/{r['folder']}'"
+        )
+        try:
+            yield self.spark.table(table)
+        finally:
+            self.spark.sql(f"DROP TABLE {table}")

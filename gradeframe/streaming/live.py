@@ -1,75 +1,92 @@
 """Live scoreboards: response and judge files scored as they arrive.
 
-Each micro-batch writes the groups it changed below ``sink/batches/batch_id=N``; a repeated batch replaces
-its own folder, so results are exactly-once. Every ``COMPACT`` batches the newest rows of all groups are
-written as a snapshot below ``sink/snapshots``. Readers take the newest snapshot and the batches after it,
-and of these the newest row per group. State is kept in RocksDB, on the executors' disks and in the
-checkpoint, not on their heaps.
+Streams keep no state of their own. What has been seen is a table of committed parts below the sink (``sources.commits``),
+one part per micro-batch, and every ``COMPACT`` batches a snapshot of all before. A batch looks up what it needs to know
+in the parts before it, so that a repeated batch finds the same, replaces its own part and changes nothing. A table has
+a row per key, or per run of rounds, however often old keys come again.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gradeframe.operators.choice import score_answers
 from gradeframe.operators.judge import parse_judge
-from gradeframe.operators.rounds import block_sums, combine_blocks, metric_score, ALL_METRICS
+from gradeframe.operators.rounds import ALL_METRICS, block_sums, combine_blocks, merge_blocks
 from gradeframe.plans.ordered import BLOCK, int_block
-from gradeframe.schemas import METRICS
+from gradeframe.schemas import arrival
+from gradeframe.sources.commits import Commits
 
 RESPONSE_LINE = (
-    "run_key string, uuid string, parent_uuid string, generated_text string, lm_loss double"
+    "run_key string, uuid string, parent_uuid string, generated_text string, lm_loss double, arrival string, written long"
 )
-ROUND_LINE = "conv_id string, round int, content string"
+ROUND_LINE = "conv_id string, round int, content string, arrival string, written long"
 
 
 COMPACT = 16
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_SNAPSHOT = ""
+_SUMS = "run_key string, hits long, groups long, loss double, losses long"
+_KEYS = f"key string, arrival string, {_SUMS}"
 
 
-def _start(changed: DataFrame, sink: str, keys: list[str], checkpoint: str, shape=None) -> StreamingQuery:
-    """Writes what each batch changed, as ``shape`` makes it of the batch."""
-    changed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+class _Parts:
+    """A table of what batches have added."""
+
+    def __init__(self, store: Commits, name: str, schema: str):
+        self.store, self.name, self.schema = store, name, schema
+
+    def before(self, batch_id: int, snapshot: bool = True) -> DataFrame:
+        """What the batches before have added."""
+
+        def wanted(part: str) -> bool:
+            return snapshot if part == _SNAPSHOT else int(part) < batch_id
+
+        return self.store.read(self.schema, self.name, wanted)
+
+    def add(self, df: DataFrame, batch_id: int) -> None:
+        self.store.write(df, self.name, str(batch_id))
+
+    def compact(self, batch_id: int, merge: Callable[[DataFrame], DataFrame], buckets: int = 0, key: str | None = None) -> None:
+        """Once enough batches have come, one snapshot stands in for all before this one."""
+        parts = [r["part"] for r in self.store.records(self.name)]
+        if sum(p != _SNAPSHOT and int(p) < batch_id for p in parts) >= COMPACT:
+            self.store.write(merge(self.before(batch_id)), self.name, _SNAPSHOT, replace=True, buckets=buckets, key=key)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = shape(batch) if shape else batch
-        rows.write.mode("overwrite").parquet(f"{sink}/batches/batch_id={batch_id}")
-        if batch_id % COMPACT == COMPACT - 1:
-            newest = _newest(batch.sparkSession, sink, keys, batch_id)
-            newest.write.mode("overwrite").parquet(f"{sink}/snapshots/upto={batch_id}")
 
+def _start(lines: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Each batch's lines, with the file they come from, go to ``write``."""
+    source = F.struct(
+        F.unix_micros("_metadata.file_modification_time").alias("time"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
     return (
-        changed.writeStream.outputMode("update")
-        .foreachBatch(write)
+        lines.withColumn("_file", source)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _newest(spark: SparkSession, sink: str, keys: list[str], upto: int | None = None) -> DataFrame:
-    """The newest row per group; with ``upto`` as of that batch."""
-    rows = spark.read.parquet(f"{sink}/batches")
-    if upto is not None:
-        rows = rows.where(F.col("batch_id") <= upto)
-    try:
-        snapshots = spark.read.parquet(f"{sink}/snapshots")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        snapshots = None
-    if snapshots is not None:
-        if upto is not None:  # a repeated batch makes its own snapshot anew
-            snapshots = snapshots.where(F.col("upto") < upto)
-        last = snapshots.agg(F.max("upto")).first()[0]
-        if last is not None:
-            kept = snapshots.where(F.col("upto") == last).withColumnRenamed("upto", "batch_id")
-            rows = rows.where(F.col("batch_id") > last).unionByName(kept)
-    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_r"))
-    return last.select(*keys, "_r.*")
+def _arrived(batch: DataFrame) -> DataFrame:
+    """The batch's lines with the order of stored responses (``sources.files.read_responses``) in ``arrival``."""
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    written = F.coalesce("written", "_file.time")
+    place = [F.coalesce("arrival", F.lit("")), F.col("_file.path"), arrival(F.col("_file.start") + index)]
+    return batch.withColumn("arrival", F.concat_ws("/", arrival(written), *place)).drop("_file", "written")
+
+
+def _newest_keys(rows: DataFrame) -> DataFrame:
+    values = [c for c in rows.columns if c != "key"]
+    return rows.groupBy("key").agg(F.max_by(F.struct(*values), "arrival").alias("_r")).select("key", "_r.*")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("run_key").agg(*[F.sum(c).alias(c) for c in ("hits", "groups", "loss", "losses")])
 
 
 def live_accuracy(
@@ -82,29 +99,91 @@ def live_accuracy(
 ) -> StreamingQuery:
     """Running accuracy and loss per run over a folder of JSON response lines.
 
-    The first response of a (run, uuid, parent) counts; later copies are dropped by state. (The
-    batch join keeps the last one: a stream cannot take back a response it has reported.)
-    ``problems`` is a static table (uuid, parent_uuid, permutation, answer_idx[, choices]).
+    The last response of a (run, uuid, parent) counts, as in the batch join, also if it comes batches later: the sums
+    are corrected by what it adds less what the response before it had added. ``problems`` is a static table (uuid,
+    parent_uuid, permutation, answer_idx[, choices]).
+
+    The table of keys is bucketed: a batch's keys are moved to it, it is not moved itself.
     """
     lines = spark.readStream.schema(RESPONSE_LINE).json(source)
-    fresh = lines.dropDuplicates(["run_key", "uuid", "parent_uuid"])
     static = problems.withColumnsRenamed({"uuid": "_uuid", "parent_uuid": "_parent"})
-    joined = fresh.join(
-        static,
-        (F.col("uuid") == F.col("_uuid")) & F.col("parent_uuid").eqNullSafe(F.col("_parent")),
-    )
-    scored = score_answers(joined, n_choices)
-    running = scored.groupBy("run_key").agg(
-        F.sum(F.col("hit").cast("long")).alias("num_hits"),
-        F.count(F.lit(1)).alias("num_groups"),
-        F.avg("lm_loss").alias("avg_loss"),
-    )
-    return _start(running, sink, ["run_key"], checkpoint)
+    store = Commits(spark, sink)
+    keys, sums = _Parts(store, "keys", _KEYS), _Parts(store, "sums", _SUMS)
+
+    def scores(batch: DataFrame) -> DataFrame:
+        key = F.to_json(F.struct("run_key", "uuid", "parent_uuid"))
+        rows = _newest_keys(_arrived(batch).withColumn("key", key))
+        joined = rows.join(
+            static, (F.col("uuid") == F.col("_uuid")) & F.col("parent_uuid").eqNullSafe(F.col("_parent"))
+        )
+        return score_answers(joined, n_choices).groupBy("key", "arrival", "run_key").agg(
+            F.sum(F.col("hit").cast("long")).alias("hits"),
+            F.count(F.lit(1)).alias("groups"),
+            F.sum("lm_loss").alias("loss"),
+            F.count("lm_loss").alias("losses"),
+        )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        buckets = int(session.conf.get("spark.sql.shuffle.partitions"))
+        keys.compact(batch_id, _newest_keys, buckets, "key")
+        sums.compact(batch_id, _summed)
+        names = ["arrival", "hits", "groups", "loss", "losses"]
+        with store.bucketed("keys", _SNAPSHOT, "key") as snapshot:
+            rows = scores(batch)
+            recent = keys.before(batch_id, snapshot=snapshot is None)
+            for n, known in enumerate([snapshot, recent]):
+                if known is not None:
+                    old = _newest_keys(known) if known is recent else known
+                    old = old.select("key", F.struct(*names).alias(f"_old{n}"))
+                    rows = rows.join(old, "key", "left")
+                else:
+                    rows = rows.withColumn(f"_old{n}", F.lit(None).cast("struct<arrival:string,hits:long,groups:long,loss:double,losses:long>"))
+            # of the snapshot and the batches since, the later ones know better
+            old = F.coalesce("_old1", "_old0")
+            changed = rows.withColumn("_old", old).where(
+                F.col("_old").isNull() | (F.col("arrival") > F.col("_old.arrival"))
+            ).drop("_old0", "_old1")
+            keys.add(changed.select("key", "arrival", "run_key", *names[1:], "_old"), batch_id)
+        # the part has been written: what it adds is read from it
+        changed = store.read(f"{_KEYS}, _old struct<hits:long,groups:long,loss:double,losses:long>", "keys", lambda p: p == str(batch_id))
+        less = [(F.coalesce(c, F.lit(0)) - F.coalesce(f"_old.{c}", F.lit(0))).alias(c) for c in names[1:]]
+        sums.add(_summed(changed.select("run_key", *less)), batch_id)
+
+    return _start(lines, checkpoint, write)
 
 
 def read_accuracy(spark: SparkSession, sink: str) -> DataFrame:
-    newest = _newest(spark, sink, ["run_key"])
-    return newest.withColumn("accuracy", F.try_divide("num_hits", "num_groups"))
+    total = _summed(Commits(spark, sink).read(_SUMS, "sums"))
+    return total.select(
+        "run_key",
+        F.col("hits").alias("num_hits"),
+        F.col("groups").alias("num_groups"),
+        F.try_divide("loss", "losses").alias("avg_loss"),
+        F.try_divide("hits", "groups").alias("accuracy"),
+    )
+
+
+_RUN = ["conv_id", "block", "first", "last"]
+
+
+def _runs_schema() -> str:
+    sums = []
+    for m in ALL_METRICS:
+        sums += [f"{m}_n long"] + [f"{m}_{k} double" for k in ("min", "max", "sum", "w", "s")] + [f"{m}_odd long"]
+    return f"conv_id string, block long, first int, last int, rounds long, stopped boolean, {', '.join(sums)}"
+
+
+def _merged_runs(runs: DataFrame) -> DataFrame:
+    """Runs of rounds that follow each other without a gap, as one run: within a conversation and block."""
+    ordered = Window.partitionBy("conv_id", "block").orderBy("first")
+    begins = F.coalesce(F.col("first") > F.lag("last").over(ordered) + 1, F.lit(True))
+    marked = runs.withColumn("_begins", begins)
+    marked = marked.withColumn("_run", F.sum(F.col("_begins").cast("int")).over(ordered)).drop("_begins")
+    keys = ["conv_id", "block", "_run"]
+    sums = merge_blocks(marked.withColumn(BLOCK, F.col("first")).drop("first", "last"), keys)
+    ends = marked.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return ends.join(sums, keys).select(*runs.columns)
 
 
 def live_rounds(
@@ -112,33 +191,37 @@ def live_rounds(
 ) -> StreamingQuery:
     """Running conversation scores over a folder of judge lines (conv_id, round, content).
 
-    State is the list of judged rounds per conversation and block: at most 4096 entries, since a
-    round number occurs once. Rounds may arrive in any order. A batch recomputes the sums of the
-    blocks it touched; conversations are put together from block sums when read.
+    What is kept is a row of sums per run of rounds without a gap, in blocks of 4096 rounds: rounds may arrive in any
+    order, and sums of neighbouring runs combine exactly, but not over a gap, into which a round may still come. The runs
+    also tell which rounds have been seen: the first verdict on a round counts, later ones are dropped.
     """
     lines = spark.readStream.schema(ROUND_LINE).json(source)
-    judged = parse_judge(lines.dropDuplicates(["conv_id", "round"]))
-    entry = F.struct(
-        "round", "stop_conversation", *[metric_score(m).alias(m) for m in ALL_METRICS]
-    )
-    lists = judged.groupBy("conv_id", int_block(F.col("round")).alias(BLOCK)).agg(
-        F.collect_list(entry).alias("entries")
-    )
+    parts = _Parts(Commits(spark, sink), "runs", _runs_schema())
 
-    def sums(batch: DataFrame) -> DataFrame:
-        rows = batch.select("conv_id", F.explode("entries").alias("e")).select("conv_id", "e.*")
-        shaped = rows.select(
-            "conv_id",
-            "round",
-            "stop_conversation",
-            *[F.struct(F.col(m).alias("score")).alias(m) for m in METRICS],
-            F.col("overall").alias("overall_score"),
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parts.compact(batch_id, _merged_runs)
+        first = F.min_by("content", "arrival").alias("content")
+        rows = _arrived(batch).groupBy("conv_id", "round").agg(first).withColumn("block", int_block(F.col("round")))
+        seen = parts.before(batch_id).select(*_RUN)
+        inside = F.col("r.round").between(F.col("s.first"), F.col("s.last"))
+        same = F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & F.col("r.block").eqNullSafe(F.col("s.block"))
+        fresh = rows.alias("r").join(seen.alias("s"), same & inside, "left_anti")
+        # rounds in a row have the same difference of round and number
+        nth = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("round"))
+        judged = parse_judge(fresh.withColumn("_run", F.col("round") - nth))
+        keys = ["conv_id", "block", "_run"]
+        ends = judged.groupBy(*keys).agg(F.min("round").alias("first"), F.max("round").alias("last"))
+        sums = block_sums(judged, keys=keys).drop(BLOCK)
+        null_safe = [F.col(f"e.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+        told = ends.alias("e").join(sums.alias("t"), null_safe).select(
+            *[f"e.{c}" for c in _RUN], *[f"t.{c}" for c in sums.columns if c not in keys]
         )
-        return block_sums(shaped)
+        parts.add(told, batch_id)
 
-    return _start(lists, sink, ["conv_id", BLOCK], checkpoint, sums)
+    return _start(lines, checkpoint, write)
 
 
 def read_rounds(spark: SparkSession, sink: str) -> DataFrame:
     """One row per conversation, as ``conversation_wide`` gives it for the whole table."""
-    return combine_blocks(_newest(spark, sink, ["conv_id", BLOCK]))
+    runs = Commits(spark, sink).read(_runs_schema(), "runs")
+    return combine_blocks(runs.withColumn(BLOCK, F.col("first")).drop("block", "first", "last"))
