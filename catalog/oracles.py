@@ -685,6 +685,7 @@ SELECT a.conv_id, turns, judged, overall_sum FROM a LEFT JOIN b ON a.conv_id = b
 
 # --- inference and streaming ------------------------------------------------------------------
 
+ORACLES["transcripts_json"] = ORACLES["transcripts_roundtrip"]
 oracle("batch_inference", f"""WITH {DIALOGUE}
 SELECT conv_id || '-' || CAST(seq AS VARCHAR) AS uuid, CASE WHEN seq % 2 = 0 THEN 'stored'
   ELSE 'len ' || CAST(length(content) AS VARCHAR) END AS generated_text, 'run' AS run_key

@@ -960,6 +960,36 @@ def transcripts_roundtrip(spark, sf):
     return heads.join(tails, "conv_id", "left")
 
 
+@query("transcripts_json")
+def transcripts_json(spark, sf):
+    """The same transcripts as JSON arrays, one in each file that a task writes."""
+    turns = fx.transcript_turns(spark, sf)
+    path = fresh_dir(spark, "transcripts-json")
+    message = F.struct(F.col("party").alias("role"), "content")
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", message.alias("m"), "content", "party"))).alias("t"))
+    verdicts = F.filter("t", lambda x: x["party"] == "evaluator")
+    record = F.struct(
+        F.col("conv_id").alias("uuid"),
+        F.transform("t", lambda x: x["m"]).alias("all_messages"),
+        F.transform(verdicts, lambda x: x["content"]).alias("evaluation_results"),
+    )
+    def as_array(batches):
+        sign = "["
+        for pdf in batches:
+            for text in pdf["value"]:
+                yield pd.DataFrame({"value": [sign + text]})
+                sign = ","
+        yield pd.DataFrame({"value": ["[]" if sign == "[" else "]"]})
+
+    listed.select(F.to_json(record).alias("value")).mapInPandas(as_array, "value string").write.text(f"{path}/interactive_r")
+    said, marks = files.read_transcript_json(spark, f"{path}/interactive_*/*.txt")
+    heads = said.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    tails = marks.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("judged"), F.sum("overall_score").alias("overall_sum")
+    )
+    return heads.join(tails, "conv_id", "left")
+
+
 # --- inference -------------------------------------------------------------------------------
 
 

@@ -68,12 +68,12 @@ def ask(
     path = fresh_dir(spark, "request-keys")
     keyed.select("uuid", "key", *keep).write.parquet(path)
     keys = spark.read.parquet(path)
-    first = keys.groupBy("key").agg(F.min("uuid").alias("uuid"))
-    path = fresh_dir(spark, "requests-to-ask")
-    first.join(stored_replies(store, name).select("key"), "key", "left_anti").write.parquet(path)
-    todo = spark.read.parquet(path)
+    todo, anyone = keys.groupBy("key").agg(F.min("uuid").alias("uuid")), True
+    if store.records(name):
+        todo = todo.join(stored_replies(store, name).select("key"), "key", "left_anti")
+        anyone = not todo.isEmpty()
     call = ids.uuid4().hex
-    for part in range(commits if not todo.isEmpty() else 0):
+    for part in range(commits if anyone else 0):
         mine = todo.where(F.pmod(F.xxhash64("key"), F.lit(commits)) == part) if commits > 1 else todo
         asked = infer(keyed.drop("key").join(mine.select("uuid"), "uuid", "left_semi"), fn, run_key)
         answered = asked.where(F.col("generated_text").isNotNull()).join(mine, "uuid")

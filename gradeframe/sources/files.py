@@ -6,11 +6,11 @@ import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
 from gradeframe.functions.text import json_string
 from gradeframe.operators.judge import parse_judge
-from gradeframe.schemas import MESSAGES, RESPONSES, arrival, conform
+from gradeframe.schemas import RESPONSES, arrival, conform
+from gradeframe.sources.arrays import read_array
 from gradeframe.sources.commits import Commits
 
 _MESSAGE_LIST = "array<struct<role:string,content:string>>"
@@ -41,8 +41,10 @@ _LINE = f"request struct<{_ddl(_REQUEST)}>, response struct<{_ddl(_RESPONSE)}>,
 
 
 def read_requests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A JSON array of requests (a file is one task), or one request per line (a file may be many)."""
-    return spark.read.schema(_ddl(_REQUEST, " ")).option("multiLine", not lines).json(path)
+    """JSON arrays of requests, a file of which is read by many tasks, or one request per line."""
+    if lines:
+        return spark.read.schema(_ddl(_REQUEST, " ")).json(path)
+    return read_array(spark, path, _ddl(_REQUEST, " ")).drop("file", "pos")
 
 
 def read_responses(spark: SparkSession, path: str, run_key: str | None = None) -> DataFrame:
@@ -165,20 +167,16 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return store.read(name="turns"), store.read(name="rounds")
 
 
-_TRANSCRIPT = T.StructType(
-    [
-        T.StructField("uuid", T.StringType()),
-        T.StructField("all_messages", MESSAGES),
-        T.StructField("evaluation_results", T.ArrayType(T.StringType())),
-    ]
+_TRANSCRIPT = (
+    "uuid string, all_messages array<struct<role:string,content:string>>, evaluation_results array<string>"
 )
 
 
 def read_transcript_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Turns and rounds of interactive runs saved as JSON arrays, one ``interactive_<key>`` folder
     per run; ``run_key`` is taken from the folder."""
-    raw = spark.read.schema(_TRANSCRIPT).option("multiLine", True).json(path)
-    folder = F.regexp_extract("_metadata.file_path", r"interactive_([^/]+)/[^/]*$", 1)
+    raw = read_array(spark, path, _TRANSCRIPT)
+    folder = F.regexp_extract("file", r"interactive_([^/]+)/[^/]*$", 1)
     rows = raw.select(
         F.col("uuid").alias("conv_id"), "all_messages", "evaluation_results",
         folder.alias("run_key"),

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeframe.operators import board, choice, dialogue
 from gradeframe.operators.judge import parse_judge
 from gradeframe.schemas import RESPONSES, conform
-from gradeframe.sources import benchmarks, files
+from gradeframe.sources import arrays, benchmarks, files
 
 
 def dump(path, value):
@@ -104,6 +105,42 @@ def test_marks_order_the_lines_of_one_run(spark, tmp_path):
     assert sorted(r.mark for r in log.collect())[0] == "0" * 20
 
 
+NASTY = ['"', "\\", "}", "{", "]", "[", ",", "},{", '\\"', "é", "\n", " ", '"}', "a"]
+
+
+def test_an_array_is_read_by_many_tasks(spark, tmp_path):
+    r = random.Random(4)
+
+    def text():
+        return "".join(r.choice(NASTY) for _ in range(r.randrange(12)))
+
+    for name, indent in (("a", None), ("b", 2), ("c", None)):
+        rows = [{"uuid": f"{name}{i}", "prompt": text(), "messages": [{"role": "user", "content": text()} for _ in range(r.randrange(3))],
+                 "other": {"deep": [[{"x": text()}], {}]}} for i in range(300)]
+        separators = (",", ":") if name == "c" else None
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows, indent=indent, separators=separators, ensure_ascii=name == "a"))
+    (tmp_path / "d.json").write_text(" [ ] ")
+    (tmp_path / "e.json").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        chunks = spark.read.option("lineSep", "}").text(str(tmp_path / "b.json"))
+        assert chunks.rdd.getNumPartitions() > 10
+        got = arrays.array_objects(spark, str(tmp_path / "*.json")).collect()
+        requests = {x.uuid: x for x in files.read_requests(spark, str(tmp_path / "*.json")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 900
+    for name in "abc":
+        told = sorted((x.pos, x.text) for x in got if x.file.endswith(f"{name}.json"))
+        want = json.loads((tmp_path / f"{name}.json").read_text())
+        assert [p for p, _ in told] == list(range(300)) and [json.loads(t) for _, t in told] == want
+        for w in want:
+            g = requests[w["uuid"]]
+            assert g.prompt == w["prompt"] and [m.content for m in g.messages] == [m["content"] for m in w["messages"]]
+
+
 def test_request_list(spark, tmp_path):
     dump(tmp_path / "r.json", [{"uuid": "a", "prompt": "p"}, {"uuid": "b", "messages": [{"role": "user", "content": "m"}]}])
     rows = files.read_requests(spark, str(tmp_path / "r.json")).orderBy("uuid").collect()
