@@ -21,9 +21,10 @@ def int_block(c: Column) -> Column:
     return F.shiftright(c.cast("long"), BLOCK_BITS)
 
 
-def hour_block(ts: Column) -> Column:
-    """Block of a timestamp: its hour, counted on the local calendar so that it is monotone."""
-    return F.unix_date(F.to_date(ts)) * F.lit(24).cast("long") + F.hour(ts)
+def calendar_seconds(ts: Column) -> Column:
+    """A timestamp as seconds, with fractions, counted on the local calendar so that they are monotone."""
+    within = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts).cast("double")
+    return F.unix_date(F.to_date(ts)).cast("double") * 86400 + within
 
 
 def before(keys: Sequence[str], order: Sequence[str]) -> Window:
@@ -86,6 +87,17 @@ def bound_block(c: Column, bounds: Column) -> Column:
     return at + F.size(F.filter(F.slice(some, at + 1, F.lit(_STRIDE)), lambda b: b < c))
 
 
+def range_block(df: DataFrame, order: Column, blocks: int | None = None) -> Column:
+    """Block of an order column by ranges that follow the data: about equal numbers of the table's rows each, so that a
+    key whose rows crowd together in the order is cut as finely as one whose rows are spread.
+
+    The ranges' bounds are one scalar subquery over the order column; rows that agree in it share a block.
+    """
+    value = order.cast("double")
+    cuts = df.agg(F.array_distinct(quantile_bounds(value, blocks or block_count(df)))).scalar()
+    return bound_block(value, cuts)
+
+
 def dense_order(
     df: DataFrame, order: str, name: str = "ord", blocks: int | None = None
 ) -> DataFrame:

@@ -111,3 +111,29 @@ def test_positions_with_a_hot_key(spark, small_blocks):
     assert {(r.k, r.t): r.pos for r in got} == {
         **{("hot", i): i for i in range(300)}, ("b", 0): 0, ("b", 1): 1, (None, 5): 0
     }
+
+
+def test_range_blocks_follow_the_data(spark):
+    """A key with a third of all rows, all within one hour, is spread over tasks like the others."""
+    from gradeframe.plans.ordered import BLOCK, calendar_seconds, range_block
+
+    start = F.lit("2024-03-31 00:00:00").cast("timestamp_ntz")
+    crowded = F.col("id") < 4000
+    within = F.when(crowded, F.col("id") * 0.9).otherwise(F.col("id") * 3600.0)
+    df = spark.range(0, 12_000, 1, 5).select(
+        F.when(crowded, F.lit("hot")).otherwise(F.concat(F.lit("u"), (F.col("id") % 50).cast("string"))).alias("k"),
+        (start + F.make_dt_interval(secs=within)).alias("ts"),
+        "id",
+    )
+    block = range_block(df, calendar_seconds(F.col("ts")), 200)
+    got = positions(df, ["k"], ["ts", "id"], block, "pos").collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r.id):
+        lists.setdefault(r.k, []).append(r.pos)
+    assert len(lists) == 51 and all(x == list(range(len(x))) for x in lists.values())
+    tasks = df.withColumn(BLOCK, block).repartition(8, "k", BLOCK).groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r["count"] for r in tasks)
+    assert len(sizes) == 8 and sizes[-1] <= 3 * sizes[4]
+    ties = df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    none = positions(ties, ["k"], ["id"], range_block(ties, calendar_seconds(F.col("ts"))), "pos")
+    assert none.where("k = 'hot'").agg(F.max("pos")).first()[0] == 3999
