@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeframe.functions.identity import with_uuid
-from gradeframe.plans.ordered import calendar_seconds, int_block, positions, range_block
+from gradeframe.plans.ordered import BLOCK, calendar_seconds, int_block, positions, with_range_block
 from gradeframe.schemas import as_problems
 
 
@@ -99,7 +99,8 @@ def judge_rounds_raw(spark: SparkSession, sf: str) -> DataFrame:
     large share of the events is not one task, however close together they lie.
     """
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    s = positions(events, ["user_id"], ["ts", "event_id"], range_block(events, calendar_seconds(F.col("ts"))), "seq")
+    events = with_range_block(events, calendar_seconds(F.col("ts")))
+    s = positions(events, ["user_id"], ["ts", "event_id"], F.col(BLOCK), "seq")
     stop = (F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)
 
     def number(c: Column) -> Column:

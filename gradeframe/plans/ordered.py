@@ -87,15 +87,15 @@ def bound_block(c: Column, bounds: Column) -> Column:
     return at + F.size(F.filter(F.slice(some, at + 1, F.lit(_STRIDE)), lambda b: b < c))
 
 
-def range_block(df: DataFrame, order: Column, blocks: int | None = None) -> Column:
-    """Block of an order column by ranges that follow the data: about equal numbers of the table's rows each, so that a
-    key whose rows crowd together in the order is cut as finely as one whose rows are spread.
+def with_range_block(df: DataFrame, order: Column, blocks: int | None = None) -> DataFrame:
+    """The rows with their block of an order column, by ranges that follow the data: about equal numbers of the table's
+    rows each, so that a key whose rows crowd together in the order is cut as finely as one whose rows are spread.
 
     The ranges' bounds are one scalar subquery over the order column; rows that agree in it share a block.
     """
     value = order.cast("double")
     cuts = df.agg(F.array_distinct(quantile_bounds(value, blocks or block_count(df)))).scalar()
-    return bound_block(value, cuts)
+    return df.withColumn("_cuts", cuts).withColumn(BLOCK, bound_block(value, F.col("_cuts"))).drop("_cuts")
 
 
 def dense_order(
@@ -106,10 +106,7 @@ def dense_order(
     The boundaries are one scalar subquery that rows and block totals share; the joined totals have
     at most a row per block. No job runs while the plan is built.
     """
-    value = F.col(order).cast("double")
-    cuts = df.agg(F.array_distinct(quantile_bounds(value, blocks or block_count(df)))).scalar()
-    tagged = df.withColumn("_cuts", cuts).withColumn(BLOCK, bound_block(value, F.col("_cuts")))
-    tagged = tagged.drop("_cuts")
+    tagged = with_range_block(df, F.col(order), blocks)
     totals = tagged.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_total"))
     offsets = totals.select(
         BLOCK,

@@ -115,7 +115,7 @@ def test_positions_with_a_hot_key(spark, small_blocks):
 
 def test_range_blocks_follow_the_data(spark):
     """A key with a third of all rows, all within one hour, is spread over tasks like the others."""
-    from gradeframe.plans.ordered import BLOCK, calendar_seconds, range_block
+    from gradeframe.plans.ordered import BLOCK, calendar_seconds, with_range_block
 
     start = F.lit("2024-03-31 00:00:00").cast("timestamp_ntz")
     crowded = F.col("id") < 4000
@@ -125,15 +125,15 @@ def test_range_blocks_follow_the_data(spark):
         (start + F.make_dt_interval(secs=within)).alias("ts"),
         "id",
     )
-    block = range_block(df, calendar_seconds(F.col("ts")), 200)
-    got = positions(df, ["k"], ["ts", "id"], block, "pos").collect()
+    df = with_range_block(df, calendar_seconds(F.col("ts")), 200)
+    got = positions(df, ["k"], ["ts", "id"], F.col(BLOCK), "pos").collect()
     lists = {}
     for r in sorted(got, key=lambda r: r.id):
         lists.setdefault(r.k, []).append(r.pos)
     assert len(lists) == 51 and all(x == list(range(len(x))) for x in lists.values())
-    tasks = df.withColumn(BLOCK, block).repartition(8, "k", BLOCK).groupBy(F.spark_partition_id()).count().collect()
+    tasks = df.repartition(8, "k", BLOCK).groupBy(F.spark_partition_id()).count().collect()
     sizes = sorted(r["count"] for r in tasks)
     assert len(sizes) == 8 and sizes[-1] <= 3 * sizes[4]
-    ties = df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
-    none = positions(ties, ["k"], ["id"], range_block(ties, calendar_seconds(F.col("ts"))), "pos")
+    ties = with_range_block(df.withColumn("ts", F.lit(None).cast("timestamp_ntz")), calendar_seconds(F.col("ts")))
+    none = positions(ties, ["k"], ["id"], F.col(BLOCK), "pos")
     assert none.where("k = 'hot'").agg(F.max("pos")).first()[0] == 3999
