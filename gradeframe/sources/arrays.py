@@ -5,6 +5,9 @@ object of the array, and which stand in a string or further down, follows from t
 of quotes (odd: in a string), of what is opened less what is closed, and of objects closed. The sums are formed within
 the pieces of files that tasks read and continued over one row per piece, so that no task sees a whole file; then the
 chunks of each object are put together. An object's text is the most that is held at once.
+
+The chunks, and after each sum their numbers, are written to the shared folder when a reader is made, so that no sum is
+formed twice.
 """
 
 from __future__ import annotations
@@ -12,12 +15,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeframe.plans.ordered import before
+from gradeframe.session import fresh_dir
 
 
 def _count(text: Column, sign: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
 
 
+_PLACE = ["file", "start", "nth"]
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = fresh_dir(df.sparkSession, "array-chunks")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _change(bare: Column) -> Column:
+    """What a chunk opens less what it closes, its own brace aside, outside of strings."""
+    outside = F.regexp_replace(bare, '"[^"]*(?:"|$)', "")
+    return F.length(F.regexp_replace(outside, r"[^{\[]", "")) - _count(outside, "]")
+
+
 def _running(df: DataFrame, name: str, value: Column) -> DataFrame:
     """The sum of an integer over all earlier chunks of the file."""
     valued = df.withColumn("_value", value)
@@ -38,18 +57,25 @@ def array_objects(spark: SparkSession, path: str) -> DataFrame:
     )
     # escaped signs neither begin nor end anything; no escape goes across a brace
     bare = F.regexp_replace("chunk", r"(?s)\\.", "")
-    chunks = _running(chunks.withColumn("_quotes", _count(bare, '"')), "_before", F.col("_quotes"))
-    inside = F.col("_before") % 2 == 1
-    whole = F.when(inside, F.concat(F.lit('"'), bare)).otherwise(bare)
-    outside = F.regexp_replace(whole, '"[^"]*(?:"|$)', "")
-    closes = (F.col("_before") + F.col("_quotes")) % 2 == 0
-    change = F.length(F.regexp_replace(outside, r"[^{\[]", "")) - _count(outside, "]") - closes.cast("int")
-    chunks = _running(chunks.withColumn("_change", change).withColumn("_closes", closes), "_depth", F.col("_change"))
-    last = F.col("_closes") & (F.col("_depth") + F.col("_change") == 1)
-    chunks = _running(chunks.withColumn("_last", last), "pos", F.col("_last").cast("int"))
+    chunks = _written(
+        chunks.select(
+            "*",
+            _count(bare, '"').alias("quotes"),
+            _change(bare).alias("change_outside"),
+            _change(F.concat(F.lit('"'), bare)).alias("change_inside"),
+        )
+    )
+    sums = _running(chunks.drop("chunk"), "before", F.col("quotes"))
+    change = F.when(F.col("before") % 2 == 1, F.col("change_inside")).otherwise(F.col("change_outside"))
+    closes = (F.col("before") + F.col("quotes")) % 2 == 0
+    sums = sums.select(*_PLACE, (change - closes.cast("int")).alias("change"), closes.alias("closes"))
+    sums = _running(_written(sums), "depth", F.col("change"))
+    last = F.col("closes") & (F.col("depth") + F.col("change") == 1)
+    sums = _running(_written(sums.select(*_PLACE, last.alias("last"))), "pos", F.col("last").cast("int"))
+    chunks = chunks.select(*_PLACE, "chunk").join(_written(sums), _PLACE)
     parts = F.array_sort(F.collect_list(F.struct("start", "nth", "chunk")))
     text = F.concat(F.array_join(F.transform(parts, lambda p: p["chunk"]), "}"), F.lit("}"))
-    objects = chunks.groupBy("file", "pos").agg(text.alias("text"), F.bool_or("_last").alias("_whole")).where("_whole")
+    objects = chunks.groupBy("file", "pos").agg(text.alias("text"), F.bool_or("last").alias("_whole")).where("_whole")
     return objects.select("file", "pos", F.regexp_replace("text", r"^[\s,\[\x{FEFF}]+", "").alias("text"))
 
 
