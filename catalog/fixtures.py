@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeframe.functions.identity import with_uuid
-from gradeframe.plans.ordered import BLOCK, calendar_seconds, int_block, positions, with_range_block
+from gradeframe.plans.ordered import int_block, minute_block, positions
 from gradeframe.schemas import as_problems
 
 
@@ -95,12 +95,11 @@ def predicted_problems(spark: SparkSession, sf: str) -> DataFrame:
 def judge_rounds_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Judge texts: five events of a user in time order are one conversation.
 
-    The event's number within its user comes from blocks of time that follow the events, so that a user with a
-    large share of the events is not one task, however close together they lie.
+    The event's number within its user comes from minute blocks, so that a user with a large share of the events is
+    not one task.
     """
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    events = with_range_block(events, calendar_seconds(F.col("ts")))
-    s = positions(events, ["user_id"], ["ts", "event_id"], F.col(BLOCK), "seq")
+    s = positions(events, ["user_id"], ["ts", "event_id"], minute_block(F.col("ts")), "seq")
     stop = (F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)
 
     def number(c: Column) -> Column:

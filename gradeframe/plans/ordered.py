@@ -21,6 +21,12 @@ def int_block(c: Column) -> Column:
     return F.shiftright(c.cast("long"), BLOCK_BITS)
 
 
+def minute_block(ts: Column) -> Column:
+    """Block of a timestamp: its minute, counted on the local calendar so that it is monotone."""
+    day = F.unix_date(F.to_date(ts)).cast("long")
+    return day * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
 def calendar_seconds(ts: Column) -> Column:
     """A timestamp as seconds, with fractions, counted on the local calendar so that they are monotone."""
     within = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts).cast("double")
