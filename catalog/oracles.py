@@ -465,9 +465,10 @@ SELECT conv_id, round, accuracy AS accuracy_score, logic AS logic_score,
   accuracy_comment, logic_comment, '' AS comment, overall AS overall_score,
   stop AS stop_conversation, stop_reason FROM judged""")
 oracle("judge_parse_lenient", """WITH e AS (
-  SELECT event_id, CAST(event_id % 4 AS DOUBLE) AS n, CAST(floor(event_id / 4) AS BIGINT) % 10 AS k FROM events)
-SELECT event_id, CASE WHEN k = 9 THEN '+' || CAST(event_id % 4 AS VARCHAR) || ' .5 0x1' ELSE '' END AS comment,
-  CASE k WHEN 1 THEN n / 10 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE n END AS overall_score,
+  SELECT event_id, CAST(event_id % 4 AS DOUBLE) AS n, CAST(floor(event_id / 4) AS BIGINT) % 12 AS k FROM events)
+SELECT event_id, CASE k WHEN 9 THEN '+' || CAST(event_id % 4 AS VARCHAR) || ' .5 0x1'
+    WHEN 11 THEN chr(CAST(64 + event_id % 4 AS INT)) ELSE '' END AS comment,
+  CASE k WHEN 1 THEN n / 10 WHEN 10 THEN n * power(2.0, 76) WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE n END AS overall_score,
   CASE k WHEN 8 THEN 'overall' ELSE '' END AS texts, k NOT IN (4, 5) AS parsed FROM e""")
 oracle("judge_invalid_scores", f"""WITH {JUDGE}, g AS ({long_scores('judged', True)}),
 v AS ({long_scores('judged', False)}),

@@ -640,7 +640,7 @@ def judge_parse(spark, sf):
 
 @query("judge_parse_lenient")
 def judge_parse_lenient(spark, sf):
-    """Judge texts in ten spellings: what JSON5 allows is read, what follows an object spoils it."""
+    """Judge texts in twelve spellings: what JSON5 allows is read, what follows an object spoils it."""
     n = (F.col("event_id") % 4).cast("string")
     spellings = [
         F.concat(F.lit('{"overall_score": +'), n, F.lit("}")),
@@ -653,8 +653,10 @@ def judge_parse_lenient(spark, sf):
         F.concat(F.lit("so {'overall_score': "), n, F.lit(",} end")),
         F.concat(F.lit('{overall_score: "'), n, F.lit('"}')),
         F.concat(F.lit('{"comment": "+'), n, F.lit(' .5 0x1", "overall_score": '), n, F.lit(".,}")),
+        F.concat(F.lit('{"overall_score": 0x'), n, F.lit("0" * 19 + "}")),
+        F.concat(F.lit('{"comment": "\\x4'), n, F.lit('", "overall_score": '), n, F.lit("}")),
     ]
-    at = (F.floor(F.col("event_id") / 4) % 10 + 1).cast("int")
+    at = (F.floor(F.col("event_id") / 4) % 12 + 1).cast("int")
     events = fx.table(spark, sf, "events").select(
         "event_id", F.element_at(F.array(*spellings), at).alias("content")
     )

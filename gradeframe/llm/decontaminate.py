@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.llm import text as tx
-from gradeframe.llm.rows import prepared
+from gradeframe.llm.rows import apart, prepared
 from gradeframe.llm.suffixes import FMIndex
 
 WINDOW = 10
@@ -207,5 +207,6 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any occurrence, columns as they were."""
-    return find(docs, benchmark).filter(F.size(_SPANS) == 0).select(*docs.columns)
+    """The documents without any occurrence, columns as they were, whatever their names."""
+    found = find(apart(docs, "text"), benchmark).filter(F.size(_SPANS) == 0)
+    return found.drop(_WORDS, _SPANS, _ITEMS).toDF(*docs.columns)

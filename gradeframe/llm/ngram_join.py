@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.llm import text as tx
 from gradeframe.llm.repeats import Filter, repeated, total_bytes
-from gradeframe.llm.rows import KEY, components, keyed, written
+from gradeframe.llm.rows import KEY, apart, components, keyed, written
 
 SHINGLE = 5
 #: Counts from which a shingle comes later in the order; the first tells repeated ones, the second frequent ones.
@@ -330,8 +330,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; columns as they were."""
-    rows = keyed(docs)
-    told = join(rows.withColumn("__id", F.col(KEY)).select("__id", "text"), "__id", "text")
+    """One document of each component stays, the one with the smallest doc_id; columns as they were, whatever their
+    names."""
+    rows = keyed(apart(docs, "doc_id", "text"))
+    told = join(rows.select(F.col(KEY).alias("id"), "text"), "id", "text")
     kept = told.filter("id = component_id").select(F.col("id").alias(KEY))
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    return rows.join(kept, KEY, "left_semi").drop(KEY).toDF(*docs.columns)

@@ -1,11 +1,13 @@
 """Best-fit packing with swap-based local search.
 
 Documents are turned into tokens and cut into pieces in their own rows; from there on only piece lengths move. Pieces
-are dealt into groups of bounded size by a hash, each group is packed in one task: best-fit decreasing first, then a
+are numbered and dealt into groups of bounded size by a hash of the number, each group is packed in one task: best-fit decreasing first, then a
 local search that exchanges one piece for one, two for one, or moves pieces between underfull bins, taking only steps
 that increase the sum of squared fills, until the bound of the total length is met or no step helps. Bins that stay light
 are taken apart and their pieces dealt anew, all groups' together, in rounds with ever fewer groups; a piece alone in its
-bin that no other remaining piece fits is done.
+bin that no other remaining piece fits is done. When a round settles fewer than a tenth of its pieces, the lengths
+themselves leave the bins light (two pieces of 1,800 in each, say): all bins stay then as their groups' searches left
+them. Groups never become larger.
 
 Null and empty texts are one piece with the end token alone. Repeated rows are packed each. Pieces of equal length are
 taken in the order of doc_id and piece.
@@ -29,6 +31,8 @@ from gradeframe.llm.rows import prepared, written
 CAPACITY, END = 4096, 1
 GROUP = 20_000
 LIGHT = 0.9
+#: The part of a round's pieces that may be left for another round.
+SETTLED = 0.9
 #: Cached words of a Python worker.
 CACHE = 800_000
 
@@ -295,27 +299,26 @@ def _pack_group(capacity: int, round_: int):
 def place(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset."""
     names = [*rows.columns, "sequence_id", "offset"]
-    rows, done, round_ = written(rows, "pieces"), None, 0
+    rows = written(rows.withColumn("deal", F.monotonically_increasing_id()), "pieces")
+    n, done, round_ = rows.count(), None, 0
     while True:
-        n = rows.count()
         groups = max(1, -(-n // group))
-        dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_)), groups))
+        dealt = rows.withColumn("group", F.pmod(F.xxhash64("deal", F.lit(round_)), groups))
         schema = dealt.selectExpr("*", "0L AS sequence_id", "0L AS offset", "false AS light", "false AS alone").schema
         packed = dealt.groupBy("group").applyInArrow(_pack_group(capacity, round_), schema)
+        left = 0
         if groups > 1:
             packed = written(packed, "packed")
             # a piece alone stays so if not even the shortest of the rest fits
             least = packed.filter("light").agg(F.min("length")).first()[0] or 0
             open_ = F.col("light") & ~(F.col("alone") & (F.col("length") + least > capacity))
-            full, rows = packed.filter(~open_), packed.filter(open_).select(*rows.columns)
-        else:
-            full = packed
+            left = packed.filter(open_).count()
+        again = 0 < left <= SETTLED * n
+        full = packed.filter(~open_) if again else packed
         done = full.select(*names) if done is None else done.unionByName(full.select(*names))
-        if groups == 1:
+        if not again:
             return done
-        round_ += 1
-        if rows.count() == n:  # nothing but light bins: larger groups may help
-            group *= 4
+        n, rows, round_ = left, packed.filter(open_).select(*rows.columns), round_ + 1
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

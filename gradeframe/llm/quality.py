@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.llm import text as tx
-from gradeframe.llm.rows import prepared
+from gradeframe.llm.rows import apart, prepared
 
 CHUNK, OVERLAP = 256, 32
 SAMPLE, SAMPLE_CHUNKS = 1500, 6
@@ -171,14 +171,24 @@ def fit(samples: list[tuple[np.ndarray, int]], seed: int = 7) -> Network:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of an id the one with the least hash of its text: at most a row for each sampled id."""
+    least: dict[int, tuple[int, int, bytes]] = {}
     for batch in tx.slices(batches, "text"):
-        x, counts = chunks(*tx.buffer(batch.column("text")), most=SAMPLE_CHUNKS)
+        ids, hashes, labels = (batch.column(c).to_pylist() for c in ("id", "h", "quality"))
+        better = [i for i, key in enumerate(ids) if key not in least or hashes[i] < least[key][0]]
+        if not better:
+            continue
+        x, counts = chunks(*tx.buffer(batch.column("text").take(pa.array(better))), most=SAMPLE_CHUNKS)
         raw = x.astype("<i2")
         ends = np.cumsum(counts)
-        bodies = [raw[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("quality"), pa.array(bodies, pa.binary())], names=["quality", "chunks"]
-        )
+        for i, c, e in zip(better, counts, ends, strict=True):
+            if ids[i] not in least or hashes[i] < least[ids[i]][0]:
+                least[ids[i]] = (hashes[i], labels[i], raw[e - c : e].tobytes())
+    rows = [(key, *value) for key, value in least.items()]
+    names, kinds = ["id", "h", "quality", "chunks"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for at in range(0, len(rows), 500):
+        columns = zip(*rows[at : at + 500], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | float:
@@ -193,8 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * sample ids
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text IS NOT NULL")
-    rows = rows.join(F.broadcast(picked), "id").select("text", "quality")
-    got = rows.mapInArrow(_sampled, "quality int, chunks binary").collect()
+    rows = rows.join(F.broadcast(picked), "id").select("id", F.xxhash64("text").alias("h"), "quality", "text")
+    got = rows.mapInArrow(_sampled, "id long, h long, quality int, chunks binary")
+    # one row an id, however many rows share it
+    got = got.groupBy("id", "quality").agg(F.min_by("chunks", "h").alias("chunks")).collect()
     samples = [(np.frombuffer(r.chunks, "<i2").reshape(-1, CHUNK), r.quality) for r in got]
     samples.sort(key=lambda s: (s[1], s[0].tobytes()))
     good = sum(label for _, label in samples)
@@ -239,6 +251,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, columns as they were."""
-    rows = scored(docs, train(docs, labels))
-    return rows.filter(F.col("__score") >= KEEP).select(*docs.columns)
+    """The documents that the classifier accepts, columns as they were, whatever their names."""
+    rows = scored(apart(docs, "text"), train(docs, labels))
+    return rows.filter(F.col("__score") >= KEEP).drop("__score").toDF(*docs.columns)

@@ -49,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """The rows with all columns but the needed ones under names by place, which no operator uses for its own;
+    `toDF(*docs.columns)` gives them their names back."""
+    return docs.toDF(*(c if c in needed else f"__column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def fresh_name(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
@@ -65,7 +71,7 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     if integer:
         odd = docs.groupBy(F.col(doc_id).alias("id")).count().filter("id IS NULL OR count > 1")
         if odd.isEmpty():
-            return docs.withColumn(KEY, F.col(doc_id).cast("long"))
+            return docs.select("*", F.col(doc_id).cast("long").alias(KEY))
     ordered = docs.orderBy(F.col(doc_id).asc_nulls_first(), F.xxhash64(text))
     return written(ordered.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
 

@@ -22,9 +22,9 @@ _LENIENT = {
     "allowSingleQuotes": "true",
     "allowUnquotedFieldNames": "true",
     "allowNumericLeadingZeros": "true",
-    "allowBackslashEscapingAnyCharacter": "true",
     "allowUnquotedControlChars": "true",
 }
+_ANY_ESCAPE = {**_LENIENT, "allowBackslashEscapingAnyCharacter": "true"}
 _FALSY_JSON = ("false", "null", "0", "0.0", "-0.0", '""', "{}", "[]")
 
 
@@ -33,43 +33,81 @@ def json_body(content: Column) -> Column:
     return F.nullif(F.regexp_extract(content, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-_STRINGS = r"""("(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')"""
+# The tokens of JSON5. A comma that JSON has no place for goes with the closing bracket behind it, a plus with its number.
+_COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*"
+_NUMBER = r"0[xX][0-9a-fA-F]++(?![\w.])|\d++\.?+\d*+"
+_TOKENS = "|".join(
+    [
+        r'"(?:[^"\\]++|\\.)*+"',
+        r"'(?:[^'\\]++|\\.)*+'",
+        _COMMENT,
+        rf",(?:\s|{_COMMENT})*+[}}\]]",
+        rf"(?<=[:,\[\s/])\+(?:{_NUMBER}|\.\d++|I\w*+)",
+        r"[A-Za-z_$][\w$]*+",
+        _NUMBER,
+        r"(?<![\w.])\.\d++",
+        r"[\s:{}\[\]]++",
+        ".",
+    ]
+)
+_LOW_DIGITS, _EXACT_DIGITS = 15, 31
+
 
+def _decimal(digits: Column) -> Column:
+    """Hexadecimal digits as a decimal number: exact up to 31 digits, beyond as the nearest double."""
+    digits = F.regexp_replace(digits, "^0+(?=.)", "")
+    size = F.length(digits)
 
-def _outside_strings(text: Column, rest: str, change) -> Column:
-    """The text with ``change`` applied to what lies between quoted strings, cut by ``rest``."""
-    parts = F.regexp_extract_all(text, F.lit(f"(?s){_STRINGS}|{rest}"), F.lit(0))
-    quoted = lambda p: p.startswith('"') | p.startswith("'")
-    return F.array_join(F.transform(parts, lambda p: F.when(quoted(p), p).otherwise(change(p))), "")
+    def whole(part: Column) -> Column:
+        low = F.conv(F.right(part, F.lit(_LOW_DIGITS)), 16, 10).cast("decimal(20,0)")
+        high = F.conv(F.substring(part, F.lit(1), F.length(part) - _LOW_DIGITS), 16, 10).cast("decimal(20,0)")
+        return high * F.lit(16**_LOW_DIGITS).cast("decimal(19,0)") + low
 
+    # 28 digits hold more bits than a double; the last one says whether anything but zeros was cut off
+    head, tail = F.left(digits, F.lit(28)), F.substring(digits, F.lit(29), size)
+    kept = whole(head)
+    sticky = F.when((kept % 2 == 0) & ~tail.rlike("^0*$"), kept + 1).otherwise(kept)
+    return (
+        F.when(size <= _LOW_DIGITS, F.conv(digits, 16, 10))
+        .when(size <= _EXACT_DIGITS, whole(digits).cast("string"))
+        .otherwise((sticky.cast("double") * F.pow(F.lit(16.0), size - 28)).cast("string"))
+    )
 
-def _decimal(part: Column) -> Column:
-    """A hexadecimal number as a decimal one, anything else as it is."""
-    digits = F.regexp_extract(part, "^-?0[xX]([0-9a-fA-F]{1,15})$", 1)
-    sign = F.when(part.startswith("-"), "-").otherwise("")
-    return F.when(digits != "", F.concat(sign, F.conv(digits, 16, 10))).otherwise(part)
 
+def _plain_string(part: Column) -> Column:
+    """A quoted string whose escapes JSON knows, or that stand for the character behind the backslash."""
+    free = r"(?<!\\)((?:\\\\)*)\\"  # a backslash that no other one escapes
+    known = F.regexp_replace(part, free + r"x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    known = F.regexp_replace(known, free + r"v", r"$1\\u000b")
+    known = F.regexp_replace(known, free + r"0(?!\d)", r"$1\\u0000")
+    known = F.regexp_replace(known, free + "(?:\r\n|[\n\r\u2028\u2029])", "$1")
+    return F.when(part.contains("\\"), known).otherwise(part)
 
-def _spelled(part: Column) -> Column:
-    """Numbers without a plus sign and with digits on both sides of the point."""
-    before = r"(?<=[:,\[\s])"
-    part = F.regexp_replace(part, before + r"\+(?=[\d.I])", "")
-    part = F.regexp_replace(part, before + r"(-?)\.(?=\d)", "$10.")
-    return F.regexp_replace(part, before + r"(-?\d+)\.(?=[,\]}\seE]|$)", "$1.0")
+
+def _plain_token(part: Column) -> Column:
+    more = F.length(part) > 1
+    word = F.when(part.startswith("+") & more, F.substring(part, F.lit(2), F.length(part))).otherwise(part)
+    first, second = F.left(word, F.lit(1)), F.substring(word, 2, 1)
+    return (
+        F.when(first.isin('"', "'"), _plain_string(part))
+        .when((first == ",") & more, F.right(part, F.lit(1)))
+        .when((first == "/") & second.isin("/", "*"), F.lit(""))
+        .when((first == "0") & second.isin("x", "X"), _decimal(F.substring(word, F.lit(3), F.length(word))))
+        .when((first == ".") & (second != ""), F.concat(F.lit("0"), word))
+        .when(first.between("0", "9") & word.endswith("."), F.concat(word, F.lit("0")))
+        .otherwise(word)
+    )
 
 
 def plain_json(body: Column) -> Column:
-    """JSON5 text without comments, without commas before a closing bracket, and with numbers spelled
-    as JSON does (hexadecimal ones of up to 15 digits). Quoted strings stay as they are."""
-    text = F.regexp_replace(body, _STRINGS + r"|/\*[\s\S]*?\*/|//[^\n]*", "$1")
-    text = F.regexp_replace(text, _STRINGS + r"|,(\s*[}\]])", "$1$2")
-    text = _outside_strings(text, r"-?0[xX][0-9a-fA-F]+|.", _decimal)
-    return _outside_strings(text, r"""[^"']+|.""", _spelled)
+    """JSON5 text without comments, without commas before a closing bracket, with numbers and escapes spelled as JSON
+    does. The text is cut into tokens once; each is rewritten by itself."""
+    return F.array_join(F.transform(F.regexp_extract_all(body, F.lit(f"(?s){_TOKENS}"), F.lit(0)), _plain_token), "")
 
 
-def _one(body: Column, schema: str) -> Column:
+def _one(body: Column, schema: str, options: dict[str, str] = _LENIENT) -> Column:
     """The object that the whole text is, null if there is none or something else follows it."""
-    read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{schema}>", _LENIENT)
+    read = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{schema}>", options)
     return F.when(F.size(read) == 1, F.get(read, F.lit(0)))
 
 
@@ -77,14 +115,14 @@ def lenient_json(df: DataFrame, body: str, schema: str, name: str) -> DataFrame:
     """Adds the parsed body. Only text that fails is rewritten and parsed again; the first result is
     a column of its own, so that no other row is parsed twice."""
     once = df.withColumn("_once", _one(F.col(body), schema))
-    retry = _one(plain_json(F.col(body)), schema)
+    retry = _one(plain_json(F.col(body)), schema, _ANY_ESCAPE)
     return once.withColumn(name, F.coalesce("_once", retry)).drop("_once")
 
 
 def lenient_map(body: str) -> Column:
     """The parsed body as key to JSON text, in the order of the text; rewritten only if it fails."""
     kind = "map<string,string>"
-    return F.coalesce(_one(F.col(body), kind), _one(plain_json(F.col(body)), kind))
+    return F.coalesce(_one(F.col(body), kind), _one(plain_json(F.col(body)), kind, _ANY_ESCAPE))
 
 
 def score_number(score: Column) -> Column:

@@ -70,12 +70,31 @@ def test_nothing_to_parse(spark, text):
         ('{"overall_score": +Infinity}', float("inf")),
         ('{"overall_score": 5e-1}', 0.5),
         ('{"comment": "a\nb", "overall_score": 2}', 2.0),
+        ('{"overall_score": 0x1234567890abcdef0123}', float(0x1234567890ABCDEF0123)),
+        ('{"overall_score": -0xffffffffffffffffffffffffffffffff}', -float(2**128 - 1)),
+        ('{"overall_score": 0x00000000000000000000000000000000000000000000003}', 3.0),
+        ('{"overall_score": 0x80000000000000000000000000040000000000000000000001}', float((2**199) + (1 << 86) + 1)),
+        ('{"overall_score": 0x80000000000004000000000000000000000000}', float(0x80000000000004 << 96)),
+        ('{"overall_score": 0x80000000000004000000000000000000000001}', float((0x80000000000004 << 96) + 1)),
+        ('{"overall_score": 1e+2,}', 100.0),
+        ('{"overall_score": 1.e2,}', 100.0),
+        ('{"overall_score": + 3}', None),
+        ('{"overall_score": 0x1.5}', None),
+        ('{"overall_score": 3,,}', None),
+        ('{"overall_score": 3, /* c */ // d\n ,}', None),
     ],
 )
 def test_lenient_json(spark, text, overall):
     assert judged(spark, text).overall_score == overall
 
 
+def test_escapes_of_strings(spark):
+    row = judged(spark, r"""{"comment": '\x41\x42 \\x41 \\\x43 it\'s \v\0.', 'stop_reason': "a\
+b \q \u00e9", overall_score: 1}""")
+    assert row.comment == "AB \\x41 \\C it's \x0b\0."
+    assert (row.stop_reason, row.overall_score) == ("ab q \u00e9", 1.0)
+
+
 def test_commas_inside_strings_stay(spark):
     row = judged(spark, """{"comment": "a,] \\" ,}", 'stop_reason': 'b,}', "overall_score": 1,}""")
     assert (row.comment, row.stop_reason, row.overall_score) == ('a,] " ,}', "b,}", 1.0)
