@@ -267,8 +267,8 @@ def _proofs(rows: pa.Table, above: pa.Table) -> pa.Table:
     for _, digest, other, way in _with_ways(rows, above):
         leaf.append(digest)
         proof.append(hashed("".join(left + right for left, right in way)))
-        # a version without a change shares every node, the root too
-        folded.append(root if other is None else copied(way, other)[-1])
+        # every leaf is folded, a changed one or its own, along the siblings: the root is what is checked, not an input
+        folded.append(copied(way, digest if other is None else other)[-1])
     size = len(rows)
     return pa.table(
         {

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,32 @@ def test_an_unchanged_table_is_verified(table):
     rows = [row(i, "en", f"text {i}") for i in range(70)]
     manifest = merkle.Manifest(table(rows))
     assert all(r.verified for r in manifest.proofs().collect()) and manifest.versions().count() == 0
+
+
+def test_every_leaf_is_folded_along_its_siblings():
+    """Also an unchanged one: with a wrong sibling above its block it does not come to the root."""
+    digests = [bytes([i]) * 32 for i in range(3)]
+    changed = [None, bytes([9]) * 32, None]
+    rows = pa.table(
+        {
+            "tree": ["=en"] * 3,
+            "doc_id": [1, 2, 3],
+            "digest": pa.array(digests, pa.binary()),
+            "changed": pa.array(changed, pa.binary()),
+            "pos": [0, 1, 2],
+            "n": [3] * 3,
+        }
+    )
+    subroot = merkle.hashed("".join(d.hex() for d in digests))
+    right = "ab" * 32
+    root = merkle.hashed(subroot + right)
+
+    def verified(sibling):
+        kind = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
+        way = pa.array([[{"left": "", "right": sibling}]], kind)
+        told = merkle._proofs(rows, pa.table({"way": way, "subroot": [subroot], "root": [root]}))
+        return told.column("verified").to_pylist(), told.column("folded_root").to_pylist()
+
+    assert verified(right)[0] == [True, False, True]
+    wrong, folded = verified("cd" * 32)
+    assert wrong == [False, False, False] and folded[0] == folded[2] == merkle.hashed(subroot + "cd" * 32)
