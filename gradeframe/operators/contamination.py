@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.functions.scores import MIN_K, min_k_stat
-from gradeframe.plans.ordered import before, block_count, bound_block, quantile_bounds
+from gradeframe.plans.ordered import before, block_count, quantile_bounds, with_bound_block
 
 
 def mean_loss(responses: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def roc_auc(
     else:
         whole = cuts.select(F.struct("_cuts", "n_pos", "n_neg")).scalar()
         cut = hist.withColumn("_c", whole).select(*hist.columns, "_c.*")
-    cut = cut.withColumn("_block", bound_block(F.col("_score"), F.col("_cuts")))
+    cut = with_bound_block(cut, "_score", "_cuts", blocks)
     totals = ["n_pos", "n_neg"]
     cut = cut.select(*group, *totals, "_block", "_score", "_pos", "_neg")
     below = F.coalesce(F.sum("_neg").over(before([*group, "_block"], ["_score"])), F.lit(0))

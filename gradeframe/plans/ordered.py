@@ -79,18 +79,16 @@ def quantile_bounds(c: Column, blocks: int) -> Column:
     return F.percentile_approx(c, shares, 20 * blocks)
 
 
-_STRIDE = 16
+def with_bound_block(df: DataFrame, value: str, bounds: str, most: int) -> DataFrame:
+    """The rows with the number of boundaries below a value, of at most ``most``; equal values always share a block.
 
-
-def bound_block(c: Column, bounds: Column) -> Column:
-    """Number of boundaries below a value; equal values always share a block.
-
-    Looks at every 16th boundary first, then at the 16 from the last one below.
+    A binary search, a projection to each halving, which stays in generated code.
     """
-    some = F.coalesce(bounds, F.array().cast("array<double>"))
-    coarse = F.filter(some, lambda b, i: (i % _STRIDE == 0) & (b < c))
-    at = F.greatest(F.size(coarse) - 1, F.lit(0)) * _STRIDE
-    return at + F.size(F.filter(F.slice(some, at + 1, F.lit(_STRIDE)), lambda b: b < c))
+    rows = df.withColumn(BLOCK, F.lit(0))
+    for step in [1 << i for i in reversed(range(most.bit_length()))]:
+        below = F.get(F.col(bounds), F.col(BLOCK) + (step - 1)) < F.col(value)
+        rows = rows.withColumn(BLOCK, F.col(BLOCK) + F.when(below, step).otherwise(0))
+    return rows
 
 
 def with_range_block(df: DataFrame, order: Column, blocks: int | None = None) -> DataFrame:
@@ -99,9 +97,10 @@ def with_range_block(df: DataFrame, order: Column, blocks: int | None = None) ->
 
     The ranges' bounds are one scalar subquery over the order column; rows that agree in it share a block.
     """
-    value = order.cast("double")
-    cuts = df.agg(F.array_distinct(quantile_bounds(value, blocks or block_count(df)))).scalar()
-    return df.withColumn("_cuts", cuts).withColumn(BLOCK, bound_block(value, F.col("_cuts"))).drop("_cuts")
+    value, blocks = order.cast("double"), blocks or block_count(df)
+    cuts = df.agg(F.array_distinct(quantile_bounds(value, blocks))).scalar()
+    tagged = df.withColumn("_value", value).withColumn("_cuts", cuts)
+    return with_bound_block(tagged, "_value", "_cuts", blocks).drop("_value", "_cuts")
 
 
 def dense_order(

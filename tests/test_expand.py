@@ -137,3 +137,20 @@ def test_range_blocks_follow_the_data(spark):
     ties = with_range_block(df.withColumn("ts", F.lit(None).cast("timestamp_ntz")), calendar_seconds(F.col("ts")))
     none = positions(ties, ["k"], ["id"], F.col(BLOCK), "pos")
     assert none.where("k = 'hot'").agg(F.max("pos")).first()[0] == 3999
+
+
+def test_range_blocks_are_found_by_halving(spark):
+    """No bound is looked at one by one: a row's work does not grow with the number of blocks."""
+    from gradeframe.plans.ordered import BLOCK, with_bound_block, with_range_block
+
+    bounds = [-2.0, 0.0, 0.5, 3.0, 9.0]
+    values = [None, float("-inf"), -2.0, -1.0, 0.0, 0.25, 0.5, 2.0, 3.0, 8.0, 9.0, 10.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    cuts = F.array(*map(F.lit, bounds))
+    got = {str(r.v): r[BLOCK] for r in with_bound_block(df.withColumn("c", cuts), "v", "c", 6).collect()}
+    assert got.pop("None") == 0 and got.pop("nan") == 5
+    assert got == {str(v): sum(b < v for b in bounds) for v in values[1:-1]}
+    none = with_bound_block(df.withColumn("c", F.lit(None).cast("array<double>")), "v", "c", 6)
+    assert {r[BLOCK] for r in none.collect()} == {0}
+    plan = with_range_block(spark.range(1000), F.col("id"), 200)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
