@@ -34,7 +34,7 @@ def latest(responses: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
     ).select(*keys, *[F.col("_r")[v].alias(v) for v in values])
 
 
-def _spelled(parent: Column) -> Column:
+def spelled(parent: Column) -> Column:
     """A parent that is never null, so that it can be joined by plain equality."""
     return F.coalesce(F.concat(F.lit("="), parent), F.lit(""))
 
@@ -51,11 +51,12 @@ def attach_responses(
     response fails the job, or with ``on_missing='null'`` gets nulls and ``missing``. Responses are
     shuffled once: grouping and join ask for the same partitioning.
     """
-    named = responses.withColumn("_uuid", F.col("uuid")).withColumn("_parent", _spelled(F.col("parent_uuid")))
+    named = responses.withColumn("_uuid", F.col("uuid")).withColumn("_parent", spelled(F.col("parent_uuid")))
     last = latest(named, ["_uuid", "_parent"], list(values)).withColumn("_found", F.lit(True))
-    asked = problems.withColumn("_asked", _spelled(F.col("parent_uuid")))
+    asked = problems.withColumn("_asked", spelled(F.col("parent_uuid")))
+    # there are about as many responses as problems, and a compressed file's size tells little of what it holds
     joined = asked.join(
-        last, (F.col("uuid") == F.col("_uuid")) & (F.col("_asked") == F.col("_parent")), "left"
+        last.hint("merge"), (F.col("uuid") == F.col("_uuid")) & (F.col("_asked") == F.col("_parent")), "left"
     )
     missing = F.col("_found").isNull()
     if on_missing == "null":

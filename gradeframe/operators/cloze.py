@@ -119,9 +119,10 @@ def scores_from_responses(problems: DataFrame, responses: DataFrame) -> DataFram
         kind: F.max_by(F.when(F.col("bare") == bare, F.col("value")), F.when(F.col("bare") == bare, F.col("arrival")))
         for kind, bare in (("asked", False), ("alone", True))
     }
-    found = _by_parent(named).groupBy("parent_uuid", "choice").agg(*[c.alias(k) for k, c in last.items()])
+    # a choice's lines mostly stand together: they are one row each before they are moved
+    found = named.groupBy("parent_uuid", "choice").agg(*[c.alias(k) for k, c in last.items()])
     rows = problems.select("parent_uuid", F.get("choices", F.lit(0)).alias("choice"), "pos", "answer_text")
-    joined = _by_parent(rows).join(found, ["parent_uuid", "choice"], "left")
+    joined = rows.join(found.hint("merge"), ["parent_uuid", "choice"], "left")
     note = F.concat(F.lit("no response for a choice of "), F.col("parent_uuid"))
     asked = F.col("asked.loglikelihood")
     return joined.select(

@@ -88,19 +88,29 @@ def write_responses(df: DataFrame, path: str, run_key: str) -> None:
     Commits(df.sparkSession, path).write(rows, run_key, replace=True, partition_by=["run_key"])
 
 
+#: Lines of a compressed file, which one task reads.
+FILE_LINES = 1_000_000
+
+
+def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rows as compressed JSON lines, in files of at most ``FILE_LINES`` lines, as such a file cannot be read in parts."""
+    df.write.mode(mode).option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).json(path)
+
+
 def write_response_lines(df: DataFrame, path: str) -> None:
-    """Responses as JSON lines {request, response}, with the time of writing, the same in all lines, and the arrival
-    mark of rows that have one, as the order over several files would be lost otherwise."""
+    """Responses as compressed JSON lines {request, response}, with the time of writing, the same in all lines, and the
+    arrival mark of rows that have one, as the order over several files would be lost otherwise."""
     fields = ["generated_text", "loglikelihood", "target_length", "lm_loss", "token_logprobs"]
     kept = [c for c in df.columns if c not in (*fields, "arrival", "mark", "run_key")]
     kind = dict(df.dtypes).get("arrival")
     mark = F.col("arrival") if kind == "string" else arrival(F.col("arrival")) if kind else None
-    df.select(
+    lines = df.select(
         F.struct(*kept).alias("request"),
         F.struct(*[c for c in fields if c in df.columns]).alias("response"),
         *([mark.alias("arrival")] if mark is not None else []),
         F.lit(time.time_ns() // 1000).alias("written"),
-    ).write.mode("overwrite").json(path)
+    )
+    write_lines(lines, path)
 
 
 def stored_responses(spark: SparkSession, path: str, run_key: str | None = None) -> DataFrame:

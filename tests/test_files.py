@@ -281,3 +281,27 @@ def test_arc_relabels_numbers_for_stop_keys_only(spark):
     assert r.answer_idx == 1
     assert json.loads(r.generation_config["stop_sequences"]) == ["A", "B", "C"]
     assert r.extra_json == json.dumps({"id": 'é"1'})
+
+
+def test_response_lines_are_compressed_in_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_LINES", 10)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("uuid"), F.lit(None).cast("string").alias("parent_uuid"), F.lit("A").alias("generated_text"))
+    files.write_response_lines(rows.coalesce(1), str(tmp_path / "out"))
+    names = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert len(names) == 4 and all(n.endswith(".json.gz") for n in names)
+    log = files.read_responses(spark, str(tmp_path / "out"))
+    assert [r.uuid for r in log.orderBy("arrival").collect()] == [str(i) for i in range(40)]
+    joined = choice.attach_responses(rows.drop("generated_text"), log)
+    # a few bytes of file may hold many rows: they are not sent to all tasks
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 40
+
+
+def test_lines_of_a_choice_are_combined_before_they_move(spark):
+    from gradeframe.operators import cloze
+
+    problems = spark.createDataFrame([("p/c", "p", 1, ["c"], "c")], "uuid string, parent_uuid string, pos int, choices array<string>, answer_text string")
+    tries = [("p", ["c"], q, float(-n), 2, str(n)) for n in (1, 3, 2) for q in ("Q", None)]
+    log = spark.createDataFrame(tries, "parent_uuid string, choices array<string>, problem string, loglikelihood double, target_length int, arrival string")
+    scores = cloze.scores_from_responses(problems, log)
+    assert [(r.loglikelihood, r.uncond_loglikelihood, r.target_length) for r in scores.collect()] == [(-3.0, -3.0, 2)]
+    assert "REPARTITION_BY_COL" not in scores._jdf.queryExecution().executedPlan().toString()
