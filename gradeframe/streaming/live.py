@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradeframe.operators.choice import score_answers
+from gradeframe.operators.choice import score_answers, spelled
 from gradeframe.operators.judge import parse_judge
 from gradeframe.operators.rounds import ALL_METRICS, block_sums, combine_blocks, merge_blocks
 from gradeframe.plans.ordered import BLOCK, int_block
@@ -46,13 +46,17 @@ class _Parts:
 
         return self.store.read(self.schema, self.name, wanted)
 
+    def count(self, batch_id: int, snapshot: bool = False) -> int:
+        """How many parts the batches before this one have left, the snapshot counted if asked."""
+        parts = [r["part"] for r in self.store.records(self.name)]
+        return sum(snapshot if p == _SNAPSHOT else int(p) < batch_id for p in parts)
+
     def add(self, df: DataFrame, batch_id: int) -> None:
         self.store.write(df, self.name, str(batch_id))
 
     def compact(self, batch_id: int, merge: Callable[[DataFrame], DataFrame], buckets: int = 0, key: str | None = None) -> None:
         """Once enough batches have come, one snapshot stands in for all before this one."""
-        parts = [r["part"] for r in self.store.records(self.name)]
-        if sum(p != _SNAPSHOT and int(p) < batch_id for p in parts) >= COMPACT:
+        if self.count(batch_id) >= COMPACT:
             self.store.write(merge(self.before(batch_id)), self.name, _SNAPSHOT, replace=True, buckets=buckets, key=key)
 
 
@@ -81,8 +85,14 @@ def _arrived(batch: DataFrame) -> DataFrame:
 
 
 def _newest_keys(rows: DataFrame) -> DataFrame:
+    return _newest_hashed(rows).drop("_hash")
+
+
+def _newest_hashed(rows: DataFrame) -> DataFrame:
+    """The last row of each key, with a hash of the key, by which rows are sorted first: keys begin alike."""
     values = [c for c in rows.columns if c != "key"]
-    return rows.groupBy("key").agg(F.max_by(F.struct(*values), "arrival").alias("_r")).select("key", "_r.*")
+    last = rows.groupBy(F.xxhash64("key").alias("_hash"), "key").agg(F.max_by(F.struct(*values), "arrival").alias("_r"))
+    return last.select("_hash", "key", "_r.*")
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -103,20 +113,19 @@ def live_accuracy(
     are corrected by what it adds less what the response before it had added. ``problems`` is a static table (uuid,
     parent_uuid, permutation, answer_idx[, choices]).
 
-    The table of keys is bucketed: a batch's keys are moved to it, it is not moved itself.
+    The table of keys is bucketed: a batch's keys are moved to it, it is not moved itself. A key's scores are summed where
+    its problems are, as the join has dealt both by (uuid, parent).
     """
     lines = spark.readStream.schema(RESPONSE_LINE).json(source)
-    static = problems.withColumnsRenamed({"uuid": "_uuid", "parent_uuid": "_parent"})
+    static = problems.withColumnRenamed("uuid", "_uuid").withColumn("_parent", spelled(F.col("parent_uuid"))).drop("parent_uuid")
     store = Commits(spark, sink)
     keys, sums = _Parts(store, "keys", _KEYS), _Parts(store, "sums", _SUMS)
 
     def scores(batch: DataFrame) -> DataFrame:
         key = F.to_json(F.struct("run_key", "uuid", "parent_uuid"))
-        rows = _newest_keys(_arrived(batch).withColumn("key", key))
-        joined = rows.join(
-            static, (F.col("uuid") == F.col("_uuid")) & F.col("parent_uuid").eqNullSafe(F.col("_parent"))
-        )
-        return score_answers(joined, n_choices).groupBy("key", "arrival", "run_key").agg(
+        rows = _newest_hashed(_arrived(batch).withColumn("key", key)).withColumn("_asked", spelled(F.col("parent_uuid")))
+        joined = rows.join(static, (F.col("uuid") == F.col("_uuid")) & (F.col("_asked") == F.col("_parent")))
+        return score_answers(joined, n_choices).groupBy("uuid", "_asked", "_hash", "key", "arrival", "run_key").agg(
             F.sum(F.col("hit").cast("long")).alias("hits"),
             F.count(F.lit(1)).alias("groups"),
             F.sum("lm_loss").alias("loss"),
@@ -132,13 +141,14 @@ def live_accuracy(
         with store.bucketed("keys", _SNAPSHOT, "key") as snapshot:
             rows = scores(batch)
             recent = keys.before(batch_id, snapshot=snapshot is None)
-            for n, known in enumerate([snapshot, recent]):
-                if known is not None:
-                    old = _newest_keys(known) if known is recent else known
-                    old = old.select("key", F.struct(*names).alias(f"_old{n}"))
-                    rows = rows.join(old, "key", "left")
-                else:
-                    rows = rows.withColumn(f"_old{n}", F.lit(None).cast("struct<arrival:string,hits:long,groups:long,loss:double,losses:long>"))
+            if snapshot is not None:
+                rows = rows.join(snapshot.select("key", F.struct(*names).alias("_old0")), "key", "left")
+            else:
+                rows = rows.withColumn("_old0", F.lit(None).cast("struct<arrival:string,hits:long,groups:long,loss:double,losses:long>"))
+            # a part has a key once
+            single = keys.count(batch_id, snapshot is None) <= 1
+            recent = recent.withColumn("_hash", F.xxhash64("key")) if single else _newest_hashed(recent)
+            rows = rows.join(recent.select("_hash", "key", F.struct(*names).alias("_old1")), ["_hash", "key"], "left")
             # of the snapshot and the batches since, the later ones know better
             old = F.coalesce("_old1", "_old0")
             changed = rows.withColumn("_old", old).where(

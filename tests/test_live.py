@@ -169,3 +169,27 @@ def test_snapshots_stand_in_for_old_batches(spark, tmp_path, monkeypatch):
     assert parts == {"", "4"}
     got = {r.run_key: r.num_groups for r in live.read_accuracy(spark, sink).collect()}
     assert got == {"r0": 3, "r1": 2}
+
+
+def test_keys_are_sorted_by_a_hash_and_scored_where_their_problems_are(spark, tmp_path, monkeypatch):
+    """Keys begin alike, so that text alone sorts slowly; and after the join with the problems only one move follows."""
+    rows = spark.createDataFrame([("k", "1", "r", 1, 1, 0.0, 0), ("k", "2", "r", 0, 1, 0.0, 0)], live._KEYS)
+    assert [r.arrival for r in live._newest_keys(rows).collect()] == ["2"]
+    assert "xxhash64" in live._newest_keys(rows)._jdf.queryExecution().executedPlan().toString()
+    plans, add = [], live._Parts.add
+
+    def told(self, df, batch_id):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        add(self, df, batch_id)
+
+    monkeypatch.setattr(live._Parts, "add", told)
+    problems = spark.createDataFrame([("a", None, None, 0)], "uuid string, parent_uuid string, permutation array<int>, answer_idx int")
+    put(tmp_path / "in", "1.json", [{"run_key": "r", "uuid": "a", "generated_text": "A"}])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        live.live_accuracy(spark, str(tmp_path / "in"), problems, str(tmp_path / "out"), str(tmp_path / "state"), 4).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # by key, both sides of the join with the problems, and of that with what is known
+    assert plans[0].count("Exchange hashpartitioning") == 5
+    assert [(r.num_hits, r.num_groups) for r in live.read_accuracy(spark, str(tmp_path / "out")).collect()] == [(1, 1)]
