@@ -141,6 +141,23 @@ def test_an_array_is_read_by_many_tasks(spark, tmp_path):
             assert g.prompt == w["prompt"] and [m.content for m in g.messages] == [m["content"] for m in w["messages"]]
 
 
+def test_an_array_is_cut_into_blocks(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    rows = [{"uuid": str(i), "deep": [{"x": "".join(r.choice(NASTY) for _ in range(9))} for _ in range(40)]} for i in range(200)]
+    (tmp_path / "a.json").write_text("\ufeff" + json.dumps(rows, ensure_ascii=False))
+    (tmp_path / "b.json").write_text("[]")
+    dirs, fresh = [], arrays.fresh_dir
+    monkeypatch.setattr(arrays, "fresh_dir", lambda *a: dirs.append(fresh(*a)) or dirs[-1])
+    got = sorted((x.pos, x.text) for x in arrays.array_objects(spark, str(tmp_path / "*.json")).collect())
+    assert [json.loads(t) for _, t in got] == rows
+    # a row for each object and block, and none for the 8,200 closing braces
+    assert sum(spark.read.parquet(d).count() for d in dirs) < 300
+    monkeypatch.setattr(arrays, "BLOCK_BYTES", 300)
+    again = arrays.array_objects(spark, str(tmp_path / "*.json"))
+    assert sorted((x.pos, x.text) for x in again.collect()) == got
+    assert spark.read.parquet(dirs[-3]).count() > 200
+
+
 def test_request_list(spark, tmp_path):
     dump(tmp_path / "r.json", [{"uuid": "a", "prompt": "p"}, {"uuid": "b", "messages": [{"role": "user", "content": "m"}]}])
     rows = files.read_requests(spark, str(tmp_path / "r.json")).orderBy("uuid").collect()
