@@ -11,7 +11,8 @@ with the base model, in which an unseen word counts 0.1, and states sharpen it.
 The rows are written in parts of about `PART` bytes of text, as numbers of the part's distinct words. For each depth a
 part asks for its distinct pairs of context and next symbol, with their training counts, a row for each bucket of the
 contexts' hashes. A bucket's task sums the counts of all parts, tests its contexts, and answers each part with the counts
-of the retained ones. No task and not the driver holds the tree: what is gathered, asked and answered grows with the
+of the retained ones. How often a context was seen is the count of its last symbol in the state before that symbol, or at
+most that if the state is shorter, so that a part has it from the answers before and asks for candidates alone. No task and not the driver holds the tree: what is gathered, asked and answered grows with the
 corpus, and a context that every text has is a row per part. Broadcast are the classes and the counts of the `COMMON`
 most frequent words; a part asks for its other words' counts by a join with the word table.
 
@@ -175,7 +176,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
 @dataclass
 class Words:
     """What all tasks know: frequent words by sorted hash, with count and symbol; the log10 of the classes' and the
-    end's weight, and of the sum of all weights."""
+    end's weight, and of the sum of all weights; the training count from which a context is a candidate."""
 
     known: np.ndarray
     count: np.ndarray
@@ -183,6 +184,7 @@ class Words:
     classes: np.ndarray
     end: float
     all: float
+    least: int = 0
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
@@ -264,11 +266,16 @@ class _Walk:
         self.trains = np.repeat(self.train, self.counts + 2)
         self.log10 = root[self.loc]
         self.buckets, self.depth = buckets, 0
+        # the training count of each symbol with the state before it, at least that of any longer context that ends in it
+        self.least, self.most = words.least, np.full(len(self.loc), np.inf)
         self.at, self.context, self.names = np.flatnonzero(self.place > 0), None, None
 
     def down(self) -> None:
         self.depth += 1
         size = len(self.symbols)
+        if self.context is not None:
+            often = self.most[self.at - 1] >= self.least
+            self.at, self.context = self.at[often], self.context[often]
         back = self.loc[self.at - self.depth]
         if self.context is None:
             self.context, self.names = back, _name(np.zeros(size, np.uint64), self.symbols)
@@ -318,6 +325,7 @@ class _Walk:
         live = kept[self.context]
         self.at, self.context, pair = self.at[live], self.context[live], self.pair[live]
         sums, kinds = sums[self.context], kinds[self.context]
+        self.most[self.at] = n[pair]
         self.log10[self.at] = np.log10((n[pair] + kinds * 10.0 ** self.log10[self.at]) / (sums + kinds))
         more = self.place[self.at] > self.depth
         self.at, self.context = self.at[more], self.context[more]
@@ -463,7 +471,7 @@ def grow(train: DataFrame, tree: Tree, total: int, depth: int = DEPTH) -> Tree:
     rows = train.select(F.monotonically_increasing_id().alias("key"), F.lit(False).alias("held_out"), "text")
     root = 10.0**tree.root
     symbol = np.arange(len(tree.own)) + _FIRST_OWN
-    words = Words(tree.own, root[_FIRST_OWN:] - 0.1, symbol, tree.root[_FIRST_CLASS:_FIRST_OWN], tree.root[_END], 0.0)
+    words = Words(tree.own, root[_FIRST_OWN:] - 0.1, symbol, tree.root[_FIRST_CLASS:_FIRST_OWN], tree.root[_END], 0.0, LEAST)
     shared = train.sparkSession.sparkContext.broadcast(words)
     tables, buckets = _words(parts(rows), None, shared), max(64, total // BUCKET)
     for d in range(1, depth + 1):
@@ -550,7 +558,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     symbol[n < OWN] = 0
     order = np.argsort(h)
     shared = sc.broadcast(
-        Words(h[order], n[order], symbol[order], np.log10(class_weight), float(np.log10(ends + 0.1)), float(np.log10(whole)))
+        Words(h[order], n[order], symbol[order], np.log10(class_weight), float(np.log10(ends + 0.1)), float(np.log10(whole)), LEAST)
     )
     tables, buckets = _words(made, vocab, shared), max(64, total // BUCKET)
     for d in range(1, DEPTH + 1):

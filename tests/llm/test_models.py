@@ -402,3 +402,27 @@ def test_known_sentences_have_a_sign():
     import re
 
     assert all(re.search(licenses._SIGNS, s) for s in licenses.SENTENCES)
+
+
+def test_rare_contexts_are_not_asked():
+    """20 times a b c and once a c b: what followed a and c once is no context of two symbols."""
+    index = np.array([0, 1, 2] * 20 + [0, 2, 1])
+    text = lm._pack(np.arange(21), np.ones(21, bool), np.full(21, 3), index)
+    told = lm._pack(np.full(3, 21), np.arange(3) + lm._FIRST_OWN)
+
+    def walked(**least):
+        none = np.zeros(0, np.uint64)
+        walk = lm._Walk(text, told, lm.Words(none, none, none, np.zeros(lm.CLASSES), 1.3, 2.0, **least), 1)
+        asked = []
+        for depth in (1, 2):
+            walk.down()
+            bodies = [(7, depth, b, body) for b, body in walk.asked()]
+            asked.append(len(lm._unpack(bodies[0][3])[1]))
+            got = lm._settle(depth, 8, -1e9, False)(lm._table(bodies)).to_pylist()
+            walk.answered([(r["bucket"], r["body"]) for r in got])
+        return asked, walk.log10
+
+    asked, log10 = walked(least=8)
+    every, same = walked()
+    assert (asked, every) == ([4, 3], [4, 5])
+    assert (log10 == same).all()
