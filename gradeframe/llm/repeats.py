@@ -19,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradeframe.llm import text as tx
+from gradeframe.llm.rows import written
 
 MOST_BITS = 1 << 28
 _FLUSH = 1_200_000
+#: Of a key, the bits that tell no bucket.
+_BELOW = np.uint64((1 << 52) - 1)
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass
@@ -34,10 +38,13 @@ class Filter:
         """Whether each key may have reached the threshold of that number."""
         bits, size = self.bits[threshold], self.sizes[threshold]
         bucket = (keys >> np.uint64(self.shift)).astype(np.int64) * size
-        out = np.ones(len(keys), bool)
-        for place in _places(keys.astype(np.uint32), size):
-            at = bucket + place
-            out &= bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        out = np.zeros(len(keys), bool)
+        # most keys miss their first bit, so that the others are looked at for few
+        live, low = np.arange(len(keys)), keys.astype(np.uint32)
+        for c in _SPREAD:
+            at = bucket[live] + _place(low[live], c, size)
+            live = live[bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+        out[live] = True
         return out
 
     def level(self, keys: np.ndarray) -> np.ndarray:
@@ -54,10 +61,9 @@ class Filter:
 _SPREAD = [np.uint32(c) for c in (1, 2654435769, 2246822519, 3266489917)]
 
 
-def _places(low: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    for c in _SPREAD:
-        spread = low * c
-        yield ((spread ^ (spread >> np.uint32(15))) & np.uint32(size - 1)).astype(np.int64)
+def _place(low: np.ndarray, c: np.uint32, size: int) -> np.ndarray:
+    spread = low * c
+    return ((spread ^ (spread >> np.uint32(15))) & np.uint32(size - 1)).astype(np.int64)
 
 
 def _send(keys_of: Callable, column: str, shift: int):
@@ -83,7 +89,8 @@ def _dealt(held: list[tuple[np.ndarray, np.ndarray | None]], shift: int) -> pa.R
         new = np.append(True, keys[1:] != keys[:-1])
     else:
         values = np.concatenate([v for _, v in held])
-        order = np.lexsort((values, keys))
+        # by bucket, and equal pairs side by side
+        order = np.argsort(keys & ~_BELOW | tx.mix(keys * _MIX + values) & _BELOW)
         keys, values = keys[order], values[order]
         new = np.append(True, (keys[1:] != keys[:-1]) | (values[1:] != values[:-1]))
     first = np.flatnonzero(new)
@@ -104,10 +111,10 @@ def _slice(thresholds: tuple[int, ...], sizes: list[int], valued: int | None):
         keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u4")
         times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint8)
         if valued is None:
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
         else:
             values = np.frombuffer(b"".join(rows.column("values_").to_pylist()), "<u4")
-            order = np.argsort((keys.astype(np.uint64) << np.uint64(32)) | values, kind="stable")
+            order = np.argsort((keys.astype(np.uint64) << np.uint64(32)) | values)
             values = values[order]
         keys = keys[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -123,8 +130,8 @@ def _slice(thresholds: tuple[int, ...], sizes: list[int], valued: int | None):
             if valued is not None and i >= valued:
                 reached &= several
             bits = np.zeros(size, bool)
-            for place in _places(keys[reached], size):
-                bits[place] = True
+            for c in _SPREAD:
+                bits[_place(keys[reached], c, size)] = True
             bodies.append(np.packbits(bits, bitorder="little").tobytes())
         columns = {"bucket": rows.column("bucket").slice(0, 1), "bits": pa.array([bodies], pa.list_(pa.binary()))}
         return pa.table(columns)
@@ -143,16 +150,20 @@ def repeated(
     thresholds: tuple[int, ...] = (2,),
     valued: int | None = None,
     column: str = "text",
+    most_bits: int = MOST_BITS,
 ) -> Filter:
     """keys_of: from a record batch to its keys, or keys and values; size: bytes of text in all, from which the parts are
-    counted. Filters from number `valued` on take only keys with several values. Filters of thresholds above 8 have an
-    eighth of the bits, as far fewer keys reach them."""
+    counted. Filters from number `valued` on take only keys with several values, and have a quarter of the bits; those of
+    thresholds above 8 have an eighth, as far fewer keys reach them."""
     buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, size / (4 << 20)))), 6, 12))
     shift = 64 - buckets.bit_length() + 1
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, size / 4))), 20, np.log2(MOST_BITS)))
-    sizes = [bits // buckets // (8 if t > 8 else 1) for t in thresholds]
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, size / 4))), 20, np.log2(most_bits)))
+    part = [8 if t > 8 else 4 if valued is not None and i >= valued else 1 for i, t in enumerate(thresholds)]
+    sizes = [bits // buckets // p for p in part]
     sent = docs.mapInArrow(_send(keys_of, column, shift), "bucket int, keys binary, times binary, values_ binary")
     made = sent.groupBy("bucket").applyInArrow(_slice(thresholds, sizes, valued), "bucket int, bits array<binary>")
+    # written, as an iterator alone would have the partitions made one after the other
+    made = written(made, "filter")
     out = [np.zeros(s * buckets // 8, np.uint8) for s in sizes]
     for row in made.toLocalIterator():
         for to, body in zip(out, row.bits, strict=True):

@@ -174,6 +174,13 @@ def range_hashes(sums: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return mix((sums[high] - sums[low]) * _power("down", len(sums))[low] + (high - low).astype(np.uint64))
 
 
+def window_terms(sums: np.ndarray, k: int) -> np.ndarray:
+    """For every range of k values what `mix`, after k is added, makes its `range_hashes`."""
+    out = sums[k:] - sums[:-k]
+    out *= _power("down", len(sums))[: len(out)]
+    return out
+
+
 def runs(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k values that begin at each place; the last k - 1 places hold what is left and mean nothing."""
     out = h * _PLACES[0]

@@ -1,8 +1,10 @@
 """Exact, near, word and byte dedup and decontamination against plain versions."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,48 @@ def test_segments_hold_every_window_once(monkeypatch):
     assert sorted(seen) == want
 
 
+class _All:
+    """A filter that lets all keys pass, up to a threshold."""
+
+    def __init__(self, level):
+        self.level = level
+
+    def reaches(self, keys, threshold=0):
+        return np.full(len(keys), threshold < self.level)
+
+
+@pytest.mark.parametrize("level", [1, 2, 3])
+def test_a_task_sends_few_rows_however_many_shards(level):
+    r = random.Random(7)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=400)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(600)), "text": texts * 2})
+    shared = SimpleNamespace(value=_All(level))
+    sent = pa.Table.from_batches(list(suffix_dedup._pieces(shared, 800)(iter([batch]))))
+    pieces = sent.column("pieces").drop_null()
+    # windows are sent in parts of a bounded size
+    assert 50 < len(pieces) <= 100 * (2 if level == 3 else 1)
+    # of equal pieces the later ones are settled where they are, whatever is sent of the others
+    ranges = sent.filter(sent.column("settled").is_valid())
+    assert sorted(ranges.column("key").to_pylist()) == list(range(300, 600))
+    assert set(ranges.column("settled").to_pylist()[0]) == {400}
+
+
+def test_only_stretches_of_repeated_windows_are_sorted(monkeypatch):
+    r = np.random.default_rng(2)
+    parts = [r.integers(1, 250, 2000) for _ in range(20)]
+    for i, n in ((3, 60), (9, 75), (15, 60)):
+        parts[i][100 : 100 + n] = parts[1][500 : 500 + n]
+    text = np.concatenate([np.append(p, 0) for p in parts]).astype(np.int16)
+    before = np.append(suffix_dedup._NO_BYTE, text[:-1] - 1)
+    sorted_, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text, **more: sorted_.append(len(text)) or sort(text, **more))
+    lengths, counts, places = suffix_dedup.maximal_repeats(text, before)
+    groups = zip(lengths.tolist(), np.split(places, np.cumsum(counts)[:-1]), strict=True)
+    want = [(60, [1 * 2001 + 500, 3 * 2001 + 100, 9 * 2001 + 100, 15 * 2001 + 100]), (75, [1 * 2001 + 500, 9 * 2001 + 100])]
+    assert sorted((n, sorted(p.tolist())) for n, p in groups) == want
+    assert sorted_ == [76 * 2 + 61 * 2]
+
+
 def test_maximal_repeats():
     r = np.random.default_rng(1)
     for _ in range(80):
