@@ -71,16 +71,20 @@ def score_answers(
     n_choices: int | Column | None = None,
     key_type: str | Column = "letters",
     failed: int = 0,
+    parsed: bool = False,
 ) -> DataFrame:
-    """Adds ``prediction_index`` and ``hit`` from generated_text, permutation and answer_idx."""
-    n = F.size("choices") if n_choices is None else n_choices
-    return df.withColumn(
-        "prediction_index", parse_answer(F.col("generated_text"), n, key_type)
-    ).withColumn(
+    """Adds ``prediction_index`` and ``hit`` from generated_text, permutation and answer_idx. With ``parsed`` the rows come
+    from ``parse_answers``, which had what it needs before they met their problems."""
+    rows = df if parsed else parse_answers(df, F.size("choices") if n_choices is None else n_choices, key_type)
+    return rows.withColumn(
         "hit", is_hit(F.col("prediction_index"), F.col("permutation"), F.col("answer_idx"), failed)
     )
 
 
+def parse_answers(df: DataFrame, n: int | Column, key_type: str | Column = "letters") -> DataFrame:
+    return df.withColumn("prediction_index", parse_answer(F.col("generated_text"), n, key_type))
+
+
 def _group() -> Column:
     return F.coalesce("parent_uuid", "uuid")
 

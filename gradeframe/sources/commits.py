@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -22,6 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 _RECORD = "name string, part string, folder string, at long, id string, replaces boolean, columns string, buckets int"
 
 
+class Bucketed(NamedTuple):
+    parts: list[DataFrame]
+    buckets: int
+
+
 @dataclass(frozen=True)
 class Commits:
     """The committed tables below a path that all executors see."""
@@ -38,14 +44,16 @@ class Commits:
         partition_by: Sequence[str] = (),
         buckets: int = 0,
         key: str | None = None,
+        dealt: bool = False,
     ) -> None:
         """Write the rows as a part of the table; with ``replace`` they are all that the table has. With ``buckets`` the
-        part is bucketed by ``key``, for ``bucketed``."""
+        part is bucketed by ``key``, for ``bucketed``; with ``dealt`` the rows lie together by ``key`` already and are not
+        moved."""
         folder = f"data/_of={uuid.uuid4().hex}"
         if buckets:
             table = f"gradeframe_{uuid.uuid4().hex}"
-            writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
-            writer.option("path", f"{self.path}/{folder}").saveAsTable(table)
+            writer = (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).sortBy(key)
+            writer.option("compression", "zstd").option("path", f"{self.path}/{folder}").saveAsTable(table)
             self.spark.sql(f"DROP TABLE {table}")
         else:
             df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
@@ -88,19 +96,23 @@ class Commits:
         return reader.parquet(*[f"{self.path}/{r['folder']}" for r in records]).select(*wanted)
 
     @contextmanager
-    def bucketed(self, name: str, part: str, key: str) -> Iterator[DataFrame | None]:
-        """A part that was written in buckets, known to the catalog as such meanwhile: it joins and groups by its key
-        without moving. None if the part is not there."""
-        found = [r for r in self.records(name) if r["part"] == part and r["buckets"]]
-        if not found:
+    def bucketed(self, name: str, key: str, parts: Callable[[str], bool] | None = None) -> Iterator[Bucketed | None]:
+        """A table's parts, which were written in buckets, known to the catalog as such meanwhile: each joins and groups by
+        its key without moving. ``parts`` tells which of them to read. None if there is none, or not all are in the same
+        number of buckets."""
+        records = [r for r in self.records(name) if parts is None or parts(r["part"])]
+        if not records or len({r["buckets"] for r in records}) > 1 or not records[0]["buckets"]:
             yield None
             return
-        table, r = f"gradeframe_{uuid.uuid4().hex}", found[0]
-        self.spark.sql(
-            f"CREATE TABLE {table} ({r['columns']}) USING parquet "
-            f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {r['buckets']} BUCKETS LOCATION '{self.path}/{r['folder']}'"
-        )
+        tables: list[str] = []
         try:
-            yield self.spark.table(table)
+            for r in records:
+                tables.append(f"gradeframe_{uuid.uuid4().hex}")
+                self.spark.sql(
+                    f"CREATE TABLE {tables[-1]} ({r['columns']}) USING parquet "
+                    f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {r['buckets']} BUCKETS LOCATION '{self.path}/{r['folder']}'"
+                )
+            yield Bucketed([self.spark.table(t) for t in tables], records[0]["buckets"])
         finally:
-            self.spark.sql(f"DROP TABLE {table}")
+            for table in tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")

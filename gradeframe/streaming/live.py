@@ -8,17 +8,18 @@ a row per key, or per run of rounds, however often old keys come again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradeframe.operators.choice import score_answers, spelled
+from gradeframe.operators.choice import parse_answers, score_answers
 from gradeframe.operators.judge import parse_judge
 from gradeframe.operators.rounds import ALL_METRICS, block_sums, combine_blocks, merge_blocks
 from gradeframe.plans.ordered import BLOCK, int_block
 from gradeframe.schemas import arrival
-from gradeframe.sources.commits import Commits
+from gradeframe.sources.commits import Bucketed, Commits
 
 RESPONSE_LINE = (
     "run_key string, uuid string, parent_uuid string, generated_text string, lm_loss double, arrival string, written long"
@@ -29,35 +30,40 @@ ROUND_LINE = "conv_id string, round int, content string, arrival string, written
 COMPACT = 16
 _SNAPSHOT = ""
 _SUMS = "run_key string, hits long, groups long, loss double, losses long"
-_KEYS = f"key string, arrival string, {_SUMS}"
+_KEYS = f"problem string, arrival string, {_SUMS}"
+_OLD = "struct<hits:long,groups:long,loss:double,losses:long>"
 
 
 class _Parts:
     """A table of what batches have added."""
 
-    def __init__(self, store: Commits, name: str, schema: str):
-        self.store, self.name, self.schema = store, name, schema
+    def __init__(self, store: Commits, name: str, schema: str, key: str | None = None):
+        """With a key the rows that are added lie by it, in ``buckets`` buckets."""
+        self.store, self.name, self.schema, self.key, self.buckets = store, name, schema, key, 0
 
-    def before(self, batch_id: int, snapshot: bool = True) -> DataFrame:
+    def before(self, batch_id: int) -> DataFrame:
         """What the batches before have added."""
-
-        def wanted(part: str) -> bool:
-            return snapshot if part == _SNAPSHOT else int(part) < batch_id
-
-        return self.store.read(self.schema, self.name, wanted)
+        return self.store.read(self.schema, self.name, lambda part: part == _SNAPSHOT or int(part) < batch_id)
 
     def count(self, batch_id: int, snapshot: bool = False) -> int:
         """How many parts the batches before this one have left, the snapshot counted if asked."""
-        parts = [r["part"] for r in self.store.records(self.name)]
-        return sum(snapshot if p == _SNAPSHOT else int(p) < batch_id for p in parts)
+        records = self.store.records(self.name)
+        if self.key and any(self.key not in r["columns"] for r in records):
+            raise ValueError(f"{self.name} below {self.store.path} are of an earlier form, without {self.key}: build the sink anew")
+        return sum(snapshot if r["part"] == _SNAPSHOT else int(r["part"]) < batch_id for r in records)
+
+    def bucketed(self, batch_id: int) -> AbstractContextManager[Bucketed | None]:
+        """What the batches before have added, where it lies."""
+        return self.store.bucketed(self.name, self.key, lambda part: part == _SNAPSHOT or int(part) < batch_id)
 
     def add(self, df: DataFrame, batch_id: int) -> None:
-        self.store.write(df, self.name, str(batch_id))
+        self.store.write(df, self.name, str(batch_id), buckets=self.buckets, key=self.key, dealt=True)
 
-    def compact(self, batch_id: int, merge: Callable[[DataFrame], DataFrame], buckets: int = 0, key: str | None = None) -> None:
+    def compact(self, batch_id: int, merge: Callable[[DataFrame], DataFrame]) -> None:
         """Once enough batches have come, one snapshot stands in for all before this one."""
         if self.count(batch_id) >= COMPACT:
-            self.store.write(merge(self.before(batch_id)), self.name, _SNAPSHOT, replace=True, buckets=buckets, key=key)
+            merged = merge(self.before(batch_id))
+            self.store.write(merged, self.name, _SNAPSHOT, replace=True, buckets=self.buckets, key=self.key)
 
 
 def _start(lines: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -84,15 +90,43 @@ def _arrived(batch: DataFrame) -> DataFrame:
     return batch.withColumn("arrival", F.concat_ws("/", arrival(written), *place)).drop("_file", "written")
 
 
+def _problem() -> Column:
+    """A problem's uuid and parent as one text: the length tells the parent's beginning, a mark that there is none. It
+    begins like the uuid, so that it sorts fast. Null without a uuid."""
+    parent = F.coalesce("parent_uuid", F.lit(""))
+    length = F.coalesce(F.length("parent_uuid").cast("string"), F.lit("-"))
+    return F.concat(F.col("uuid"), F.lit("/"), parent, F.lit("/"), length)
+
+
+def _newest(rows: DataFrame, *by: Column) -> DataFrame:
+    """The last row of each problem and run."""
+    values = [c for c in rows.columns if c not in ("problem", "run_key", "arrival")]
+    last = rows.groupBy(*by, "problem", "run_key").agg(F.max(F.struct("arrival", *values)).alias("_r"))
+    return last.select("problem", "run_key", "_r.*")
+
+
 def _newest_keys(rows: DataFrame) -> DataFrame:
-    return _newest_hashed(rows).drop("_hash")
+    """The same, sorted by a hash of the problem first, as texts may begin alike."""
+    return _newest(rows, F.xxhash64("problem")).select(*rows.columns)
+
+
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session's settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def _newest_hashed(rows: DataFrame) -> DataFrame:
-    """The last row of each key, with a hash of the key, by which rows are sorted first: keys begin alike."""
-    values = [c for c in rows.columns if c != "key"]
-    last = rows.groupBy(F.xxhash64("key").alias("_hash"), "key").agg(F.max_by(F.struct(*values), "arrival").alias("_r"))
-    return last.select("_hash", "key", "_r.*")
+#: A write's shuffle files are of no use once it has ended.
+_CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Rows that lie by problem are joined by problem and run where they are.
+_IN_PLACE = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -113,52 +147,65 @@ def live_accuracy(
     are corrected by what it adds less what the response before it had added. ``problems`` is a static table (uuid,
     parent_uuid, permutation, answer_idx[, choices]).
 
-    The table of keys is bucketed: a batch's keys are moved to it, it is not moved itself. A key's scores are summed where
-    its problems are, as the join has dealt both by (uuid, parent).
+    The table of keys is bucketed by problem, in as many buckets from one snapshot to the next. Once it has parts, a batch's
+    lines and the problems are moved to it, once each, and it is not moved itself. Where the number of choices is given,
+    answers are parsed before the lines are moved.
     """
     lines = spark.readStream.schema(RESPONSE_LINE).json(source)
-    static = problems.withColumnRenamed("uuid", "_uuid").withColumn("_parent", spelled(F.col("parent_uuid"))).drop("parent_uuid")
+    static = problems.withColumn("problem", _problem()).drop("uuid", "parent_uuid")
     store = Commits(spark, sink)
-    keys, sums = _Parts(store, "keys", _KEYS), _Parts(store, "sums", _SUMS)
-
-    def scores(batch: DataFrame) -> DataFrame:
-        key = F.to_json(F.struct("run_key", "uuid", "parent_uuid"))
-        rows = _newest_hashed(_arrived(batch).withColumn("key", key)).withColumn("_asked", spelled(F.col("parent_uuid")))
-        joined = rows.join(static, (F.col("uuid") == F.col("_uuid")) & (F.col("_asked") == F.col("_parent")))
-        return score_answers(joined, n_choices).groupBy("uuid", "_asked", "_hash", "key", "arrival", "run_key").agg(
+    keys, sums = _Parts(store, "keys", _KEYS, "problem"), _Parts(store, "sums", _SUMS)
+    names = ["arrival", "hits", "groups", "loss", "losses"]
+    answer = "generated_text" if n_choices is None else "prediction_index"
+
+    def answers(batch: DataFrame) -> DataFrame:
+        rows = _arrived(batch).withColumn("problem", _problem()).where(F.col("problem").isNotNull())
+        rows = rows if n_choices is None else parse_answers(rows, n_choices)
+        return rows.select("problem", "run_key", "arrival", "lm_loss", answer)
+
+    def scores(rows: DataFrame, problems: DataFrame) -> DataFrame:
+        joined = _newest(rows).join(problems, "problem")
+        return score_answers(joined, n_choices, parsed=n_choices is not None).groupBy("problem", "run_key", "arrival").agg(
             F.sum(F.col("hit").cast("long")).alias("hits"),
             F.count(F.lit(1)).alias("groups"),
             F.sum("lm_loss").alias("loss"),
             F.count("lm_loss").alias("losses"),
         )
 
+    def changed(rows: DataFrame, known: list[DataFrame]) -> DataFrame:
+        """The scores that are later than what is known, with what is known. A table of it has a problem and run once."""
+        for i, table in enumerate(known):
+            old = table.select("problem", "run_key", F.struct(*names).alias(f"_old{i}"))
+            same = (F.col("r.problem") == F.col("k.problem")) & F.col("r.run_key").eqNullSafe(F.col("k.run_key"))
+            rows = rows.alias("r").join(old.alias("k"), same, "left").select("r.*", f"_old{i}")
+        olds = [f"_old{i}" for i in range(len(known))]
+        # the last of them, as structs are compared by arrival first
+        rows = rows.withColumn("_old", F.greatest(*olds) if len(olds) > 1 else F.col(olds[0]))
+        later = rows.where(F.col("_old").isNull() | (F.col("arrival") > F.col("_old.arrival")))
+        return later.withColumn("_old", F.col("_old").dropFields("arrival"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        with _set(batch.sparkSession, _CLEANED):
+            add(batch, batch_id)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        buckets = int(session.conf.get("spark.sql.shuffle.partitions"))
-        keys.compact(batch_id, _newest_keys, buckets, "key")
+        keys.buckets = int(session.conf.get("spark.sql.shuffle.partitions"))
+        keys.compact(batch_id, _newest_keys)
         sums.compact(batch_id, _summed)
-        names = ["arrival", "hits", "groups", "loss", "losses"]
-        with store.bucketed("keys", _SNAPSHOT, "key") as snapshot:
-            rows = scores(batch)
-            recent = keys.before(batch_id, snapshot=snapshot is None)
-            if snapshot is not None:
-                rows = rows.join(snapshot.select("key", F.struct(*names).alias("_old0")), "key", "left")
-            else:
-                rows = rows.withColumn("_old0", F.lit(None).cast("struct<arrival:string,hits:long,groups:long,loss:double,losses:long>"))
-            # a part has a key once
-            single = keys.count(batch_id, snapshot is None) <= 1
-            recent = recent.withColumn("_hash", F.xxhash64("key")) if single else _newest_hashed(recent)
-            rows = rows.join(recent.select("_hash", "key", F.struct(*names).alias("_old1")), ["_hash", "key"], "left")
-            # of the snapshot and the batches since, the later ones know better
-            old = F.coalesce("_old1", "_old0")
-            changed = rows.withColumn("_old", old).where(
-                F.col("_old").isNull() | (F.col("arrival") > F.col("_old.arrival"))
-            ).drop("_old0", "_old1")
-            keys.add(changed.select("key", "arrival", "run_key", *names[1:], "_old"), batch_id)
+        with keys.bucketed(batch_id) as found, _set(session, _IN_PLACE if found else {}):
+            if found:
+                keys.buckets = found.buckets
+            known = found.parts if found else [keys.before(batch_id)]
+            if not found and keys.count(batch_id, True) > 1:
+                known = [_newest(known[0])]
+            rows = scores(answers(batch).repartition(keys.buckets, "problem"), static.repartition(keys.buckets, "problem"))
+            rows = changed(rows, known).select("problem", "arrival", "run_key", *names[1:], "_old")
+            keys.add(rows if found else rows.repartition(keys.buckets, "problem"), batch_id)
         # the part has been written: what it adds is read from it
-        changed = store.read(f"{_KEYS}, _old struct<hits:long,groups:long,loss:double,losses:long>", "keys", lambda p: p == str(batch_id))
+        told = store.read(f"{_KEYS}, _old {_OLD}", "keys", lambda p: p == str(batch_id))
         less = [(F.coalesce(c, F.lit(0)) - F.coalesce(f"_old.{c}", F.lit(0))).alias(c) for c in names[1:]]
-        sums.add(_summed(changed.select("run_key", *less)), batch_id)
+        sums.add(_summed(told.select("run_key", *less)), batch_id)
 
     return _start(lines, checkpoint, write)
 

@@ -193,3 +193,35 @@ def test_keys_are_sorted_by_a_hash_and_scored_where_their_problems_are(spark, tm
     # by key, both sides of the join with the problems, and of that with what is known
     assert plans[0].count("Exchange hashpartitioning") == 5
     assert [(r.num_hits, r.num_groups) for r in live.read_accuracy(spark, str(tmp_path / "out")).collect()] == [(1, 1)]
+
+
+def test_known_keys_are_not_moved(spark, tmp_path, monkeypatch):
+    """From the second batch on only lines and problems move, once each, to where the known keys lie."""
+    plans, add = [], live._Parts.add
+
+    def told(self, df, batch_id):
+        if self.name == "keys":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        add(self, df, batch_id)
+
+    monkeypatch.setattr(live._Parts, "add", told)
+    names = [("a/b", "c"), ("a", "b/c"), ("a", ""), ("a", None), ("a/", None), ("a/-", "1"), (None, "a")]
+    problems = spark.createDataFrame(
+        [(u, p, None, i % 2) for i, (u, p) in enumerate(names)],
+        "uuid string, parent_uuid string, permutation array<int>, answer_idx int")
+    right = lambda i: "AB"[i % 2]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for batch, text in enumerate([lambda i: "?", right, lambda i: "?", lambda i: right(i) if i else "?"]):
+            rows = [{"run_key": run, "uuid": u, "parent_uuid": p, "generated_text": text(i), "lm_loss": float(batch)}
+                    for i, (u, p) in enumerate(names) for run in ("r", None)]
+            if batch == 2:  # found late, written before all others
+                rows = [{**row, "written": 1} for row in rows]
+            put(tmp_path / "in", f"{batch}.json", rows)
+            live.live_accuracy(spark, str(tmp_path / "in"), problems, str(tmp_path / "out"), str(tmp_path / "state"), 2).awaitTermination()
+            got = {(x.run_key, x.num_hits, x.num_groups, x.avg_loss) for x in live.read_accuracy(spark, str(tmp_path / "out")).collect()}
+            hits, loss = [(0, 0.0), (6, 1.0), (6, 1.0), (5, 3.0)][batch]
+            assert got == {("r", hits, 6, loss), (None, hits, 6, loss)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [p.count("Exchange hashpartitioning") for p in plans[1:]] == [2, 2, 2]
