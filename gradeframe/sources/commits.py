@@ -1,7 +1,8 @@
 """Tables made of finished writes.
 
 Every write goes to a folder of its own below ``data``; only after it has ended does a record of it appear below
-``commits``, in a folder of its own, too, so that writers never share one. Readers take the folders on record: a job that
+``_commits`` (before, ``commits``), in a folder of its own, too, so that writers never share one. Spark passes over that
+name, so that all that was ever written can be read as one Parquet table. Readers take the folders on record: a job that
 ends half-way leaves them what was there before.
 
 A table's name may have parts. The newest record of a (name, part) counts, so that a repeated write changes nothing, and
@@ -59,12 +60,12 @@ class Commits:
             df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
         record = (name, part, folder, time.time_ns(), uuid.uuid4().hex, replace, df.schema.toDDL(), buckets)
         rows = self.spark.createDataFrame([record], _RECORD).coalesce(1)
-        rows.write.parquet(f"{self.path}/commits/{record[3]:020d}-{record[4]}")
+        rows.write.parquet(f"{self.path}/_commits/{record[3]:020d}-{record[4]}")
 
     def records(self, name: str | None = None) -> list[dict]:
         """The records that count, of one table or of all, the oldest first: one for each write, whatever it holds."""
         try:
-            rows = self.spark.read.schema(_RECORD).parquet(f"{self.path}/commits/*")
+            rows = self.spark.read.schema(_RECORD).parquet(f"{self.path}/{{_commits,commits}}/*")
         except AnalysisException as missing:
             if missing.getCondition() == "PATH_NOT_FOUND":
                 return []
